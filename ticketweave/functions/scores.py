@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ticketweave import fixed_values as fv
-from ticketweave.functions.text import any_of, count_true, first_match, literal_map
+from ticketweave.functions.text import count_patterns, count_true, count_words, first_match, let, literal_map
 
 _L = F.lit
 
@@ -39,10 +39,10 @@ def document_score(
 ) -> Column:
     """Quality of a document from 0 to 100."""
     low = F.lower(text)
-    hits = lambda words: count_true([F.contains(low, _L(w)) for w in words])
+    hits = lambda words: count_words(low, words)
     edge = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
     # Phrases act as patterns between word edges; one that ends in a non-word sign needs no edge there.
-    vague_hits = count_true([low.rlike(edge[0] + p + (edge[1] if p[-1].isalnum() else "")) for p in vague])
+    vague_hits = count_patterns(low, [edge[0] + p + (edge[1] if p[-1].isalnum() else "") for p in vague])
     ratio = F.least(vague_hits / F.greatest(n_words / 50, _L(1.0)), _L(1.0))
     return (_points(n_words, [(300, 20), (150, 14), (80, 8), (30, 4)]) + F.least(n_sections, _L(4)) * 5
             + F.least(hits(actions) * 2, _L(20)) + F.least(n_codes * 5, _L(10)) + F.least(hits(technical) * 2, _L(15))
@@ -129,7 +129,7 @@ def answer_score(answer: Column, question: Column, unknown_names: Column, known_
 
     ``unknown_names`` and ``known_tables`` count table names outside and inside the known list.
     """
-    n = lambda kind: count_true([answer.rlike(p) for p in fv.ANSWER_MARKERS[kind]])
+    n = lambda kind: count_patterns(answer, fv.ANSWER_MARKERS[kind])
     evidence = F.least(n("evidence") * 4 + F.least(known_tables * 3, _L(10)), _L(25))
     risk = F.greatest(_L(0), 25 - (n("red_flag") * 5 + unknown_names * 4))
     depth = F.when(rca_required & (n("rca") == 0), 0).otherwise(F.least(n("rca") * 5, _L(20)))
@@ -147,13 +147,11 @@ def answer_score(answer: Column, question: Column, unknown_names: Column, known_
 def keyword_boost(text: Column, signals: Sequence[tuple[str, str, str, float]] = tuple(fv.KEYWORD_SIGNALS)) -> Column:
     """Array of (l1, share) plus the capped total, all in one struct per text."""
     low = F.lower(F.coalesce(text, _L("")))
-    def weight(rows: list) -> Column:
-        total = _L(0.0)
-        for kw, *_, w in rows:
-            total = total + F.when(F.contains(low, _L(kw)), _L(w)).otherwise(_L(0.0))
-        return total
     l1s = list(dict.fromkeys(s[1] for s in signals))
-    per = F.array(*[F.struct(_L(l).alias("l1"), weight([s for s in signals if s[1] == l]).alias("w")) for l in l1s])
+    table = F.array(*[F.struct(_L(k).alias("k"), _L(l1).alias("l1"), _L(float(w)).alias("w")) for k, l1, _, w in signals])
+    hits = let(low, lambda t: F.filter(table, lambda x: F.contains(t, x["k"])))
+    per = let(hits, lambda h: F.array(*[F.struct(_L(l).alias("l1"), F.aggregate(
+        F.filter(h, lambda x, l=l: x["l1"] == l), _L(0.0), lambda a, x: a + x["w"]).alias("w")) for l in l1s]))
     total = F.aggregate(per, _L(0.0), lambda a, x: a + x["w"])
     shares = F.transform(F.filter(per, lambda x: x["w"] > 0), lambda x: F.struct(x["l1"].alias("l1"), (x["w"] / total).alias("share")))
     return F.struct(shares.alias("shares"), F.least(total, _L(1.0)).alias("boost"))

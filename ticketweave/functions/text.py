@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -25,7 +26,26 @@ def any_of(conditions: Sequence[Column]) -> Column:
 
 
 def matches_any(text: Column, words: Sequence[str]) -> Column:
-    return any_of([F.contains(text, _L(w)) for w in words])
+    """True if any of the literal words occurs; one pattern keeps the generated code small."""
+    if len(words) <= 2:
+        return any_of([F.contains(text, _L(w)) for w in words])
+    return text.rlike("|".join(re.escape(w) for w in words))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), _L(0))
+
+
+def count_words(text: Column, words: Sequence[str]) -> Column:
+    """How many of the literal words occur in the text."""
+    table = F.array(*[_L(w) for w in words])
+    return let(text, lambda t: F.size(F.filter(table, lambda w: F.contains(t, w))))
+
+
+def count_patterns(text: Column, patterns: Sequence[str]) -> Column:
+    """How many of the patterns match the text."""
+    return F.size(F.filter(F.array(*[text.rlike(p) for p in patterns]), lambda hit: hit))
 
 
 def count_true(conditions: Sequence[Column]) -> Column:
@@ -240,7 +260,7 @@ def is_off_topic(text: Column | str) -> Column:
 def classify_intent(text: Column | str, patterns: Mapping[str, Sequence[str]], priority: Sequence[str]) -> Column:
     """Struct (intent, confidence): the first intent of ``priority`` with a hit, else the one with most hits."""
     low = F.lower(F.coalesce(_col(text), _L("")))
-    hits = {i: count_true([F.contains(low, _L(p)) for p in ps]) for i, ps in patterns.items()}
+    hits = {i: count_words(low, ps) for i, ps in patterns.items()}
     conf = lambda n: F.least(0.40 + n * 0.15, _L(0.95))
     mk = lambda name, c: F.struct(_L(name).alias("intent"), c.cast("double").alias("confidence"))
     rest = [i for i in patterns if i not in priority]
@@ -256,7 +276,7 @@ def classify_intent_weighted(text: Column | str, profiles: Mapping[str, Sequence
     low = F.lower(F.coalesce(_col(text), _L("")))
     scored = F.array(*[
         F.struct(_L(priority.get(i, 0)).alias("p"),
-                 reduce(lambda a, b: a + b, [count_true([F.contains(low, _L(x)) for x in ph]) * w for ph, w in groups]).alias("s"), _L(i).alias("intent"))
+                 reduce(lambda a, b: a + b, [count_words(low, ph) * w for ph, w in groups]).alias("s"), _L(i).alias("intent"))
         for i, groups in profiles.items()])
     best = F.array_max(F.filter(scored, lambda x: x["s"] > 0))
     return F.when(best.isNull(), F.struct(_L("UNKNOWN").alias("intent"), _L(0.20).alias("confidence"))).otherwise(
@@ -282,7 +302,7 @@ def route_question(text: Column | str, rules: Sequence[dict], default: tuple[str
     """Struct (category, confidence, urgency, secondary): rules carry category, urgency, weight and patterns."""
     t = F.coalesce(_col(text), _L(""))
     def scored(i: int, r: dict) -> Column:
-        n = count_true([t.rlike(p) for p in r["patterns"]])
+        n = count_patterns(t, r["patterns"])
         conf = F.least(0.5 + 0.15 * n, _L(0.95)) * r.get("weight", 1.0)
         return F.struct(F.when(n > 0, -conf).otherwise(_L(0.0)).alias("w"), _L(i).alias("i"), _L(r["category"]).alias("c"), _L(r["urgency"]).alias("u"))
     hits = F.array_sort(F.filter(F.array(*[scored(i, r) for i, r in enumerate(rules)]), lambda s: s["w"] < 0))
@@ -299,7 +319,7 @@ def tag_incident_type(text: Column | str, taxonomy: Mapping[str, Sequence[str]],
     """Type with most phrase hits; ties by explicit priority, else by taxonomy order."""
     low = F.lower(F.coalesce(_col(text), _L("")))
     order = [*[p for p in priority if p in taxonomy], *[t for t in taxonomy if t not in priority]]
-    scored = F.array(*[F.struct((-count_true([F.contains(low, _L(p.lower())) for p in taxonomy[t]])).alias("n"), _L(i).alias("i"), _L(t).alias("t"))
+    scored = F.array(*[F.struct((-count_words(low, [p.lower() for p in taxonomy[t]])).alias("n"), _L(i).alias("i"), _L(t).alias("t"))
                        for i, t in enumerate(order) if t != unknown])
     best = F.array_min(F.filter(scored, lambda s: s["n"] < 0))
     return F.coalesce(best["t"], _L(unknown))

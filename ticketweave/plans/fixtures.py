@@ -67,4 +67,24 @@ def expand(sql: str) -> str:
     """Replace ``$tickets`` and ``$log_lines`` by sub-selects over ``events``."""
     for mark, spec in (("$tickets", TICKETS), ("$log_lines", LOG_LINES)):
         sql = sql.replace(mark, "(SELECT " + ", ".join(columns(spec)) + " FROM events)")
-    return sql
+    return decimal_rounding(sql)
+
+
+def decimal_rounding(sql: str) -> str:
+    """Make every ``round(x, n)`` round the shortest decimal form of a double, as Spark does, instead of x * 10^n."""
+    out, i = [], 0
+    while (j := sql.find("round(", i)) >= 0:
+        if j and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 1, j + 6, -1
+        while depth:
+            c = sql[k]
+            depth += (c == "(") - (c == ")")
+            comma = k if c == "," and depth == 1 else comma
+            k += 1
+        inner, digits = decimal_rounding(sql[j + 6:comma]), sql[comma + 1:k - 1].strip()
+        out.append(f"{sql[i:j]}CAST(round(CAST(CAST(({inner}) AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)")
+        i = k
+    return "".join(out) + sql[i:]

@@ -265,7 +265,7 @@ def _(t):
 
 @query("a30_entity_memory", f"""WITH k AS (SELECT upper(concat('u', user_id)) AS entity_key, event_type AS cause, concat('P', event_id % 40) AS pattern, outcome, ts FROM {_HYP_SQL}),
 c AS (SELECT entity_key, array_to_string(list(concat(cause, '=', n) ORDER BY cause), ',') AS causes, sum(n)::BIGINT AS n_outcomes FROM (SELECT entity_key, cause, count(*) n FROM k GROUP BY 1, 2) GROUP BY 1),
-f AS (SELECT entity_key, outcome, pattern, row_number() OVER (PARTITION BY entity_key, outcome ORDER BY at DESC, pattern) rn FROM (SELECT entity_key, outcome, pattern, min(ts) at FROM k WHERE outcome IN ('success','failure') GROUP BY 1, 2, 3)),
+f AS (SELECT entity_key, outcome, pattern, row_number() OVER (PARTITION BY entity_key, outcome ORDER BY seen DESC, pattern) rn FROM (SELECT entity_key, outcome, pattern, min(ts) seen FROM k WHERE outcome IN ('success','failure') GROUP BY 1, 2, 3)),
 l AS (SELECT entity_key, array_to_string(list(pattern ORDER BY rn) FILTER (outcome='success'), ',') AS success_patterns, array_to_string(list(pattern ORDER BY rn) FILTER (outcome='failure'), ',') AS failure_patterns FROM f WHERE rn <= 20 GROUP BY 1)
 SELECT entity_key, causes, n_outcomes, coalesce(success_patterns, '') AS success_patterns, coalesce(failure_patterns, '') AS failure_patterns FROM c LEFT JOIN l USING (entity_key)""")
 def _(t):
@@ -402,7 +402,7 @@ def _(t):
 @query("a44_operation_profile", """WITH k AS (SELECT op AS operation, p_brand AS role, p_partkey FROM part, (SELECT unnest(['ring','widget','small','red']) AS op) WHERE contains(lower(p_name), op))
 SELECT operation, role, count(DISTINCT p_partkey) AS n_members, min(p_partkey) AS first_member, max(p_partkey) AS last_member FROM k GROUP BY 1, 2""")
 def _(t):
-    return ro.operation_profile(t.part, "p_name", "p_brand", "p_partkey", ["ring", "widget", "small", "red"])
+    return ro.operation_profile(t.part.withColumnRenamed("p_brand", "role"), "p_name", "role", "p_partkey", ["ring", "widget", "small", "red"])
 
 
 @query("a45_review_ledger", """WITH k AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'correct' WHEN 'signup' THEN 'escalate' ELSE 'view' END AS action, (user_id % 10 + 1)::INTEGER AS p FROM events)
