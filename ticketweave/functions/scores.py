@@ -150,8 +150,12 @@ def keyword_boost(text: Column, signals: Sequence[tuple[str, str, str, float]] =
     l1s = list(dict.fromkeys(s[1] for s in signals))
     table = F.array(*[F.struct(_L(k).alias("k"), _L(l1).alias("l1"), _L(float(w)).alias("w")) for k, l1, _, w in signals])
     hits = let(low, lambda t: F.filter(table, lambda x: F.contains(t, x["k"])))
-    per = let(hits, lambda h: F.array(*[F.struct(_L(l).alias("l1"), F.aggregate(
-        F.filter(h, lambda x, l=l: x["l1"] == l), _L(0.0), lambda a, x: a + x["w"]).alias("w")) for l in l1s]))
+
+
+    def of_label(h: Column, label: str) -> Column:
+        return F.struct(_L(label).alias("l1"), F.aggregate(F.filter(h, lambda x: x["l1"] == label), _L(0.0), lambda a, x: a + x["w"]).alias("w"))
+
+    per = let(hits, lambda h: F.array(*[of_label(h, l) for l in l1s]))
     total = F.aggregate(per, _L(0.0), lambda a, x: a + x["w"])
     shares = F.transform(F.filter(per, lambda x: x["w"] > 0), lambda x: F.struct(x["l1"].alias("l1"), (x["w"] / total).alias("share")))
     return F.struct(shares.alias("shares"), F.least(total, _L(1.0)).alias("boost"))

@@ -32,6 +32,11 @@ def matches_any(text: Column, words: Sequence[str]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words))
 
 
+def unicode_edges(pattern: str) -> str:
+    """Word edges and case folding that count accented letters as letters, whatever the Java version."""
+    return pattern.replace(r"\b", r"(?U:\b)").replace("(?i", "(?iu")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
     return F.get(F.transform(F.array(value), body), _L(0))
@@ -45,7 +50,7 @@ def count_words(text: Column, words: Sequence[str]) -> Column:
 
 def count_patterns(text: Column, patterns: Sequence[str]) -> Column:
     """How many of the patterns match the text."""
-    return F.size(F.filter(F.array(*[text.rlike(p) for p in patterns]), lambda hit: hit))
+    return F.size(F.filter(F.array(*[text.rlike(unicode_edges(p)) for p in patterns]), lambda hit: hit))
 
 
 def count_true(conditions: Sequence[Column]) -> Column:
@@ -95,7 +100,7 @@ def normalize_for_ml(text: Column | str, stop: Sequence[str] = tuple(fv.ML_STOP_
     for p in fv.ML_NOISE:
         t = F.regexp_replace(t, p, " ")
     for p, r in fv.ML_ERROR_CODES + fv.ML_EQUIPMENT:
-        t = F.regexp_replace(t, p, r)
+        t = F.regexp_replace(t, unicode_edges(p), r)
     t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_\s\-]", " ")
     table = literal_map(synonyms)
     fold = lambda w: F.array_join(F.transform(F.split(w, "-"), lambda p: F.coalesce(F.element_at(table, p), p)), "-")
@@ -124,7 +129,7 @@ def repair_encoding(text: Column | str) -> Column:
 
 def drop_lines(text: Column | str, patterns: Sequence[str] = tuple(fv.FILLER_LINES), inline: Sequence[str] = ()) -> Column:
     """Remove lines matching a pattern, strip inline fragments, keep at most one blank line in a row."""
-    lines = F.filter(F.split(_col(text), "\n"), lambda s: ~any_of([s.rlike(p) for p in patterns]))
+    lines = F.filter(F.split(_col(text), "\n"), lambda s: ~any_of([s.rlike(unicode_edges(p)) for p in patterns]))
     if inline:
         lines = F.transform(lines, lambda s: reduce(lambda a, p: F.regexp_replace(a, p, ""), inline, s))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
@@ -160,7 +165,7 @@ def weighted_text(report: str, solution: str, fallback: str) -> Column:
 def error_codes(text: Column | str, variant: str = "log") -> Column:
     """Sorted distinct codes of one documented variant."""
     t = F.coalesce(_col(text), _L(""))
-    found = [F.transform(F.regexp_extract_all(t, _L(p), _L(g)), lambda x: F.upper(x)) for p, g in fv.ERROR_CODE_PATTERNS[variant]]
+    found = [F.transform(F.regexp_extract_all(t, _L(unicode_edges(p)), _L(g)), lambda x: F.upper(x)) for p, g in fv.ERROR_CODE_PATTERNS[variant]]
     if variant == "ticket":
         known = F.filter(F.array(*[F.when(F.contains(t, _L(k)), _L(k)) for k in fv.KNOWN_TICKET_CODES]), lambda x: x.isNotNull())
         found = [known, *found]
@@ -171,7 +176,7 @@ def canonical_codes(text: Column | str) -> Column:
     """Array of (canonical, confidence), years left out; the earliest pattern decides the confidence."""
     t = F.coalesce(_col(text), _L(""))
     one = lambda p, g, prefix, conf: F.transform(
-        F.regexp_extract_all(t, _L(p), _L(g)),
+        F.regexp_extract_all(t, _L(unicode_edges(p)), _L(g)),
         lambda x: F.struct(F.replace(F.upper(F.concat(_L(prefix), x)), _L(" "), _L("")).alias("code"), _L(conf).alias("confidence")))
     found = F.filter(F.flatten(F.array(*[one(*c) for c in fv.CANONICAL_CODES])), lambda s: ~s["code"].rlike(fv.YEAR_PATTERN))
     names = F.array_distinct(F.transform(found, lambda s: s["code"]))
@@ -236,7 +241,7 @@ def to_template(text: Column | str) -> Column:
     """Replace variables by placeholders in a fixed order; later rules see earlier placeholders."""
     t = _col(text)
     for p, r in fv.TEMPLATE_VARIABLES:
-        t = F.regexp_replace(t, p, r)
+        t = F.regexp_replace(t, unicode_edges(p), r)
     return collapse(t)
 
 
@@ -254,7 +259,7 @@ def detect_language(text: Column | str, fr: Sequence[str] = tuple(fv.FRENCH_WORD
 
 def is_off_topic(text: Column | str) -> Column:
     low = F.lower(F.trim(_col(text)))
-    return any_of([low.rlike(p) for p in fv.OFF_TOPIC])
+    return any_of([low.rlike(unicode_edges(p)) for p in fv.OFF_TOPIC])
 
 
 def classify_intent(text: Column | str, patterns: Mapping[str, Sequence[str]], priority: Sequence[str]) -> Column:
@@ -287,7 +292,7 @@ def route_multilabel(text: Column | str, rules: Sequence[tuple[str, str, float]]
     """Struct (primary, confidence, labels): best weight per category, labels at ``multi`` and above."""
     t = F.coalesce(_col(text), _L(""))
     cats = list(dict.fromkeys(c for _, c, _ in rules))
-    weight = lambda c: F.array_max(F.array(_L(0.0), *[F.when(t.rlike(p), _L(w)) for p, k, w in rules if k == c]))
+    weight = lambda c: F.array_max(F.array(_L(0.0), *[F.when(t.rlike(unicode_edges(p)), _L(w)) for p, k, w in rules if k == c]))
     scored = F.filter(F.array(*[F.struct((-weight(c)).alias("w"), _L(i).alias("i"), _L(c).alias("c")) for i, c in enumerate(cats)]), lambda s: s["w"] < 0)
     best = F.array_min(scored)
     weak = -best["w"] < primary
@@ -329,7 +334,7 @@ def policy_violations(text: Column | str, rules: Sequence[tuple[str, str]] = tup
     """Array of (kind, value), one entry per violated rule."""
     t = F.coalesce(_col(text), _L(""))
     return F.filter(F.array(*[
-        F.when(t.rlike(p), F.struct(_L(k).alias("kind"), F.trim(F.regexp_extract(t, p, 0)).alias("value"))) for k, p in rules]), lambda x: x.isNotNull())
+        F.when(t.rlike(unicode_edges(p)), F.struct(_L(k).alias("kind"), F.regexp_replace(F.regexp_extract(t, unicode_edges(p), 0), r"^\s+|\s+$", "").alias("value"))) for k, p in rules]), lambda x: x.isNotNull())
 
 
 # ---------------------------------------------------------------- similarity

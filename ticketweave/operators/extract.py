@@ -24,9 +24,9 @@ def extract_entities(
     mk = lambda kind, v, conf: F.struct(_L(kind).alias("entity_type"), v.alias("value"), _L(conf).cast("double").alias("confidence"))
     groups = [F.transform(tx.error_codes(t, "text"), lambda c: mk("error_code", c, fv.ENTITY_CONFIDENCE["error_code"]))]
     for kind, pats in patterns.items():
-        for p in pats:
+        for p in map(tx.unicode_edges, pats):
             found = F.filter(F.transform(F.regexp_extract_all(t, _L(p), _L(1)), lambda v: F.upper(F.trim(v))), lambda v: F.length(v) >= 2)
-            groups.append(F.transform(found, lambda v, k=kind: mk(k, v, fv.DEFAULT_ENTITY_CONFIDENCE)))
+            groups.append(F.transform(found, lambda v: mk(kind, v, fv.DEFAULT_ENTITY_CONFIDENCE)))
     present = lambda pairs, kind: F.filter(
         F.array(*[F.when(c, mk(kind, _L(v), fv.ENTITY_CONFIDENCE[kind])) for v, c in pairs]), lambda x: x.isNotNull())
     groups.append(present([(v, F.contains(low, _L(v))) for v in verbs], "action_verb"))
@@ -38,7 +38,7 @@ def extract_entities(
 def parse_trace(df: DataFrame, text: str, app: str) -> DataFrame:
     """Fields of a stack trace by the strategy that reads most from it, with the signature hash."""
     t = F.col(text)
-    get = lambda p, g=1: F.nullif(F.regexp_extract(t, p, g), _L(""))
+    get = lambda p, g=1: F.nullif(F.regexp_extract(t, tx.unicode_edges(p), g), _L(""))
     last = lambda c, sep: F.element_at(F.split(c, sep), -1)
     stack = r"at\s+([\w.]+)\.([\w$]+)\("
     pyf = r'File "([^"]+)", line \d+, in (\w+)'
@@ -66,7 +66,7 @@ def parse_trace(df: DataFrame, text: str, app: str) -> DataFrame:
         _L(name).alias("strategy"), F.col(f"_{name}").alias("f"))
     best = F.array_sort(F.array(*[rank(i, n) for i, n in enumerate(strategies)]),
                         lambda a, b: F.when(a["r"] != b["r"], b["r"] - a["r"]).otherwise(b["i"] - a["i"]))
-    words = F.regexp_extract_all(t, _L(r"\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b"), _L(0))
+    words = F.regexp_extract_all(t, _L(tx.unicode_edges(r"\b[a-zA-Z_][a-zA-Z0-9_]{2,}\b")), _L(0))
     kept = F.filter(words, lambda w: ~F.lower(w).isin(fv.TRACE_STOP_WORDS))
     low = F.transform(kept, lambda w: F.lower(w))
     keywords = F.slice(F.filter(kept, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), 1, 20)
@@ -83,21 +83,32 @@ def anonymize(df: DataFrame, key: str, text: str, patterns: Sequence[tuple[str,
     Patterns run in order, so a later one only sees what earlier ones left. Within a document the n-th
     distinct value of a prefix becomes ``[PREFIX_nn]``. All of it stays inside the row, nothing is shuffled.
     """
-    cur = df.withColumn("_t", F.coalesce(F.col(text), _L(""))).withColumn(
-        "_map", F.array().cast("array<struct<token:string,original:string>>"))
+    pair = "array<struct<token:string,original:string>>"
+    state = F.struct(F.coalesce(F.col(text), _L("")).alias("t"), F.array().cast(pair).alias("m"))
     for prefix, pattern in patterns:
-        # Tokens written earlier are fenced by brackets and never match again: values are looked up in pieces outside them.
-        found = F.array_distinct(F.regexp_extract_all("_t", _L(pattern), _L(0)))
-        cur = cur.withColumn("_new", F.transform(found, lambda v, i: F.struct(
-            F.concat(_L(f"[{prefix}_"), F.lpad((i + 1).cast("string"), F.greatest(_L(2), F.length((i + 1).cast("string"))), _L("0")), _L("]")).alias("token"), v.alias("original"))))
-        # Mark every match, then resolve the marks one by one: a plain replace would also hit longer words around a value.
-        marked = F.split(F.regexp_replace("_t", f"({pattern})", "\u0001$1\u0001"), "\u0001")
-        known = F.map_from_entries(F.transform("_new", lambda s: F.struct(s["original"], s["token"])))
-        pieces = F.transform(marked, lambda s, i: F.when(i % 2 == 1, F.element_at(known, s)).otherwise(s))
-        cur = cur.withColumn("_t2", F.array_join(pieces, "")).withColumn("_map", F.concat("_map", "_new")).drop("_t").withColumnRenamed("_t2", "_t").drop("_new")
-    rows = cur.withColumn(text, F.col("_t")).drop("_t", "_map")
-    mapping = cur.select(key, F.explode("_map").alias("m")).select(key, "m.token", "m.original")
-    return rows.select(*df.columns), mapping
+        state = tx.let(state, _masking_step(prefix, tx.unicode_edges(pattern)))
+    done = df.withColumn("_s", state)
+    rows = done.withColumn(text, F.col("_s.t")).select(*df.columns)
+    mapping = done.select(key, F.explode("_s.m").alias("m")).select(key, "m.token", "m.original")
+    return rows, mapping
+
+
+def _masking_step(prefix: str, pattern: str):
+    """Replace the matches of one pattern: mark them, then resolve mark by mark to the token of the distinct value."""
+    def token(n: Column) -> Column:
+        digits = n.cast("string")
+        return F.concat(_L(f"[{prefix}_"), F.lpad(digits, F.greatest(_L(2), F.length(digits)), _L("0")), _L("]"))
+
+    def step(s: Column) -> Column:
+        def masked(found: Column) -> Column:
+            pieces = F.split(F.regexp_replace(s["t"], f"({pattern})", "\u0001$1\u0001"), "\u0001")
+            text = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, token(F.array_position(found, p))).otherwise(p)), "")
+            new = F.transform(found, lambda v, i: F.struct(token(i + 1).alias("token"), v.alias("original")))
+            return F.when(F.size(found) == 0, s).otherwise(F.struct(text.alias("t"), F.concat(s["m"], new).alias("m")))
+
+        return tx.let(F.array_distinct(F.regexp_extract_all(s["t"], _L(pattern), _L(0))), masked)
+
+    return step
 
 
 def restore(df: DataFrame, mapping: DataFrame, key: str, text: str) -> DataFrame:
@@ -117,15 +128,15 @@ def scan_policy(df: DataFrame, text: str, rules: Sequence[tuple[str, str]] = tup
 def mine_constraints(df: DataFrame, text: str, words: str = fv.CONSTRAINT_WORDS, entities: str = fv.ENTITY_WORDS, min_len: int = 15) -> DataFrame:
     """Lines stating a constraint, with a content-based rule id and the entities they name."""
     lines = df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
-    kept = lines.filter(F.col("_line").rlike(words) & (F.length(F.trim("_line")) > min_len))
+    kept = lines.filter(F.col("_line").rlike(tx.unicode_edges(words)) & (F.length(F.trim("_line")) > min_len))
     return kept.select(
         "*", tx.stable_id("SFD-", [F.col("_line")], 8).alias("rule_id"), F.substring(F.trim("_line"), 1, 200).alias("description"),
-        F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("_line", _L(entities), _L(0)), lambda e: F.upper(e)))).alias("entities")).drop("_line")
+        F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("_line", _L(tx.unicode_edges(entities)), _L(0)), lambda e: F.upper(e)))).alias("entities")).drop("_line")
 
 
 def mine_operations(df: DataFrame, text: str, method: str = fv.API_OPERATION, path: str = fv.API_PATH, reach: int = 200) -> DataFrame:
     """(method, path) pairs: each method word with the first path within ``reach`` characters from its start."""
-    t = F.col(text)
+    t, method = F.col(text), tx.unicode_edges(method)
     # Cutting before each method gives pieces; the text after a method is its piece plus what follows.
     parts = F.split(F.regexp_replace(t, method, "\u0001$1"), "\u0001")
     exploded = df.withColumn("_p", parts).select(
@@ -149,9 +160,11 @@ def artifact_rows(df: DataFrame, path: str, content: str, languages: Mapping[str
 
 def extract_code_facts(df: DataFrame, key: str, content: str, patterns: Mapping[str, str]) -> DataFrame:
     """(key, kind, fact_no, fact) rows: every capture of each kind of pattern in the whole file text."""
-    facts = F.flatten(F.array(*[
-        F.transform(F.regexp_extract_all(content, _L(p), _L(1)), lambda v, i, k=k: F.struct(_L(k).alias("kind"), i.alias("fact_no"), v.alias("fact")))
-        for k, p in patterns.items()]))
+    def captures(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(content, _L(pattern), _L(1))
+        return F.transform(found, lambda v, i: F.struct(_L(kind).alias("kind"), i.alias("fact_no"), v.alias("fact")))
+
+    facts = F.flatten(F.array(*[captures(k, p) for k, p in patterns.items()]))
     return df.select(key, F.explode(facts).alias("f")).select(key, "f.*")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketweave.functions.scores import pattern_trust
-from ticketweave.functions.text import first_match, token_set
+from ticketweave.functions.text import first_match, token_set, unicode_edges
 from ticketweave.lineage import cut
 from ticketweave.operators.matching import phrase_hits, similar_pairs
 from ticketweave.operators.ordered import earliest_after, first_k, latest_before
@@ -91,7 +91,7 @@ def mention_edges(docs: DataFrame, key: str, text: str, doc_type: str, entities:
 
 def unknown_references(df: DataFrame, key: str, text: str, pattern: str, known: DataFrame, name: str, corrections: Mapping[str, str] | None = None, context: DataFrame | None = None) -> DataFrame:
     """Identifiers in the text that are neither known nor whitelisted by the row's context (key, name)."""
-    found = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, _L(pattern), _L(0)))).alias(name))
+    found = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, _L(unicode_edges(pattern)), _L(0)))).alias(name))
     out = found.join(known.select(name).distinct(), name, "left_anti")
     if context is not None:
         out = out.join(context.select(key, name).distinct(), [key, name], "left_anti")
@@ -320,7 +320,7 @@ def score_sheets(queries: DataFrame, query: str, text: str, signals: DataFrame,
 
 def match_patterns(df: DataFrame, text: str, patterns: Sequence[tuple[str, str]], limit: int = 5) -> DataFrame:
     """The first ``limit`` patterns (id, regex) found in each text, in pattern order; one pass, nothing is joined."""
-    hits = F.filter(F.array(*[F.when(_C(text).rlike(p), _L(i)) for i, p in patterns]), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*[F.when(_C(text).rlike(unicode_edges(p)), _L(i)) for i, p in patterns]), lambda x: x.isNotNull())
     return df.select(*df.columns, F.posexplode(F.slice(hits, 1, limit)).alias("position", "pattern_id"))
 
 

@@ -207,7 +207,10 @@ def tfidf_stages(text: str = "text", max_features: int = 5000, min_df: int = 2,
 
 def char_ngrams(text: Column, lo: int = 3, hi: int = 5) -> Column:
     """All character n-grams of lengths lo..hi as an array."""
-    return F.flatten(F.array(*[F.transform(F.sequence(_L(1), F.greatest(F.length(text) - (n - 1), _L(1))), lambda i, n=n: F.substring(text, i, _L(n))) for n in range(lo, hi + 1)]))
+    def grams(n: int) -> Column:
+        return F.transform(F.sequence(_L(1), F.greatest(F.length(text) - (n - 1), _L(1))), lambda i: F.substring(text, i, _L(n)))
+
+    return F.flatten(F.array(*[grams(n) for n in range(lo, hi + 1)]))
 
 
 def tfidf(df: DataFrame, text: str, max_features: int = 5000, min_df: int = 2) -> DataFrame:
