@@ -1,24 +1,27 @@
-"""Log lines -> structured log events, one projection for every line format.
+"""Log lines -> structured log events, one parser per line format.
 
-``strategy`` may be a literal (Catalyst then folds every other format away) or a column chosen per file.
+A parser adds the event columns and keeps only the lines its format keeps. Every column depends on the line (and at
+most on its codes), so plans stay shallow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketweave import fixed_values as fv
 from ticketweave.functions.text import error_codes, exception_class, first_match, literal_map, log_level, message_code, ts_text, upstream_system
 
-_L = F.lit
+_L, _C = F.lit, F.col
 _STR = "string"
-STRATEGIES = ["api", "http", "database", "generic", "app_error", "performance", "transaction"]
-EVENT_COLUMNS = ["ts_text", "level", "service", "error_code", "endpoint", "log_user", "request_id", "message",
-                 "upstream_system", "duration_ms", "matched_error_codes", "raw_line"]
+_NO_CODES = "array<string>"
 
 _APP = r"(?s)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}[,.]\d+)\s+(ERROR|WARNING|WARN|INFO|DEBUG|FATAL)\s+\[([^\]]+)\]\s+\S+\s+-\s+(.+)$"
 _BARE = r"^([\w.]+\.exception\.\S*Exception|java\.lang\.\S+Exception):\s*(.+)$"
+_PREFIX = r"(?s)^(/[^:]+\.log):(.+)$"
 _HTTP = r'"[A-Z]+ (/[^"]+) HTTP/\S+"\s+(\d{3})'
 _PERF = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+(\w+_\w+)=(\d+),(\d+)$"
 
@@ -32,119 +35,125 @@ def skipped_file(name: Column) -> Column:
     return name.rlike(fv.SKIPPED_FILES)
 
 
-def _blank_to_null(c: Column) -> Column:
+def _null_if_blank(c: Column) -> Column:
     return F.nullif(c, _L(""))
 
 
-def parse_lines(df: DataFrame, line: str = "line", strategy: Column | str = "generic", service: str = "api") -> DataFrame:
-    """Add the event columns and keep only the lines their format keeps."""
-    s = _L(strategy) if isinstance(strategy, str) else strategy
-    raw = F.trim(F.col(line))
-    df = df.withColumn("_s", s).withColumn("_line", raw).filter(F.length("_line") > 0)
-
-    is_ = lambda name: F.col("_s") == name
-    body = F.col("_line")
-    # Stage 1: what each format reads straight from the line.
-    df = df.withColumns({
-        "_json": F.when(is_("api") & body.startswith("{") & F.get_json_object(body, "$").isNotNull(),
-                        F.from_json(body, "map<string,string>")),
-        "_file": F.when(is_("app_error"), _blank_to_null(F.regexp_extract(body, r"(?s)^(/[^:]+\.log):(.+)$", 1))),
-        "_rest": F.when(is_("app_error") & body.rlike(r"(?s)^/[^:]+\.log:.+$"), F.trim(F.regexp_extract(body, r"(?s)^(/[^:]+\.log):(.+)$", 2))).otherwise(body),
-    })
-    rest = F.col("_rest")
-    df = df.withColumns({
-        "_app": is_("app_error") & rest.rlike(_APP),
-        "_bare": is_("app_error") & ~rest.rlike(_APP) & rest.rlike(_BARE),
-        "_status": F.when(is_("http"), _blank_to_null(F.regexp_extract(body, _HTTP, 2)).cast("int")),
-        "_path": F.when(is_("http"), F.substring(F.regexp_extract(body, _HTTP, 1), 1, 200)),
-        "_n": F.when(is_("performance"), _blank_to_null(F.regexp_extract(body, _PERF, 3)).cast("long")),
-        "_total": F.when(is_("performance"), _blank_to_null(F.regexp_extract(body, _PERF, 4)).cast("long")),
-        "_op": F.when(is_("performance"), F.regexp_extract(body, _PERF, 2)),
-        "_title": F.when(is_("transaction"), _blank_to_null(F.regexp_extract(body, r"titre='([^']+)'", 1))),
-    })
-    pick = lambda *keys: F.coalesce(*[_blank_to_null(F.col("_json")[k]) for k in keys])
-    has_json = F.col("_json").isNotNull()
-    avg = F.floor(F.col("_total") / F.greatest(F.col("_n"), _L(1)))
-    df = df.withColumn("_avg", avg)
-    message = (
-        F.when(has_json, F.coalesce(F.col("_json")["message"], F.col("_json")["msg"], _L("")))
-        .when(is_("http"), F.concat(_L("HTTP "), F.col("_status"), _L(" on "), F.col("_path")))
-        .when(F.col("_app"), F.substring(F.trim(F.regexp_extract(rest, _APP, 4)), 1, 500))
-        .when(is_("performance"), F.concat(F.col("_op"), _L(": "), F.col("_n"), _L(" appels, durée moy "), F.col("_avg"), _L("ms (total "), F.col("_total"), _L("ms)")))
-        .when(is_("transaction"), F.concat(_L("Transaction KO"), F.coalesce(F.concat(_L(": "), F.col("_title")), _L(""))))
-        .otherwise(F.substring(rest, 1, 500)))
-    df = df.withColumn("message", message)
-    scanned = F.when(has_json | F.col("_app"), F.col("message")).when(F.col("_bare"), rest).otherwise(body)
-    df = df.withColumns({
-        "_codes": F.when(~is_("http") & ~is_("performance"), error_codes(scanned, "log")),
-        "_ora": F.when(is_("database"), F.regexp_extract_all(body, _L(r"(?i)ORA-\d{4,6}"), _L(0))),
-        "_exc": F.when(F.col("_app") | F.col("_bare"), exception_class(scanned)),
-    })
-    short = F.coalesce(F.element_at(literal_map(fv.EXCEPTION_SHORT), F.col("_exc")), F.col("_exc"))
-    first = F.get("_codes", _L(0))
-    df = df.withColumns({
-        "level": F.when(has_json, F.upper(F.coalesce(F.col("_json")["level"], _L("INFO"))))
-        .when(is_("http"), F.when(F.col("_status") >= 500, "ERROR").otherwise("WARNING"))
-        .when(F.col("_app"), F.regexp_replace(F.regexp_extract(rest, _APP, 2), "WARNING", "WARN"))
-        .when(F.col("_bare") | is_("transaction"), "ERROR")
-        .when(is_("performance"), F.when(F.col("_avg") > 10000, "ERROR").otherwise("WARN"))
-        .otherwise(log_level(body)),
-        "error_code": F.when(has_json, F.coalesce(pick("error_code", "errorCode"), first))
-        .when(is_("http"), F.col("_status").cast(_STR))
-        .when(is_("database"), F.get("_ora", _L(0)))
-        .when(F.col("_app"), F.coalesce(first, short, message_code(scanned)))
-        .when(F.col("_bare"), F.coalesce(short, first, message_code(scanned)))
-        .when(is_("performance"), F.when(F.col("_avg") > 5000, "SLOW_CALL").otherwise("HIGH_VOLUME"))
-        .when(is_("transaction"), F.coalesce(first, _L("TRANSACTION_KO")))
-        .otherwise(first),
-    })
-    code = F.col("error_code")
-    fname = F.regexp_extract("_file", r"([^/]+)$", 1)
-    service_of_file = first_match(
-        [(F.contains(fname, _L("connectorCL")), _L("connectorCL")), (F.contains(fname, _L("connectorCreationVlan")), _L("connectorCreationVlan")),
-         (F.contains(fname, _L("catalina")), _L("tomcat-catalina")), (F.contains(fname, _L("transaction")), _L("transaction"))],
-        F.regexp_replace(fname, r"\.log", ""))
-    perf_service = F.upper(F.split_part("_op", _L("_"), _L(1)))
-    digits = F.regexp_replace(F.coalesce(F.col("_json")["duration_ms"], F.col("_json")["durationMs"]), r"\D", "")
-    only = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
-    df = df.withColumns({
-        "ts_text": F.when(has_json, pick("timestamp", "time", "@timestamp"))
-        .when(F.col("_app"), F.regexp_extract(rest, _APP, 1)).when(F.col("_bare"), _L(None).cast(_STR))
-        .when(is_("performance"), F.regexp_extract(body, _PERF, 1)).otherwise(ts_text(body)),
-        "service": F.when(has_json, F.coalesce(F.col("_json")["service"], _L(service))).when(is_("api"), _L(service))
-        .when(is_("http"), "nginx").when(is_("database"), "oracle-db")
-        .when(is_("app_error"), F.when(F.col("_file").isNotNull(), service_of_file).otherwise(_L(service)))
-        .when(is_("performance"), perf_service).when(is_("transaction"), "transaction").otherwise("unknown"),
-        "endpoint": F.when(has_json, pick("endpoint", "path", "url")).when(is_("http"), F.col("_path")).when(is_("transaction"), F.col("_title")),
-        "log_user": F.when(has_json, pick("user_id", "userId")),
-        "request_id": F.when(has_json, pick("request_id", "requestId")),
-        "upstream_system": F.when(has_json, F.coalesce(pick("upstream_system"), upstream_system("message")))
-        .when(is_("http") | is_("database"), _L(None).cast(_STR)).when(is_("performance"), perf_service)
-        .otherwise(upstream_system(scanned)),
-        "duration_ms": F.when(has_json, F.coalesce(_blank_to_null(digits), F.when(digits.isNotNull(), _L("0"))).cast("long"))
-        .when(is_("performance"), F.col("_avg").cast("long")),
-        "matched_error_codes": F.when(is_("http") | is_("performance"), only(code))
-        .when(is_("database"), F.array_sort(F.array_distinct(F.transform("_ora", lambda c: F.upper(c)))))
-        .when(F.col("_app"), F.when(F.col("_exc").isNotNull(), F.array_sort(F.array_union("_codes", F.array(short))))
-              .otherwise(F.when(F.size("_codes") > 0, F.col("_codes")).otherwise(only(code))))
-        .when(F.col("_bare"), F.when(F.col("_exc").isNotNull(), F.array(short)).when(F.size("_codes") > 0, F.col("_codes")).otherwise(only(code)))
-        .otherwise(F.col("_codes")),
-        "raw_line": F.substring("_line", 1, 300),
-    })
-    keep = (
-        F.when(has_json, _L(True))
-        .when(is_("api"), ~((F.col("level") == "INFO") & code.isNull()))
-        .when(is_("http"), F.col("_status") >= 400)
-        .when(is_("database"), F.size("_ora") > 0)
-        .when(F.col("_app"), F.col("level").isin("ERROR", "WARN", "FATAL", "CRITICAL") & ~F.col("message").rlike(fv.LOG_NOISE))
-        .when(is_("app_error"), F.col("_bare"))
-        .when(is_("performance"), F.col("_n").isNotNull() & ((F.col("_avg") >= 3000) | (F.col("_n") >= 50)))
-        .when(is_("transaction"), body.contains("status='KO'") | body.contains('status="KO"'))
-        .otherwise(F.col("level").isin("ERROR", "FATAL", "CRITICAL", "WARNING") | code.isNotNull()))
-    inner = [c for c in df.columns if c.startswith("_")]
-    return df.filter(keep).drop(*inner)
+def _only(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast(_NO_CODES))
+
+
+def _event(df: DataFrame, **fields: Column) -> DataFrame:
+    """Add the event columns; those a format has nothing for are null."""
+    types = {"duration_ms": "long", "matched_error_codes": _NO_CODES}
+    names = ["ts_text", "level", "service", "error_code", "endpoint", "log_user", "request_id", "message", "upstream_system", "duration_ms", "matched_error_codes"]
+    cols = {n: fields.get(n, _L(None)).cast(types.get(n, _STR)) for n in names}
+    out = df.withColumns({**cols, "raw_line": F.substring("_line", 1, 300)})
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def _api(df: DataFrame, service: str) -> DataFrame:
+    """JSON first, with alias keys; other lines as text, where plain INFO lines without a code are dropped."""
+    line = _C("_line")
+    parsed = df.withColumn("_json", F.when(line.startswith("{"), F.from_json(line, "map<string,string>")))
+    is_json = _C("_json").isNotNull()
+    key = lambda *names: F.coalesce(*[_null_if_blank(_C("_json")[n]) for n in names])
+    parsed = parsed.withColumn("_text", F.when(is_json, F.coalesce(_C("_json")["message"], _C("_json")["msg"], _L(""))).otherwise(line))
+    parsed = parsed.withColumn("_codes", error_codes("_text", "log"))
+    level = F.when(is_json, F.upper(F.coalesce(_C("_json")["level"], _L("INFO")))).otherwise(log_level(line))
+    kept = parsed.withColumn("_level", level).filter(is_json | (_C("_level") != "INFO") | (F.size("_codes") > 0))
+    digits = F.regexp_replace(F.coalesce(_C("_json")["duration_ms"], _C("_json")["durationMs"]), r"\D", "")
+    return _event(
+        kept, ts_text=F.when(is_json, key("timestamp", "time", "@timestamp")).otherwise(ts_text(line)), level=_C("_level"),
+        service=F.coalesce(_C("_json")["service"], _L(service)), error_code=F.coalesce(key("error_code", "errorCode"), F.get("_codes", _L(0))),
+        endpoint=key("endpoint", "path", "url"), log_user=key("user_id", "userId"), request_id=key("request_id", "requestId"),
+        message=F.when(is_json, _C("_text")).otherwise(F.substring(line, 1, 500)), upstream_system=F.coalesce(key("upstream_system"), upstream_system("_text")),
+        duration_ms=F.when(digits == "", 0).otherwise(digits.cast("long")), matched_error_codes=_C("_codes"))
+
+
+def _http(df: DataFrame, service: str) -> DataFrame:
+    """Access log lines answered with 400 or more."""
+    status = _null_if_blank(F.regexp_extract("_line", _HTTP, 2)).cast("int")
+    kept = df.withColumn("_status", status).filter(_C("_status") >= 400).withColumn("_path", F.substring(F.regexp_extract("_line", _HTTP, 1), 1, 200))
+    code = _C("_status").cast(_STR)
+    return _event(kept, ts_text=ts_text("_line"), level=F.when(_C("_status") >= 500, "ERROR").otherwise("WARNING"), service=_L("nginx"), error_code=code,
+                  endpoint=_C("_path"), message=F.concat(_L("HTTP "), code, _L(" on "), _C("_path")), matched_error_codes=F.array(code))
+
+
+def _database(df: DataFrame, service: str) -> DataFrame:
+    """Lines naming an ORA code."""
+    kept = df.withColumn("_ora", F.regexp_extract_all("_line", _L(r"(?i)ORA-\d{4,6}"), _L(0))).filter(F.size("_ora") > 0)
+    return _event(kept, ts_text=ts_text("_line"), level=log_level("_line"), service=_L("oracle-db"), error_code=_C("_ora")[0], message=F.substring("_line", 1, 500),
+                  matched_error_codes=F.array_sort(F.array_distinct(F.transform("_ora", lambda c: F.upper(c)))))
+
+
+def _generic(df: DataFrame, service: str) -> DataFrame:
+    """Anything with an error level or a code."""
+    parsed = df.withColumn("_codes", error_codes("_line", "log")).withColumn("_level", log_level("_line"))
+    kept = parsed.filter(_C("_level").isin("ERROR", "FATAL", "CRITICAL", "WARNING") | (F.size("_codes") > 0))
+    return _event(kept, ts_text=ts_text("_line"), level=_C("_level"), service=_L("unknown"), error_code=F.get("_codes", _L(0)), message=F.substring("_line", 1, 500),
+                  upstream_system=upstream_system("_line"), matched_error_codes=_C("_codes"))
+
+
+def _app_error(df: DataFrame, service: str) -> DataFrame:
+    """``[file:]time LEVEL [thread] class - message`` or a bare exception line; stack continuation and noise go."""
+    line = _C("_line")
+    cut = df.withColumn("_rest", F.when(line.rlike(_PREFIX), F.trim(F.regexp_extract(line, _PREFIX, 2))).otherwise(line))
+    rest = _C("_rest")
+    cut = cut.filter(rest.rlike(_APP) | rest.rlike(_BARE))
+    cut = cut.withColumn("_level", F.regexp_replace(F.regexp_extract(rest, _APP, 2), "WARNING", "WARN"))
+    timed = _C("_level") != ""
+    cut = cut.withColumn("_text", F.when(timed, F.substring(F.trim(F.regexp_extract(rest, _APP, 4)), 1, 500)).otherwise(rest))
+    cut = cut.filter(~timed | (_C("_level").isin("ERROR", "WARN", "FATAL") & ~_C("_text").rlike(fv.LOG_NOISE)))
+    cut = cut.withColumns({"_codes": error_codes("_text", "log"), "_class": exception_class("_text"), "_rule": message_code("_text")})
+    cut = cut.withColumn("_short", F.coalesce(F.element_at(literal_map(fv.EXCEPTION_SHORT), _C("_class")), _C("_class")))
+    first, short, rule = F.get("_codes", _L(0)), _C("_short"), _C("_rule")
+    name = F.regexp_extract(F.regexp_extract(line, _PREFIX, 1), r"([^/]+)$", 1)
+    known = [("connectorCL", "connectorCL"), ("connectorCreationVlan", "connectorCreationVlan"), ("catalina", "tomcat-catalina"), ("transaction", "transaction")]
+    of_file = first_match([(name == "", _L(service)), *[(F.contains(name, _L(k)), _L(v)) for k, v in known]], F.regexp_replace(name, r"\.log", ""))
+    codes = F.when(short.isNotNull(), F.when(timed, F.array_sort(F.array_union("_codes", F.array(short)))).otherwise(F.array(short)))
+    return _event(
+        cut, ts_text=_null_if_blank(F.regexp_extract(rest, _APP, 1)), level=F.when(timed, _C("_level")).otherwise("ERROR"), service=of_file,
+        error_code=F.when(timed, F.coalesce(first, short, rule)).otherwise(F.coalesce(short, first, rule)), message=F.substring("_text", 1, 500),
+        upstream_system=upstream_system("_text"), matched_error_codes=F.coalesce(codes, F.when(F.size("_codes") > 0, _C("_codes")), _only(rule)))
+
+
+def _performance(df: DataFrame, service: str) -> DataFrame:
+    """``operation=count,total_ms`` lines that are slow on average or frequent."""
+    part = lambda g: F.regexp_extract("_line", _PERF, g)
+    p = df.filter(_C("_line").rlike(_PERF)).withColumns({"_n": part(3).cast("long"), "_total": part(4).cast("long"), "_op": part(2)})
+    p = p.withColumn("_avg", F.expr("_total div greatest(_n, 1)")).filter((_C("_avg") >= 3000) | (_C("_n") >= 50))
+    code, svc = F.when(_C("_avg") > 5000, "SLOW_CALL").otherwise("HIGH_VOLUME"), F.upper(F.split_part("_op", _L("_"), _L(1)))
+    text = F.concat(_C("_op"), _L(": "), _C("_n"), _L(" appels, durée moy "), _C("_avg"), _L("ms (total "), _C("_total"), _L("ms)"))
+    return _event(p, ts_text=part(1), level=F.when(_C("_avg") > 10000, "ERROR").otherwise("WARN"), service=svc, error_code=code, message=text, upstream_system=svc,
+                  duration_ms=_C("_avg"), matched_error_codes=F.array(code))
+
+
+def _transaction(df: DataFrame, service: str) -> DataFrame:
+    """Failed transactions with their title."""
+    kept = df.filter(_C("_line").contains("status='KO'") | _C("_line").contains('status="KO"'))
+    kept = kept.withColumns({"_codes": error_codes("_line", "log"), "_title": _null_if_blank(F.regexp_extract("_line", r"titre='([^']+)'", 1))})
+    return _event(kept, ts_text=ts_text("_line"), level=_L("ERROR"), service=_L("transaction"), error_code=F.coalesce(F.get("_codes", _L(0)), _L("TRANSACTION_KO")),
+                  endpoint=_C("_title"), message=F.concat(_L("Transaction KO"), F.coalesce(F.concat(_L(": "), _C("_title")), _L(""))),
+                  upstream_system=upstream_system("_line"), matched_error_codes=_C("_codes"))
+
+
+PARSERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
+    "api": _api, "http": _http, "database": _database, "generic": _generic, "app_error": _app_error, "performance": _performance, "transaction": _transaction,
+}
+
+
+def parse_lines(df: DataFrame, line: str = "line", strategy: str = "generic", service: str = "api") -> DataFrame:
+    """Add the event columns of one line format and keep only the lines it keeps."""
+    lines = df.withColumn("_line", F.trim(_C(line))).filter(F.length("_line") > 0)
+    return PARSERS[strategy](lines, service)
+
+
+def parse_by_strategy(df: DataFrame, line: str, strategy: str, service: str = "api") -> DataFrame:
+    """Rows whose column ``strategy`` names their parser; each parser sees only its rows."""
+    return reduce(DataFrame.unionByName, [parse_lines(df.filter(_C(strategy) == s), line, s, service) for s in PARSERS])
 
 
 def filter_log_noise(df: DataFrame, level: str = "level", message: str = "message") -> DataFrame:
     """Error levels only, operational noise dropped."""
-    return df.filter(F.col(level).isin("ERROR", "WARN", "WARNING", "FATAL", "CRITICAL") & ~F.col(message).rlike(fv.LOG_NOISE))
+    return df.filter(_C(level).isin("ERROR", "WARN", "WARNING", "FATAL", "CRITICAL") & ~_C(message).rlike(fv.LOG_NOISE))

@@ -105,7 +105,7 @@ _PARTS = {"http": ("file_name = 'nginx.log'", HTTP), "performance": ("file_name
 @query("s03_parse_by_file", " UNION ALL ".join(f"SELECT p.*, '{n}' AS strategy FROM ({sql}) p JOIN (SELECT line_id FROM $log_lines WHERE {cond}) f USING (line_id)" for n, (cond, sql) in _PARTS.items()))
 def _(t):
     df = t.log_lines.filter(~lg.skipped_file(C("file_name"))).withColumn("strategy", lg.file_strategy(C("file_name")))
-    return _event(lg.parse_lines(df, "line", C("strategy")), [*EVENT, "strategy"])
+    return _event(lg.parse_by_strategy(df, "line", "strategy"), [*EVENT, "strategy"])
 
 
 @query("p03_filter_log_noise", f"SELECT line_id FROM (SELECT *, {LEVEL_SQL} AS level FROM $log_lines) WHERE level IN ('ERROR','WARN','WARNING','FATAL','CRITICAL') AND NOT regexp_matches(concat(line, CASE WHEN user_id % 4 = 0 THEN ' Skipping commit' ELSE '' END), {q(fv.LOG_NOISE)})")

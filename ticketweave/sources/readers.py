@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketweave import fixed_values as fv
-from ticketweave.functions.logs import file_strategy, parse_lines, skipped_file
+from ticketweave.functions.logs import parse_lines
 
 _C, _L = F.col, F.lit
 
@@ -68,16 +71,24 @@ def with_encoding_fallback(spark: SparkSession, path: str, encodings: Sequence[s
     return read_tickets(spark, path, encodings[-1])
 
 
-def with_file_strategy(df: DataFrame, default: str = "generic") -> DataFrame:
-    """Add the file name and its parser, drop helper files. The input must come from a file source."""
-    name = F.element_at(F.split(_C("_metadata.file_path"), "/"), -1)
-    return df.withColumn("file_name", name).filter(~skipped_file(_C("file_name"))).withColumn("strategy", file_strategy(_C("file_name"), default))
+def file_strategy_name(name: str, default: str = "generic") -> str | None:
+    """Parser of one file name; None for helper files that are skipped."""
+    if re.search(fv.SKIPPED_FILES, name):
+        return None
+    return next((s for p, s in fv.FILE_STRATEGIES if re.search(p, name)), default)
 
 
 def read_logs(spark: SparkSession, path: str, default: str = "generic", service: str = "api") -> DataFrame:
-    """Log files as structured events; the parser is chosen per file name."""
-    lines = with_file_strategy(spark.read.text(path).withColumnRenamed("value", "line"), default)
-    return parse_lines(lines, "line", _C("strategy"), service)
+    """Log files as structured events. Only file names are looked at to choose parsers; every file is read once."""
+    groups: dict[str, list[str]] = {}
+    for file in spark.read.text(path).inputFiles():
+        strategy = file_strategy_name(unquote(file).rsplit("/", 1)[-1], default)
+        if strategy:
+            groups.setdefault(strategy, []).append(unquote(file))
+    if not groups:
+        return parse_lines(spark.createDataFrame([], "line string"), "line", default, service).withColumn("strategy", _L(default))
+    return reduce(DataFrame.unionByName, [
+        parse_lines(spark.read.text(files).withColumnRenamed("value", "line"), "line", s, service).withColumn("strategy", _L(s)) for s, files in groups.items()])
 
 
 CORRECTION_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("timestamp", "ticket_id", "original_label", "corrected_label", "text", "reason")])
