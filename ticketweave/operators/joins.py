@@ -186,8 +186,8 @@ def enrich_procedures(procedures: DataFrame, clusters: DataFrame, procedure: str
     parts = procedures.select(procedure, F.explode(F.split(category, "_")).alias("_p")).withColumn("_p", F.lower("_p")).filter("_p <> ''")
     cats = clusters.withColumn("_cat", F.lower("cluster_category"))
     # "part in category" and "category in part" are two phrase searches.
-    inside = phrase_hits(cats.select("_cat").distinct(), "_cat", "_cat", parts, "_p").withColumnRenamed("phrase", "_p")
-    around = phrase_hits(parts.select("_p").distinct(), "_p", "_p", cats, "_cat").withColumnRenamed("phrase", "_cat")
+    inside = phrase_hits(cats.select("_cat", _C("_cat").alias("_text")).distinct(), "_cat", "_text", parts, "_p").withColumnRenamed("phrase", "_p")
+    around = phrase_hits(parts.select("_p", _C("_p").alias("_text")).distinct(), "_p", "_text", cats, "_cat").withColumnRenamed("phrase", "_cat")
     pairs = inside.select("_cat", "_p").unionByName(around.select("_cat", "_p")).distinct()
     by_part = parts.join(pairs, "_p").join(cats, "_cat")
     cols = [procedure, "cluster_category", "ticket_count", "percentage"]
