@@ -239,8 +239,8 @@ def dedupe_similar(df: DataFrame, key: str, time: str, text: str, threshold: flo
     base = df.withColumn("_tok", F.array_sort(token_set(F.coalesce(_C(text), _L("")))))
     heads = base.filter(F.size("_tok") > 0).groupBy(time, "_tok").agg(F.min(key).alias(key))
     nodes = cut(heads)
-    pairs = similar_pairs(nodes, nodes, "_tok", threshold, "overlap", (time,)).filter(_C(f"l.{key}") < _C(f"r.{key}"))
-    edges = cut(pairs.select(_C(f"l.{key}").alias("a"), _C(f"r.{key}").alias("b")))
+    pairs = similar_pairs(nodes, nodes, key, key, "_tok", threshold, "overlap", (time,)).filter("l < r")
+    edges = cut(pairs.select(_C("l").alias("a"), _C("r").alias("b")))
     dropped = None
     open_edges = edges
     while not open_edges.isEmpty():

@@ -62,32 +62,29 @@ def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase
 
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, tokens: str, threshold: float, measure: str = "jaccard", on: tuple[str, ...] = (),
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str, threshold: float, measure: str = "jaccard", on: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Pairs (left row, right row, score >= threshold) of ``l`` / ``r`` structs, found through shared rare tokens.
+    """(l, r, score): keys of set pairs whose similarity reaches ``threshold``, found through shared rare tokens.
 
     A set of n tokens can only reach the threshold if one of its n - ceil(t*n) + 1 rarest tokens is among
-    those of the other set. Only rows meeting on such a token (and on ``on``) are compared.
+    those of the other set. Only keys meeting on such a token (and on ``on``) are compared; the sets themselves
+    join in afterwards.
     """
-    def sized(df: DataFrame) -> DataFrame:
-        return df.withColumn("_n", F.size(tokens)).filter("_n > 0")
-
-    left, right = sized(left), sized(right)
-    freq = (left.select(F.explode(tokens).alias("_tok")).unionByName(right.select(F.explode(tokens).alias("_tok")))
-            .groupBy("_tok").agg(F.count("*").alias("_f")))
-
-    def prefixed(df: DataFrame, name: str) -> DataFrame:
-        row = F.struct(*[c for c in df.columns if c != "_n"])
-        packed = df.select(row.alias(name), F.col("_n").alias(f"_n_{name}"), *[F.col(c).alias(f"_on_{c}") for c in on],
-                           F.explode(tokens).alias("_tok"))
-        ranked = (packed.join(freq, "_tok").groupBy(name, f"_n_{name}", *[f"_on_{c}" for c in on])
-                  .agg(F.array_sort(F.collect_list(F.struct("_f", "_tok"))).alias("_order")))
-        keep = F.col(f"_n_{name}") - F.ceil(F.col(f"_n_{name}") * threshold - 1e-9) + 1
-        return ranked.select(name, f"_n_{name}", *[f"_on_{c}" for c in on],
-                             F.explode(F.slice("_order", F.lit(1), keep.cast("int"))).alias("_o")).withColumn("_tok", F.col("_o._tok")).drop("_o")
-
-    a, b = prefixed(left, "l"), prefixed(right, "r")
-    met = a.join(b, ["_tok", *[f"_on_{c}" for c in on]])
-    met = met.filter((F.col("_n_r") >= F.col("_n_l") * threshold - 1e-9) & (F.col("_n_l") >= F.col("_n_r") * threshold - 1e-9))
-    score = (jaccard if measure == "jaccard" else overlap_max)(F.col(f"l.{tokens}"), F.col(f"r.{tokens}"))
-    return met.select("l", "r").distinct().withColumn("score", score).filter(F.col("score") >= threshold)
+    def tokens_of(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_on_{c}") for c in on], F.size(tokens).alias("_n"), F.explode(tokens).alias("_tok"))
+
+    a, b = tokens_of(left, left_key), tokens_of(right, right_key)
+    freq = a.select("_tok").unionByName(b.select("_tok")).groupBy("_tok").agg(F.count("*").alias("_f"))
+    same = [f"_on_{c}" for c in on]
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        keep = F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1
+        ordered = df.join(freq, "_tok").groupBy("_k", "_n", *same).agg(F.array_sort(F.collect_list(F.struct("_f", "_tok"))).alias("_o"))
+        return ordered.select(F.col("_k").alias(name), F.col("_n").alias(f"_n_{name}"), *same, F.explode(F.slice("_o", F.lit(1), keep.cast("int"))).alias("_o")).withColumn(
+            "_tok", F.col("_o._tok")).drop("_o")
+
+    met = prefix(a, "l").join(prefix(b, "r"), ["_tok", *same])
+    met = met.filter((F.col("_n_r") >= F.col("_n_l") * threshold - 1e-9) & (F.col("_n_l") >= F.col("_n_r") * threshold - 1e-9)).select("l", "r").distinct()
+    sets = met.join(left.select(F.col(left_key).alias("l"), F.col(tokens).alias("_lt")), "l").join(right.select(F.col(right_key).alias("r"), F.col(tokens).alias("_rt")), "r")
+    score = (jaccard if measure == "jaccard" else overlap_max)(F.col("_lt"), F.col("_rt"))
+    return sets.select("l", "r", score.alias("score")).filter(F.col("score") >= threshold)

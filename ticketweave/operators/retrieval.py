@@ -83,8 +83,8 @@ def similar_issues(queries: DataFrame, history: DataFrame, query: str, key: str,
     """Past issues with Jaccard above ``threshold``, merged with vector hits (query, key, score), best first."""
     q = queries.select(_C(query).alias("qid"), token_set(text).alias("_tok"))
     h = history.select(_C(key).alias("did"), token_set(text).alias("_tok"))
-    pairs = similar_pairs(q, h, "_tok", threshold).filter(_C("score") > threshold)
-    rows = pairs.select(_C("l.qid").alias(query), _C("r.did").alias(key), F.round("score", 6).alias("score"), _L("diagnostics").alias("source"))
+    pairs = similar_pairs(q, h, "qid", "did", "_tok", threshold).filter(_C("score") > threshold)
+    rows = pairs.select(_C("l").alias(query), _C("r").alias(key), F.round("score", 6).alias("score"), _L("diagnostics").alias("source"))
     if vector_hits is not None:
         rows = rows.unionByName(vector_hits.select(query, key, F.round("score", 6).alias("score"), _L("history").alias("source")))
     return first_k(rows, [query], [F.desc("score"), F.asc(key), F.asc("source")], k).withColumnRenamed("rn", "rank")

@@ -85,7 +85,7 @@ def resolution_candidates(evidence: DataFrame, case: str, query: str, raised: st
     base = lambda cause: first_match([(cause == c, _L(float(v))) for c, v in confidences.items()], _L(None).cast("double"))
     hit = first_match([(_C(query) == q, F.struct(_L(c).alias("root_cause"), _L(b).alias("boost"))) for q, c, b in CANDIDATE_QUERIES], _L(None).cast("struct<root_cause:string,boost:double>"))
     found = evidence.filter(raised).select(case, hit.alias("h")).select(case, "h.*", _L("live_db").alias("source"))
-    rows = found.withColumn("confidence", F.least(_L(1.0), base(_C("root_cause")) + _C("boost"))).filter("confidence is not null").drop("boost")
+    rows = found.filter(base(_C("root_cause")).isNotNull()).withColumn("confidence", F.least(_L(1.0), base(_C("root_cause")) + _C("boost"))).drop("boost")
     if incidents is not None:
         fb = first_match([(_C(intent) == i, _L(c)) for i, c in INTENT_FALLBACKS.items()], _L(None).cast("string"))
         extra = (incidents.filter(fresh).select(case, fb.alias("root_cause")).filter("root_cause is not null")
@@ -183,7 +183,7 @@ def score_hypotheses(df: DataFrame, case: str, source: str, text: str, catalog:
         F.when(F.upper(_C(entity)).isin([e.upper() for e in ents]), F.upper(_C(entity))).alias("ent")) for h, ps, ents in catalog])
     rows = df.select(case, source, weight.alias("w"), F.explode(frames).alias("f")).select(case, source, "w", "f.*").filter("size(found) > 0 or ent is not null")
     # Bits of the found patterns merge with bit_or, so a case of any size stays one partial aggregate.
-    bits = F.aggregate("found", _L(0).cast("long"), lambda a, i: a.bitwiseOR(F.shiftleft(_L(1).cast("long"), i)))
+    bits = F.aggregate("found", _L(0).cast("long"), lambda a, i: a.bitwiseOR(F.pow(_L(2), i).cast("long")))
     share = F.size("found") / _C("n_patterns")
     is_evidence = (F.size("found") > 0) & (_C(source) != "query")
     agg = rows.groupBy(case, "hypothesis_id").agg(

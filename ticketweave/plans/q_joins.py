@@ -199,8 +199,8 @@ _ST = "(SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(te
 @query("j17_similar_pairs", f"WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM documents WHERE n_chars BETWEEN 100 AND 1200), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS s FROM d a JOIN d b ON a.doc_id < b.doc_id AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t)) SELECT a, b, round(s, 6) AS score FROM p WHERE s >= 0.8")
 def _(t):
     d = t.documents.filter("n_chars between 100 and 1200").select("doc_id", tx.token_set("text").alias("t"))
-    p = similar_pairs(d, d, "t", 0.8, "overlap").filter(C("l.doc_id") < C("r.doc_id"))
-    return p.select(C("l.doc_id").alias("a"), C("r.doc_id").alias("b"), F.round("score", 6).alias("score"))
+    p = similar_pairs(d, d, "doc_id", "doc_id", "t", 0.8, "overlap").filter("l < r")
+    return p.select(C("l").alias("a"), C("r").alias("b"), F.round("score", 6).alias("score"))
 
 
 @query("j18_drop_contradictions", "SELECT ticket_id, resume, event_type FROM $tickets WHERE ticket_id < 40 AND resume NOT IN (SELECT resume FROM $tickets WHERE ticket_id < 40 GROUP BY 1 HAVING count(DISTINCT event_type) > 1)")
