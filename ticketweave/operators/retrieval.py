@@ -94,15 +94,19 @@ def similar_issues(queries: DataFrame, history: DataFrame, query: str, key: str,
 QUERY_LIMIT = 4096
 
 
-def _top_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """Best ``k`` of one block per query by cosine, ties by id; only these leave the task."""
-    norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    sims = np.round(norm(q) @ norm(vectors).T, 6)
-    order = np.argsort(ids, kind="stable")
-    sims, ids = sims[:, order], ids[order]
-    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(q)), top.shape[1])
-    return pd.DataFrame({"query_id": q_ids[rows], "item_id": ids[top.ravel()], "score": sims[rows, top.ravel()]})
+def _block_ranker(k: int):
+    """A self-contained function for the workers: best ``k`` of one block per query by cosine, ties by id."""
+
+    def rank(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
+        norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        sims = np.round(norm(q) @ norm(vectors).T, 6)
+        order = np.argsort(ids, kind="stable")
+        sims, ids = sims[:, order], ids[order]
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(q)), top.shape[1])
+        return pd.DataFrame({"query_id": q_ids[rows], "item_id": ids[top.ravel()], "score": sims[rows, top.ravel()]})
+
+    return rank
 
 
 def knn(items: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int, threshold: float | None = None, query_limit: int = QUERY_LIMIT, block_rows: int = 100_000) -> DataFrame:
@@ -112,6 +116,7 @@ def knn(items: DataFrame, queries: DataFrame, key: str, vector: str, query: str,
     queries are cut into blocks that meet item blocks pair by pair; each pair of blocks is one bounded task.
     """
     schema = T.StructType([T.StructField("query_id", queries.schema[query].dataType), T.StructField("item_id", items.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    rank = _block_ranker(k)
     stack = lambda s: np.asarray(np.vstack(s.to_numpy()), dtype="float64")
     head = queries.select(query, vector).limit(query_limit + 1).toPandas()
     if len(head) <= query_limit:
@@ -120,7 +125,7 @@ def knn(items: DataFrame, queries: DataFrame, key: str, vector: str, query: str,
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf) and q is not None:
-                    yield _top_of_block(q_ids, q, pdf[key].to_numpy(), stack(pdf[vector]), k)
+                    yield rank(q_ids, q, pdf[key].to_numpy(), stack(pdf[vector]))
 
         parts = items.select(key, vector).mapInPandas(scan, schema)
     else:
@@ -132,7 +137,7 @@ def knn(items: DataFrame, queries: DataFrame, key: str, vector: str, query: str,
         def pair(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             if a.empty or c.empty:
                 return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            return _top_of_block(c["_q"].to_numpy(), stack(c["_v"]), a[key].to_numpy(), stack(a[vector]), k)
+            return rank(c["_q"].to_numpy(), stack(c["_v"]), a[key].to_numpy(), stack(a[vector]))
 
         parts = left.groupBy("_bi", "_bq").cogroup(right.groupBy("_bi", "_bq")).applyInPandas(pair, schema)
     if threshold is not None:
