@@ -118,7 +118,7 @@ def flatten_issues(df: DataFrame, payload: str, prefix: str = "jira_") -> DataFr
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every file below ``root``, one row per whole file."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    return (spark.read.text(root, wholetext=True, recursiveFileLookup=True)
             .select(_C("_metadata.file_path").alias("path"), _C("value").alias("content")))
 
 

@@ -58,7 +58,8 @@ def upsert_keyed(batch: DataFrame, root: str, key: str, ts: str, buckets: int =
     latest = merged.groupBy("_bucket", key).agg(F.max_by(F.struct(*cols), F.struct(_C(ts), F.xxhash64(*cols))).alias("r")).select("_bucket", key, "r.*")
     staging = f"{root.rstrip('/')}__staging"
     latest.write.mode("overwrite").partitionBy("_bucket").parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(root))
+    # An empty batch leaves no file to read a schema from.
+    (spark.read.schema(latest.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(root))
 
 
 def recent(df: DataFrame, ts: str, as_of: Column, hours: int = 24) -> DataFrame:

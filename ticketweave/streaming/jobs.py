@@ -108,11 +108,11 @@ def _retry_processor(threshold: int, window_seconds: int):
                         total, first = total + n, min(first, minute)
                 self.handle.registerTimer((newest * 60 + window_seconds) * 1000)
                 if total >= threshold:
-                    yield pd.DataFrame({"entity": [key[0]], "kind": [key[1]], "occurrences": [total], "first_minute": [first], "last_minute": [newest]})
+                    yield pd.DataFrame({"entity": [key[0]], "kind": pd.Series([key[1]], dtype="object"), "occurrences": [total], "first_minute": [first], "last_minute": [newest]})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self.minutes.clear()
-            yield pd.DataFrame({"entity": [], "kind": [], "occurrences": [], "first_minute": [], "last_minute": []})
+            return iter(())
 
         def close(self) -> None:
             pass
