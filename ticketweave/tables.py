@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from ticketweave.session import prepare
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 class Tables:
     """``Tables(spark, folder).orders`` reads ``folder/orders.parquet``."""
 
@@ -26,14 +29,23 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.read(name)
+        df = self.read(name)
+        return self.spread(df) if name in TEXT_TABLES else df
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Small files arrive as one or two splits; spread those over the cores before CPU-heavy text work.
+
+        Tables with at least as many splits as cores (any large one) are left as they are.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     @cached_property
     def tickets(self) -> DataFrame:
         from ticketweave.plans import fixtures
-        return self.events.selectExpr(*fixtures.columns(fixtures.TICKETS))
+        return self.spread(self.events).selectExpr(*fixtures.columns(fixtures.TICKETS))
 
     @cached_property
     def log_lines(self) -> DataFrame:
         from ticketweave.plans import fixtures
-        return self.events.selectExpr(*fixtures.columns(fixtures.LOG_LINES))
+        return self.spread(self.events).selectExpr(*fixtures.columns(fixtures.LOG_LINES))
