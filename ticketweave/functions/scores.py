@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ticketweave import fixed_values as fv
-from ticketweave.functions.text import count_patterns, count_true, count_words, first_match, let, literal_map
+from ticketweave.functions.text import count_patterns, count_true, count_words, first_match, let
 
 _L = F.lit
 

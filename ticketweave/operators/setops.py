@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketweave.operators.joins import drop_contradictions
-from ticketweave.operators.ordered import first_k
 
 _C, _L = F.col, F.lit
 

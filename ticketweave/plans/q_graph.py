@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketweave.functions import text as tx
 from ticketweave.operators import graph as gr
 from ticketweave.plans.q_rollups import CODES_SQL, tickets
 from ticketweave.plans.registry import query

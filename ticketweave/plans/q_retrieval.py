@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketweave import fixed_values as fv
-from ticketweave.functions import text as tx
 from ticketweave.operators import extract as ex, retrieval as rt
-from ticketweave.plans.q_joins import CLUSTERS_SQL, clusters, records
+from ticketweave.plans.q_joins import clusters, records
 from ticketweave.plans.q_rollups import tickets
 from ticketweave.plans.q_text import DOCS_SCORED_SQL, scored_documents
 from ticketweave.plans.registry import query
-from ticketweave.plans.sqlkit import any_in, case, count_in, items
+from ticketweave.plans.sqlkit import any_in, case, items
 
 C, L = F.col, F.lit
 S = lambda c: c.cast("string")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ticketweave import fixed_values as fv
 from ticketweave.functions import text as tx
-from ticketweave.operators import extract, ordered, rollups as ro, windows as wi
+from ticketweave.operators import ordered, rollups as ro, windows as wi
 from ticketweave.plans.registry import query
 
 C, L = F.col, F.lit

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticketweave.functions import text as tx
 from ticketweave.operators import windows as wi
 from ticketweave.plans.q_rollups import _TASKS_SQL, tasks
 from ticketweave.plans.registry import query
