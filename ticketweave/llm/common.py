@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,16 @@ def word_count(text: Column) -> Column:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Few rows per Arrow batch, so that a batch of very long texts stays small in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def crc32_of_ids(ids: Column) -> Column:
+    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
+    @F.pandas_udf("long")
+    def crc(values: pd.Series) -> pd.Series:
+        import zlib
+
+        import numpy as np
+
+        return pd.Series([zlib.crc32(np.asarray(v, dtype="<i4").tobytes()) for v in values], dtype="int64")
+
+    return crc(ids)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketweave.llm import chat, exact_dedup, licenses, mixing
+from ticketweave.llm import chat, exact_dedup, licenses, mixing, packing, token_files
+from ticketweave.llm.common import crc32_of_ids, shared_folder
 from ticketweave.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +92,23 @@ def op7_license_scan(spark: SparkSession, root: str) -> DataFrame:
     FROM documents WINDOW same AS (PARTITION BY {_LOW})""")
 def op9_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, root, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file; every executor has the package installed."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op4_pack_windows")
+def op4_pack_windows(spark: SparkSession, root: str) -> DataFrame:
+    pieces = packing.pack(table(spark, root, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", crc32_of_ids(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, root: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/token-files"
+    token_files.write_token_files(table(spark, root, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    back = token_files.documents_from(token_files.read_token_files(spark, folder))
+    return back.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), crc32_of_ids(F.col("ids")).alias("ids_crc32"))
