@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketweave.llm import chat, exact_dedup, licenses, mixing, packing, token_files
-from ticketweave.llm.common import crc32_of_ids, shared_folder
+from ticketweave.llm import chat, exact_dedup, html_text, licenses, mixing, packing, token_files, toxicity
+from ticketweave.llm.common import crc32_of_ids, shared_folder, small_batches
 from ticketweave.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, root: str) -> DataFrame:
+    small_batches(spark)
+    return html_text.extract_pages(table(spark, root, "pages"))
+
+
 @query("op2_chat_format", r"""
     WITH rows AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -112,3 +118,8 @@ def op8_token_files(spark: SparkSession, root: str) -> DataFrame:
     token_files.write_token_files(table(spark, root, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
     back = token_files.documents_from(token_files.read_token_files(spark, folder))
     return back.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), crc32_of_ids(F.col("ids")).alias("ids_crc32"))
+
+
+@query("op10_toxic_spans")
+def op10_toxic_spans(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, root, "documents"), table(spark, root, "labels")).drop("spans")
