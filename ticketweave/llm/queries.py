@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketweave.llm import chat, exact_dedup, html_text, licenses, mixing, packing, token_files, toxicity
+from ticketweave.llm import chat, exact_dedup, html_text, licenses, mixing, packing, perplexity, token_files, toxicity
 from ticketweave.llm.common import crc32_of_ids, shared_folder, small_batches
 from ticketweave.session import prepare
 
@@ -123,3 +123,8 @@ def op8_token_files(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_toxic_spans")
 def op10_toxic_spans(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.score_documents(table(spark, root, "documents"), table(spark, root, "labels")).drop("spans")
+
+
+@query("op6_perplexity_bands")
+def op6_perplexity_bands(spark: SparkSession, root: str) -> DataFrame:
+    return perplexity.quality_rules(table(spark, root, "documents"))
