@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketweave.llm import chat, exact_dedup, html_text, licenses, mixing, packing, perplexity, token_files, toxicity
+from ticketweave.llm import chat, exact_dedup, html_text, licenses, mixing, near_dedup, packing, perplexity, token_files, toxicity
 from ticketweave.llm.common import crc32_of_ids, shared_folder, small_batches
 from ticketweave.session import prepare
 
@@ -128,3 +128,8 @@ def op10_toxic_spans(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_perplexity_bands")
 def op6_perplexity_bands(spark: SparkSession, root: str) -> DataFrame:
     return perplexity.quality_rules(table(spark, root, "documents"))
+
+
+@query("op3_near_dedup")
+def op3_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, root, "documents"), words=3, percent=85)
