@@ -27,10 +27,12 @@ def to_planes(ids: np.ndarray, mode: str) -> tuple[int, list[bytes]]:
     import zstandard
 
     width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+    lanes = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     if mode == "byte":
-        raw = [((ids >> (8 * b)) & 255).astype(np.uint8).tobytes() for b in range(-(-width // 8))]
+        raw = [lanes[:, b].tobytes() for b in range(-(-width // 8))]
     else:
-        raw = [np.packbits(((ids >> b) & 1).astype(np.uint8), bitorder="little").tobytes() for b in range(width)]
+        bits = np.unpackbits(lanes, axis=1, bitorder="little")[:, :width]
+        raw = [p.tobytes() for p in np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")]
     squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
     return width, [squeeze(p) for p in raw]
 
@@ -38,14 +40,16 @@ def to_planes(ids: np.ndarray, mode: str) -> tuple[int, list[bytes]]:
 def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
     import zstandard
 
-    expand, out = zstandard.ZstdDecompressor().decompress, np.zeros(n, dtype="<u4")
-    for b, plane in enumerate(planes):
-        raw = np.frombuffer(expand(bytes(plane)), dtype=np.uint8)
-        if mode == "byte":
-            out |= raw.astype("<u4") << (8 * b)
-        else:
-            out |= np.unpackbits(raw, count=n, bitorder="little").astype("<u4") << b
-    return out
+    expand = zstandard.ZstdDecompressor().decompress
+    raw = np.frombuffer(b"".join([expand(bytes(p)) for p in planes]), dtype=np.uint8).reshape(len(planes), -1)
+    lanes = np.zeros((n, 4), dtype=np.uint8)
+    if mode == "byte":
+        lanes[:, :len(planes)] = raw.T
+    else:
+        bits = np.unpackbits(raw, axis=1, count=n, bitorder="little")
+        for b in range(0, len(planes), 8):
+            lanes[:, b // 8] = np.packbits(bits[b:b + 8], axis=0, bitorder="little")[0]
+    return lanes.view("<u4").reshape(-1)
 
 
 def _write_blocks(path: str, size: int, mode: str, end_id: int):

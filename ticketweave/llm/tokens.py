@@ -68,7 +68,8 @@ class ChunkEncoder:
         """Ids of the text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
-        if not self._known(set(text)):
+        plain = text.isascii() and text.replace("\n", "").isprintable()
+        if not plain and not self._known(set(text)):
             return self._whole(text)
         if self.lower:
             cut, first = text.split(), b""
