@@ -116,7 +116,7 @@ def op4_pack_windows(spark: SparkSession, root: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, root: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/token-files"
     token_files.write_token_files(table(spark, root, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
-    back = token_files.documents_from(token_files.read_token_files(spark, folder))
+    back = token_files.read_documents(spark, folder)
     return back.select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), crc32_of_ids(F.col("ids")).alias("ids_crc32"))
 
 

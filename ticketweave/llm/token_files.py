@@ -37,19 +37,20 @@ def to_planes(ids: np.ndarray, mode: str) -> tuple[int, list[bytes]]:
     return width, [squeeze(p) for p in raw]
 
 
-def from_planes(planes: list[bytes], n: int, mode: str) -> np.ndarray:
+def from_planes(planes: list[bytes], n: int, mode: str, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Ids ``start`` to ``stop`` of a block of ``n``; only that part of the planes is turned back."""
     import zstandard
 
-    expand = zstandard.ZstdDecompressor().decompress
-    raw = np.frombuffer(b"".join([expand(bytes(p)) for p in planes]), dtype=np.uint8).reshape(len(planes), -1)
-    lanes = np.zeros((n, 4), dtype=np.uint8)
-    if mode == "byte":
-        lanes[:, :len(planes)] = raw.T
-    else:
-        bits = np.unpackbits(raw, axis=1, count=n, bitorder="little")
-        for b in range(0, len(planes), 8):
-            lanes[:, b // 8] = np.packbits(bits[b:b + 8], axis=0, bitorder="little")[0]
-    return lanes.view("<u4").reshape(-1)
+    expand, stop = zstandard.ZstdDecompressor().decompress, n if stop is None else stop
+    out, first = np.zeros(stop - start, dtype="<u4"), start // 8
+    for b, plane in enumerate(planes):
+        raw = np.frombuffer(expand(bytes(plane)), dtype=np.uint8)
+        if mode == "byte":
+            out |= raw[start:stop].astype("<u4") << (8 * b)
+        else:
+            bits = np.unpackbits(raw[first:-(-stop // 8)], bitorder="little")[start - 8 * first:stop - 8 * first]
+            out |= bits.astype("<u4") << b
+    return out
 
 
 def _write_blocks(path: str, size: int, mode: str, end_id: int):
@@ -106,8 +107,12 @@ def write_token_files(
     shards.withColumn("shard_start", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).write.parquet(f"{folder}/shards")
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per piece of a document in a block: doc_id, start (ids of all documents before its own), piece_start, doc_tokens, ids."""
+def read_token_files(spark: SparkSession, folder: str, which: str = "all") -> DataFrame:
+    """One row per piece of a document in a block: doc_id, start (ids of all documents before its own), piece_start, doc_tokens, ids.
+
+    ``which``: all pieces, only ``whole`` documents, or only pieces of documents ``cut`` by a block's edge. Cut ones stand at
+    a block's ends and whole ones between them, so that no more of a block is turned back than is asked for.
+    """
     blocks, shards = spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/shards")
     kind = blocks.schema["pieces"].dataType.elementType["doc_id"].dataType.simpleString()
     at = blocks.join(shards.select("shard", "shard_start"), "shard").withColumn("block_start", F.col("shard_start") + F.col("first_id"))
@@ -117,21 +122,26 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             rows = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 pieces = rows["pieces"][i].values
-                ids = from_planes(rows["planes"][i].as_py(), rows["n_ids"][i].as_py(), rows["mode"][i].as_py())
                 doc_start, total, offset, length = (pieces.field(c).to_numpy(zero_copy_only=False) for c in ("doc_start", "doc_tokens", "offset", "length"))
-                bounds = np.append(offset, offset[-1] + length[-1]).astype("int32")  # pieces fill the block without a gap
+                wanted = np.arange(len(length)) if which == "all" else np.flatnonzero((length < total) == (which == "cut"))
+                if not len(wanted):
+                    continue
+                spans = [(offset[k], offset[k] + length[k]) for k in wanted] if which == "cut" else [(offset[wanted[0]], offset[wanted[-1]] + length[wanted[-1]])]
+                planes, n, mode = rows["planes"][i].as_py(), rows["n_ids"][i].as_py(), rows["mode"][i].as_py()
+                ids = np.concatenate([from_planes(planes, n, mode, int(a), int(b)) for a, b in spans])
+                bounds = np.concatenate([[0], np.cumsum(length[wanted])]).astype("int32")
                 lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype("int32")))
-                start = rows["block_start"][i].as_py() + offset - doc_start
-                yield pa.RecordBatch.from_arrays([pieces.field("doc_id"), pa.array(start), pa.array(doc_start), pa.array(total), lists], names=["doc_id", "start", "piece_start", "doc_tokens", "ids"])
+                start = rows["block_start"][i].as_py() + offset[wanted] - doc_start[wanted]
+                yield pa.RecordBatch.from_arrays(
+                    [pieces.field("doc_id").take(pa.array(wanted)), pa.array(start), pa.array(doc_start[wanted]), pa.array(total[wanted]), lists], names=["doc_id", "start", "piece_start", "doc_tokens", "ids"])
 
     read = at.select("block_start", "n_ids", "mode", "planes", "pieces")
     return read.mapInArrow(run, f"doc_id {kind}, start long, piece_start long, doc_tokens long, ids array<int>")
 
 
-def documents_from(pieces: DataFrame) -> DataFrame:
-    """Whole documents again: doc_id, start, n_tokens, ids; only documents that lie in several blocks meet in a shuffle."""
-    whole = pieces.filter(F.size("ids") == F.col("doc_tokens"))
-    cut = pieces.filter(F.size("ids") < F.col("doc_tokens"))
-    joined = cut.groupBy("doc_id", "start").agg(F.first("doc_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece_start", "ids"))).alias("parts"))
-    joined = joined.select("doc_id", "start", "n_tokens", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    return whole.select("doc_id", "start", F.col("doc_tokens").alias("n_tokens"), "ids").unionByName(joined)
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole documents from a folder: doc_id, start, n_tokens, ids; only those that lie in several blocks meet in a shuffle."""
+    cut = read_token_files(spark, folder, "cut").groupBy("doc_id", "start").agg(F.first("doc_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece_start", "ids"))).alias("parts"))
+    joined = cut.select("doc_id", "start", "n_tokens", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    whole = read_token_files(spark, folder, "whole").select("doc_id", "start", F.col("doc_tokens").alias("n_tokens"), "ids")
+    return whole.unionByName(joined)
