@@ -190,9 +190,9 @@ def measure(text: Column, model: Column, models: dict[str, KneserNey], spark) ->
         for texts, names in batches:
             rows = []
             for text, name in zip(texts, names):
-                if name not in tables:
-                    tables[name] = shared.value[name].table()
                 codes = grams(text)
+                if len(codes) and name not in tables:
+                    tables[name] = shared.value[name].table()
                 rows.append((*word_rules(text), float(-tables[name][codes].mean(dtype=np.float64)) if len(codes) else None, len(codes)))
             yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "n_grams"])
 
