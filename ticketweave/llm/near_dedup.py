@@ -1,10 +1,10 @@
 """Near duplicates by HyperMinHash signatures, and the connected groups they form.
 
 A document's set of word shingles is dealt to registers; each keeps the smallest hash as its count of leading zeros and the
-mantissa bits that follow. Four registers in a row make a band, and documents that share a band meet. So that a group of many
+mantissa bits that follow. Some registers in a row make a band, and documents that share a band meet. So that a group of many
 copies is never paired with itself, equal sets are one node from the start, every node first meets only the most connected
-node of its bands, and later only nodes of other groups in its bands. Pairs whose collision-corrected estimate is hopeless
-are left; all others are verified on their full sets.
+node of its bands, and later only nodes of other groups in its bands whose sizes allow a link. Pairs whose
+collision-corrected estimate is hopeless are left; all others are verified on their full sets.
 """
 
 from __future__ import annotations
@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 
 from ticketweave.llm.common import settle, small_batches
 
-REGISTERS, ROWS, MANTISSA_BITS = 128, 4, 10
+REGISTERS, MANTISSA_BITS = 256, 10
 BUCKET_BITS = REGISTERS.bit_length() - 1
 #: Standard deviations that an estimate may lie below the threshold before a pair is left unverified.
 SLACK = 6.0
 #: Share of registers that agree by chance for sets of equal size, times 2 to the mantissa bits (published constant).
 COLLISION = 0.169919487159739093975315012348
+
+
+def band_rows(percent: int) -> int:
+    """Registers in a band. A pair right at 85 (80) percent shares none of the bands with a chance of one (three) in a million;
+    longer bands keep apart documents that only share a passage."""
+    return 7 if percent >= 85 else 6
+
+
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -76,21 +84,33 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return ((value[source] + distance * 7919) & 0xFFFF).astype("<u2")
 
 
-def _signatures(words: int):
+def band_values(found: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit value for each band of registers; equal bands have equal values."""
+    parts = found[: len(found) // rows * rows].reshape(-1, rows).astype(np.uint64)
+    x = np.full(len(parts), rows, dtype=np.uint64)
+    for j in range(rows):
+        x = (x ^ (x >> np.uint64(31))) * _M2 + parts[:, j]
+    return ((x ^ (x >> np.uint64(29))) * _M3).view("<i8")
+
+
+def _signatures(words: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingles = Shingler(words)
         for batch in batches:
-            sizes, first, second, bands = [], [], [], []
+            sizes, first, second, found, bands = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 name = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
                 first.append(int.from_bytes(name[:8], "little", signed=True))
                 second.append(int.from_bytes(name[8:], "little", signed=True))
-                bands.append(registers(s).view("<i8") if len(s) else np.empty(0, "<i8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, first, second)], pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "d1", "d2", "bands"])
+                kept = registers(s) if len(s) else np.empty(0, "<u2")
+                found.append(kept.view("<i8"))
+                bands.append(band_values(kept, rows))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, first, second)], *lists], names=["id", "n", "d1", "d2", "registers", "bands"])
 
     return run
 
@@ -133,9 +153,9 @@ def _hopeful(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Colu
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) among ``pairs`` whose full sets reach ``percent`` percent."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("bands").alias(f"bands_{s}"), F.col("n").alias(f"n_{s}"))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("registers").alias(f"registers_{s}"), F.col("n").alias(f"n_{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    met = met.filter(_hopeful(F.col("bands_a"), F.col("bands_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
+    met = met.filter(_hopeful(F.col("registers_a"), F.col("registers_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
     full = met.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return full.withColumn("both", both).filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
@@ -148,16 +168,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     shingle, one without words has none and is linked with nothing. Documents are linked when 100 * intersection >= percent *
     union of their shingle sets. ``component_id`` is the smallest key reachable; the row with that key is kept. Rows that
     repeat a key are looked at one by one. A null key is never a component's name unless all its members lack one.
-    At 80 percent, two documents fail to share a band with a chance below one in ten million.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    signed = settle(src.mapInArrow(_signatures(words), f"id {kind}, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    signed = settle(src.mapInArrow(_signatures(words, band_rows(percent)), f"id {kind}, n long, d1 long, d2 long, registers array<long>, bands array<long>"), "signatures")
     name = ["n", "d1", "d2"]
-    nodes = settle(signed.filter("n > 0").groupBy(*name).agg(F.min("id").alias("node"), F.first("bands").alias("bands")).filter("node IS NOT NULL"), "nodes")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    nodes = settle(signed.filter("n > 0").groupBy(*name).agg(F.min("id").alias("node"), F.first(F.struct("registers", "bands")).alias("s")).select(*name, "node", "s.*").filter("node IS NOT NULL"), "nodes")
+    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     crowds = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = settle(rows.join(crowds, ["band", "value"]), "bands")
     centre = settle(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
@@ -170,11 +189,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     pairs = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     first = settle(_verified(best.select(*pairs(F.col("node"), F.col("top.node"))).distinct(), nodes, sets, percent), "links-1")
     group = components(first)
-    grouped = met.select("node", "band", "value").join(group, "node", "left").select("band", "value", "node", F.coalesce("component", "node").alias("component"))
+    # Sizes of linked sets are less than two steps of this scale apart.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int").alias("step")
+    grouped = met.select("node", "band", "value", step).join(group, "node", "left").select("band", "value", "step", "node", F.coalesce("component", "node").alias("component"))
     mixed = grouped.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
     grouped = settle(grouped.join(mixed, ["band", "value"], "left_semi"), "mixed")
-    other = grouped.select("band", "value", F.col("node").alias("node_b"), F.col("component").alias("component_b"))
-    rest = grouped.join(other, ["band", "value"]).filter("node < node_b AND component <> component_b").select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    near = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
+    other = grouped.select("band", "value", near, F.col("node").alias("node_b"), F.col("component").alias("component_b"))
+    rest = grouped.join(other, ["band", "value", "step"]).filter("node < node_b AND component <> component_b").select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     second = settle(_verified(rest, nodes, sets, percent), "links-2")
     label = components(first.unionByName(second))
     named = nodes.join(label, "node", "left").select(*name, F.coalesce("component", "node").alias("component"))
