@@ -68,7 +68,7 @@ def _api(df: DataFrame, service: str) -> DataFrame:
         service=F.coalesce(_C("_json")["service"], _L(service)), error_code=F.coalesce(key("error_code", "errorCode"), F.get("_codes", _L(0))),
         endpoint=key("endpoint", "path", "url"), log_user=key("user_id", "userId"), request_id=key("request_id", "requestId"),
         message=F.when(is_json, _C("_text")).otherwise(F.substring(line, 1, 500)), upstream_system=F.coalesce(key("upstream_system"), upstream_system("_text")),
-        duration_ms=F.when(digits == "", 0).otherwise(digits.cast("long")), matched_error_codes=_C("_codes"))
+        duration_ms=F.when(digits == "", 0).otherwise(digits.try_cast("long")), matched_error_codes=_C("_codes"))
 
 
 def _http(df: DataFrame, service: str) -> DataFrame:
@@ -121,7 +121,7 @@ def _app_error(df: DataFrame, service: str) -> DataFrame:
 def _performance(df: DataFrame, service: str) -> DataFrame:
     """``operation=count,total_ms`` lines that are slow on average or frequent."""
     part = lambda g: F.regexp_extract("_line", _PERF, g)
-    p = df.filter(_C("_line").rlike(_PERF)).withColumns({"_n": part(3).cast("long"), "_total": part(4).cast("long"), "_op": part(2)})
+    p = df.filter(_C("_line").rlike(_PERF)).withColumns({"_n": part(3).try_cast("long"), "_total": part(4).try_cast("long"), "_op": part(2)})
     p = p.withColumn("_avg", F.expr("_total div greatest(_n, 1)")).filter((_C("_avg") >= 3000) | (_C("_n") >= 50))
     code, svc = F.when(_C("_avg") > 5000, "SLOW_CALL").otherwise("HIGH_VOLUME"), F.upper(F.split_part("_op", _L("_"), _L(1)))
     text = F.concat(_C("_op"), _L(": "), _C("_n"), _L(" appels, durée moy "), _C("_avg"), _L("ms (total "), _C("_total"), _L("ms)"))

@@ -146,7 +146,7 @@ def causal_chain(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth
     """Per seed the deepest cause, reached nodes, actions by depth and confidence of the forward walk.
 
     nodes: id, node_type, visit_count; edges: src, dst, rel_type, weight. A node counts once at its smallest
-    depth with the heaviest edge into it at that depth.
+    depth with the heaviest edge into it at that depth, also where it has no row among the nodes.
     """
     e = edges.filter(_C("rel_type").isin(list(follow))).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     front = seeds.select(_C("id").alias("seed"), _C("id").alias("node"), _L(0).alias("depth"), _L(None).cast("double").alias("weight")).distinct()
@@ -157,12 +157,12 @@ def causal_chain(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth
         seen = seen.unionByName(front)
         if d < max_depth and front.isEmpty():
             break
-    rows = seen.join(nodes.select(_C("id").alias("node"), "node_type", "visit_count"), "node")
+    rows = seen.join(nodes.select(_C("id").alias("node"), "node_type", "visit_count"), "node", "left")
     action = F.when(_C("node_type") == "action", F.struct("depth", "node"))
     agg = rows.groupBy("seed").agg(
         F.max(F.when(_C("node_type") == "cause", F.struct("depth", F.struct("node").alias("n")))).alias("c"), F.count("*").alias("n_nodes"),
         F.slice(F.transform(F.array_sort(F.collect_set(action)), lambda x: x["node"]), 1, 6).alias("actions"),
-        F.avg(F.log(F.greatest(_C("weight"), _L(0.01)))).alias("lw"), F.sum("visit_count").alias("visits"))
+        F.avg(F.log(F.greatest(_C("weight"), _L(0.01)))).alias("lw"), F.coalesce(F.sum("visit_count"), _L(0)).alias("visits"))
     base = F.when(_C("lw").isNull(), 0.7).otherwise(F.least(_L(1.0), F.exp("lw")))
     return agg.select("seed", _C("c.n.node").alias("deepest_cause"), "n_nodes", "actions", F.round(F.least(_L(1.0), base + F.log(1 + _C("visits")) * 0.15), 6).alias("confidence"))
 

@@ -256,7 +256,7 @@ def predict(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
 def train_l2(df: DataFrame, text: str, l1: str, l2: str, key: str, min_rows: int = 5, min_classes: int = 2) -> dict[str, PipelineModel]:
     """One model per level-1 value with enough rows and classes; the values are few by nature."""
     fit = (df.groupBy(l1).agg(F.count("*").alias("n"), F.count_distinct(l2).alias("c")).filter((_C("n") >= min_rows) & (_C("c") >= min_classes)))
-    return {r[l1]: train_classifier(df.filter(_C(l1) == r[l1]), text, l2, key, min_rows=1, holdout=0.0, max_features=1000)[0] for r in fit.limit(1000).collect()}
+    return {r[l1]: train_classifier(df.filter(_C(l1) == r[l1]), text, l2, key, min_rows=1, holdout=0.0, max_features=1000)[0] for r in fit.collect()}
 
 
 # ---------------------------------------------------------------- learned patterns

@@ -118,9 +118,11 @@ d2 AS (SELECT d1.seed, dst AS node, 2 AS depth, max(e.w) AS w FROM d1 JOIN e ON
 SELECT seed, last(node ORDER BY depth, node) FILTER (kind = 'cause') AS deepest_cause, count(*) AS n_nodes, array_to_string(list(node ORDER BY depth, node) FILTER (kind = 'action')[1:6], ',') AS actions, round(least(1.0, least(1.0, exp(avg(ln(greatest(w, 0.01))))) + ln(1 + sum(visits)) * 0.15), 6) AS confidence FROM r GROUP BY 1""")
 def _(t):
     e = causal(t).withColumn("rel_type", L("CAUSES"))
-    k = C("s_suppkey")
-    n = t.supplier.filter("s_suppkey < 25").select(k.alias("id"), F.when(k % 3 == 0, "cause").when(k % 3 == 1, "action").otherwise("symptom").alias("node_type"), (k % 4).alias("visit_count"))
-    out = gr.causal_chain(n, e, t.supplier.filter("s_suppkey in (1, 2)").select(k.alias("id")), max_depth=2)
+    k = C("id")
+    ids = e.select(C("src").alias("id")).union(e.select("dst")).distinct()
+    n = ids.select("id", F.when(k % 3 == 0, "cause").when(k % 3 == 1, "action").otherwise("symptom").alias("node_type"), (k % 4).alias("visit_count"))
+    seeds = t.supplier.filter("s_suppkey in (1, 2)").select(C("s_suppkey").alias("id"))
+    out = gr.causal_chain(n, e, seeds, max_depth=2)
     return out.withColumn("actions", F.array_join(F.transform("actions", S), ","))
 
 

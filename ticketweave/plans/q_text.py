@@ -272,7 +272,7 @@ PROFILES = {
     "DUPLICATE_RESOURCE": [(["doublon", "duplicate"], 1.0)], "DIAGNOSTIC": [(["erreur", "error", "b4002", "problème"], 1.0), (["42c", "9903"], 0.9)],
 }
 PROFILE_PRIORITY = {"DUPLICATE_RESOURCE": 95, "ORDER_BLOCKED": 90, "REPLAY_ORDER": 85, "DATA_INCONSISTENCY": 83, "DELETE_RESOURCE": 80, "DIAGNOSTIC": 10}
-_PS = " UNION ALL ".join(f"SELECT ticket_id, '{i}' AS intent, {PROFILE_PRIORITY[i]} AS p, ({' + '.join(f'{w} * {count_in(chr(108) + chr(111) + chr(119) + chr(101) + chr(114) + chr(40) + chr(114) + "esume)", ph)}' for ph, w in g)})::DOUBLE AS s FROM k" for i, g in PROFILES.items())
+_PS = " UNION ALL ".join(f"SELECT ticket_id, '{i}' AS intent, {PROFILE_PRIORITY[i]} AS p, ({' + '.join(f'{w} * {count_in("lower(resume)", ph)}' for ph, w in g)})::DOUBLE AS s FROM k" for i, g in PROFILES.items())
 
 
 @query("t26_weighted_intent", f"WITH k AS $tickets, s AS ({_PS}), b AS (SELECT ticket_id, max_by(intent, {{'p': p, 's': s}}) AS intent, max_by(s, {{'p': p, 's': s}}) AS s FROM s WHERE s > 0 GROUP BY 1) SELECT k.ticket_id, coalesce(b.intent, 'UNKNOWN') AS intent, CASE WHEN b.intent IS NULL THEN 0.2 ELSE round(least(0.40 + s * 0.12, 0.97), 3) END AS confidence FROM k LEFT JOIN b USING (ticket_id)")
