@@ -3,8 +3,9 @@
 A document's set of word shingles is dealt to registers; each keeps the smallest hash as its count of leading zeros and the
 mantissa bits that follow. Some registers in a row make a band, and documents that share a band meet. So that a group of many
 copies is never paired with itself, equal sets are one node from the start, every node first meets only the most connected
-node of its bands, and later only nodes of other groups in its bands whose sizes allow a link. Pairs whose
-collision-corrected estimate is hopeless are left; all others are verified on their full sets.
+node of its bands, and later only nodes of other groups in its bands whose sizes and two lowest bits of every register allow
+a link: the join itself tests both, so documents that only share a passage leave no pairs behind. Pairs whose
+collision-corrected estimate is hopeless are left; all others are verified on their full sets, which only they need.
 """
 
 from __future__ import annotations
@@ -93,13 +94,19 @@ def band_values(found: np.ndarray, rows: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) * _M3).view("<i8")
 
 
+def bit_planes(found: np.ndarray) -> np.ndarray:
+    """The two lowest bits of all registers as 64-bit planes: first the lowest ones, then the others."""
+    planes = np.stack([(found >> np.uint16(k)) & np.uint16(1) for k in range(2)]).astype(np.uint8)
+    return np.packbits(planes, axis=1, bitorder="little").view("<i8").ravel()
+
+
 def _signatures(words: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingles = Shingler(words)
         for batch in batches:
-            sizes, first, second, found, bands = [], [], [], [], []
+            sizes, first, second, found, planes, bands = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 name = xxhash.xxh3_128_digest(s.tobytes())
@@ -108,9 +115,10 @@ def _signatures(words: int, rows: int):
                 second.append(int.from_bytes(name[8:], "little", signed=True))
                 kept = registers(s) if len(s) else np.empty(0, "<u2")
                 found.append(kept.view("<i8"))
+                planes.append(bit_planes(kept) if len(s) else np.empty(0, "<i8"))
                 bands.append(band_values(kept, rows))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, bands)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, first, second)], *lists], names=["id", "n", "d1", "d2", "registers", "bands"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, planes, bands)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, first, second)], *lists], names=["id", "n", "d1", "d2", "registers", "planes", "bands"])
 
     return run
 
@@ -151,12 +159,27 @@ def _hopeful(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Colu
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (estimate >= t - SLACK * F.sqrt(F.lit(t * (1 - t)) / seen))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) among ``pairs`` whose full sets reach ``percent`` percent."""
+def _compatible(percent: int) -> Column:
+    """Whether sizes and bit planes of two nodes, columns with and without ``_b``, may belong to a pair at the threshold."""
+    half = REGISTERS // 64
+    differ = sum(F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_b")).bitwiseOR(F.col(f"p{k + half}").bitwiseXOR(F.col(f"p{k + half}_b")))) for k in range(half))
+    share = 0.75 * (1 - percent / 100)
+    most = REGISTERS * (share + SLACK * (share * (1 - share)) ** 0.5 / F.sqrt(F.least(F.col("n_b"), F.lit(REGISTERS))))
+    return (100 * F.col("n") >= percent * F.col("n_b")) & (differ <= most)
+
+
+def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) among ``pairs`` whose estimate leaves hope."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("registers").alias(f"registers_{s}"), F.col("n").alias(f"n_{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    met = met.filter(_hopeful(F.col("registers_a"), F.col("registers_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
-    full = met.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return met.filter(_hopeful(F.col("registers_a"), F.col("registers_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
+
+
+def _verified(pairs: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) among ``pairs`` whose full sets reach ``percent`` percent."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = settle(src.join(asked, "id", "left_semi").mapInArrow(_sets(words), f"id {src.schema['id'].dataType.simpleString()}, shingles array<long>"), "sets")
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return full.withColumn("both", both).filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
@@ -173,9 +196,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    signed = settle(src.mapInArrow(_signatures(words, band_rows(percent)), f"id {kind}, n long, d1 long, d2 long, registers array<long>, bands array<long>"), "signatures")
+    signed = settle(src.mapInArrow(_signatures(words, band_rows(percent)), f"id {kind}, n long, d1 long, d2 long, registers array<long>, planes array<long>, bands array<long>"), "signatures")
     name = ["n", "d1", "d2"]
-    nodes = settle(signed.filter("n > 0").groupBy(*name).agg(F.min("id").alias("node"), F.first(F.struct("registers", "bands")).alias("s")).select(*name, "node", "s.*").filter("node IS NOT NULL"), "nodes")
+    nodes = settle(signed.filter("n > 0").groupBy(*name).agg(F.min("id").alias("node"), F.first(F.struct("registers", "planes", "bands")).alias("s")).select(*name, "node", "s.*").filter("node IS NOT NULL"), "nodes")
     rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     crowds = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = settle(rows.join(crowds, ["band", "value"]), "bands")
@@ -185,19 +208,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     pivots = met.groupBy("band", "value").agg(F.max(ranked).alias("top"))
     # Each node against one pivot: the most connected among those of its bands, itself left out.
     best = met.join(pivots, ["band", "value"]).filter("node <> top.node").groupBy("node").agg(F.max("top").alias("top"))
-    sets = settle(src.join(centre.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(_sets(words), f"id {kind}, shingles array<long>"), "sets")
     pairs = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    first = settle(_verified(best.select(*pairs(F.col("node"), F.col("top.node"))).distinct(), nodes, sets, percent), "links-1")
+    hopeful = settle(_estimated(best.select(*pairs(F.col("node"), F.col("top.node"))).distinct(), nodes, percent), "hopeful-1")
+    first = settle(_verified(hopeful, src, words, percent), "links-1")
     group = components(first)
-    # Sizes of linked sets are less than two steps of this scale apart.
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int").alias("step")
-    grouped = met.select("node", "band", "value", step).join(group, "node", "left").select("band", "value", "step", "node", F.coalesce("component", "node").alias("component"))
+    grouped = met.select("node", "band", "value").join(group, "node", "left").select("band", "value", "node", F.coalesce("component", "node").alias("component"))
     mixed = grouped.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
-    grouped = settle(grouped.join(mixed, ["band", "value"], "left_semi"), "mixed")
-    near = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
-    other = grouped.select("band", "value", near, F.col("node").alias("node_b"), F.col("component").alias("component_b"))
-    rest = grouped.join(other, ["band", "value", "step"]).filter("node < node_b AND component <> component_b").select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
-    second = settle(_verified(rest, nodes, sets, percent), "links-2")
+    # Sizes of linked sets are less than two steps of this scale apart; the smaller set of a pair looks for the larger one.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int").alias("step")
+    planes = [F.get("planes", F.lit(k)).alias(f"p{k}") for k in range(REGISTERS // 32)]
+    grouped = settle(grouped.join(mixed, ["band", "value"], "left_semi").join(nodes.select("node", "n", step, *planes), "node"), "mixed")
+    larger = grouped.select("band", "value", F.explode(F.array("step", F.col("step") - 1)).alias("step"), *[F.col(c).alias(f"{c}_b") for c in grouped.columns if c not in ("band", "value", "step")])
+    apart = (F.col("component") != F.col("component_b")) & ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") < F.col("node_b"))))
+    rest = grouped.join(larger, ["band", "value", "step"]).filter(apart & _compatible(percent)).select(*pairs(F.col("node"), F.col("node_b"))).distinct()
+    second = settle(_verified(settle(_estimated(rest, nodes, percent), "hopeful-2"), src, words, percent), "links-2")
     label = components(first.unionByName(second))
     named = nodes.join(label, "node", "left").select(*name, F.coalesce("component", "node").alias("component"))
     out = signed.join(named, name, "left")
