@@ -4,7 +4,7 @@ A document's set of word shingles is dealt to registers; each keeps the smallest
 mantissa bits that follow. Some registers in a row make a band, and documents that share a band meet. So that a group of many
 copies is never paired with itself, equal sets are one node from the start, every node first meets only the most connected
 node of its bands, and later only nodes of other groups in its bands whose sizes and two lowest bits of every register allow
-a link: the join itself tests both, so documents that only share a passage leave no pairs behind. Pairs whose
+a link: the join itself tests both, which drops most pairs of documents that only share a passage. Pairs whose
 collision-corrected estimate is hopeless are left; all others are verified on their full sets, which only they need.
 """
 
