@@ -208,6 +208,35 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(table.sum(axis=1), 1.0, atol=1e-3)
 
 
+def brute_kneser_ney(texts, order):
+    """Log perplexity of each text under the interpolated estimate of all of them, with dictionaries."""
+    grams_of = lambda t: [tuple(("\0start",) * (order - 1) + tuple(t))[i:i + order] for i in range(len(t))]
+    levels = [Counter(g for t in texts for g in grams_of(t))]
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    below = None
+    for counts in reversed(levels):
+        d = perplexity._discounts(np.array(list(counts.values())))
+        total, left = Counter(), Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3)]
+        below = {g: (c - d[min(c, 3)] + left[g[:-1]] * (1 / (len(counts) + 1) if below is None else below[g[1:]])) / total[g[:-1]] for g, c in counts.items()}
+    return [-np.mean([np.log(below[g]) for g in grams_of(t)]) if t else None for t in texts]
+
+
+def test_code_points_of_any_script_make_the_model(spark):
+    """Case, marks and letters beyond ASCII were one symbol each, so texts of equal shape scored alike."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(a), n)) for a, n in (("абвгд .", 900), ("абвгд .", 400), ("абвгд .", 50), ("жзик! ", 60), ("語言模型，", 80), ("aB#$ 😀", 90), ("", 0))]
+    rows = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.log_perplexity for r in perplexity.quality_rules(rows).collect()}
+    for i, want in enumerate(brute_kneser_ney(texts, perplexity.WIDE)):
+        assert got[i] is None if want is None else abs(got[i] - want) < 1e-5
+    pair = ["абв" * 30, "где" * 30]
+    assert len(np.intersect1d(*(perplexity.hashed(*perplexity.wide_grams([t])) for t in pair))) == 0
+
+
 def test_licenses_of_awkward_rows(spark, awkward):
     got = {r.doc_id: r for r in licenses.license_scan(awkward).collect()}
     r = got[8]

@@ -1,26 +1,31 @@
 """Quality rules and an n-gram perplexity band per language.
 
-The language model reads characters: bytes fold into 32 symbols (letters without case, blank, line end, digits, marks, bytes
-beyond ASCII), so an n-gram of order four is a number below 2**20 and a model has a proven size, whatever the corpus. Tasks count n-grams of
-all documents, Spark sums the counts by language, and modified Kneser-Ney estimates are kept in sorted hash arrays. Documents
-whose perplexity leaves their language's band on either side are rejected.
+The language model reads code points as they stand: letters of any script, with case, digits and marks are told apart, and
+n-grams of four of them are counted in all documents without a bound. Tasks count their chunk of the documents, Spark sums
+the counts by language and n-gram and makes the modified Kneser-Ney estimates by joins and windows on n-grams. Each chunk is
+then joined to the estimates of its own n-grams, wherever they are held, so a model of any size is nowhere in one place.
+Documents whose perplexity leaves their language's band on either side are rejected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketweave.llm.common import small_batches
+from ticketweave.llm.common import settle, small_batches
 
+#: The small model that ``grams`` and ``estimate`` make in one process; documents are scored by ``log_probabilities``.
 ORDER, SYMBOL_BITS = 4, 5
-SIZE = 1 << (ORDER * SYMBOL_BITS)
+#: Code points of an n-gram, and the bits of one (0 is the start of a text): the last three fill a long, those before stand in another.
+WIDE, POINT_BITS = 4, 21
+#: Counts that a task holds before it sends them on.
+SENT = 4_000_000
 #: Languages with a model and band of their own, by number of documents; all further ones and null share one more.
 MODELS = 15
 OTHER = "\0other"
@@ -54,20 +59,6 @@ def grams(text: str | None) -> np.ndarray:
     return code
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[str, np.ndarray] = {}
-    for batch in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for model, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by.setdefault(model, []).append(grams(text))
-        for model, codes in by.items():
-            found = np.bincount(np.concatenate(codes), minlength=SIZE)
-            totals[model] = totals[model] + found if model in totals else found
-    for model, n in totals.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([model] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["model", "gram", "n"])
-
-
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more (index 0 is 0), from the counts of counts."""
     n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
@@ -132,26 +123,121 @@ def estimate(grams_: np.ndarray, counts: np.ndarray) -> KneserNey:
     return out
 
 
-def _models(docs: DataFrame, lang: Column) -> Column:
-    """Name of each row's model: its language, or the common one. At most ``MODELS`` names reach the driver."""
-    top = docs.filter(lang.isNotNull()).groupBy(lang.alias("l")).count().orderBy(F.desc("count"), "l").limit(MODELS)
-    names = [r[0] for r in top.collect()]
-    return F.when(lang.isin(*names), lang).otherwise(F.lit(OTHER)) if names else F.lit(OTHER)
+def wide_grams(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of ``WIDE`` code points of the texts, each led in by start symbols: all but the last three, and those."""
+    lead = np.zeros(WIDE - 1, dtype=np.uint64)
+    parts = [x for t in texts for x in (lead, np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1))]
+    s = np.concatenate(parts) if parts else lead
+    ends = np.flatnonzero(s[WIDE - 1:])  # a window that ends in a start symbol reaches from one text into the next
+
+    def pack(first: int, last: int) -> np.ndarray:
+        code = np.zeros(len(s) - WIDE + 1, dtype=np.uint64)
+        for k in range(first, last):
+            code = (code << np.uint64(POINT_BITS)) | s[k: len(s) - WIDE + 1 + k]
+        return code[ends]
+
+    return pack(0, WIDE - 3), pack(WIDE - 3, WIDE)
+
+
+def hashed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high * np.uint64(0x9E3779B97F4A7C15)) ^ (low * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(1)) ^ low
+
+
+def _summed(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = hashed(high, low)
+    at = np.argsort(h)
+    first = np.flatnonzero(np.concatenate([[True], h[at][1:] != h[at][:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    return high[at][first], low[at][first], np.add.reduceat(n[at], first) if len(h) else n
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, lang, text) to (chunk, lang, high, low, n). Counts of a task are added up, and sent on whenever they get many."""
+    held: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+    def sent(least: int) -> Iterator[pa.RecordBatch]:
+        for (chunk, lang), parts in list(held.items()):
+            high, low, n = _summed(*[np.concatenate(x) for x in zip(*parts)])
+            held[chunk, lang] = [(high, low, n)]
+            if len(n) < least:
+                continue
+            del held[chunk, lang]
+            at = np.lexsort((low, high))
+            for i in range(0, len(at), 100_000):
+                k = at[i:i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(k), pa.int32()), pa.array([lang] * len(k), pa.string()), *[pa.array(x[k].astype(np.int64)) for x in (high, low, n)]],
+                                                 names=["chunk", "lang", "high", "low", "n"])
+
+    waiting = 0
+    for batch in batches:
+        by: dict[tuple[int, str], list[str | None]] = {}
+        for chunk, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            by.setdefault((chunk, lang), []).append(text)
+        for name, texts in by.items():
+            high, low = wide_grams(texts)
+            if len(high):
+                held.setdefault(name, []).append(_summed(high, low, np.ones(len(high), dtype=np.int64)))
+                waiting += len(held[name][-1][0])
+        if waiting > SENT:
+            yield from sent(SENT // 4)
+            waiting = sum(len(parts[0][0]) for parts in held.values())
+            if waiting > SENT // 2:  # many languages of few n-grams each
+                yield from sent(1)
+                waiting = 0
+    yield from sent(1)
+
+
+def _low_bits(points: int) -> int:
+    return (1 << (POINT_BITS * points)) - 1
+
 
+def _context(order: int) -> list[Column]:
+    """The gram of ``order`` without its last code point."""
+    low = F.shiftright("low", POINT_BITS).bitwiseOR(F.shiftleft(F.col("high").bitwiseAND(F.lit(_low_bits(1))), 2 * POINT_BITS)) if order > 3 else F.shiftright("low", POINT_BITS)
+    return [F.col("model"), F.shiftright("high", POINT_BITS), low]
 
-def fit_models(docs: DataFrame, model: Column, text: Column) -> dict[str, KneserNey]:
-    """One model per name, from all rows. Each has at most 2**20 grams of the highest order, at most ``MODELS`` + 1 models."""
-    counted = docs.select(model.alias("model"), text.alias("text")).mapInArrow(_count, "model string, gram int, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
-    def build(table: pa.Table) -> pa.Table:
-        m = estimate(table.column("gram").to_numpy(), table.column("n").to_numpy())
-        arrays = [[np.asarray(a, dtype=t).tobytes() for a in part] for part, t in ((m.keys, "<i4"), (m.logs, "<f4"), (m.contexts, "<i4"), (m.backoff, "<f4"))]
-        return pa.table({"model": [table.column("model")[0].as_py()], **{n: pa.array([a], pa.list_(pa.binary())) for n, a in zip(("keys", "logs", "contexts", "backoff"), arrays)}})
+def _suffix(order: int) -> list[Column]:
+    """The last ``order`` code points of a gram."""
+    high = F.col("high").bitwiseAND(F.lit(_low_bits(order - 3))) if order > 3 else F.lit(0).cast("long")
+    return [F.col("model"), high.alias("high"), F.col("low").bitwiseAND(F.lit(_low_bits(min(order, 3)))).alias("low")]
 
-    kind = ", ".join(f"{n} array<binary>" for n in ("keys", "logs", "contexts", "backoff"))
-    rows = counted.groupBy("model").applyInArrow(build, f"model string, {kind}").collect()
-    read = lambda parts, t: [np.frombuffer(bytes(p), dtype=t) for p in parts]
-    return {r[0]: KneserNey(read(r[1], "<i4"), read(r[2], "<f4"), read(r[3], "<i4"), read(r[4], "<f4")) for r in rows}
+
+def _discount_row() -> Column:
+    """``_discounts`` of a group of counts ``c``, as an array."""
+    n1, n2, n3, n4 = (F.count_if(F.col("c") == k).cast("double") for k in (1, 2, 3, 4))
+    y = F.coalesce(F.try_divide(n1, n1 + 2 * n2), F.lit(0.5))
+    d = [F.coalesce(1 - F.try_divide(2 * y * n2, n1), F.lit(0.5)), F.coalesce(2 - F.try_divide(3 * y * n3, n2), F.lit(1.0)), F.coalesce(3 - F.try_divide(4 * y * n4, n3), F.lit(1.5))]
+    return F.array(*[F.least(F.greatest(x, F.lit(0.05)), F.lit(k - 0.05)) for k, x in enumerate(d, 1)])
+
+
+def log_probabilities(counted: DataFrame) -> DataFrame:
+    """(model, high, low, log_p) from (model, high, low, n): ``estimate`` as joins and windows on the n-grams themselves.
+
+    No model is gathered anywhere: an n-gram meets the others of its context, then the lower order's estimate of its suffix.
+    """
+    levels = {WIDE: settle(counted.select("model", "high", "low", F.col("n").alias("c")), "grams")}
+    for order in range(WIDE - 1, 0, -1):
+        levels[order] = settle(levels[order + 1].groupBy(*_suffix(order)).agg(F.count(F.lit(1)).alias("c")), "grams")
+    below = None
+    for order in range(1, WIDE + 1):
+        grams_ = levels[order].join(settle(levels[order].groupBy("model").agg(_discount_row().alias("d")), "discounts"), "model")
+        context = Window.partitionBy(*_context(order))
+        rows = grams_.withColumn("taken", F.element_at("d", F.least("c", F.lit(3)).cast("int"))).select(
+            "model", "high", "low", "c", "taken", F.sum("c").over(context).alias("total"), F.sum("taken").over(context).alias("left"), F.count(F.lit(1)).over(context).alias("kinds"))
+        if below is None:
+            rows = rows.withColumn("lower", 1 / (F.col("kinds") + 1))
+        else:
+            shorter = below.select("model", F.col("high").alias("s_high"), F.col("low").alias("s_low"), F.col("p").alias("lower"))
+            rows = rows.select("*", *[c.alias(f"s_{n}") for n, c in zip(("high", "low"), _suffix(order - 1)[1:])]).join(shorter, ["model", "s_high", "s_low"])
+        below = rows.select("model", "high", "low", ((F.col("c") - F.col("taken") + F.col("left") * F.col("lower")) / F.col("total")).alias("p"))
+    return below.select("model", "high", "low", F.log("p").cast("float").alias("log_p"))
+
+
+def _models(requests: DataFrame) -> DataFrame:
+    """(lang, model): its language, or the common one, by number of n-grams."""
+    totals = requests.groupBy("lang").agg(F.sum("n").alias("n"))
+    top = totals.filter(F.col("lang") != OTHER).orderBy(F.desc("n"), "lang").limit(MODELS).select("lang", F.col("lang").alias("model"))
+    return settle(totals.join(top, "lang", "left").select("lang", F.coalesce("model", F.lit(OTHER)).alias("model")), "models")
 
 
 def word_rules(text: str | None) -> tuple[int, int, int, int, int]:
@@ -180,23 +266,55 @@ def word_rules(text: str | None) -> tuple[int, int, int, int, int]:
     return n, len(text) - blanks, marks, len(lines) - len(set(lines)), repeated
 
 
-def measure(text: Column, model: Column, models: dict[str, KneserNey], spark) -> Column:
-    """struct of the word rules, log_perplexity (null for an empty text) and n_grams."""
-    shared = spark.sparkContext.broadcast(models)
-
-    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, n_grams long")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        tables: dict[str, np.ndarray] = {}
-        for texts, names in batches:
-            rows = []
-            for text, name in zip(texts, names):
-                codes = grams(text)
-                if len(codes) and name not in tables:
-                    tables[name] = shared.value[name].table()
-                rows.append((*word_rules(text), float(-tables[name][codes].mean(dtype=np.float64)) if len(codes) else None, len(codes)))
-            yield pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "n_grams"])
-
-    return run(text, model)
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a chunk come after its n-grams: only these are held."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "n_grams"]
+    now, parts, tables = None, {}, {}
+    for batch in batches:
+        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        at, rows = [], []
+        for i, (chunk, is_doc, lang) in enumerate(zip(*(col[n].to_pylist() for n in ("chunk", "is_doc", "lang")))):
+            if chunk != now:
+                now, parts, tables = chunk, {}, {}
+            if not is_doc:
+                found = col["found"][i].values
+                parts.setdefault(lang, []).append([found.field(k).to_numpy(zero_copy_only=False) for k in range(3)])
+                continue
+            text = col["text"][i].as_py()
+            high, low = wide_grams([text])
+            if len(high) and lang not in tables:
+                wide, narrow, logs = (np.concatenate(x) for x in zip(*parts.pop(lang, [[np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0, dtype=np.float32)]])))
+                keys = hashed(wide.astype(np.uint64), narrow.astype(np.uint64))
+                order = np.argsort(keys)
+                tables[lang] = keys[order], logs[order]
+            score = None
+            if len(high):
+                keys, logs = tables[lang]
+                h = hashed(high, low)
+                place = np.searchsorted(keys, h)
+                if not len(keys) or place.max() == len(keys) or (keys[place] != h).any():
+                    raise RuntimeError("the documents changed between two reads: settle them first")
+                score = float(-logs[place].mean(dtype=np.float64))
+            at.append(i)
+            rows.append((*word_rules(text), score, len(high)))
+        if rows:
+            values = [pa.array(v, pa.float64() if n == "log_perplexity" else pa.int64()) for n, v in zip(names, zip(*rows))]
+            yield pa.RecordBatch.from_arrays([col["doc_id"].take(pa.array(at)), col["lang"].take(pa.array(at)), *values], names=["doc_id", "lang", *names])
+
+
+def measure(src: DataFrame, requests: DataFrame, models: DataFrame) -> DataFrame:
+    """doc_id, lang, the word rules, log_perplexity (null for an empty text) and n_grams of each row of ``src``.
+
+    What a chunk of documents needs of its models are the n-grams counted in it; they come to it by a join on n-grams.
+    """
+    of = requests.join(models, "lang")
+    logs = log_probabilities(of.groupBy("model", "high", "low").agg(F.sum("n").alias("n")))
+    found = of.join(logs, ["model", "high", "low"]).groupBy("chunk", "lang", F.pmod("low", F.lit(8)).alias("part")).agg(F.collect_list(F.struct("high", "low", "log_p")).alias("found"))
+    docs = src.select("chunk", F.lit(True).alias("is_doc"), "lang", "doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    sides = found.select("chunk", F.lit(False).alias("is_doc"), "lang", F.lit(None).cast(src.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), "found").unionByName(docs)
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return sides.repartition("chunk").sortWithinPartitions("chunk", "is_doc").mapInArrow(
+        _score, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, n_grams long")
 
 
 def quality_rules(
@@ -208,14 +326,11 @@ def quality_rules(
     not that, and the log perplexity within its language's band, which is the median plus or minus ``width`` median
     deviations, wider for short texts. Null and empty texts have no words and fail. Rows that repeat count each.
     """
-    from ticketweave.llm.common import settle
-
-    spark = docs.sparkSession
-    small_batches(spark)
-    src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    model = _models(src, F.col("lang"))
-    models = fit_models(src, model, F.col("text"))
-    rows = settle(src.select("doc_id", model.alias("model"), measure(F.col("text"), model, models, spark).alias("m")).select("doc_id", "model", "m.*"), "quality")
+    small_batches(docs.sparkSession)
+    src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(OTHER)).alias("lang"), F.spark_partition_id().alias("chunk"))
+    requests = settle(src.select("chunk", "lang", "text").mapInArrow(_count, "chunk int, lang string, high long, low long, n long"), "requests")
+    models = _models(requests)
+    rows = settle(measure(src, requests, models), "quality").join(models, "lang", "left")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     # Medians over a histogram of rounded values: its size depends on the bins alone.
@@ -223,8 +338,9 @@ def quality_rules(
     middle = sound.groupBy("model").agg((F.expr("percentile(bin, 0.5D, n)") / BINS).alias("middle"))
     off = sound.join(middle, "model").withColumn("off", F.abs(F.col("bin") / BINS - F.col("middle")))
     bands = off.groupBy("model", "middle").agg(F.greatest(F.expr("percentile(off, 0.5D, n)"), F.lit(0.01)).alias("spread"))
+    bands = settle(bands, "bands")
     half = width * F.col("spread") + short / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
-    banded = rows.join(F.broadcast(bands), "model", "left").withColumn("band_low", F.col("middle") - half).withColumn("band_high", F.col("middle") + half)
+    banded = rows.join(bands, "model", "left").withColumn("band_low", F.col("middle") - half).withColumn("band_high", F.col("middle") + half)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return banded.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),
                          "log_perplexity", "band_low", "band_high")
