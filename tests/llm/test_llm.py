@@ -237,6 +237,18 @@ def test_code_points_of_any_script_make_the_model(spark):
     assert len(np.intersect1d(*(perplexity.hashed(*perplexity.wide_grams([t])) for t in pair))) == 0
 
 
+def test_every_language_has_its_own_band(spark):
+    """From the 16th language on, all shared one model and band with null."""
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    rows = [(k, say(2000), f"l{k:02d}") for k in range(20)] + [(20, say(30), "small"), (21, say(30), None)]
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    # A language of one document has that document in the middle of its band.
+    assert all(abs((got[k].band_low + got[k].band_high) / 2 - got[k].log_perplexity) < 1 / perplexity.BINS for k in range(20))
+    middles = [(got[k].band_low + got[k].band_high) / 2 for k in (20, 21)]
+    assert abs(middles[0] - middles[1]) < 1e-9 and len(got) == 22
+
+
 def test_licenses_of_awkward_rows(spark, awkward):
     got = {r.doc_id: r for r in licenses.license_scan(awkward).collect()}
     r = got[8]

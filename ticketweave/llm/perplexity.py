@@ -13,7 +13,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +25,9 @@ ORDER, SYMBOL_BITS = 4, 5
 WIDE, POINT_BITS = 4, 21
 #: Counts that a task holds before it sends them on.
 SENT = 4_000_000
-#: Languages with a model and band of their own, by number of documents; all further ones and null share one more.
-MODELS = 15
+#: N-grams that a language needs for a model and band of its own, however many languages there are: about five pages of text.
+#: Those with fewer share one with null.
+LEAST = 10_000
 OTHER = "\0other"
 #: Half width of a band in robust deviations, and what is added for short texts (over the root of the n-grams).
 WIDTH, SHORT = 5.0, 2.0
@@ -234,10 +234,9 @@ def log_probabilities(counted: DataFrame) -> DataFrame:
 
 
 def _models(requests: DataFrame) -> DataFrame:
-    """(lang, model): its language, or the common one, by number of n-grams."""
+    """(lang, model): every language has its own, but those of fewer than ``LEAST`` n-grams share the common one with null."""
     totals = requests.groupBy("lang").agg(F.sum("n").alias("n"))
-    top = totals.filter(F.col("lang") != OTHER).orderBy(F.desc("n"), "lang").limit(MODELS).select("lang", F.col("lang").alias("model"))
-    return settle(totals.join(top, "lang", "left").select("lang", F.coalesce("model", F.lit(OTHER)).alias("model")), "models")
+    return settle(totals.select("lang", F.when(F.col("n") >= LEAST, F.col("lang")).otherwise(OTHER).alias("model")), "models")
 
 
 def word_rules(text: str | None) -> tuple[int, int, int, int, int]:
