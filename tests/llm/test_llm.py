@@ -260,6 +260,16 @@ def test_licenses_of_awkward_rows(spark, awkward):
     assert licenses.license_scan(awkward.limit(0)).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    """Notices wrapped over lines had no label; words that are only near a line's end are still no notice."""
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that"]
+    texts = ["# Copyright\n# " + "\n#\n# ".join(bsd) + "\nthe following", "\n".join(" ".join(bsd).split()), "Released under\n\nthe MIT license", "mit von vielen anderen Worten " * 3 + "\nlicensed under the apache license",
+             "redistribution and use\n" + "other words of a text\n" * 9 + "in source and binary forms, with or without modification, are", "x" * 9 + "\n"]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(6)] == ["bsd", "bsd", "mit", "", "", ""]
+    assert [got[i].score for i in range(3)] == [1.0, 1.0, 1.0] and got[0].blocks[0].block == 1
+
+
 def test_token_files_round_trip(spark, awkward, scratch):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     encoder = ChunkEncoder(path)
