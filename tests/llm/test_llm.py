@@ -52,6 +52,18 @@ def test_main_text_leaves_everything_else():
     assert html_text.main_text("plain &lt;text&gt; only") == "plain <text> only"
 
 
+def test_regions_compete_by_content():
+    """One article took a page whatever it held, and lines outside it were lost."""
+    body = "<p>" + "long text of the main part with many words in one line, " * 4 + "</p>"
+    teaser = '<article class="card"><h3>More</h3><p>Short teaser</p></article>'
+    got = html_text.main_text(f"<main><h1>Head</h1>{body * 3}{teaser}</main>")
+    assert got.startswith("Head long text") and got.count("long text") == 12 and "teaser" not in got
+    assert html_text.main_text(f"<article>{body}</article><article>{body}</article>").count("long text") == 8
+    assert html_text.main_text(f"<div>{body * 3}</div>{teaser}").count("long text") == 12
+    links = "<p><a href=x>a</a> <a href=x>b</a> <a href=x>c</a> <a href=x>d</a></p>" * 9
+    assert html_text.main_text(f"<article>{body * 3}{links}</article>").count(" a b c d") < 9
+
+
 def test_pages_agree_with_their_articles(spark):
     import html
     rows = html_text.extract_pages(spark.read.parquet(f"{ROOT}/pages.parquet")).collect()

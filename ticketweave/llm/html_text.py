@@ -1,10 +1,11 @@
 """Main text of web pages: parser events become lines, and the ratio of text to tags tells content from the rest.
 
 The standard library's parser streams start tags, data and end tags. Each block element starts a line; a line knows its
-characters, its tags and the region it stands in (an article, the main part, or the body). Elements that never hold main
+characters, its tags (but for emphasis) and the region it stands in (an article, the main part, or the body). Elements that never hold main
 text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are left out by name, role or
-class. Ratios of the other lines are smoothed with a Gaussian, two clusters give the threshold, and the region with the most
-text above it is the article: all its lines are kept.
+class. Ratios of the other lines are smoothed with a Gaussian, two clusters give the threshold; lines of a marked region count
+for more, its headings and lines with no tags but a block's own are content. Regions of any kind compete by their text of
+content: the best one and those near it are kept, each from its first to its last line of content.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol "
                   "optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+EMPHASIS = frozenset("abbr b cite code em i mark q s small strong sub sup u".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements, roles and name parts that mark anything but main text.
 SKIPPED = frozenset("aside audio button canvas dialog footer form head iframe input label menu nav noscript object script select style svg template textarea title video".split())
@@ -28,6 +30,9 @@ SKIPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo di
 SKIPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer gdpr header masthead menu modal "
                           "nav navbar navigation newsletter notice notices pagination pager popup promo promotion related reply replies respond share sharing sidebar signup social sponsor sponsored "
                           "subscribe subscription toc toolbar widget".split())
+#: How much more a line counts that stands in an article or main part, and the share of the best region's content that takes
+#: another region along.
+PRIOR, SHARE = 4.0, 0.5
 KEPT = frozenset("html body main article".split())
 CLOSED_BY_BLOCK = frozenset("p".split())
 _NEGATED = re.compile(r"\b(?:no|has|with|without)[-_](?:\w+)")
@@ -39,11 +44,11 @@ def _names(value: str | None) -> set[str]:
 
 
 class LineParser(HTMLParser):
-    """Streams a page into lines (region, text, tags); regions are numbered, 0 is what stands in no article or main part."""
+    """Streams a page into lines (region, text, tags, heading); regions are numbered, 0 is what stands in no article or main part."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[int, str, int]] = []
+        self.lines: list[tuple[int, str, int, bool]] = []
         self.kinds = [""]
         self._open: list[tuple[str, bool, int]] = []
         self._skip = self._region = self._tags = 0
@@ -54,7 +59,7 @@ class LineParser(HTMLParser):
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                self.lines.append((self._region, text, self._tags))
+                self.lines.append((self._region, text, self._tags, self._heading))
                 self._tags = 0
             self._text = []
 
@@ -66,10 +71,11 @@ class LineParser(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self._line()
+            self._heading = tag in HEADINGS
             if self._open and self._open[-1][0] in CLOSED_BY_BLOCK and tag != "br":
                 self._pop()
-        if not self._skip:
-            self._tags += 1
+        counted = not self._skip and tag not in EMPHASIS
+        self._tags += counted
         if tag in VOID:
             return
         given = dict(attrs)
@@ -78,6 +84,8 @@ class LineParser(HTMLParser):
         if attrs and (tag not in KEPT and tag not in HEADINGS or tag == "article" and in_article):
             named = (_names(given.get("class")) | _names(given.get("id"))) & SKIPPED_NAMES
             skipped = skipped or bool(named) and not (in_article and named == {"header"})
+        if skipped and counted:
+            self._tags -= 1  # what is left out says nothing about the line after it
         self._open.append((tag, skipped, self._region))
         self._skip += skipped
         if tag in ("article", "main") and not self._skip and not in_article:
@@ -91,7 +99,8 @@ class LineParser(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self._line()
-        if not self._skip:
+            self._heading = False
+        if not self._skip and tag not in EMPHASIS:
             self._tags += 1
         if any(t == tag for t, _, _ in self._open):
             while self._open[-1][0] != tag:
@@ -136,20 +145,18 @@ def main_text(html: str | None, sigma: float = 1.5) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    level = smoothed(np.array([len(text) / max(1, tags) for _, text, tags in lines]), sigma)
-    content = level >= threshold(level)
+    level = smoothed(np.array([len(text) / max(1, tags) for _, text, tags, _ in lines]), sigma)
+    marked = np.array([region > 0 for region, _, _, _ in lines])
+    content = (level * np.where(marked, PRIOR, 1.0) >= threshold(level)) | marked & np.array([heading or tags <= 2 for _, _, tags, heading in lines])
     scores = [0] * len(parser.kinds)
-    for (region, text, _), is_content in zip(lines, content):
+    for (region, text, _, _), is_content in zip(lines, content):
         scores[region] += len(text) if is_content else 0
-    sizes = [sum(len(t) for r, t, _ in lines if r == k) for k in range(len(parser.kinds))]
-    for kind in ("article", "main"):
-        regions = [k for k, name in enumerate(parser.kinds) if name == kind and sizes[k]]
-        if regions:
-            best = max(regions, key=lambda k: (scores[k], sizes[k], -k))
-            return " ".join(text for region, text, _ in lines if region == best)
-    # No marked region: everything between the first and the last line of content.
-    at = np.flatnonzero(content)
-    return " ".join(text for _, text, _ in lines[at[0]:at[-1] + 1])
+    spans = {}
+    for at in np.flatnonzero(content):
+        region = lines[at][0]
+        if scores[region] >= SHARE * max(scores):
+            spans[region] = spans.get(region, (at, at))[0], at
+    return " ".join(text for at, (region, text, _, _) in enumerate(lines) if region in spans and spans[region][0] <= at <= spans[region][1])
 
 
 def extract_main_text(html: Column) -> Column:
