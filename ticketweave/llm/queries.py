@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketweave.llm import chat, exact_dedup, html_text, licenses, mixing, near_dedup, packing, perplexity, token_files, toxicity
+from ticketweave.llm import chat, embedding_dedup, exact_dedup, fill_in_middle, html_text, licenses, mixing, near_dedup, packing, perplexity, phrases, token_files, toxicity
 from ticketweave.llm.common import crc32_of_ids, shared_folder, small_batches
 from ticketweave.session import prepare
 
@@ -133,3 +133,45 @@ def op6_perplexity_bands(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_near_dedup")
 def op3_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, root, "documents"), words=3, percent=85)
+
+
+@query("op11_phrases", rf"""
+    WITH docs AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, {_LOW} AS t FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM docs),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    grams AS (SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m),
+    counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+    cuts AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM counts WHERE len(g) > 1),
+    scored AS (
+        SELECT c.lang, c.g, c.a, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score, k
+        FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN counts y ON y.lang = c.lang AND y.g = c.g[k + 1:] JOIN totals t ON t.lang = c.lang),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    spans AS (SELECT lang, g, f, unnest(range(2, len(g))) AS m FROM counts WHERE len(g) > 2),
+    inside AS (SELECT lang, f, unnest(list_transform(range(1, len(g) - m + 2), lambda i: g[i:i + m - 1])) AS g FROM spans),
+    longer AS (SELECT lang, g, max(f) AS f FROM inside GROUP BY lang, g),
+    kept AS (SELECT lowest.*, array_to_string(lowest.g, ' ') AS phrase FROM lowest LEFT JOIN longer ON longer.lang = lowest.lang AND longer.g = lowest.g WHERE longer.f IS NULL OR 100 * longer.f < 100 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept QUALIFY rank <= 2000""")
+def op11_phrases(spark: SparkSession, root: str) -> DataFrame:
+    return phrases.collocations(table(spark, root, "documents"))
+
+
+@query("op13_fill_in_middle", r"""
+    WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    numbers AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM hashed),
+    formed AS (
+        SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+            CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM numbers),
+    parts AS (SELECT *, substring(t, 1, low) AS p, substring(t, low + 1, high - low) AS m, substring(t, high + 1, n) AS s FROM formed)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256
+    FROM parts""")
+def op13_fill_in_middle(spark: SparkSession, root: str) -> DataFrame:
+    done = fill_in_middle.restored(fill_in_middle.transform(table(spark, root, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("op12_embedding_dedup")
+def op12_embedding_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return embedding_dedup.near_equal_vectors(table(spark, root, "embeddings"))
