@@ -129,6 +129,34 @@ def test_near_duplicates_of_awkward_rows(spark, awkward):
     assert kept.columns == awkward.columns and near_dedup.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_keys(spark):
+    """A null key lost a link, and two texts under one key were taken for one document."""
+    base = [f"w{i}" for i in range(300)]
+    edit = lambda at: " ".join(["other" if i == at else w for i, w in enumerate(base)])
+    far = " ".join(f"v{i}" for i in range(300))
+    rows = [(5, " ".join(base), "a"), (None, edit(150), "b"), (7, edit(40), "c"), (7, far, "d"), (8, far + " more", "e"), (None, "quite alone here", "f"), (9, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    got = {r.mark_: (r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, words=3, percent=85).withColumnRenamed("mark", "h").join(
+        docs.select(F.col("mark").alias("mark_"), F.xxhash64("text").alias("h")), "h").collect()}
+    assert got == {"a": (5, True), "b": (5, False), "c": (5, False), "d": (7, True), "e": (7, False), "f": (None, True), "g": (9, True)}
+    kept = near_dedup.keep_one_of_near(docs, words=3, percent=85)
+    assert kept.columns == docs.columns and sorted(r.mark for r in kept.collect()) == ["a", "d", "f", "g"]
+
+
+def test_a_group_around_the_threshold_is_whole(spark):
+    """Many copies of one text, each edited so that about a third of the pairs are links: rounds of pivots, then the rest."""
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for _ in range(rng.integers(1, 5)):
+            text[rng.integers(0, 120)] = f"x{rng.integers(0, 10_000)}"
+        rows.append((i, " ".join(text)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, 80)
+
+
 def check_pieces(pieces, ids_of, window):
     for doc in {p.doc_id for p in pieces}:
         mine = sorted((p for p in pieces if p.doc_id == doc), key=lambda p: p.start)

@@ -1,11 +1,13 @@
 """Near duplicates by HyperMinHash signatures, and the connected groups they form.
 
 A document's set of word shingles is dealt to registers; each keeps the smallest hash as its count of leading zeros and the
-mantissa bits that follow. Some registers in a row make a band, and documents that share a band meet. So that a group of many
-copies is never paired with itself, equal sets are one node from the start, every node first meets only the most connected
-node of its bands, and later only nodes of other groups in its bands whose sizes and two lowest bits of every register allow
-a link: the join itself tests both, which drops most pairs of documents that only share a passage. Pairs whose
-collision-corrected estimate is hopeless are left; all others are verified on their full sets, which only they need.
+mantissa bits that follow. Some registers in a row make a band, and documents that share a band meet. Equal sets are one node,
+named by their content. So that a large group is never paired with itself, some rounds only let nodes meet pivots: first every
+node meets the most connected node of its bands, then nodes meet a few members of the largest groups in their bands that are
+not theirs; links found join groups, and bands left with one group drop out. What is left of other groups in a band then meets
+whole. There the join itself tests sizes, a parity sketch of the sets and two bits of every register, which drops most pairs
+of documents that only share a passage. Pairs whose collision-corrected estimate is hopeless are left; all others are
+verified on their full sets, which only they need.
 """
 
 from __future__ import annotations
@@ -14,14 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketweave.llm.common import settle, small_batches
 
 REGISTERS, MANTISSA_BITS = 256, 10
 BUCKET_BITS = REGISTERS.bit_length() - 1
-#: Standard deviations that an estimate may lie below the threshold before a pair is left unverified.
+#: Bits of the parity sketch: each shingle turns one bit over, so two sketches differ where only one set has shingles.
+SKETCH_BITS = 1024
+#: Rounds, while one pair in ten is a link, in which nodes meet pivots of other groups, and how many of them a node meets in a round.
+ROUNDS, PIVOTS = 4, 8
+#: Standard deviations that an estimate may lie below the threshold before a pair is left unverified. A pair right at the
+#: threshold is left so with a chance of about one in a billion by each of the three tests.
 SLACK = 6.0
 #: Share of registers that agree by chance for sets of equal size, times 2 to the mantissa bits (published constant).
 COLLISION = 0.169919487159739093975315012348
@@ -100,25 +107,37 @@ def bit_planes(found: np.ndarray) -> np.ndarray:
     return np.packbits(planes, axis=1, bitorder="little").view("<i8").ravel()
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _name(shingles: np.ndarray) -> tuple[int, int]:
+    """The set's own name, 128 bits of hash as two integers."""
+    import xxhash
+
+    name = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
+
+
 def _signatures(words: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shingles = Shingler(words)
+        none = np.empty(0, "<i8")
         for batch in batches:
-            sizes, first, second, found, planes, bands = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            sizes, names, found, planes, sketches, bands = [], [], [], [], [], []
+            for text in batch.column(2).to_pylist():
                 s = shingles(text)
-                name = xxhash.xxh3_128_digest(s.tobytes())
                 sizes.append(len(s))
-                first.append(int.from_bytes(name[:8], "little", signed=True))
-                second.append(int.from_bytes(name[8:], "little", signed=True))
-                kept = registers(s) if len(s) else np.empty(0, "<u2")
-                found.append(kept.view("<i8"))
-                planes.append(bit_planes(kept) if len(s) else np.empty(0, "<i8"))
-                bands.append(band_values(kept, rows))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, planes, bands)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (sizes, first, second)], *lists], names=["id", "n", "d1", "d2", "registers", "planes", "bands"])
+                names.append(_name(s))
+                kept = registers(s) if len(s) else None
+                found.append(kept.view("<i8") if len(s) else none)
+                planes.append(bit_planes(kept) if len(s) else none)
+                sketches.append(parity_sketch(s) if len(s) else none)
+                bands.append(band_values(kept, rows) if len(s) else none)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, planes, sketches, bands)]
+            longs = [pa.array(x, pa.int64()) for x in (sizes, [a for a, _ in names], [b for _, b in names])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, *lists], names=["id", "mark", "n", "d1", "d2", "registers", "planes", "sketch", "bands"])
 
     return run
 
@@ -127,7 +146,10 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).view("<i8") for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "shingles"])
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            names = [_name(s) for s in found]
+            longs = [pa.array(x, pa.int64()) for x in ([len(s) for s in found], [a for a, _ in names], [b for _, b in names])]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array([s.view("<i8") for s in found], pa.list_(pa.int64()))], names=["n", "d1", "d2", "shingles"])
 
     return run
 
@@ -159,78 +181,122 @@ def _hopeful(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Colu
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (estimate >= t - SLACK * F.sqrt(F.lit(t * (1 - t)) / seen))
 
 
+def _few_odd(n: Column, m: Column, differ: Column, percent: int) -> Column:
+    """Whether two sketches that differ in ``differ`` bits may belong to sets of ``n`` and ``m`` shingles at the threshold."""
+    bits, d = float(SKETCH_BITS), (n + m) * ((100 - percent) / (100 + percent))
+    a, b = F.pow(F.lit(1 - 2 / bits), d), F.pow(F.lit(1 - 4 / bits), d)
+    mean = (1 - a) * (bits / 2)
+    variance = mean + (1 - 2 * a + b) * (bits * (bits - 1) / 4) - mean * mean
+    return differ <= mean + SLACK * F.sqrt(F.greatest(variance, F.lit(1.0)))
+
+
 def _compatible(percent: int) -> Column:
-    """Whether sizes and bit planes of two nodes, columns with and without ``_b``, may belong to a pair at the threshold."""
+    """Whether sizes, sketches and bit planes of two nodes, columns with and without ``_b``, may belong to a pair at the threshold."""
     half = REGISTERS // 64
+    odd = sum(F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"o{k}_b"))) for k in range(SKETCH_BITS // 64))
     differ = sum(F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_b")).bitwiseOR(F.col(f"p{k + half}").bitwiseXOR(F.col(f"p{k + half}_b")))) for k in range(half))
     share = 0.75 * (1 - percent / 100)
     most = REGISTERS * (share + SLACK * (share * (1 - share)) ** 0.5 / F.sqrt(F.least(F.col("n_b"), F.lit(REGISTERS))))
-    return (100 * F.col("n") >= percent * F.col("n_b")) & (differ <= most)
+    return (100 * F.col("n") >= percent * F.col("n_b")) & _few_odd(F.col("n"), F.col("n_b"), odd, percent) & (differ <= most)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) among ``pairs`` whose estimate leaves hope."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("registers").alias(f"registers_{s}"), F.col("n").alias(f"n_{s}"))
+    """Pairs (a, b, n_a, n_b) among ``pairs`` whose sketches and estimate leave hope."""
+    side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("registers", "sketch", "n")])
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.filter(_hopeful(F.col("registers_a"), F.col("registers_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
-
-
-def _verified(pairs: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) among ``pairs`` whose full sets reach ``percent`` percent."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = settle(src.join(asked, "id", "left_semi").mapInArrow(_sets(words), f"id {src.schema['id'].dataType.simpleString()}, shingles array<long>"), "sets")
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    odd = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & _few_odd(F.col("n_a"), F.col("n_b"), odd, percent)
+    return met.filter(alike).filter(_hopeful(F.col("registers_a"), F.col("registers_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) among ``pairs`` whose full sets reach ``percent`` percent. A set is found again by a key, and told by its name."""
+    asked = settle(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "n", "d1", "d2", F.struct("low").alias("_low")), "asked")
+    texts = src.select(F.struct(F.col("id").alias("low")).alias("_low"), "text").join(asked.select("_low").distinct(), "_low", "left_semi")
+    sets = texts.mapInArrow(_sets(words), "n long, d1 long, d2 long, shingles array<long>")
+    sets = settle(sets.join(asked.drop("_low"), ["n", "d1", "d2"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return full.withColumn("both", both).filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
+def _pair(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _pivot_pairs(met: DataFrame, group: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of nodes and members of the largest groups in their bands that are not their own: few for each node."""
+    sizes = group.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    known = group.join(sizes, "component")
+    rank = F.struct(F.coalesce("members", F.lit(1)).alias("members"), F.xxhash64("node", F.lit(turn)).alias("draw"), "node", F.coalesce("component", "node").alias("component"))
+    grouped = met.select("node", "band", "value").join(known, "node", "left").select("band", "value", "node", rank.alias("rank"))
+    pivots = grouped.groupBy("band", "value").agg(F.max("rank").alias("top"), F.min("rank.component").alias("lo"), F.max("rank.component").alias("hi")).filter("lo <> hi")
+    asked = grouped.join(pivots.select("band", "value", "top"), ["band", "value"]).filter("rank.component <> top.component").select("node", "top").distinct()
+    best = Window.partitionBy("node").orderBy(F.desc("top"))  # a node has as many rows as bands at most
+    return asked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select(*_pair(F.col("node"), F.col("top.node"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, mark (64 bits of hash of the row's text).
 
     Words are what lies between ASCII white space after lower-casing A-Z; a text with fewer than ``words`` words is one
     shingle, one without words has none and is linked with nothing. Documents are linked when 100 * intersection >= percent *
-    union of their shingle sets. ``component_id`` is the smallest key reachable; the row with that key is kept. Rows that
-    repeat a key are looked at one by one. A null key is never a component's name unless all its members lack one.
+    union of their shingle sets. ``component_id`` is the smallest key reachable; the row with that key is kept. Texts are told
+    apart by their sets, not their keys: rows that repeat a key are looked at one by one, and rows without a key link like any
+    others. A null key never is a component's name unless all its members lack one; then they are all kept. Other columns
+    are not looked at; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    signed = settle(src.mapInArrow(_signatures(words, band_rows(percent)), f"id {kind}, n long, d1 long, d2 long, registers array<long>, planes array<long>, bands array<long>"), "signatures")
+    src = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    lists = ", ".join(f"{c} array<long>" for c in ("registers", "planes", "sketch", "bands"))
+    signed = settle(src.mapInArrow(_signatures(words, band_rows(percent)), f"id {kind}, mark long, n long, d1 long, d2 long, {lists}"), "signatures")
     name = ["n", "d1", "d2"]
-    nodes = settle(signed.filter("n > 0").groupBy(*name).agg(F.min("id").alias("node"), F.first(F.struct("registers", "planes", "bands")).alias("s")).select(*name, "node", "s.*").filter("node IS NOT NULL"), "nodes")
-    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
+    named = signed.filter("n > 0").groupBy(*name).agg(F.min("id").alias("low"), F.first(F.struct("registers", "planes", "sketch", "bands")).alias("s"))
+    nodes = settle(named.select(F.monotonically_increasing_id().alias("node"), *name, "low", "s.*"), "nodes")
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     crowds = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = settle(rows.join(crowds, ["band", "value"]), "bands")
     centre = settle(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    ranked = F.struct("weight", (-F.col("node")).alias("low"), "node") if kind in ("bigint", "int", "smallint", "tinyint") else F.struct("weight", "node")
     met = settle(met.join(centre, "node"), "weighted")
-    pivots = met.groupBy("band", "value").agg(F.max(ranked).alias("top"))
     # Each node against one pivot: the most connected among those of its bands, itself left out.
+    pivots = met.groupBy("band", "value").agg(F.max(F.struct("weight", "node")).alias("top"))
     best = met.join(pivots, ["band", "value"]).filter("node <> top.node").groupBy("node").agg(F.max("top").alias("top"))
-    pairs = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    hopeful = settle(_estimated(best.select(*pairs(F.col("node"), F.col("top.node"))).distinct(), nodes, percent), "hopeful-1")
-    first = settle(_verified(hopeful, src, words, percent), "links-1")
-    group = components(first)
+    links = settle(_verified(settle(_estimated(best.select(*_pair(F.col("node"), F.col("top.node"))).distinct(), nodes, percent), "hopeful"), nodes, src, words, percent), "links")
+    group = components(links)
+    for turn in range(ROUNDS):
+        hopeful = settle(_estimated(_pivot_pairs(met, group, turn), nodes, percent), "hopeful")
+        found = settle(_verified(hopeful, nodes, src, words, percent), "links")
+        links = links.unionByName(found)
+        if 10 * found.count() < hopeful.count() or hopeful.isEmpty():  # what still meets is mostly not alike: pivots find no more
+            break
+        group = components(links)
+    group = components(links)
     grouped = met.select("node", "band", "value").join(group, "node", "left").select("band", "value", "node", F.coalesce("component", "node").alias("component"))
     mixed = grouped.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
     # Sizes of linked sets are less than two steps of this scale apart; the smaller set of a pair looks for the larger one.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int").alias("step")
-    planes = [F.get("planes", F.lit(k)).alias(f"p{k}") for k in range(REGISTERS // 32)]
-    grouped = settle(grouped.join(mixed, ["band", "value"], "left_semi").join(nodes.select("node", "n", step, *planes), "node"), "mixed")
+    bits = [F.get(c, F.lit(k)).alias(f"{s}{k}") for c, s, size in (("planes", "p", REGISTERS // 32), ("sketch", "o", SKETCH_BITS // 64)) for k in range(size)]
+    grouped = settle(grouped.join(mixed, ["band", "value"], "left_semi").join(nodes.select("node", "n", step, *bits), "node"), "mixed")
     larger = grouped.select("band", "value", F.explode(F.array("step", F.col("step") - 1)).alias("step"), *[F.col(c).alias(f"{c}_b") for c in grouped.columns if c not in ("band", "value", "step")])
     apart = (F.col("component") != F.col("component_b")) & ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") < F.col("node_b"))))
-    rest = grouped.join(larger, ["band", "value", "step"]).filter(apart & _compatible(percent)).select(*pairs(F.col("node"), F.col("node_b"))).distinct()
-    second = settle(_verified(settle(_estimated(rest, nodes, percent), "hopeful-2"), src, words, percent), "links-2")
-    label = components(first.unionByName(second))
-    named = nodes.join(label, "node", "left").select(*name, F.coalesce("component", "node").alias("component"))
-    out = signed.join(named, name, "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rest = grouped.join(larger, ["band", "value", "step"]).filter(apart & _compatible(percent)).select(*_pair(F.col("node"), F.col("node_b"))).distinct()
+    last = _verified(settle(_estimated(rest, nodes, percent), "hopeful"), nodes, src, words, percent)
+    label = components(links.unionByName(last))
+    group = nodes.select("node", *name, "low").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = group.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = signed.select("id", "mark", *name).join(group.join(lowest, "component").select(*name, "component_id"), name, "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "mark")
 
 
 def keep_one_of_near(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, all columns as they were."""
-    kept = near_duplicates(docs, key, text, words, percent).filter("kept").select(F.struct(F.col("doc_id").alias("id")).alias("_kept")).distinct()
-    marked = docs.select(F.struct("*").alias("_doc"), F.struct(F.col(key).alias("id")).alias("_mine"))
+    """The rows of ``docs`` that stay, one document of each group, all columns as they were.
+
+    A row is found again by its key and a hash of its text, so that of different texts under one key each has its own fate;
+    rows that repeat both stay or go together.
+    """
+    kept = near_duplicates(docs, key, text, words, percent).filter("kept").select(F.struct(F.col("doc_id").alias("id"), "mark").alias("_kept")).distinct()
+    marked = docs.select(F.struct("*").alias("_doc"), F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark")).alias("_mine"))
     return marked.join(kept, F.col("_mine").eqNullSafe(F.col("_kept")), "left_semi").select("_doc.*")

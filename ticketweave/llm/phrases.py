@@ -25,8 +25,8 @@ from ticketweave.llm.common import settle, small_batches
 
 #: Pieces end at these and at line feeds.
 SEPARATORS = [".", ",", ";", ":", "!", "?", "\v", "\f", "\r"]
-#: A bit field has 2 to this many bits (1 MB; 15 at least), whatever the corpus holds.
-FIELD_BITS = 23
+#: A bit field has 2 to this many bits (8 MB; 15 at least), whatever the corpus holds.
+FIELD_BITS = 26
 #: Text a task looks at together, and suffixes it gathers before it sends the distinct ones.
 CHUNK_BYTES, GATHERED = 8 << 20, 1 << 20
 NO_LANGUAGE = "und"
@@ -42,6 +42,16 @@ def _slot(x: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(x) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+class BitField:
+    """Whether slots are set in a packed field."""
+
+    def __init__(self, packed: bytes):
+        self.packed = np.frombuffer(packed, np.uint8)
+
+    def __call__(self, slots: np.ndarray) -> np.ndarray:
+        return (self.packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
 class Chunk:
     """Words of some texts in order: ``code`` (0 where a piece ends, else 1 + place in ``words``), ``owner`` (place in ``langs``)."""
 
@@ -69,9 +79,9 @@ class Chunk:
     def pair_slots(self, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _slot(_mix(self.hash[a] + self.lang_hash[owner]) + self.hash[b], self.bits)
 
-    def pairs(self, words: np.ndarray) -> np.ndarray:
+    def pairs(self, words: BitField) -> np.ndarray:
         """For each place, whether it and the next hold words that ``words`` lets pass."""
-        passed = (self.code > 0) & words[self.word_slots(self.owner, self.code)]
+        passed = (self.code > 0) & words(self.word_slots(self.owner, self.code))
         return passed & np.append(passed[1:], False)
 
 
@@ -105,7 +115,7 @@ def _word_counts(seed: int, bits: int):
 
 def _pair_counts(seed: int, bits: int, words: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.unpackbits(np.frombuffer(words, np.uint8), bitorder="little").astype(bool)
+        field = BitField(words)
         for c in _chunks(batches, seed, bits):
             at = np.flatnonzero(c.pairs(field))
             size = len(c.hash)
@@ -120,7 +130,7 @@ def _suffixes(seed: int, bits: int, words: bytes, pairs: bytes, longest: int):
     names = ["lang", *(f"w{i}" for i in range(longest))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, pair_field = (np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little").astype(bool) for x in (words, pairs))
+        field, pair_field = BitField(words), BitField(pairs)
         held, rows = [], 0
 
         def distinct() -> Iterator[pa.RecordBatch]:
@@ -130,7 +140,7 @@ def _suffixes(seed: int, bits: int, words: bytes, pairs: bytes, longest: int):
         for c in _chunks(batches, seed, bits):
             good = c.pairs(field)
             at = np.flatnonzero(good)
-            good[at] = pair_field[c.pair_slots(c.owner[at], c.code[at], c.code[at + 1])]
+            good[at] = pair_field(c.pair_slots(c.owner[at], c.code[at], c.code[at + 1]))
             starts = np.flatnonzero(good & np.append(good[1:], False))
             alive, columns = np.ones(len(starts), dtype=bool), []
             for i in range(longest):
@@ -197,7 +207,7 @@ def _sorted_counts(least: int, longest: int, leading: int):
 
 
 def _field(slots: DataFrame, bits: int) -> bytes:
-    """Bits of the slots in ``slots``, gathered as bitmaps of 4 KB: 1 MB at most."""
+    """Bits of the slots in ``slots``, gathered as bitmaps of 4 KB: 2 to ``bits`` bits at most."""
     at = F.col("slot") + 1
     rows = slots.groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
     field = bytearray(1 << (bits - 3))

@@ -132,7 +132,7 @@ def op6_perplexity_bands(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op3_near_dedup")
 def op3_near_dedup(spark: SparkSession, root: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, root, "documents"), words=3, percent=85)
+    return near_dedup.near_duplicates(table(spark, root, "documents"), words=3, percent=85).drop("mark")
 
 
 @query("op11_phrases", rf"""
