@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ticketweave.llm import chat, exact_dedup, html_text, licenses, mixing, near_dedup, packing, perplexity, queries, token_files, toxicity
 from ticketweave.llm.tokens import ChunkEncoder
+from tokenizers import Tokenizer
 
 ROOT = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row int"
@@ -173,9 +174,9 @@ def check_pieces(pieces, ids_of, window):
 
 def test_packing(spark, awkward, documents):
     path = queries.tokenizer_path("word_bpe_49k.json")
-    encoder = ChunkEncoder(path)
+    library = Tokenizer.from_file(path)
     for df, window in ((awkward, 64), (documents, 4096)):
-        ids = {r.doc_id: encoder.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2] for r in df.collect()}
+        ids = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids + [2] for r in df.collect()}
         pieces = packing.pack(df, path, window=window, open_windows=16).collect()
         check_pieces(pieces, ids, window)
         used = sum(p.length for p in pieces)
@@ -312,7 +313,7 @@ def test_licenses_wrapped_over_lines(spark):
 
 def test_token_files_round_trip(spark, awkward, scratch):
     path = queries.tokenizer_path("byte_bpe_50k.json")
-    encoder = ChunkEncoder(path)
+    library = Tokenizer.from_file(path)
     for mode in ("bit", "byte"):
         folder = f"file://{scratch}/{mode}"
         token_files.write_token_files(awkward, folder, path, block_ids=1000, mode=mode)
@@ -322,7 +323,7 @@ def test_token_files_round_trip(spark, awkward, scratch):
             assert r.start == at and r.n_tokens == len(r.ids)
             at += r.n_tokens
         assert [r.doc_id for r in got] == sorted((r[0] for r in AWKWARD), key=lambda x: (x is not None, x or 0))
-        want = Counter((r[0], tuple(encoder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2])) for r in AWKWARD)
+        want = Counter((r[0], tuple(library.encode(r[1] or "", add_special_tokens=False).ids + [2])) for r in AWKWARD)
         assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
         assert Counter(x for r in token_files.read_token_files(spark, folder).collect() for x in r.ids) == Counter(x for r in got for x in r.ids)
     ids = np.array([0, 1, 50256, 7], dtype="<u4")

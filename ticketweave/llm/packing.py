@@ -7,6 +7,7 @@ where it passes a window's edge, so one open window a task is left, and so on un
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from ticketweave.llm.common import settle, small_batches
 
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 128, 2
-_COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "left", "ids"]
-_PIECE = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, left boolean, ids array<int>"
+_COLUMNS = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "left", "crc32", "ids"]
+_PIECE = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, left boolean, crc32 long, ids array<int>"
 #: Open windows packed again by one task.
 MERGE_WINDOWS = 4096
 
@@ -55,6 +56,10 @@ class OpenWindows:
         return list(self.held.values())
 
 
+def _crc32(ids: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
+
+
 def _batch(windows: list[tuple[int, bool, list]], kind: pa.DataType) -> pa.RecordBatch:
     """Rows of (sequence, still open, pieces); a piece is (doc_id, start, doc_tokens, ids)."""
     docs, starts, lengths, totals, sequences, offsets, open_, ids = [], [], [], [], [], [], [], []
@@ -73,7 +78,7 @@ def _batch(windows: list[tuple[int, bool, list]], kind: pa.DataType) -> pa.Recor
     bounds = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
     lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids).astype("int32")))
     longs = [pa.array(x, pa.int64()) for x in (starts, lengths, totals, sequences, offsets)]
-    return pa.RecordBatch.from_arrays([pa.array(docs, kind), *longs, pa.array(open_), lists], names=_COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(docs, kind), *longs, pa.array(open_), pa.array([_crc32(x) for x in ids], pa.int64()), lists], names=_COLUMNS)
 
 
 def _sequence_base(level: int) -> int:
@@ -85,12 +90,12 @@ def _pack_documents(path: str, window: int, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ticketweave.llm.tokens import encoder
 
-        encode, base, n, open_windows, kind = encoder(path).encode, _sequence_base(0), 0, OpenWindows(window, most), None
-        end = end_id.to_bytes(4, "little")
+        encode, base, n, open_windows, kind = encoder(path).encode_batch, _sequence_base(0), 0, OpenWindows(window, most), None
         for batch in batches:
             done, kind = [], batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(encode(text) + end, dtype="<u4")
+            encoded, bounds = encode(batch.column(1), end_id)
+            for doc, low, high in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids = encoded[low:high]
                 for start in range(0, len(ids), window):
                     part = ids[start:start + window]
                     for pieces in open_windows.place((doc, start, len(ids), part), len(part)):
@@ -130,7 +135,7 @@ def _merge_open(window: int, level: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, open_windows: int = OPEN_WINDOWS, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, crc32 (of the ids as little-endian 32-bit integers), ids.
 
     A document is its token ids and ``end_id``; null and empty texts are ``end_id`` alone. Documents longer than a window are
     cut into full windows and a rest. Every id lies in exactly one piece; offsets inside a sequence have no gaps. Rows that

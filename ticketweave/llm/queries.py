@@ -109,7 +109,7 @@ def tokenizer_path(name: str) -> str:
 @query("op4_pack_windows")
 def op4_pack_windows(spark: SparkSession, root: str) -> DataFrame:
     pieces = packing.pack(table(spark, root, "documents"), tokenizer_path("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", crc32_of_ids(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.col("crc32").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query("op8_token_files")

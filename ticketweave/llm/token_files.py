@@ -57,11 +57,11 @@ def _write_blocks(path: str, size: int, mode: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ticketweave.llm.tokens import encoder
 
-        encode, end, shard = encoder(path).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        encode, shard = encoder(path).encode_batch, TaskContext.get().partitionId()
         held, pieces, used, block, kind = [], [], 0, 0, None
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            ids = np.concatenate(held)
             width, planes = to_planes(ids, mode)
             piece = pa.list_(pa.struct([("doc_id", kind), *[(c, pa.int64()) for c in ("doc_start", "doc_tokens", "offset", "length")]]))
             longs = [pa.array([x], pa.int64()) for x in (shard, block, block * size, len(ids))]
@@ -71,12 +71,12 @@ def _write_blocks(path: str, size: int, mode: str, end_id: int):
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
-                total, at = len(ids) // 4, 0
+            encoded, bounds = encode(batch.column(1), end_id)
+            for doc, low, high in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                total, at = high - low, 0
                 while at < total:
                     take = min(size - used, total - at)
-                    held.append(ids[4 * at:4 * (at + take)])
+                    held.append(encoded[low + at:low + at + take])
                     pieces.append((doc, at, total, used, take))
                     used, at = used + take, at + take
                     if used == size:
