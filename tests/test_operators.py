@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,13 +31,26 @@ def test_dedupe_similar_matches_sequential_scan(spark):
     assert [r[0] for r in values(out, "id")] == sorted(k[0] for k in kept)
 
 
-def test_phrase_join_agrees_with_automaton(spark):
-    docs = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "xbetax"), (3, None), (4, "zz a")], "id long, txt string")
-    phrases = spark.createDataFrame([("beta",), ("ALPHA b",), ("a",), ("",), ("zz",)], "p string")
-    fast = values(matching.phrase_hits(docs, "id", "txt", phrases, "p"), "id", "phrase")
-    slow = values(matching.phrase_hits(docs, "id", "txt", phrases, "p", limit=1), "id", "phrase")
-    texts, wanted = {1: "alpha beta gamma", 2: "xbetax", 4: "zz a"}, ["beta", "alpha b", "a", "zz"]
-    assert fast == slow == sorted((i, p) for i, t in texts.items() for p in wanted if p in t)
+def test_phrase_join_against_brute_force(spark):
+    rng = random.Random(11)
+    letters = "abc dé漢😀.*("
+    texts = {i: "".join(rng.choice(letters) for _ in range(rng.randrange(90))) for i in range(60)}
+    wanted = {t[i:i + n] for t in texts.values() for n in (1, 2, 3, 4, 5, 9, 17, 40) for i in (rng.randrange(len(t) + 1),)} | {"ABC", "zzzz", "a b zz", "", "x"}
+    rows = list(texts.items()) + [(100, "Alpha beta gamma"), (101, None), (102, ""), (103, "AB")]
+    docs = spark.createDataFrame(rows, "id long, txt string").repartition(4)
+    phrases = spark.createDataFrame([(p,) for p in [*wanted, "BETA", "a\ngamma", None, "ab"]], "p string")
+    want = sorted((i, p) for i, t in rows for p in {w.lower() for w in [*wanted, "beta", "a\ngamma", "ab"]} if t and p and p in t.lower())
+    assert values(matching.phrase_hits(docs, "id", "txt", phrases, "p"), "id", "phrase") == want
+    assert values(matching.phrase_hits(docs, "id", "txt", phrases.limit(0), "p"), "id", "phrase") == []
+    assert values(matching.phrase_hits(docs.limit(0), "id", "txt", phrases, "p"), "id", "phrase") == []
+
+
+def test_phrase_join_with_many_phrases(spark):
+    docs = spark.range(50).select("id", F.concat(L("order "), (C("id") * 6007).cast("string"), L(" was late; part no. "), C("id").cast("string")).alias("txt"))
+    phrases = spark.range(300_000).select(F.concat(L("order "), C("id").cast("string")).alias("p"))
+    got = values(matching.phrase_hits(docs, "id", "txt", phrases, "p"), "id", "phrase")
+    numbers = {i: str(i * 6007) for i in range(50)}
+    assert got == sorted((i, f"order {n[:k]}") for i, n in numbers.items() for k in range(1, len(n) + 1) if int(n[:k]) < 300_000)
 
 
 def test_previous_values_cross_buckets(spark):
@@ -122,12 +136,24 @@ def test_paths_do_not_cycle(spark):
     assert sorted(r.path for r in p.collect()) == [[1], [1, 2], [1, 2, 3]]
 
 
-def test_blocked_vectors_equal_the_one_pass_result(spark):
-    rng = random.Random(1)
-    df = spark.createDataFrame([(i, [rng.random() for _ in range(6)]) for i in range(60)], "id long, v array<float>")
-    a = values(retrieval.knn(df, df.filter("id < 9"), "id", "v", "id", 4), "query_id", "item_id", "rank")
-    b = values(retrieval.knn(df, df.filter("id < 9"), "id", "v", "id", 4, query_limit=2, block_rows=17), "query_id", "item_id", "rank")
-    assert a == b and len(a) == 36
+@pytest.mark.parametrize("pivots,block_bytes,threshold", [(64, 1 << 20, None), (5, 300, None), (1, 1 << 20, None), (9, 2000, 0.7)])
+def test_knn_against_brute_force(spark, pivots, block_bytes, threshold):
+    """Clustered vectors, so that partitions are left out; ties, copies, zero vectors, and vectors of any length."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 4))
+    vectors = [(centres[i % 6] + 0.15 * rng.standard_normal(4)) * rng.uniform(0.1, 9) for i in range(240)] + [[1.0, 0, 0, 0]] * 7 + [[0.0] * 4] * 4
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows + [(999, None)], "id long, v array<double>").repartition(6)
+    m = np.array([v for _, v in rows])
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    sims = np.round(m @ m.T, 6)
+    want = []
+    for q in [i for i in range(len(rows)) if i % 9 == 0 or i > 235]:
+        order = sorted(range(len(rows)), key=lambda j: (-sims[q, j], j))
+        want += [(q, j, r + 1) for r, j in enumerate(order[:4]) if threshold is None or sims[q, j] >= threshold]
+    got = retrieval.knn(df, df.filter("id % 9 = 0 or id > 235"), "id", "v", "id", 4, threshold, pivots=pivots, block_bytes=block_bytes)
+    assert values(got, "query_id", "item_id", "rank") == sorted(want)
+    assert retrieval.knn(df.limit(0), df, "id", "v", "id", 4).count() == retrieval.knn(df, df.limit(0), "id", "v", "id", 4).count() == 0
 
 
 def test_suppression_starts_at_three_reports(spark):

@@ -2,63 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticketweave.functions.text import jaccard, overlap_max
+from ticketweave.lineage import written
 
-# Dictionaries up to this many phrases (checked by a count) travel to the tasks as one automaton.
-DICTIONARY_LIMIT = 200_000
-
-
-def _automaton_scan(docs: DataFrame, key: str, text: str, phrases: list[str]) -> DataFrame:
-    schema = T.StructType([docs.schema[key], T.StructField("phrase", T.StringType())])
+#: Characters of a gram. Shorter phrases are their own grams.
+GRAM = 4
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for p in phrases:
-            machine.add_word(p, p)
-        if phrases:
-            machine.make_automaton()
-        for pdf in batches:
-            keys, hits = [], []
-            if phrases:
-                for k, t in zip(pdf[key], pdf[text]):
-                    found = {p for _, p in machine.iter(t)} if t else ()
-                    keys.extend([k] * len(found))
-                    hits.extend(found)
-            yield pd.DataFrame({key: pd.Series(keys, dtype=pdf[key].dtype), "phrase": pd.Series(hits, dtype="object")})
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters; one pass over the text, whatever its length."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
-    return docs.select(key, F.lower(text).alias(text)).mapInPandas(scan, schema)
 
+def _phrase_grams(phrase: Column) -> Column:
+    return F.when(F.length(phrase) >= GRAM, _grams(phrase, GRAM)).otherwise(F.array(phrase))
 
-def _gram_join(docs: DataFrame, key: str, text: str, phrases: DataFrame) -> DataFrame:
-    """Equi-join on the first three characters of a phrase, then an exact check."""
-    low = docs.select(key, F.lower(text).alias("_t"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1))), lambda i: F.array(
-        *[F.substring("_t", i, F.lit(n)) for n in (1, 2, 3)]))))
-    left = low.select(key, "_t", F.explode(grams).alias("_g"))
-    right = phrases.withColumn("_g", F.substring("phrase", 1, 3))
-    return left.join(right, "_g").filter(F.contains("_t", F.col("phrase"))).select(key, "phrase").distinct()
 
+def phrase_keys(texts: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
+    """(phrase, gram): every phrase that can occur in the texts, with the gram of it that the fewest texts hold.
 
-def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str, limit: int = DICTIONARY_LIMIT) -> DataFrame:
-    """(key, phrase) for every lower-cased phrase contained anywhere in the lower-cased text; ``key`` is unique."""
+    A phrase with a gram that no text holds is left out. Grams of texts are counted per task before anything is shuffled, so
+    that a gram travels once per task and not once per text.
+    """
+    wanted = phrases.select("phrase", F.explode(_phrase_grams(F.col("phrase"))).alias("gram"))
+    # Runs shorter than a gram are looked for in the texts' grams only where a phrase is that short.
+    parts = [texts.select(F.explode(_grams(F.col(text), GRAM)).alias("gram"))]
+    short = [r[0] for r in phrases.select(F.length("phrase").alias("n")).filter(F.col("n") < GRAM).distinct().collect()]  # three lengths at most
+    parts += [texts.select(F.explode(_grams(F.col(text), n)).alias("gram")) for n in sorted(short)]
+    held = parts[0]
+    for more in parts[1:]:
+        held = held.unionByName(more)
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    met = wanted.join(counts, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("rarest"))
+    return written(met.filter("rarest.texts > 0").select("phrase", "rarest.gram"), "phrase-keys")
+
+
+def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """(key, phrase) for every lower-cased phrase contained anywhere in the lower-cased text; ``key`` is unique.
+
+    A selective-gram join, alike for any number of phrases: texts meet a phrase only on the phrase's rarest gram, first as
+    (key, gram) rows; then each text comes in once for all phrases that may lie in it, and ``contains`` decides. Null texts
+    and null or empty phrases hit nothing.
+    """
+    low = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_text"))
     distinct = phrases.select(F.lower(phrase).alias("phrase")).filter("phrase <> ''").distinct()
-    try:
-        import ahocorasick  # noqa: F401
-        sample = [r[0] for r in distinct.limit(limit + 1).collect()]
-    except ImportError:
-        sample = None
-    if sample is not None and len(sample) <= limit:
-        return _automaton_scan(docs, key, text, sorted(sample))
-    return _gram_join(docs, key, text, distinct)
+    keys = phrase_keys(low, "_text", distinct)
+    lengths = [r[0] for r in keys.select(F.length("gram").alias("n")).distinct().collect()]  # four at most
+    asked = keys.select("gram").distinct()
+    met = None
+    for n in sorted(lengths):
+        rows = low.select("_key", F.explode(_grams(F.col("_text"), n)).alias("gram"))
+        met = rows if met is None else met.unionByName(rows)
+    if met is None:
+        return low.select(F.col("_key").alias(key), F.lit("").alias("phrase")).limit(0)
+    # The distinct grams are far fewer than the phrases: they thin the texts' grams out before the phrases come in.
+    may = met.join(asked, "gram", "left_semi").join(keys, "gram").groupBy("_key").agg(F.collect_set("phrase").alias("_may"))
+    found = low.join(may, "_key").select(F.col("_key").alias(key), F.explode(F.filter("_may", lambda p: F.contains(F.col("_text"), p))).alias("phrase"))
+    return found
 
 
 def similar_pairs(

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ticketweave import fixed_values as fv
 from ticketweave.functions.scores import keyword_boost, procedure_trust, quality_label
 from ticketweave.functions.text import categorize, first_match, fold_accents, token_set
+from ticketweave.lineage import written
 from ticketweave.operators.matching import phrase_hits, similar_pairs
 from ticketweave.operators.ordered import first_k
 
@@ -91,55 +92,107 @@ def similar_issues(queries: DataFrame, history: DataFrame, query: str, key: str,
 
 
 # ---------------------------------------------------------------- vectors
-QUERY_LIMIT = 4096
+#: Pivots of the vector partitions: a sample of so many distinct vectors at most.
+PIVOTS = 64
+#: Bytes of vectors that a task holds of either side.
+BLOCK_BYTES = 32 << 20
+# Scores are rounded to six places, so partitions within this distance of the bound are still looked at.
+_ROUNDING = 2e-6
 
 
-def _block_ranker(k: int):
-    """A self-contained function for the workers: best ``k`` of one block per query by cosine, ties by id."""
+def _units(vectors: pd.Series) -> np.ndarray:
+    m = np.asarray(np.vstack(vectors.to_numpy()), dtype="float64")
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
-    def rank(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> pd.DataFrame:
-        norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        sims = np.round(norm(q) @ norm(vectors).T, 6)
-        order = np.argsort(ids, kind="stable")
-        sims, ids = sims[:, order], ids[order]
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), top.shape[1])
-        return pd.DataFrame({"query_id": q_ids[rows], "item_id": ids[top.ravel()], "score": sims[rows, top.ravel()]})
 
-    return rank
+def _assign(pivots: np.ndarray, key: str, vector: str):
+    """Nearest pivot of every vector and the angle to it; zero vectors, which have no angle, are partition -1."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                units = _units(pdf[vector])
+                cosines = units @ pivots.T
+                near = cosines.argmax(axis=1)
+                angle = np.arccos(np.clip(cosines[np.arange(len(units)), near], -1, 1))
+                yield pd.DataFrame({key: pdf[key], vector: pdf[vector], "_p": np.where(units.any(axis=1), near, -1), "_angle": angle})
+
+    return run
 
 
-def knn(items: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int, threshold: float | None = None, query_limit: int = QUERY_LIMIT, block_rows: int = 100_000) -> DataFrame:
-    """Exact cosine top ``k``: (query_id, item_id, score, rank).
+def _partitions_asked(pivots: np.ndarray, counts: np.ndarray, radii: np.ndarray, zeros: bool, k: int, threshold: float | None, key: str, vector: str):
+    """(query, vector, partition) for every partition that may hold one of the query's best ``k``.
 
-    Up to ``query_limit`` queries (counted) go to every task as one matrix and items are never shuffled. More
-    queries are cut into blocks that meet item blocks pair by pair; each pair of blocks is one bounded task.
+    By the triangle inequality an item lies between angle - radius and angle + radius from the query. The nearest partitions
+    that together hold ``k`` items bound the k-th best angle; partitions that begin beyond it are left out.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            units = _units(pdf[vector])
+            angle = np.arccos(np.clip(units @ pivots.T, -1, 1))
+            low = np.cos(np.clip(angle - radii, 0, np.pi))  # the best cosine a partition may hold
+            worst = np.cos(np.clip(angle + radii, 0, np.pi))
+            order = np.argsort(-worst, axis=1)
+            enough = np.cumsum(counts[order], axis=1) >= k
+            bound = np.where(enough.any(axis=1), np.take_along_axis(worst, order, 1)[np.arange(len(units)), enough.argmax(axis=1)], -2.0)
+            if zeros:  # zero vectors score 0 and may be among the best
+                bound = np.minimum(bound, 0.0)
+            if threshold is not None:
+                bound = np.maximum(bound, threshold)
+            asked = (low >= bound[:, None] - _ROUNDING) | ~units.any(axis=1)[:, None]
+            asked &= counts > 0
+            rows, parts = np.nonzero(asked)
+            if zeros:
+                rows, parts = np.append(rows, np.arange(len(units))), np.append(parts, np.full(len(units), -1))
+            yield pd.DataFrame({"_q": pdf[key].to_numpy()[rows], "_v": pdf[vector].to_numpy()[rows], "_p": parts.astype("int64")})
+
+    return run
+
+
+def knn(items: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int, threshold: float | None = None, pivots: int = PIVOTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact cosine top ``k``: (query_id, item_id, score, rank), ties by item; scores below ``threshold`` are left out.
+
+    Items are partitioned by their nearest pivot (a sample of distinct vectors), and only a partition's size and radius are
+    gathered, a row for each pivot. Queries go to the partitions that the triangle inequality cannot rule out. Partitions and
+    the queries that ask them are cut into blocks of at most about ``block_bytes``, each pair of blocks is a task, and ``k`` rows
+    per query and block come back. Rows whose vector is null are left out; a zero vector scores 0 with everything.
     """
-    schema = T.StructType([T.StructField("query_id", queries.schema[query].dataType), T.StructField("item_id", items.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    rank = _block_ranker(k)
-    stack = lambda s: np.asarray(np.vstack(s.to_numpy()), dtype="float64")
-    head = queries.select(query, vector).limit(query_limit + 1).toPandas()
-    if len(head) <= query_limit:
-        q_ids, q = head[query].to_numpy(), (stack(head[vector]) if len(head) else None)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and q is not None:
-                    yield rank(q_ids, q, pdf[key].to_numpy(), stack(pdf[vector]))
-
-        parts = items.select(key, vector).mapInPandas(scan, schema)
-    else:
-        n_items, n_queries = items.count(), queries.count()
-        bi, bq = max(1, -(-n_items // block_rows)), max(1, -(-n_queries // query_limit))
-        left = items.select(key, vector, F.pmod(F.xxhash64(key), _L(bi)).alias("_bi")).withColumn("_bq", F.explode(F.sequence(_L(0), _L(bq - 1))))
-        right = queries.select(_C(query).alias("_q"), _C(vector).alias("_v"), F.pmod(F.xxhash64(query), _L(bq)).cast("int").alias("_bq")).withColumn("_bi", F.explode(F.sequence(_L(0).cast("long"), _L(bi - 1).cast("long"))))
-
-        def pair(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or c.empty:
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            return rank(c["_q"].to_numpy(), stack(c["_v"]), a[key].to_numpy(), stack(a[vector]))
-
-        parts = left.groupBy("_bi", "_bq").cogroup(right.groupBy("_bi", "_bq")).applyInPandas(pair, schema)
+    items, queries = items.filter(_C(vector).isNotNull()), queries.filter(_C(vector).isNotNull())
+    id_type, of_items, of_queries = items.schema[key].dataType, items.schema[vector].dataType, queries.schema[vector].dataType
+    result = T.StructType([T.StructField("query_id", queries.schema[query].dataType), T.StructField("item_id", id_type), T.StructField("score", T.DoubleType())])
+    zero = F.forall(vector, lambda x: x == 0)
+    chosen = [r[0] for r in items.filter(~zero).select(vector).distinct().orderBy(F.xxhash64(vector)).limit(pivots).collect()]
+    if not chosen:  # nothing but zero vectors: any pivot does
+        chosen = [r[0] for r in items.select(vector).limit(1).collect()]
+    if not chosen:
+        return items.sparkSession.createDataFrame([], result).withColumn("rank", _L(1))
+    centres = _units(pd.Series([np.asarray(c) for c in chosen]))
+    schema = T.StructType([T.StructField(key, id_type), T.StructField(vector, of_items), T.StructField("_p", T.LongType()), T.StructField("_angle", T.DoubleType())])
+    placed = written(items.select(key, vector).mapInPandas(_assign(centres, key, vector), schema), "placed")
+    told = {r["_p"]: r for r in placed.groupBy("_p").agg(F.count("*").alias("n"), F.max("_angle").alias("radius")).collect()}  # a row a pivot
+    counts = np.array([told[i]["n"] if i in told else 0 for i in range(len(centres))])
+    radii = np.array([told[i]["radius"] if i in told else 0.0 for i in range(len(centres))])
+    schema = T.StructType([T.StructField("_q", queries.schema[query].dataType), T.StructField("_v", of_queries), T.StructField("_p", T.LongType())])
+    asked = queries.select(query, vector).mapInPandas(_partitions_asked(centres, counts, radii, -1 in told, k, threshold, query, vector), schema)
+    asked = written(asked, "asked")
+    rows = max(1, block_bytes // (8 * centres.shape[1]))
+    sides = placed.groupBy("_p").agg(F.ceil(F.count("*") / rows).alias("_ni")).join(asked.groupBy("_p").agg(F.ceil(F.count("*") / rows).alias("_nq")), "_p")
+    others = lambda n: F.explode(F.sequence(_L(0).cast("long"), _C(n) - 1))
+    left = placed.join(sides, "_p").withColumn("_bi", F.pmod(F.xxhash64(key), "_ni")).withColumn("_bq", others("_nq")).select(key, vector, "_p", "_bi", "_bq")
+    right = asked.join(sides, "_p").withColumn("_bq", F.pmod(F.xxhash64("_q"), "_nq")).withColumn("_bi", others("_ni")).select("_q", "_v", "_p", "_bi", "_bq")
+
+    def best(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or c.empty:
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        a = a.sort_values(key, kind="stable")
+        sims = np.round(_units(c["_v"]) @ _units(a[vector]).T, 6)
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        at = np.repeat(np.arange(len(c)), top.shape[1])
+        return pd.DataFrame({"query_id": c["_q"].to_numpy()[at], "item_id": a[key].to_numpy()[top.ravel()], "score": sims[at, top.ravel()]})
+
+    where = ["_p", "_bi", "_bq"]
+    parts = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(best, result)
     if threshold is not None:
         parts = parts.filter(_C("score") >= threshold)
     return first_k(parts, ["query_id"], [F.desc("score"), F.asc("item_id")], k).withColumnRenamed("rn", "rank")

@@ -41,11 +41,11 @@ def _(t):
     return jn.match_log_records(clusters(t), records(t), 3)
 
 
-_CAT_SQL = "(SELECT concat('x', s_suppkey) AS exception, 'high' AS severity, 'provisioning_failure' AS incident_type, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END AS probable_root_cause FROM supplier WHERE s_suppkey < 30)"
+_CAT_SQL = "(SELECT concat('x', s_suppkey) AS exception, 'high' AS severity, 'provisioning_failure' AS incident_type, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END AS probable_root_cause FROM supplier)"
 
 
 def catalog(t):
-    return t.supplier.filter("s_suppkey < 30").select(F.concat(L("x"), S(C("s_suppkey"))).alias("exception"), L("high").alias("severity"), L("provisioning_failure").alias("incident_type"), F.when(C("s_suppkey") % 2 == 0, "").otherwise(C("s_name")).alias("probable_root_cause"))
+    return t.supplier.select(F.concat(L("x"), S(C("s_suppkey"))).alias("exception"), L("high").alias("severity"), L("provisioning_failure").alias("incident_type"), F.when(C("s_suppkey") % 2 == 0, "").otherwise(C("s_name")).alias("probable_root_cause"))
 
 
 _TPL = "CASE p_size % 3 WHEN 0 THEN 'port closed now' WHEN 1 THEN 'connection lost' ELSE p_name END"
@@ -58,9 +58,9 @@ def _(t):
     return jn.enrich_from_catalog(recs, catalog(t), "exception", "template", "p_size", C("p_partkey") % 400).select("p_partkey", "in_catalog", "severity", "incident_type", "probable_root_cause", "trust_score")
 
 
-@query("j04_uncovered_catalog", f"SELECT exception, concat('<CATALOG> ', exception, ' — aucun log disponible') AS error_pattern, 0::BIGINT AS frequency, 0.65::DOUBLE AS trust_score, 'catalog_only' AS source_type FROM {_CAT_SQL} WHERE exception NOT IN (SELECT concat('x', p_size) FROM part WHERE p_size > 12)")
+@query("j04_uncovered_catalog", f"SELECT exception, concat('<CATALOG> ', exception, ' — aucun log disponible') AS error_pattern, 0::BIGINT AS frequency, 0.65::DOUBLE AS trust_score, 'catalog_only' AS source_type FROM {_CAT_SQL} WHERE exception NOT IN (SELECT concat('x', p_size) FROM part)")
 def _(t):
-    recs = t.part.filter("p_size > 12").select(F.concat(L("x"), S(C("p_size"))).alias("exception"))
+    recs = t.part.select(F.concat(L("x"), S(C("p_size"))).alias("exception"))
     return jn.uncovered_catalog(catalog(t).select("exception"), recs, "exception")
 
 
@@ -84,14 +84,14 @@ def _(t):
     return jn.unknown_references(df, "id", "text", "[A-Z][a-z]{7,}", known, "name", {"thshonwh": "use t_ports"})
 
 
-@query("j07_reconcile", """WITH a AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS status, c_nationkey AS description FROM customer WHERE c_custkey % 10 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS status, CASE WHEN c_custkey % 13 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS description FROM customer WHERE c_custkey % 9 <> 0),
+@query("j07_reconcile", """WITH a AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN -c_custkey ELSE c_custkey END AS k, c_name AS name, c_mktsegment AS status, c_nationkey AS description FROM customer), b AS (SELECT CASE WHEN c_custkey % 9 = 0 THEN -c_custkey - 1000000000 ELSE c_custkey END AS k, CASE WHEN c_custkey % 7 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS status, CASE WHEN c_custkey % 13 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS description FROM customer),
 j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.name AS n1, b.name AS n2, a.status AS s1, b.status AS s2, a.description::VARCHAR AS d1, b.description::VARCHAR AS d2 FROM a FULL JOIN b ON a.k = b.k)
 SELECT k, 'name' AS field, n1 AS a_value, n2 AS b_value, 'low' AS severity FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND n1 IS DISTINCT FROM n2 UNION ALL SELECT k, 'status', s1, s2, 'critical' FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND s1 IS DISTINCT FROM s2
 UNION ALL SELECT k, 'description', d1, d2, 'high' FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND d1 IS DISTINCT FROM d2 UNION ALL SELECT k, 'missing_in_b', NULL, NULL, 'critical' FROM j WHERE bk IS NULL UNION ALL SELECT k, 'missing_in_a', NULL, NULL, 'critical' FROM j WHERE ak IS NULL""")
 def _(t):
     k = C("c_custkey")
-    a = t.customer.filter("c_custkey % 10 <> 0").select(k.alias("k"), C("c_name").alias("name"), C("c_mktsegment").alias("status"), C("c_nationkey").alias("description"))
-    b = t.customer.filter("c_custkey % 9 <> 0").select(k.alias("k"), F.when(k % 7 == 0, F.upper("c_name")).otherwise(C("c_name")).alias("name"), F.when(k % 11 != 0, C("c_mktsegment")).alias("status"), F.when(k % 13 == 0, C("c_nationkey") + 1).otherwise(C("c_nationkey")).alias("description"))
+    a = t.customer.select(F.when(k % 10 == 0, -k).otherwise(k).alias("k"), C("c_name").alias("name"), C("c_mktsegment").alias("status"), C("c_nationkey").alias("description"))
+    b = t.customer.select(F.when(k % 9 == 0, -k - 1000000000).otherwise(k).alias("k"), F.when(k % 7 == 0, F.upper("c_name")).otherwise(C("c_name")).alias("name"), F.when(k % 11 != 0, C("c_mktsegment")).alias("status"), F.when(k % 13 == 0, C("c_nationkey") + 1).otherwise(C("c_nationkey")).alias("description"))
     return jn.reconcile(a, b, "k", ["name", "status", "description"])
 
 
@@ -107,10 +107,10 @@ def _(t):
     return jn.match_signatures(ev, sig, "event_id")
 
 
-@query("j09_active_children", "SELECT c_custkey, o_orderkey, l_returnflag FROM customer JOIN orders ON c_custkey = o_custkey LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1) l ON l_orderkey = o_orderkey WHERE l_returnflag IS NULL OR l_returnflag NOT IN ('A', 'R')")
+@query("j09_active_children", "SELECT c_custkey, o_orderkey, l_returnflag FROM customer JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem l ON l_orderkey = o_orderkey WHERE l_returnflag IS NULL OR l_returnflag NOT IN ('A', 'R')")
 def _(t):
     child = t.orders.select(C("o_custkey").alias("c_custkey"), "o_orderkey")
-    ver = t.lineitem.filter("l_linenumber = 1").select(C("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    ver = t.lineitem.select(C("l_orderkey").alias("o_orderkey"), "l_returnflag")
     return jn.active_children(t.customer, child, ver, "c_custkey", "o_orderkey", "l_returnflag", ["A", "R"]).select("c_custkey", "o_orderkey", "l_returnflag")
 
 
@@ -132,20 +132,20 @@ def _(t):
     return jn.with_latest_version(t.orders.select("o_orderkey"), ver, "o_orderkey", "version", ["shipped", "part"], "tie")
 
 
-_PROC_SQL = "(SELECT p_partkey AS proc_id, p_type AS title, [concat('E', p_size % 40, 'x'), concat('z', p_size)] AS codes, [split_part(p_name, ' ', 1), 'never'] AS symptoms, concat(p_type, '_', split_part(p_name, ' ', 2)) AS category, CASE p_size % 3 WHEN 0 THEN 'LOW' ELSE 'HIGH' END AS trust FROM part WHERE p_partkey % 40 = 0)"
-_Q_SQL = "(SELECT event_id AS qid, concat('code e', user_id, 'X ', CASE user_id % 4 WHEN 0 THEN 'small economy' WHEN 1 THEN 'red thing' WHEN 2 THEN 'nothing' ELSE 'z7 large' END) AS text FROM events WHERE user_id < 60)"
+_PROC_SQL = "(SELECT p_partkey AS proc_id, p_name AS title, [concat('E', p_size % 40, 'x'), concat('z', p_size)] AS codes, [concat(split_part(p_name, ' ', 1), ' ', split_part(p_name, ' ', 2)), 'never'] AS symptoms, concat(p_type, '_', split_part(p_name, ' ', 2)) AS category, CASE p_size % 3 WHEN 0 THEN 'LOW' ELSE 'HIGH' END AS trust FROM part)"
+_Q_SQL = "(SELECT event_id AS qid, concat('code e', user_id, 'X ', CASE user_id % 4 WHEN 0 THEN 'small economy' WHEN 1 THEN 'red thing' WHEN 2 THEN 'nothing' ELSE 'z7 large' END) AS text FROM events)"
 
 
 def procs(t):
     z = C("p_size")
-    return t.part.filter("p_partkey % 40 = 0").select(C("p_partkey").alias("proc_id"), C("p_type").alias("title"), F.array(F.concat(L("E"), S(z % 40), L("x")), F.concat(L("z"), S(z))).alias("codes"), F.array(F.split_part("p_name", L(" "), L(1)), L("never")).alias("symptoms"),
+    return t.part.select(C("p_partkey").alias("proc_id"), C("p_name").alias("title"), F.array(F.concat(L("E"), S(z % 40), L("x")), F.concat(L("z"), S(z))).alias("codes"), F.array(F.concat_ws(" ", F.split_part("p_name", L(" "), L(1)), F.split_part("p_name", L(" "), L(2))), L("never")).alias("symptoms"),
                                                       F.concat_ws("_", "p_type", F.split_part("p_name", L(" "), L(2))).alias("category"), F.when(z % 3 == 0, "LOW").otherwise("HIGH").alias("trust"))
 
 
 def questions(t):
     u = C("user_id")
     tail = F.when(u % 4 == 0, "small economy").when(u % 4 == 1, "red thing").when(u % 4 == 2, "nothing").otherwise("z7 large")
-    return t.events.filter("user_id < 60").select(C("event_id").alias("qid"), F.concat(L("code e"), S(u), L("X "), tail).alias("text"))
+    return t.events.select(C("event_id").alias("qid"), F.concat(L("code e"), S(u), L("X "), tail).alias("text"))
 
 
 @query("j13_match_procedures", f"""WITH c AS (SELECT qid, proc_id, least(len(list_filter(codes, lambda x: contains(lower(text), lower(x)))) / len(codes), 1.0) AS score, 'error_code' AS matched_by FROM {_Q_SQL}, {_PROC_SQL} WHERE len(list_filter(codes, lambda x: contains(lower(text), lower(x)))) > 0)
@@ -196,30 +196,30 @@ def _(t):
 _ST = "(SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM benchmark)"
 
 
-@query("j17_similar_pairs", f"WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM documents WHERE n_chars BETWEEN 100 AND 1200), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS s FROM d a JOIN d b ON a.doc_id < b.doc_id AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t)) SELECT a, b, round(s, 6) AS score FROM p WHERE s >= 0.8")
+@query("j17_similar_pairs", f"WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) AS s FROM d a JOIN d b ON a.doc_id < b.doc_id AND len(a.t) >= 0.8 * len(b.t) AND len(b.t) >= 0.8 * len(a.t)) SELECT a, b, round(s, 6) AS score FROM p WHERE s >= 0.8")
 def _(t):
-    d = t.documents.filter("n_chars between 100 and 1200").select("doc_id", tx.token_set("text").alias("t"))
+    d = t.documents.select("doc_id", tx.token_set("text").alias("t"))
     p = similar_pairs(d, d, "doc_id", "doc_id", "t", 0.8, "overlap").filter("l < r")
     return p.select(C("l").alias("a"), C("r").alias("b"), F.round("score", 6).alias("score"))
 
 
-@query("j18_drop_contradictions", "SELECT ticket_id, resume, event_type FROM $tickets WHERE ticket_id < 40 AND resume NOT IN (SELECT resume FROM $tickets WHERE ticket_id < 40 GROUP BY 1 HAVING count(DISTINCT event_type) > 1)")
+@query("j18_drop_contradictions", "WITH t AS (SELECT ticket_id, concat(resume, ' #', ticket_id // 3) AS resume, event_type FROM $tickets) SELECT ticket_id, resume, event_type FROM t WHERE resume NOT IN (SELECT resume FROM t GROUP BY 1 HAVING count(DISTINCT event_type) > 1)")
 def _(t):
-    return jn.drop_contradictions(t.tickets.filter("ticket_id < 40").select("ticket_id", "resume", "event_type"), "resume", "event_type")
+    return jn.drop_contradictions(t.tickets.select("ticket_id", F.concat("resume", L(" #"), S(F.floor(C("ticket_id") / 3))).alias("resume"), "event_type"), "resume", "event_type")
 
 
-@query("j19_graph_issues", """WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN 'dup' ELSE c_name END AS name FROM customer WHERE c_custkey % 20 <> 3), e AS (SELECT o_custkey AS src, o_custkey + 7 AS dst FROM orders), c AS (SELECT concat('R', p_partkey) AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN 'DUP' ELSE p_name END AS entity FROM part)
+@query("j19_graph_issues", """WITH n AS (SELECT CASE WHEN c_custkey % 20 = 3 THEN -c_custkey ELSE c_custkey END AS id, CASE WHEN c_custkey % 50 = 0 THEN 'dup' ELSE c_name END AS name FROM customer), e AS (SELECT o_custkey AS src, o_custkey + 7 AS dst FROM orders), c AS (SELECT concat('R', p_partkey) AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN 'DUP' ELSE p_name END AS entity FROM part)
 SELECT DISTINCT 'missing_source' AS issue, 'warning' AS severity, src::VARCHAR AS subject FROM e WHERE src NOT IN (SELECT id FROM n) UNION ALL SELECT DISTINCT 'missing_target', 'info', dst::VARCHAR FROM e WHERE dst NOT IN (SELECT id FROM n) UNION ALL SELECT 'duplicate_name', 'warning', upper(name) FROM n GROUP BY 3 HAVING count(*) > 1
 UNION ALL SELECT DISTINCT 'constraint_entity_missing', 'info', concat(rule_id, ':', entity) FROM c WHERE upper(entity) NOT IN (SELECT upper(name) FROM n)""")
 def _(t):
-    n = t.customer.filter("c_custkey % 20 <> 3").select(C("c_custkey").alias("id"), F.when(C("c_custkey") % 50 == 0, "dup").otherwise(C("c_name")).alias("name"))
+    n = t.customer.select(F.when(C("c_custkey") % 20 == 3, -C("c_custkey")).otherwise(C("c_custkey")).alias("id"), F.when(C("c_custkey") % 50 == 0, "dup").otherwise(C("c_name")).alias("name"))
     e = t.orders.select(C("o_custkey").alias("src"), (C("o_custkey") + 7).alias("dst"))
     c = t.part.select(F.concat(L("R"), S(C("p_partkey"))).alias("rule_id"), F.when(C("p_partkey") % 3 == 0, "DUP").otherwise(C("p_name")).alias("entity"))
     return jn.graph_issues(n, e, "id", "name", "src", "dst", c)
 
 
 _CASES_SQL = "(SELECT item_id AS case_id, CASE item_id % 3 WHEN 0 THEN 'delete_vlan' WHEN 1 THEN 'fix_port' ELSE 'that_other' END AS intent, text AS examples, item_id % 30 AS frequency FROM benchmark)"
-_QQ_SQL = "(SELECT conv_id AS qid, text, CASE conv_id % 2 WHEN 0 THEN 'fix_port' ELSE 'none' END AS intent, CASE conv_id % 5 WHEN 0 THEN 'Erth' ELSE '' END AS entity FROM conversations WHERE turn = 0)"
+_QQ_SQL = "(SELECT concat(conv_id, '-', turn) AS qid, text, CASE conv_id % 2 WHEN 0 THEN 'fix_port' ELSE 'none' END AS intent, CASE conv_id % 5 WHEN 0 THEN 'Erth' ELSE '' END AS entity FROM conversations)"
 _W4 = lambda e: f"list_distinct(regexp_extract_all(lower({e}), '[\\p{{L}}\\p{{N}}_]{{4,}}'))"
 
 
@@ -227,7 +227,7 @@ _W4 = lambda e: f"list_distinct(regexp_extract_all(lower({e}), '[\\p{{L}}\\p{{N}
 SELECT qid, case_id, round(p + f, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(p + f, 4) DESC, case_id)::INTEGER AS rank FROM s WHERE p > 0 AND p + f > 0.5) WHERE rank <= 3""")
 def _(t):
     cases = t.benchmark.select(C("item_id").alias("case_id"), F.when(C("item_id") % 3 == 0, "delete_vlan").when(C("item_id") % 3 == 1, "fix_port").otherwise("that_other").alias("intent"), C("text").alias("examples"), (C("item_id") % 30).alias("frequency"))
-    q = t.conversations.filter("turn = 0").select(C("conv_id").alias("qid"), "text", F.when(C("conv_id") % 2 == 0, "fix_port").otherwise("none").alias("intent"), F.when(C("conv_id") % 5 == 0, "Erth").otherwise("").alias("entity"))
+    q = t.conversations.select(F.concat_ws("-", S(C("conv_id")), S(C("turn"))).alias("qid"), "text", F.when(C("conv_id") % 2 == 0, "fix_port").otherwise("none").alias("intent"), F.when(C("conv_id") % 5 == 0, "Erth").otherwise("").alias("entity"))
     return jn.score_cases(q, cases, "qid", "case_id")
 
 
@@ -251,7 +251,7 @@ def _(t):
 
 
 @query("j23_diagnose", """WITH p AS (SELECT p_partkey AS procedure_id, concat('x', p_size) AS exception, concat('t', p_partkey % 9) AS incident_type, p_size / 60 AS trust FROM part), t AS (SELECT event_id AS tid, CASE user_id % 4 WHEN 0 THEN [concat('x', user_id % 70)] ELSE [] END AS excs, CASE user_id % 3 WHEN 0 THEN ['1300'] ELSE [] END AS codes, concat('t', user_id % 15) AS incident_type, CASE user_id % 2 WHEN 0 THEN 'SEBA' ELSE '' END AS application FROM events),
-s AS (SELECT event_id AS tid, (user_id * 7) % 2000 AS procedure_id FROM events WHERE user_id % 11 = 0), px AS (SELECT exception, min({'i': procedure_id, 't': trust}) AS m FROM p GROUP BY 1), pt AS (SELECT incident_type, min({'i': procedure_id, 't': trust}) AS m FROM p GROUP BY 1),
+s AS (SELECT event_id AS tid, (user_id * 7) % 20011 AS procedure_id FROM events), px AS (SELECT exception, min({'i': procedure_id, 't': trust}) AS m FROM p GROUP BY 1), pt AS (SELECT incident_type, min({'i': procedure_id, 't': trust}) AS m FROM p GROUP BY 1),
 l AS (SELECT tid, 1 AS lvl, m.i AS pid, m.t AS base, 'exception' AS how FROM t JOIN px ON px.exception = t.excs[1] UNION ALL SELECT tid, 2, p.procedure_id, p.trust, 'search' FROM s JOIN p USING (procedure_id) UNION ALL SELECT tid, 3, m.i, m.t, 'incident_type' FROM t JOIN pt USING (incident_type) UNION ALL SELECT tid, 4, m.i, m.t * 0.85, 'error_code' FROM t JOIN pt ON len(t.codes) > 0 AND pt.incident_type = 't5'),
 b AS (SELECT tid, first(struct_pack(pid := pid, base := base, how := how) ORDER BY lvl) AS b FROM l GROUP BY 1)
 SELECT tid, b.pid AS procedure_id, b.how AS matched_by, CASE WHEN b.pid IS NULL THEN 0.0 ELSE round(least(greatest(b.base + CASE WHEN application <> '' THEN 0.05 ELSE 0 END + CASE WHEN len(excs) > 0 THEN 0.05 ELSE 0 END - CASE WHEN len(excs) = 0 AND len(codes) = 0 THEN 0.05 ELSE 0 END, 0.0), 1.0), 4) END AS trust_score FROM t LEFT JOIN b USING (tid)""")
@@ -260,5 +260,5 @@ def _(t):
     none = F.array().cast("array<string>")
     tk = t.events.select(C("event_id").alias("tid"), F.when(u % 4 == 0, F.array(F.concat(L("x"), S(u % 70)))).otherwise(none).alias("exceptions"), F.when(u % 3 == 0, F.array(L("1300"))).otherwise(none).alias("codes"), F.concat(L("t"), S(u % 15)).alias("incident_type"), F.when(u % 2 == 0, "SEBA").otherwise("").alias("application"))
     pr = t.part.select(C("p_partkey").alias("procedure_id"), F.concat(L("x"), S(C("p_size"))).alias("exception"), F.concat(L("t"), S(C("p_partkey") % 9)).alias("incident_type"), (C("p_size") / 60).alias("trust_score"))
-    se = t.events.filter("user_id % 11 = 0").select(C("event_id").alias("tid"), ((u * 7) % 2000).alias("procedure_id"), L(1.0).alias("score"))
+    se = t.events.select(C("event_id").alias("tid"), ((u * 7) % 20011).alias("procedure_id"), L(1.0).alias("score"))
     return jn.diagnose(tk, pr, se, {"1300": "t5"}, "tid")

@@ -67,17 +67,17 @@ def _(t):
 
 @query("r04_knn_blocked", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM {_KNN}) WHERE rank <= 5")
 def _(t):
-    return rt.knn(t.embeddings, t.embeddings.filter("vec_id % 25 = 0"), "vec_id", "embedding", "vec_id", 5, query_limit=7, block_rows=150)
+    return rt.knn(t.embeddings, t.embeddings.filter("vec_id % 25 = 0"), "vec_id", "embedding", "vec_id", 5, pivots=7, block_bytes=64 << 10)
 
 
-@query("r05_hybrid_search", """WITH q AS (SELECT DISTINCT p_brand AS qid, unnest(regexp_extract_all(lower(concat(p_brand, ' ', p_type, CASE WHEN p_size > 25 THEN ' widget' ELSE '' END)), '[\\p{L}\\p{N}_]{3,}')) AS w FROM part WHERE p_partkey % 100 = 0), d AS (SELECT p_partkey AS id, lower(split_part(p_name, ' ', 2)) AS name FROM part WHERE p_partkey < 200),
-e AS (SELECT DISTINCT qid, id FROM q JOIN d ON name = w), f AS (SELECT DISTINCT qid, id FROM q JOIN d ON length(w) >= 4 AND contains(name, w) WHERE qid NOT IN (SELECT qid FROM e)), s AS (SELECT DISTINCT p_brand AS qid, p_partkey % 200 AS id, (p_partkey % 200) / 1000 AS score FROM part WHERE p_partkey % 100 IN (0, 7) AND p_partkey < 2000),
+@query("r05_hybrid_search", """WITH q AS (SELECT DISTINCT p_brand AS qid, unnest(regexp_extract_all(lower(concat(p_brand, ' ', p_type, CASE WHEN p_size > 25 THEN ' widget' ELSE '' END)), '[\\p{L}\\p{N}_]{3,}')) AS w FROM part), d AS (SELECT p_partkey AS id, lower(split_part(p_name, ' ', 2)) AS name FROM part),
+e AS (SELECT DISTINCT qid, id FROM q JOIN d ON name = w), f AS (SELECT DISTINCT qid, id FROM q JOIN d ON length(w) >= 4 AND contains(name, w) WHERE qid NOT IN (SELECT qid FROM e)), s AS (SELECT DISTINCT p_brand AS qid, p_partkey % 200 AS id, (p_partkey % 200) / 1000 AS score FROM part),
 u AS (SELECT qid, id, 1.0::DOUBLE AS score, 'exact' AS match_type, 0 AS tier FROM e UNION ALL SELECT qid, id, 0.9, 'fuzzy_keyword', 1 FROM f UNION ALL SELECT qid, id, score, 'semantic', 2 FROM s), m AS (SELECT qid, id, first(struct_pack(t := tier, s := score, m := match_type) ORDER BY tier, score DESC) AS x FROM u GROUP BY 1, 2)
 SELECT qid, id, round(x.s, 6) AS score, x.m AS match_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x.t, x.s DESC, id)::INTEGER AS rank FROM m) WHERE rank <= 6""")
 def _(t):
-    q = t.part.filter("p_partkey % 100 = 0").select(C("p_brand").alias("qid"), F.concat_ws(" ", "p_brand", "p_type", F.when(C("p_size") > 25, "widget")).alias("text"))
-    d = t.part.filter("p_partkey < 200").select(C("p_partkey").alias("id"), F.split_part("p_name", L(" "), L(2)).alias("name"))
-    s = t.part.filter("p_partkey % 100 in (0, 7) and p_partkey < 2000").select(C("p_brand").alias("qid"), (C("p_partkey") % 200).alias("id"), (C("p_partkey") % 200 / 1000).alias("score")).distinct()
+    q = t.part.select(C("p_brand").alias("qid"), F.concat_ws(" ", "p_brand", "p_type", F.when(C("p_size") > 25, "widget")).alias("text"))
+    d = t.part.select(C("p_partkey").alias("id"), F.split_part("p_name", L(" "), L(2)).alias("name"))
+    s = t.part.select(C("p_brand").alias("qid"), (C("p_partkey") % 200).alias("id"), (C("p_partkey") % 200 / 1000).alias("score")).distinct()
     return rt.hybrid_search(q, d, "qid", "text", "id", "name", s, 6)
 
 
@@ -145,13 +145,13 @@ def _(t):
     return rt.hier_predict(q, t.embeddings.filter("vec_id % 10 > 0"), "qid", "embedding", "vec_id", "label", "txt")
 
 
-_PAT_SQL = "(SELECT o_orderkey AS id, concat('c', o_custkey) AS entity, o_orderkey % 9 AS visits, o_orderkey % 5 AS ok, o_orderkey % 4 AS ko, o_orderdate AS created, o_totalprice / 600000 AS score FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')"
+_PAT_SQL = "(SELECT o_orderkey AS id, concat('c', o_custkey) AS entity, o_orderkey % 9 AS visits, o_orderkey % 5 AS ok, o_orderkey % 4 AS ko, o_orderdate AS created, o_totalprice / 600000 AS score FROM orders)"
 _AGE = "date_diff('day', created::DATE, DATE '1998-12-31')"
 
 
 def patterns(t):
     k = C("o_orderkey")
-    return t.orders.filter("o_orderdate >= timestamp '1998-01-01'").select(k.alias("id"), F.concat(L("c"), S(C("o_custkey"))).alias("entity"), (k % 9).alias("visits"), (k % 5).alias("ok"), (k % 4).alias("ko"), C("o_orderdate").alias("created"), (C("o_totalprice") / 600000).alias("score"))
+    return t.orders.select(k.alias("id"), F.concat(L("c"), S(C("o_custkey"))).alias("entity"), (k % 9).alias("visits"), (k % 5).alias("ok"), (k % 4).alias("ko"), C("o_orderdate").alias("created"), (C("o_totalprice") / 600000).alias("score"))
 
 
 _PS = f"round(least(0.85::DOUBLE + 0.02 * visits, 0.95) * CASE WHEN {_AGE} > 60 THEN 0.80 WHEN {_AGE} > 30 THEN 0.85 WHEN {_AGE} > 14 THEN 0.92 ELSE 1.0 END::DOUBLE * CASE WHEN ok + ko > 0 THEN CASE WHEN ok / (ok + ko) < 0.6 THEN 0.70 ELSE 1.0 END ELSE 0.90 END::DOUBLE, 4)"

@@ -156,7 +156,10 @@ def _(t):
 UPSTREAM_SQL = lambda e: case([(f"contains(upper({e}), '{s}')", f"'{s}'") for s in fv.UPSTREAM_SYSTEMS], "NULL")
 
 
-@query("t11_detect_systems", f"SELECT ticket_id, {UPSTREAM_SQL('resume')} AS upstream, concat_ws(',', {', '.join(f'CASE WHEN {any_in(chr(108) + "ower(resume)", a)} THEN {q(s)} END' for s, a in fv.SYSTEM_ALIASES.items())}) AS systems FROM $tickets")
+_MENTIONED_SQL = ", ".join(f"CASE WHEN {any_in('lower(resume)', a)} THEN {q(s)} END" for s, a in fv.SYSTEM_ALIASES.items())
+
+
+@query("t11_detect_systems", f"SELECT ticket_id, {UPSTREAM_SQL('resume')} AS upstream, concat_ws(',', {_MENTIONED_SQL}) AS systems FROM $tickets")
 def _(t):
     return t.tickets.select("ticket_id", tx.upstream_system("resume").alias("upstream"), F.array_join(tx.systems_mentioned("resume"), ",").alias("systems"))
 
