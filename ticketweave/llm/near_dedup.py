@@ -158,13 +158,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable. Every round maps nodes to their smallest neighbour and keeps only the edges
     between what is left, so stars vanish in two or three rounds."""
     ends = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    label = settle(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    label, steps = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), []
     while not ends.isEmpty():
         both = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = settle(both.groupBy(F.col("a").alias("component")).agg(F.least(F.min("b"), F.col("a")).alias("to")), "step")
-        label = settle(label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        steps.append(step)
         left = ends.join(step.select(F.col("component").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("component").alias("b"), F.col("to").alias("tb")), "b")
         ends = settle(left.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        if len(steps) == 4:  # so that the last plan stays short
+            label, steps = settle(_renamed(label, steps), "labels"), []
+    return settle(_renamed(label, steps), "labels")
+
+
+def _renamed(label: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    for step in steps:
+        label = label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return label
 
 
@@ -211,7 +219,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) among ``pairs`` whose full sets reach ``percent`` percent. A set is found again by a key, and told by its name."""
-    asked = settle(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "n", "d1", "d2", F.struct("low").alias("_low")), "asked")
+    asked = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "n", "d1", "d2", F.struct("low").alias("_low"))
     texts = src.select(F.struct(F.col("id").alias("low")).alias("_low"), "text").join(asked.select("_low").distinct(), "_low", "left_semi")
     sets = texts.mapInArrow(_sets(words), "n long, d1 long, d2 long, shingles array<long>")
     sets = settle(sets.join(asked.drop("_low"), ["n", "d1", "d2"]).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
@@ -258,7 +266,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     crowds = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = settle(rows.join(crowds, ["band", "value"]), "bands")
-    centre = settle(met.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    centre = met.groupBy("node").agg(F.sum("size").alias("weight"))
     met = settle(met.join(centre, "node"), "weighted")
     # Each node against one pivot: the most connected among those of its bands, itself left out.
     pivots = met.groupBy("band", "value").agg(F.max(F.struct("weight", "node")).alias("top"))
@@ -272,7 +280,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         if 10 * found.count() < hopeful.count() or hopeful.isEmpty():  # what still meets is mostly not alike: pivots find no more
             break
         group = components(links)
-    group = components(links)
     grouped = met.select("node", "band", "value").join(group, "node", "left").select("band", "value", "node", F.coalesce("component", "node").alias("component"))
     mixed = grouped.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
     # Sizes of linked sets are less than two steps of this scale apart; the smaller set of a pair looks for the larger one.
