@@ -17,7 +17,8 @@ def values(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_dedupe_similar_matches_sequential_scan(spark):
+@pytest.mark.parametrize("group_links", [joins.GROUP_LINKS, 30, 0])
+def test_dedupe_similar_matches_sequential_scan(spark, group_links):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(9)]
     rows = [(i, f"t{rng.randrange(4)}", " ".join(rng.sample(words, rng.randint(3, 8)))) for i in range(160)]
@@ -27,10 +28,17 @@ def test_dedupe_similar_matches_sequential_scan(spark):
         a = set((m or "").lower().split())
         if not any(kt == t and a and b and len(a & b) / max(len(a), len(b)) >= 0.8 for _, kt, b in kept):
             kept.append((i, t, a))
-    out = joins.dedupe_similar(spark.createDataFrame(rows, "id long, t string, m string"), "id", "t", "m")
+    out = joins.dedupe_similar(spark.createDataFrame(rows, "id long, t string, m string"), "id", "t", "m", group_links=group_links)
     assert [r[0] for r in values(out, "id")] == sorted(k[0] for k in kept)
 
 
+def test_dedupe_similar_settles_a_long_chain_in_one_pass(spark):
+    """Each row is like the next one only, so every second one stays; in rounds this would be one job for each link."""
+    rows = [(i, "t", " ".join(f"w{j}" for j in range(i, i + 10))) for i in range(300)]
+    out = joins.dedupe_similar(spark.createDataFrame(rows, "id long, t string, m string"), "id", "t", "m", 0.9)
+    assert [r[0] for r in values(out, "id")] == list(range(0, 300, 2))
+
+
 def test_phrase_join_against_brute_force(spark):
     rng = random.Random(11)
     letters = "abc dé漢😀.*("
@@ -67,6 +75,27 @@ def test_exact_quantile(spark, q):
     assert got == pytest.approx(float(np.quantile(data, q)))
 
 
+def test_ranges_are_even_for_outliers_and_frequent_values(spark):
+    """Equal-width cells put all but one value into one cell."""
+    n = 20_000
+    df = spark.range(n).select(F.when(F.col("id") == 0, 1e18).otherwise(F.col("id") / 1000).alias("v"))
+    sizes = sorted(r["count"] for r in ordered.in_ranges(df, [F.col("v")], 16).groupBy("_cell").count().collect())
+    assert len(sizes) == 16 and sizes[-1] <= 2 * sizes[8]
+    often = df.unionByName(df.limit(1).select(F.lit(3.5).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(9 * n)))).select("v"))
+    assert ordered.exact_quantile(often, "v", 0.5, cells=16).first()[0] == 3.5
+    assert ordered.exact_quantile(df, "v", 1.0, cells=16).first()[0] == 1e18
+
+
+def test_pareto_of_a_long_tail_of_equal_counts(spark):
+    rows = [("hot",)] * 50 + [("", ), (None,)] + [(f"k{i:05d}",) for i in range(3000)]
+    got = windows.pareto(spark.createDataFrame(rows, "k string"), "k", cells=7).collect()
+    want, cum = [], 0
+    for label, n in sorted([("hot", 50), ("Non classé", 2)] + [(f"k{i:05d}", 1) for i in range(3000)], key=lambda x: (-x[1], x[0])):
+        cum += n
+        want.append((label, n, round(cum / 3052 * 100, 2)))
+    assert [(r.label, r.n, pytest.approx(r.cumulative_pct, abs=0.011)) for r in sorted(got, key=lambda r: (-r.n, r.label))] == want
+
+
 def test_exact_quantile_of_nothing(spark):
     assert ordered.exact_quantile(spark.createDataFrame([], "v double"), "v").first()[0] is None
 
@@ -130,6 +159,39 @@ def test_root_causes_keep_the_best_product(spark):
     assert got == [("c", 0.45, 2)]
 
 
+def test_root_causes_against_all_simple_paths(spark):
+    """Cycles, edges given twice, activated origins, equal products on longer ways, weights of 1 and null."""
+    rng = random.Random(5)
+    n = 14
+    edges = [(rng.randrange(n), rng.randrange(n), rng.choice([0.5, 0.6, 0.8, 0.9, 1.0])) for _ in range(60)]
+    hot, starts, best = {3, 5, 8, 11}, [0, 1, 3, 7], {}
+
+    def walk(origin, node, p, path):
+        for a, b, w in edges:
+            if b == node and a not in path and len(path) <= 4:
+                key = (origin, a)
+                if a in hot:
+                    best[key] = max(best.get(key, (0, 0)), (p * w, -len(path)))
+                else:
+                    walk(origin, a, p * w, path + [a])
+
+    for s in starts:
+        walk(s, s, 1.0, [s])
+    e = spark.createDataFrame(edges + edges[:9] + [(4, 2, None)], "src long, dst long, weight double")
+    one = lambda x: spark.createDataFrame([(v,) for v in x], "node long")
+    got = graph.root_causes(e, one(starts + starts), one(hot), max_depth=3, k=99)
+    want = sorted((o, c, round(min(p, 0.99), 6), -h) for (o, c), (p, h) in best.items())
+    assert values(got, "symptom", "cause", "confidence", "hops") == want
+
+
+def test_best_products_keep_a_row_for_each_node(spark):
+    """A ladder has 2 ** 12 ways to its end; the walk holds one row a node."""
+    rows = [(f"{i}{a}", f"{i + 1}{b}", 0.9 if a == b else 0.8) for i in range(12) for a in "xy" for b in "xy"]
+    e = spark.createDataFrame(rows, "a string, b string, weight double")
+    got = values(graph.best_products(e, spark.createDataFrame([("0x",)], "node string"), 12), "node", "prob", "hops")
+    assert len(got) == 24 and all(h == int(node[:-1]) and p == pytest.approx(0.9 ** h if node[-1] == "x" else 0.9 ** (h - 1) * 0.8) for node, p, h in got)
+
+
 def test_paths_do_not_cycle(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
     p = graph.paths_from(e, spark.createDataFrame([(1,)], "id long"), "id", 5)
@@ -238,3 +300,72 @@ def test_file_scan(spark, scratch):
         f.write("x = 1\ny = 2\n")
     rows = extract.artifact_rows(readers.scan_files(spark, scratch), "path", "content", {".py": "python"})
     assert values(rows, "language", "size_bytes", "n_lines") == [("python", 12, 3)]
+
+
+def test_bm25_against_all_scores(spark):
+    """Words in every document, words that stand once, queries of common words only, words that no document has."""
+    import math
+    import re
+    rng = random.Random(9)
+    words = ["all", "the", "most"] + [f"w{i:03d}" for i in range(120)]
+    docs = [(i, " ".join(["all"] * rng.randint(1, 4) + (["the"] if i % 10 else []) + rng.choices(words, k=rng.randint(0, 30)))) for i in range(400)]
+    docs += [(400, ""), (401, None), (402, "éventuel ventuelé all"), (403, docs[0][1])]
+    queries = [(0, "all the"), (1, "all w001 w002 w003"), (2, "the the w050"), (3, "nothing here"), (4, " ".join(rng.choices(words, k=9))), (5, "ventuel all"), (6, None)]
+    toks = lambda s: [w for w in re.findall(r"\w+", (s or "").lower()) if re.fullmatch("[a-z0-9_]{3,}", w)]
+    held = {i: toks(s) for i, s in docs}
+    df = {w: sum(w in set(x) for x in held.values()) for x in held.values() for w in x}
+    avg, n = max(1.0, sum(map(len, held.values())) / (len(docs) - 1)), len(docs)  # a null text has no length
+    want = []
+    for k in (3, 40):
+        rows = []
+        for q, s in queries:
+            scores = []
+            for i, x in held.items():
+                hits = [w for w in toks(s) if w in x]
+                if hits:
+                    scores.append((-round(sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * x.count(w) * 2.5 / (x.count(w) + 1.5 * (0.25 + 0.75 * len(x) / avg)) for w in hits), 6), i))
+            rows += [(q, i, r + 1) for r, (_, i) in enumerate(sorted(scores)[:k])]
+        d, qs = spark.createDataFrame(docs, "id long, t string").repartition(4), spark.createDataFrame(queries, "q long, s string")
+        assert values(retrieval.bm25(d, qs, "id", "t", "q", "s", k), "q", "id", "rank") == sorted(rows)
+
+
+def test_common_words_bring_in_no_documents(spark):
+    """A word of every document adds little: only documents of the rare word are scored, each with its whole score."""
+    impacts = spark.createDataFrame([(i, "common", 1.0 + i / 1000) for i in range(1000)] + [(i, "rare", 1.0) for i in range(0, 1000, 100)], "id long, term string, w double")
+    terms = spark.createDataFrame([(1, "common", 0.1, 0.2, 1000), (1, "rare", 5.0, 5.0, 10)], "q long, term string, qi double, ub double, df long")
+    got = values(retrieval.scored_best(terms, impacts, "q", "id", 4, seeds=1), "id", "raw")
+    assert [i for i, _ in got] == list(range(0, 1000, 100)) and all(raw == pytest.approx(5.1 + i / 10000) for i, raw in got)
+
+
+def test_level_2_probabilities_stay_within_level_1(spark):
+    rows = [(i, f"{'vlan port' if i % 2 else 'login page'} {'red' if i % 4 < 2 else 'blue'} item", "net" if i % 2 else "app", "r" if i % 4 < 2 else "b") for i in range(80)]
+    rows += [(90, "red", "lone", "x"), (91, "red", None, "r"), (92, "blue", "app", None)]
+    df = spark.createDataFrame(rows, "id long, t string, a string, b string")
+    model = retrieval.train_l2(df, "t", "a", "b", "id")
+    got = retrieval.predict_l2(model, df, "id", "a").collect()
+    sums = {}
+    for r in got:
+        sums[r.id] = sums.get(r.id, 0) + r.probability
+    assert set(sums) == set(range(80)) | {92} and all(abs(x - 1) < 1e-9 for x in sums.values())
+    want = {i: b for i, _, _, b in rows[:80]}
+    assert all((r.probability > 0.5) == (r.label == want[r.id]) for r in got if r.id < 80)
+
+
+def test_upsert_touches_its_buckets_alone_and_replays_change_nothing(spark, scratch):
+    import os
+    mk = lambda rows: spark.createDataFrame(rows, "k string, ts string, v long").withColumn("ts", F.to_timestamp("ts"))
+    store = f"{scratch}/store"
+    sinks.upsert_keyed(mk([(f"k{i}", "2024-01-01", i) for i in range(40)]), store, "k", "ts", 8, batch_id=1)
+    files = lambda: {os.path.join(d, f) for d, _, fs in os.walk(store) for f in fs if f.endswith(".parquet")}
+    before, second = files(), mk([("k3", "2024-01-01", 300)])
+    sinks.upsert_keyed(second, store, "k", "ts", 8, batch_id=2)
+    after = files()
+    assert len({os.path.dirname(f) for f in before ^ after}) == 1 and before & after
+    want = [(f"k{i}", 300 if i == 3 else i) for i in range(40)]
+    assert values(sinks.read_store(spark, store), "k", "v") == sorted(want)
+    sinks.upsert_keyed(mk([("k3", "2024-01-01", 3)]), store, "k", "ts", 8, batch_id=1)  # an older batch once more
+    sinks.upsert_keyed(second, store, "k", "ts", 8, batch_id=2)
+    sinks.upsert_keyed(second.limit(0), store, "k", "ts", 8, batch_id=3)
+    assert values(sinks.read_store(spark, store), "k", "v") == sorted(want)
+    plan = sinks.touched_buckets(spark, store, [2, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan and "IN (2,5)" in plan

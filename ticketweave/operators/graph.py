@@ -103,20 +103,25 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _union([by(nodes, "node_type", "node_type"), by(edges, "rel_type", "rel_type"), total(nodes, "nodes"), total(edges, "edges")])
 
 
-def _spread(edges: DataFrame, start: DataFrame, hops: int, stop: DataFrame | None) -> DataFrame:
-    """Walk ``edges`` (a -> b, weight) from (origin, node, prob, path) over simple paths and return every arrival."""
-    front, layers = start, []
+def best_products(edges: DataFrame, origins: DataFrame, hops: int, stop: DataFrame | None = None) -> DataFrame:
+    """(origin, node, prob, hops): the best product of weights over walks of at most ``hops`` edges a -> b from each origin.
+
+    Weights lie between 0 and 1 (others count as the nearer of the two, null ones as no edge), so a detour never gains: one row
+    per origin and node is kept, and only rows that the last hop made or improved are walked on from. Of equal products the one
+    with fewer hops counts. ``stop`` nodes are reached and not passed, but a walk may begin at one.
+    """
+    e = edges.filter("weight is not null").groupBy("a", "b").agg(F.max(F.least(F.greatest("weight", _L(0.0)), _L(1.0))).alias("weight"))
+    best = cut(origins.select(_C("node").alias("origin"), "node").distinct().select("*", _L(1.0).alias("prob"), _L(0).alias("hops")))
     for hop in range(1, hops + 1):
-        step = front.join(edges, front["node"] == edges["a"]).filter(~F.array_contains("path", _C("b")))
-        front = cut(step.select("origin", _C("b").alias("node"), (_C("prob") * _C("weight")).alias("prob"),
-                                F.array_append("path", _C("b")).alias("path"), _L(hop).alias("hops")))
-        layers.append(front)
-        if stop is not None:
-            front = front.join(stop, "node", "left_anti")
-        front = front.select("origin", "node", "prob", "path")
-        if hop < hops and front.isEmpty():
+        front = best.filter(_C("hops") == hop - 1)
+        if stop is not None and hop > 1:
+            front = front.join(stop.select("node"), "node", "left_anti")
+        step = front.join(e, front["node"] == e["a"]).select("origin", _C("b").alias("node"), (_C("prob") * _C("weight")).alias("prob"), _L(hop).alias("hops"))
+        better = best.unionByName(step).groupBy("origin", "node").agg(F.max(F.struct("prob", (-_C("hops")).alias("less"))).alias("x"))
+        best = cut(better.select("origin", "node", _C("x.prob").alias("prob"), (-_C("x.less")).alias("hops")))
+        if hop < hops and best.filter(_C("hops") == hop).isEmpty():
             break
-    return _union(layers)
+    return best.filter("hops > 0")
 
 
 def root_causes(edges: DataFrame, symptoms: DataFrame, activated: DataFrame, max_depth: int = 4, k: int = 5) -> DataFrame:
@@ -125,11 +130,9 @@ def root_causes(edges: DataFrame, symptoms: DataFrame, activated: DataFrame, max
     ``max_depth`` expansions reach up to max_depth + 1 hops.
     """
     back = edges.select(_C("dst").alias("a"), _C("src").alias("b"), "weight")
-    start = symptoms.select(_C("node").alias("origin"), _C("node").alias("node"), _L(1.0).alias("prob"), F.array("node").alias("path"))
     hot = activated.select("node").distinct()
-    arrived = _spread(back, start, max_depth + 1, hot).join(hot, "node", "left_semi")
-    best = arrived.groupBy("origin", "node").agg(F.max("prob").alias("p"), F.min_by("hops", F.struct(-_C("prob"), "hops")).alias("hops"))
-    scored = best.select(_C("origin").alias("symptom"), _C("node").alias("cause"), F.round(F.least("p", _L(0.99)), 6).alias("confidence"), "hops")
+    best = best_products(back, symptoms, max_depth + 1, hot).join(hot, "node", "left_semi")
+    scored = best.select(_C("origin").alias("symptom"), _C("node").alias("cause"), F.round(F.least("prob", _L(0.99)), 6).alias("confidence"), "hops")
     return first_k(scored, ["symptom"], [F.desc("confidence"), F.asc("cause")], k).withColumnRenamed("rn", "rank")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketweave.functions.scores import pattern_trust
 from ticketweave.functions.text import first_match, token_set, unicode_edges
@@ -230,29 +232,45 @@ def asof_trigger(events: DataFrame, symptom: Column, relevant: Column, entity: s
     return found.filter("_s").select(key, entity, ts, _C(f"_trigger.{key}").alias("trigger_id"), _C(f"_trigger.{ts}").alias("trigger_ts"), _C(f"_trigger.{kind}").alias("trigger_kind"))
 
 
-def dedupe_similar(df: DataFrame, key: str, time: str, text: str, threshold: float = 0.80) -> DataFrame:
+#: Links of one time that a task settles in one ordered pass: some 10 MB.
+GROUP_LINKS = 200_000
+
+
+def dedupe_similar(df: DataFrame, key: str, time: str, text: str, threshold: float = 0.80, group_links: int = GROUP_LINKS) -> DataFrame:
     """Of events at the same time with at least ``threshold`` token overlap keep the first by ``key``.
 
-    Copies with the same tokens collapse in an aggregate first. Then rows are settled in rounds: a row with no
-    open earlier neighbour stays, rows next to a kept one go.
+    Copies with the same tokens collapse in an aggregate first. Times of at most ``group_links`` links are settled in one
+    ordered pass each, however long their chains of links are. Larger ones are settled in rounds over all tasks: a row with
+    no open earlier neighbour stays, rows next to a kept one go. Both give the same rows.
     """
     base = df.withColumn("_tok", F.array_sort(token_set(F.coalesce(_C(text), _L("")))))
     heads = base.filter(F.size("_tok") > 0).groupBy(time, "_tok").agg(F.min(key).alias(key))
     nodes = cut(heads)
     pairs = similar_pairs(nodes, nodes, key, key, "_tok", threshold, "overlap", (time,)).filter("l < r")
-    edges = cut(pairs.select(_C("l").alias("a"), _C("r").alias("b")))
-    dropped = None
-    open_edges = edges
+    timed = pairs.select(_C("l").alias("a"), _C("r").alias("b")).join(nodes.select(_C(key).alias("a"), _C(time).alias("_at")), "a")
+    edges = cut(timed)
+    sized = edges.join(edges.groupBy("_at").agg(F.count("*").alias("_n")), "_at")
+    few = sized.filter(_C("_n") <= group_links).select("_at", "a", "b")
+
+    def first_come(links: pd.DataFrame) -> pd.DataFrame:
+        gone = set()
+        for a, b in links.sort_values("b")[["a", "b"]].itertuples(index=False):  # all links into a row come before those out of it
+            if a not in gone:
+                gone.add(b)
+        return pd.DataFrame({key: pd.Series(list(gone), dtype=links["b"].dtype)})
+
+    dropped = few.groupBy("_at").applyInPandas(first_come, T.StructType([nodes.schema[key]]))
+    open_edges = cut(sized.filter(_C("_n") > group_links).select("a", "b"))
     while not open_edges.isEmpty():
         later = open_edges.select(_C("b").alias("a")).distinct()
         kept = open_edges.select("a").distinct().join(later, "a", "left_anti")
         gone = cut(open_edges.join(kept, "a", "left_semi").select(_C("b").alias(key)).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        dropped = dropped.unionByName(gone)
         # Edges of settled rows fall away: kept ones have done their work, gone ones no longer count.
         open_edges = cut(open_edges.join(kept, "a", "left_anti")
                          .join(gone.withColumnRenamed(key, "a"), "a", "left_anti")
                          .join(gone.withColumnRenamed(key, "b"), "b", "left_anti"))
-    survivors = nodes.select(key) if dropped is None else nodes.select(key).join(dropped, key, "left_anti")
+    survivors = nodes.select(key).join(dropped, key, "left_anti")
     empty = base.filter(F.size("_tok") == 0).select(key)
     return df.join(survivors.unionByName(empty), key, "left_semi")
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketweave.lineage import written
+
 
 def previous_values(
     df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], tie: Sequence[str] = (),
@@ -53,34 +55,38 @@ def last_known(
             .withColumn(out, F.coalesce("_p", "_carry")).drop("_b", "_p", "_carry"))
 
 
-def running_total(
-    df: DataFrame, buckets: Sequence[tuple[str, bool]], order: str, value: str, out: str,
-) -> DataFrame:
-    """Global running sum of ``value``; ``buckets`` are (column, ascending) pairs that prefix ``order``.
+def in_ranges(df: DataFrame, order: Sequence[Column], cells: int | None = None, out: str = "_cell") -> DataFrame:
+    """``df`` with the number of the range that each row falls in: ranges follow ``order`` and hold about equally many rows.
+
+    Spark samples the bounds. The rows are written once, so that later passes see the same ranges. Rows that are equal in
+    ``order`` share a range; ``cells`` is the number of ranges, by default that of shuffle partitions.
+    """
+    spread = df.repartitionByRange(cells, *order) if cells else df.repartitionByRange(*order)
+    return written(spread.withColumn(out, F.spark_partition_id()), "ranges")
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: str, out: str, cells: int | None = None) -> DataFrame:
+    """Global running sum of ``value`` along ``order``, which no two rows share.
 
-    Only the one-row-per-bucket summary is ordered globally.
+    Each range of the order is summed alone; only one row per range is ordered globally.
     """
-    names = [b for b, _ in buckets]
-    inside = df.withColumn("_in", F.sum(value).over(
-        Window.partitionBy(*names).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    sums = df.groupBy(*names).agg(F.sum(value).alias("_s"))
-    wb = Window.orderBy(*[F.col(b).asc() if asc else F.col(b).desc() for b, asc in buckets]).rowsBetween(
-        Window.unboundedPreceding, -1)
-    before = sums.select(*names, F.coalesce(F.sum("_s").over(wb), F.lit(0)).alias("_before"))
-    return inside.join(before, names).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before")
+    ranged = in_ranges(df, order, cells)
+    upto = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("_cell").agg(F.sum(value).alias("_s"))
+    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_cell", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    return (ranged.withColumn("_in", F.sum(value).over(upto)).join(before, "_cell")
+            .withColumn(out, F.col("_in") + F.col("_before")).drop("_cell", "_in", "_before"))
 
 
-def exact_quantile(df: DataFrame, col: str, q: float = 0.5, out: str = "quantile", cells: int = 4096) -> DataFrame:
-    """Exact interpolated quantile as a one-row frame.
+def exact_quantile(df: DataFrame, col: str, q: float = 0.5, out: str = "quantile", cells: int | None = None) -> DataFrame:
+    """Exact interpolated quantile as a one-row frame; null where there are no values.
 
-    Values are counted, the counts are laid on ``cells`` equal cells, and only the one or two cells that
-    hold the wanted ranks are ordered.
+    Values are counted, so a frequent one is a single row, and the distinct values are cut into ranges of about equal size,
+    so a value far off moves no bound. Only the one or two ranges that hold the wanted ranks are ordered.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    bounds = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    celled = counts.withColumn(
-        "cell", F.when(hi > lo, F.floor((F.col("v") - lo) / (hi - lo) * cells)).otherwise(F.lit(0)).cast("int"))
+    celled = in_ranges(counts, [F.col("v")], cells, "cell")
     sums = celled.groupBy("cell").agg(F.sum("n").alias("cn"))
     wb = Window.orderBy("cell")
     totals = sums.select(

@@ -11,7 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,10 @@ from ticketweave.operators.matching import phrase_hits, similar_pairs
 from ticketweave.operators.ordered import first_k
 
 _C, _L = F.col, F.lit
-TOKEN = r"[a-z0-9_]{3,}"
+#: Whole words of plain letters: a run inside an accented word is none.
+TOKEN = r"(?<![\p{L}\p{N}_])[a-z0-9_]{3,}(?![\p{L}\p{N}_])"
+#: Scores are rounded to six places before they are ranked: what lies this near a bound is still looked at.
+_NEAR = 2e-6
 
 
 # ---------------------------------------------------------------- lexical search
@@ -34,29 +37,58 @@ def term_counts(df: DataFrame, key: str, text: str, pattern: str = TOKEN) -> Dat
             .groupBy(key, "term", "dl").agg(F.count("*").alias("tf")))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, query_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75, boosts: DataFrame | None = None) -> DataFrame:
-    """Top ``k`` documents per query. Repeated query terms count as often as they occur.
-
-    Only terms that occur in some query leave the documents, and a document's contributions to one query are
-    added up in the task that read it, before anything is shuffled. ``boosts`` (query, phrase) adds .2 per phrase
-    found in a document among the 2k best.
-    """
-    q_terms = term_counts(queries, query, query_text).select(query, "term", _C("tf").alias("qtf"))
-    vocabulary = q_terms.select("term").distinct()
+def _impacts(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, k1: float, b: float) -> DataFrame:
+    """(key, term, w, n): the weight of each wanted term in each document but for its idf, and the number of documents."""
     toks = docs.select(key, F.regexp_extract_all(F.lower(text), _L(TOKEN), _L(0)).alias("_t"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avg"))
     n, avg = stats.select("n").scalar(), stats.select(F.greatest(_L(1.0), "avg")).scalar()
     postings = (toks.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
                 .groupBy(key, "term", "dl").agg(F.count("*").alias("tf")))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log((n - _C("df") + 0.5) / (_C("df") + 0.5) + 1.0).alias("idf"))
-    weighted = q_terms.join(idf, "term")
-    part = _C("qtf") * _C("idf") * _C("tf") * (k1 + 1) / (_C("tf") + k1 * (1 - b + b * _C("dl") / avg))
-    scored = postings.join(weighted, "term").groupBy(query, key).agg(F.sum(part).alias("raw"))
+    return written(postings.select(key, "term", (_C("tf") * (k1 + 1) / (_C("tf") + k1 * (1 - b + b * _C("dl") / avg))).alias("w"), n.alias("n")), "impacts")
+
+
+def scored_best(terms: DataFrame, impacts: DataFrame, query: str, key: str, k: int, seeds: int = 10) -> DataFrame:
+    """(query, key, raw) of every document that may be among the ``k`` best of a query, each with its whole score.
+
+    terms: query, term, qi (weight in the query), ub (the most that the term adds to any document), df; impacts: key, term, w.
+    A query's rarest terms, as many as have ``seeds * k`` postings, give a floor of its k-th best score. The terms that add
+    the least and together stay under the floor bring in no document of their own: they are looked up only for documents
+    that the other terms found and that can still pass the floor. So no (query, document) row is made for a common word,
+    unless a query has nothing rarer.
+    """
+    rare = Window.partitionBy(query).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = terms.withColumn("_before", F.coalesce(F.sum("df").over(rare), _L(0))).filter(_C("_before") < seeds * k)
+    add = lambda rows: rows.groupBy(query, key).agg(F.sum(_C("qi") * _C("w")).alias("raw"))
+    told = first_k(add(first.select(query, "term", "qi").join(impacts.select(key, "term", "w"), "term")), [query], [F.desc("raw")], k)
+    floor = told.filter(_C("rn") == k).select(query, _C("raw").alias("_floor"))
+    small = Window.partitionBy(query).orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, 0)
+    ruled = terms.join(floor, query, "left").withColumn("_sum", F.sum("ub").over(small))
+    ruled = written(ruled.withColumn("_idle", F.coalesce(_C("_sum") < _C("_floor") - _NEAR, _L(False))), "ruled")
+    idle = ruled.filter("_idle").select(query, "term", "qi")
+    rest = ruled.filter("_idle").groupBy(query).agg(F.max("_sum").alias("_rest"), F.max("_floor").alias("_floor"))
+    found = add(ruled.filter("not _idle").select(query, "term", "qi").join(impacts.select(key, "term", "w"), "term")).join(rest, query, "left")
+    found = written(found.filter(_C("_rest").isNull() | (_C("raw") + _C("_rest") >= _C("_floor") - _NEAR)).select(query, key, "raw"), "found")
+    more = found.select(query, key).join(idle, query).join(impacts.select(key, "term", "w"), [key, "term"])
+    return found.unionByName(add(more)).groupBy(query, key).agg(F.sum("raw").alias("raw"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, query_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75, boosts: DataFrame | None = None) -> DataFrame:
+    """Top ``k`` documents per query. Repeated query terms count as often as they occur.
+
+    Only terms that occur in some query leave the documents, and :func:`scored_best` scores only documents that can be among
+    the best. ``boosts`` (query, phrase) adds .2 per phrase found in a document among the 2k best.
+    """
+    q_terms = term_counts(queries, query, query_text).select(query, "term", _C("tf").alias("qtf"))
+    impacts = _impacts(docs, q_terms.select("term").distinct(), key, text, k1, b)
+    df = impacts.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("top"), F.max("n").alias("n"))
+    qi = _C("qtf") * F.log((_C("n") - _C("df") + 0.5) / (_C("df") + 0.5) + 1.0)
+    terms = written(q_terms.join(df, "term").select(query, "term", qi.alias("qi"), (qi * _C("top")).alias("ub"), "df"), "terms")
+    pooled = k if boosts is None else 2 * k
+    scored = scored_best(terms, impacts, query, key, pooled)
+    pool = first_k(scored.withColumn("score", F.round("raw", 6)), [query], [F.desc("score"), F.asc(key)], pooled)
     if boosts is None:
-        ranked = first_k(scored.withColumn("score", F.round("raw", 6)), [query], [F.desc("score"), F.asc(key)], k)
-        return ranked.select(query, key, "score", _C("rn").alias("rank"))
-    pool = first_k(scored.withColumn("score", F.round("raw", 6)), [query], [F.desc("score"), F.asc(key)], 2 * k).drop("rn")
+        return pool.select(query, key, "score", _C("rn").alias("rank"))
+    pool = pool.drop("rn")
     hits = phrase_hits(docs, key, text, boosts, "phrase")
     named = boosts.select(query, F.lower("phrase").alias("phrase")).distinct()
     bonus = hits.join(named, "phrase").groupBy(query, key).agg((F.count("*") * 0.2).alias("bonus"))
@@ -300,16 +332,36 @@ def train_classifier(df: DataFrame, text: str, label: str, key: str, min_rows: i
 
 
 def predict(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
-    """Long (key, label, probability) rows, one per class."""
+    """Long (key, label, probability) rows, one per class; the rows need no label."""
     labels = model.stages[0].labels
-    scored = model.transform(df).select(key, F.posexplode(vector_to_array("_prob")).alias("_i", "probability"))
+    scored = PipelineModel(model.stages[1:]).transform(df).select(key, F.posexplode(vector_to_array("_prob")).alias("_i", "probability"))
     return scored.select(key, first_match([(_C("_i") == i, _L(l)) for i, l in enumerate(labels)], _L(None).cast("string")).alias("label"), "probability")
 
 
-def train_l2(df: DataFrame, text: str, l1: str, l2: str, key: str, min_rows: int = 5, min_classes: int = 2) -> dict[str, PipelineModel]:
-    """One model per level-1 value with enough rows and classes; the values are few by nature."""
-    fit = (df.groupBy(l1).agg(F.count("*").alias("n"), F.count_distinct(l2).alias("c")).filter((_C("n") >= min_rows) & (_C("c") >= min_classes)))
-    return {r[l1]: train_classifier(df.filter(_C(l1) == r[l1]), text, l2, key, min_rows=1, holdout=0.0, max_features=1000)[0] for r in fit.collect()}
+#: Stands between the two levels of a joint label.
+_JOINT = "\x1f"
+
+
+def train_l2(df: DataFrame, text: str, l1: str, l2: str, key: str, min_rows: int = 5, min_classes: int = 2) -> PipelineModel:
+    """One multinomial model over joint labels (l1, l2), however many level-1 values there are.
+
+    Level-1 values with fewer than ``min_rows`` rows or ``min_classes`` labels are left out, and rows that lack a label.
+    """
+    rows = df.filter(_C(l1).isNotNull() & _C(l2).isNotNull())
+    fit = rows.groupBy(l1).agg(F.count("*").alias("_rows"), F.count_distinct(l2).alias("_labels")).filter((_C("_rows") >= min_rows) & (_C("_labels") >= min_classes))
+    joint = rows.join(fit, l1, "left_semi").withColumn("_joint", F.concat_ws(_JOINT, _C(l1).cast("string"), _C(l2).cast("string")))
+    return train_classifier(joint, text, "_joint", key, min_rows=1, holdout=0.0, max_features=1000)[0]
+
+
+def predict_l2(model: PipelineModel, df: DataFrame, key: str, l1: str) -> DataFrame:
+    """(key, level_1, label, probability): joint classes of the row's level-1 value alone, which add up to 1.
+
+    Rows whose level-1 value the model does not know give nothing; ``key`` is unique.
+    """
+    joint = predict(model, df, key)
+    own = joint.join(df.select(key, _C(l1).cast("string").alias("level_1")), key).filter(F.split_part("label", _L(_JOINT), _L(1)) == _C("level_1"))
+    total = own.groupBy(key).agg(F.sum("probability").alias("_total"))
+    return own.join(total, key).select(key, "level_1", F.split_part("label", _L(_JOINT), _L(2)).alias("label"), (_C("probability") / _C("_total")).alias("probability"))
 
 
 # ---------------------------------------------------------------- learned patterns

@@ -14,15 +14,14 @@ from ticketweave.operators.ordered import first_k, last_known, previous_values,
 _C, _L = F.col, F.lit
 
 
-def pareto(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
+def pareto(df: DataFrame, col: str, weight: str | None = None, cells: int | None = None) -> DataFrame:
     """Count, share and cumulative share per value, largest first; blanks count as one class."""
     name = F.coalesce(F.nullif(F.trim(_C(col).cast("string")), _L("")), _L("Non classé"))
     measure = F.count("*") if weight is None else F.sum(weight)
     counts = df.groupBy(name.alias("label")).agg(measure.alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    # Order is (n desc, label); (n, first two characters) prefixes it and splits the ordering work.
-    split = counts.withColumn("_p", F.substring("label", 1, 2))
-    run = running_total(split, [("n", False), ("_p", True)], "label", "n", "cum").drop("_p")
+    # Labels of equal counts, of which a long tail has millions, are cut by the label as well.
+    run = running_total(counts, [F.desc("n"), F.asc("label")], "n", "cum", cells)
     return run.select("label", "n", F.round(_C("n") / total * 100, 2).alias("pct"), F.round(_C("cum") / total * 100, 2).alias("cumulative_pct"))
 
 

@@ -11,20 +11,20 @@ from ticketweave.plans.registry import query
 C, L = F.col, F.lit
 S = lambda c: c.cast("string")
 
-_TK = f"(SELECT ticket_id, application, cause AS incident_type, {CODES_SQL} AS codes, user_id % 20 AS cluster_id FROM $tickets WHERE ticket_id < 2000)"
-_CL = "(SELECT DISTINCT user_id % 20 AS cluster_id, concat('app', user_id % 20 % 3) AS application, concat('t', user_id % 20 % 4) AS incident_type FROM events)"
-_PR = "(SELECT p_partkey AS procedure_id, concat('app', p_size % 4) AS application, p_type AS incident_type, [concat('e', p_size % 6)] AS codes FROM part WHERE p_partkey < 200)"
+_TK = f"(SELECT ticket_id, application, cause AS incident_type, {CODES_SQL} AS codes, user_id AS cluster_id FROM $tickets)"
+_CL = "(SELECT DISTINCT user_id AS cluster_id, concat('app', user_id % 3) AS application, concat('t', user_id % 4) AS incident_type FROM events)"
+_PR = "(SELECT p_partkey AS procedure_id, concat('app', p_size % 4) AS application, p_type AS incident_type, [concat('e', p_size % 6)] AS codes FROM part)"
 GRAPH_SQL = f"""(SELECT DISTINCT * FROM (SELECT concat('TKT:', ticket_id) AS src, concat('APP:', application) AS dst, 'AFFECTS' AS rel_type FROM {_TK} WHERE application <> '' UNION ALL SELECT concat('TKT:', ticket_id), concat('TYPE:', incident_type), 'IS_TYPE' FROM {_TK} WHERE incident_type <> '' UNION ALL SELECT concat('TKT:', ticket_id), concat('CLU:', cluster_id), 'BELONGS_TO' FROM {_TK}
  UNION ALL SELECT concat('CLU:', cluster_id), concat('APP:', application), 'CONCERNS' FROM {_CL} UNION ALL SELECT concat('CLU:', cluster_id), concat('TYPE:', incident_type), 'HAS_TYPE' FROM {_CL} UNION ALL SELECT concat('PROC:', procedure_id), concat('APP:', application), 'APPLIES_TO' FROM {_PR} UNION ALL SELECT concat('PROC:', procedure_id), concat('TYPE:', incident_type), 'RESOLVES' FROM {_PR}
  UNION ALL SELECT concat('TKT:', ticket_id), concat('ERR:', upper(unnest(codes))), 'HAS_CODE' FROM {_TK} UNION ALL SELECT concat('PROC:', procedure_id), concat('ERR:', upper(unnest(codes))), 'HANDLES_CODE' FROM {_PR} UNION ALL SELECT concat('TKT:', ticket_id), concat('SYS:', 'S', ticket_id % 3), 'MENTIONS' FROM {_TK}))"""
 
 
 def graph(t):
-    tk = tickets(t).filter("ticket_id < 2000").select("ticket_id", "application", C("cause").alias("incident_type"), "codes", F.array(F.concat(L("s"), S(C("ticket_id") % 3))).alias("systems"), (C("user_id") % 20).alias("cluster_id"))
-    k = C("user_id") % 20
+    tk = tickets(t).select("ticket_id", "application", C("cause").alias("incident_type"), "codes", F.array(F.concat(L("s"), S(C("ticket_id") % 3))).alias("systems"), C("user_id").alias("cluster_id"))
+    k = C("user_id")
     cl = t.events.select(k.alias("cluster_id"), F.concat(L("app"), S(k % 3)).alias("application"), F.concat(L("t"), S(k % 4)).alias("incident_type")).distinct()
     z = C("p_size")
-    pr = t.part.filter("p_partkey < 200").select(C("p_partkey").alias("procedure_id"), F.concat(L("app"), S(z % 4)).alias("application"), C("p_type").alias("incident_type"), F.array(F.concat(L("e"), S(z % 6))).alias("codes"))
+    pr = t.part.select(C("p_partkey").alias("procedure_id"), F.concat(L("app"), S(z % 4)).alias("application"), C("p_type").alias("incident_type"), F.array(F.concat(L("e"), S(z % 6))).alias("codes"))
     return gr.build_graph(tk, cl, pr)
 
 
@@ -66,11 +66,11 @@ def _(t):
     return gr.relations_by_type(*graph(t), "Procedure", "ErrorCode")
 
 
-_GE = "(SELECT DISTINCT l_suppkey AS src, 1000 + l_partkey % 300 AS dst FROM lineitem WHERE l_suppkey < 40 AND l_partkey % 9 = 0)"
+_GE = "(SELECT DISTINCT l_suppkey AS src, 1000000000 + l_partkey AS dst FROM lineitem)"
 
 
 def bipartite(t):
-    return t.lineitem.filter("l_suppkey < 40 and l_partkey % 9 = 0").select(C("l_suppkey").alias("src"), (1000 + C("l_partkey") % 300).alias("dst")).distinct()
+    return t.lineitem.select(C("l_suppkey").alias("src"), (1000000000 + C("l_partkey")).alias("dst")).distinct()
 
 
 @query("g05_k_hop", f"""WITH e AS (SELECT * FROM {_GE} UNION SELECT dst, src FROM {_GE}), h0 AS (SELECT unnest([1, 2, 3])::BIGINT AS start, unnest([1, 2, 3])::BIGINT AS node), h1 AS (SELECT DISTINCT start, dst AS node FROM h0 JOIN e ON node = src EXCEPT SELECT * FROM h0), s1 AS (SELECT * FROM h0 UNION SELECT * FROM h1), h2 AS (SELECT DISTINCT start, dst AS node FROM h1 JOIN e ON node = src EXCEPT SELECT * FROM s1)
@@ -79,12 +79,13 @@ def _(t):
     return gr.k_hop(bipartite(t), t.supplier.filter("s_suppkey in (1, 2, 3)"), "s_suppkey", 2)
 
 
-_CAUSAL = "(SELECT DISTINCT user_id % 25 AS src, (user_id % 25 * 3 + event_id % 4 + 1) % 25 AS dst, 0.5::DOUBLE + (user_id % 5) * 0.1::DOUBLE AS weight FROM events WHERE user_id % 25 <> (user_id % 25 * 3 + event_id % 4 + 1) % 25)"
+# Every user is a node; edges lead a little forward, every seventh event back.
+_CAUSAL = "(SELECT DISTINCT user_id AS src, CASE WHEN event_id % 7 = 0 THEN abs(user_id - 3) ELSE user_id + event_id % 4 + 1 END AS dst, 0.5::DOUBLE + (user_id % 5) * 0.1::DOUBLE AS weight FROM events)"
 
 
 def causal(t):
-    u = C("user_id") % 25
-    return t.events.select(u.alias("src"), ((u * 3 + C("event_id") % 4 + 1) % 25).alias("dst"), (0.5 + (C("user_id") % 5) * 0.1).alias("weight")).filter("src <> dst").distinct()
+    u = C("user_id")
+    return t.events.select(u.alias("src"), F.when(C("event_id") % 7 == 0, F.abs(u - 3)).otherwise(u + C("event_id") % 4 + 1).alias("dst"), (0.5 + (u % 5) * 0.1).alias("weight")).distinct()
 
 
 @query("g06_paths_from", f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_CAUSAL}), p AS (SELECT 1::BIGINT AS start, 1::BIGINT AS node, [1::BIGINT] AS path, 0 AS depth UNION ALL SELECT start, dst, list_append(path, dst), depth + 1 FROM p JOIN e ON node = src WHERE depth < 3 AND NOT list_contains(path, dst)) SELECT start, node, array_to_string(path, '>') AS path, depth FROM p""")
@@ -97,13 +98,13 @@ def _(t):
     return gr.graph_stats(*graph(t))
 
 
-@query("g08_root_causes", f"""WITH RECURSIVE e AS (SELECT dst AS a, src AS b, weight FROM {_CAUSAL}), hot AS (SELECT unnest([4, 9, 14, 19, 24])::BIGINT AS node), p AS (SELECT s AS origin, s AS node, 1.0::DOUBLE AS prob, [s] AS path, 0 AS hops FROM (SELECT unnest([1, 2, 3])::BIGINT AS s)
+@query("g08_root_causes", f"""WITH RECURSIVE e AS (SELECT dst AS a, src AS b, weight FROM {_CAUSAL}), hot AS (SELECT DISTINCT user_id AS node FROM events WHERE user_id % 5 = 4), p AS (SELECT s AS origin, s AS node, 1.0::DOUBLE AS prob, [s] AS path, 0 AS hops FROM (SELECT DISTINCT user_id AS s FROM events WHERE user_id % 20 = 0)
  UNION ALL SELECT origin, b, prob * weight, list_append(path, b), hops + 1 FROM p JOIN e ON node = a WHERE hops < 5 AND NOT list_contains(path, b) AND (hops = 0 OR node NOT IN (SELECT node FROM hot))),
 m AS (SELECT origin, node, max(prob) AS pr, first(hops ORDER BY prob DESC, hops) AS hops FROM p WHERE hops > 0 AND node IN (SELECT node FROM hot) GROUP BY 1, 2), s AS (SELECT origin AS symptom, node AS cause, round(least(pr, 0.99), 6) AS confidence, hops FROM m)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symptom ORDER BY confidence DESC, cause)::INTEGER AS rank FROM s) WHERE rank <= 5""")
 def _(t):
-    sym = t.supplier.filter("s_suppkey in (1, 2, 3)").select(C("s_suppkey").alias("node"))
-    hot = t.supplier.filter("s_suppkey in (4, 9, 14, 19, 24)").select(C("s_suppkey").alias("node"))
+    users = t.events.select(C("user_id").alias("node")).distinct()
+    sym, hot = users.filter("node % 20 = 0"), users.filter("node % 5 = 4")
     return gr.root_causes(causal(t), sym, hot)
 
 

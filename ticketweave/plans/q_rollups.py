@@ -166,11 +166,11 @@ def _(t):
     return ro.weekly_volume(t.events, "ts")
 
 
-@query("a13_correction_stats", """WITH k AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 'reinforce' ELSE 'suppress' END AS kind FROM events WHERE event_type <> 'view')
+@query("a13_correction_stats", """WITH k AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 'reinforce' ELSE 'suppress' END AS kind FROM events)
 SELECT 'total' AS metric, '' AS value, count(*) AS n FROM k UNION ALL SELECT 'by_label', event_type, count(*) FROM k GROUP BY 2 UNION ALL SELECT 'by_type', kind, count(*) FROM k GROUP BY 2
 UNION ALL SELECT 'recent', event_id::VARCHAR, 1 FROM (SELECT event_id FROM k ORDER BY ts DESC, event_id DESC LIMIT 10)""")
 def _(t):
-    df = t.events.filter("event_type <> 'view'").withColumn("kind", F.when(C("user_id") % 3 == 0, "reinforce").otherwise("suppress"))
+    df = t.events.withColumn("kind", F.when(C("user_id") % 3 == 0, "reinforce").otherwise("suppress"))
     return ro.correction_stats(df, "event_type", "kind", "ts", "event_id")
 
 

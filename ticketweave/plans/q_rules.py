@@ -47,12 +47,12 @@ _RC = {"equipment_has_residual_data": 0.92, "tp_blocked_status_1": 0.95, "port_s
 _RQ = ["check_residual_references", "check_active_services", "get_blocked_tps", "check_shared_port_links", "unknown_check"]
 
 
-@query("b04_resolution_candidates", f"""WITH e AS (SELECT l_orderkey % 500 AS id, {case([(f'l_linenumber % 5 = {i}', q(n)) for i, n in enumerate(_RQ)], 'NULL')} AS qn FROM lineitem WHERE l_quantity > 40), f AS (SELECT id, CASE qn WHEN 'check_residual_references' THEN 'equipment_has_residual_data' WHEN 'check_active_services' THEN 'equipment_has_residual_data' WHEN 'get_blocked_tps' THEN 'tp_blocked_status_1' WHEN 'check_shared_port_links' THEN 'port_shared_between_links' END AS rc, CASE qn WHEN 'check_residual_references' THEN 0.94 WHEN 'check_active_services' THEN 0.93 WHEN 'get_blocked_tps' THEN 0.95 ELSE 0.85 END::DOUBLE AS conf, 'live_db' AS src FROM e),
-g AS (SELECT * FROM f WHERE rc IS NOT NULL), x AS (SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'equipment_has_residual_data' ELSE 'vlan_residual_resources' END AS rc, CASE WHEN o_orderkey % 2 = 0 THEN 0.82 ELSE 0.45 END::DOUBLE AS conf, 'intent_fallback' AS src FROM orders WHERE o_orderkey < 500 AND o_orderkey % 3 = 0),
+@query("b04_resolution_candidates", f"""WITH e AS (SELECT l_orderkey AS id, {case([(f'l_linenumber % 5 = {i}', q(n)) for i, n in enumerate(_RQ)], 'NULL')} AS qn FROM lineitem), f AS (SELECT id, CASE qn WHEN 'check_residual_references' THEN 'equipment_has_residual_data' WHEN 'check_active_services' THEN 'equipment_has_residual_data' WHEN 'get_blocked_tps' THEN 'tp_blocked_status_1' WHEN 'check_shared_port_links' THEN 'port_shared_between_links' END AS rc, CASE qn WHEN 'check_residual_references' THEN 0.94 WHEN 'check_active_services' THEN 0.93 WHEN 'get_blocked_tps' THEN 0.95 ELSE 0.85 END::DOUBLE AS conf, 'live_db' AS src FROM e),
+g AS (SELECT * FROM f WHERE rc IS NOT NULL), x AS (SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'equipment_has_residual_data' ELSE 'vlan_residual_resources' END AS rc, CASE WHEN o_orderkey % 2 = 0 THEN 0.82 ELSE 0.45 END::DOUBLE AS conf, 'intent_fallback' AS src FROM orders WHERE o_orderkey % 3 = 0),
 u AS (SELECT * FROM g UNION ALL SELECT * FROM x WHERE conf >= 0.5 AND NOT EXISTS (SELECT 1 FROM g WHERE g.id = x.id AND g.rc = x.rc)), b AS (SELECT id, rc, first(struct_pack(c := round(conf, 6), s := src) ORDER BY conf DESC, src DESC) AS b FROM u GROUP BY 1, 2) SELECT id, rc AS root_cause, b.c AS confidence, b.s AS source, row_number() OVER (PARTITION BY id ORDER BY b.c DESC, b.s DESC, rc DESC)::INTEGER AS rank FROM b""")
 def _(t):
-    ev = t.lineitem.filter("l_quantity > 40").select((C("l_orderkey") % 500).alias("id"), tx.first_match([(C("l_linenumber") % 5 == i, L(n)) for i, n in enumerate(_RQ)], L(None).cast("string")).alias("qn"), L(True).alias("raised"))
-    inc = t.orders.filter("o_orderkey < 500").select(C("o_orderkey").alias("id"), F.when(C("o_orderkey") % 2 == 0, "delete_equipment").otherwise("delete_vlan").alias("intent"), (C("o_orderkey") % 3 == 0).alias("fresh"))
+    ev = t.lineitem.select(C("l_orderkey").alias("id"), tx.first_match([(C("l_linenumber") % 5 == i, L(n)) for i, n in enumerate(_RQ)], L(None).cast("string")).alias("qn"), L(True).alias("raised"))
+    inc = t.orders.select(C("o_orderkey").alias("id"), F.when(C("o_orderkey") % 2 == 0, "delete_equipment").otherwise("delete_vlan").alias("intent"), (C("o_orderkey") % 3 == 0).alias("fresh"))
     return ru.resolution_candidates(ev, "id", "qn", "raised", _RC, inc)
 
 
@@ -73,11 +73,11 @@ _SRC = ["user", "kb", "jira", "log"]
 _HY = " UNION ALL ".join(f"SELECT id, src, '{l}' AS label, len(regexp_extract_all(lower(txt), {q(p)})) AS n FROM k WHERE regexp_matches(lower(txt), {q(p)})" for l, p in KEYWORDS)
 
 
-@query("b08_correlate_sources", f"""WITH k AS (SELECT user_id AS id, {case([(f'ticket_id % 4 = {i}', q(s)) for i, s in enumerate(_SRC)], 'NULL')} AS src, resume AS txt FROM $tickets WHERE ticket_id % 20 < 5), t AS (SELECT id, count(DISTINCT nullif(src, 'user')) AS total FROM k GROUP BY 1), h AS ({_HY}),
+@query("b08_correlate_sources", f"""WITH k AS (SELECT user_id AS id, {case([(f'ticket_id % 4 = {i}', q(s)) for i, s in enumerate(_SRC)], 'NULL')} AS src, resume AS txt FROM $tickets), t AS (SELECT id, count(DISTINCT nullif(src, 'user')) AS total FROM k GROUP BY 1), h AS ({_HY}),
 g AS (SELECT id, label, count(DISTINCT nullif(src, 'user')) AS agree, max({_SB})::DOUBLE AS b, sum(n) AS n FROM h GROUP BY 1, 2), s AS (SELECT g.id, label, round(least(b + least(0.1 * n, 0.2), 1.0), 6) AS confidence, CASE WHEN total > 0 THEN round(agree / total, 6) ELSE 0 END AS agreement FROM g JOIN t USING (id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY agreement DESC, confidence DESC, label)::INTEGER AS rank FROM s) WHERE rank <= 4""")
 def _(t):
-    df = t.tickets.filter("ticket_id % 20 < 5").select(C("user_id").alias("id"), tx.first_match([(C("ticket_id") % 4 == i, L(s)) for i, s in enumerate(_SRC)], L(None).cast("string")).alias("src"), C("resume").alias("txt"))
+    df = t.tickets.select(C("user_id").alias("id"), tx.first_match([(C("ticket_id") % 4 == i, L(s)) for i, s in enumerate(_SRC)], L(None).cast("string")).alias("src"), C("resume").alias("txt"))
     return ru.correlate_sources(df, "id", "src", "txt", KEYWORDS)
 
 
@@ -92,11 +92,11 @@ _HS = ["query", "fr", "log", "incident"]
 _HR = " UNION ALL ".join(f"SELECT id, src, {_SW}::DOUBLE AS w, '{h}' AS hypothesis_id, {len(ps)} AS np, list_filter([{', '.join(f'CASE WHEN regexp_matches(lower(txt), {q(p)}) THEN {i} END' for i, p in enumerate(ps))}], lambda x: x IS NOT NULL) AS f, CASE WHEN upper(ent) IN ({', '.join(q(e) for e in es) or 'NULL'}) THEN upper(ent) END AS e FROM k" for h, ps, es in HYPS)
 
 
-@query("b09_score_hypotheses", f"""WITH k AS (SELECT user_id AS id, {case([(f'ticket_id % 4 = {i}', q(s)) for i, s in enumerate(_HS)], 'NULL')} AS src, resume AS txt, application AS ent FROM $tickets WHERE ticket_id % 40 < 5), r AS ({_HR}), a AS (SELECT id, hypothesis_id, any_value(np) AS np, len(list_distinct(flatten(list(f)))) AS nf, count_if(len(f) > 0 AND src <> 'query')::BIGINT AS n_evidence, count(DISTINCT e) AS ne, max(len(f) / np * w) FILTER (len(f) > 0 AND src <> 'query') AS best FROM r WHERE len(f) > 0 OR e IS NOT NULL GROUP BY 1, 2),
+@query("b09_score_hypotheses", f"""WITH k AS (SELECT user_id AS id, {case([(f'ticket_id % 4 = {i}', q(s)) for i, s in enumerate(_HS)], 'NULL')} AS src, resume AS txt, application AS ent FROM $tickets), r AS ({_HR}), a AS (SELECT id, hypothesis_id, any_value(np) AS np, len(list_distinct(flatten(list(f)))) AS nf, count_if(len(f) > 0 AND src <> 'query')::BIGINT AS n_evidence, count(DISTINCT e) AS ne, max(len(f) / np * w) FILTER (len(f) > 0 AND src <> 'query') AS best FROM r WHERE len(f) > 0 OR e IS NOT NULL GROUP BY 1, 2),
 d AS (SELECT unnest(['H1', 'H3']) AS hypothesis_id, unnest([-0.1, -0.3]) AS delta)
 SELECT id, a.hypothesis_id, round(greatest(0.0, CASE WHEN n_evidence > 0 THEN least(1.0, nf / np + 0.1 * ne + 0.05 * n_evidence) ELSE least(0.7, nf / np + 0.1 * ne) END + coalesce(delta, 0)), 6) AS confidence, n_evidence, round(best, 6) AS best_evidence FROM a LEFT JOIN d USING (hypothesis_id) WHERE nf / np >= 0.05""")
 def _(t):
-    df = t.tickets.filter("ticket_id % 40 < 5").select(C("user_id").alias("id"), tx.first_match([(C("ticket_id") % 4 == i, L(s)) for i, s in enumerate(_HS)], L(None).cast("string")).alias("src"), C("resume").alias("txt"), C("application").alias("ent"))
+    df = t.tickets.select(C("user_id").alias("id"), tx.first_match([(C("ticket_id") % 4 == i, L(s)) for i, s in enumerate(_HS)], L(None).cast("string")).alias("src"), C("resume").alias("txt"), C("application").alias("ent"))
     supp = t.spark.createDataFrame([("H1", -0.1), ("H3", -0.3)], "hypothesis_id string, delta double")
     return ru.score_hypotheses(df, "id", "src", "txt", HYPS, "ent", supp)
 
@@ -164,11 +164,11 @@ def _(t):
     return ru.blocked_items(t.orders, "o_orderstatus", ["P", "O"], "o_orderpriority", "%URG%").select("o_orderkey", "o_orderpriority")
 
 
-@query("b15_validate_answers", """WITH v AS (SELECT o_custkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'block' WHEN '2-HIGH' THEN 'warning' ELSE 'info' END AS sev FROM orders WHERE o_orderkey % 10 = 0), a AS (SELECT id, count_if(sev='block')::BIGINT AS nb, count_if(sev='warning')::BIGINT AS nw, count_if(sev='info')::BIGINT AS ni FROM v GROUP BY 1),
+@query("b15_validate_answers", """WITH v AS (SELECT o_custkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'block' WHEN '2-HIGH' THEN 'warning' ELSE 'info' END AS sev FROM orders), a AS (SELECT id, count_if(sev='block')::BIGINT AS nb, count_if(sev='warning')::BIGINT AS nw, count_if(sev='info')::BIGINT AS ni FROM v GROUP BY 1),
 k AS (SELECT c_custkey AS id, coalesce(nb, 0) AS nb, coalesce(nw, 0) AS nw, coalesce(ni, 0) AS ni, c_custkey % 6 AS ev, c_custkey % 100 / 100 AS hc, c_custkey % 10 / 10 AS cc FROM customer LEFT JOIN a ON a.id = c_custkey), t AS (SELECT *, CASE WHEN nb > 0 THEN 'LOW' WHEN nw > 0 OR ev = 0 THEN 'MEDIUM' WHEN hc > 0.9 AND ev < 3 THEN 'MEDIUM' ELSE 'HIGH' END AS tier FROM k)
 SELECT id, tier, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((1.0::DOUBLE - 0.35::DOUBLE * nb - 0.15::DOUBLE * nw - 0.05::DOUBLE * ni + least(ev * 0.05::DOUBLE, 0.20::DOUBLE)) * 0.90::DOUBLE + hc * 0.10::DOUBLE) * 0.95::DOUBLE + cc * 0.05::DOUBLE)), 3) AS score, nb AS n_block, nw AS n_warning, ni AS n_info, tier <> 'HIGH' AS needs_review FROM t""")
 def _(t):
-    v = t.orders.filter("o_orderkey % 10 = 0").select(C("o_custkey").alias("id"), F.when(C("o_orderpriority") == "1-URGENT", "block").when(C("o_orderpriority") == "2-HIGH", "warning").otherwise("info").alias("sev"))
+    v = t.orders.select(C("o_custkey").alias("id"), F.when(C("o_orderpriority") == "1-URGENT", "block").when(C("o_orderpriority") == "2-HIGH", "warning").otherwise("info").alias("sev"))
     k = C("c_custkey")
     a = t.customer.select(k.alias("id"), (k % 6).alias("ev"), (k % 100 / 100).alias("hc"), (k % 10 / 10).alias("cc"))
     return ru.validate_answers(v, a, "id", "sev", "ev", "hc", "cc")

@@ -35,11 +35,11 @@ def _(t):
     return so.residual_counts({"lineitem": (t.lineitem, "l_suppkey"), "supplier": (t.supplier, "s_suppkey"), "part": (t.part, "p_partkey")}, [1, 2, 3])
 
 
-@query("u03_merge_ranked", """WITH u AS (SELECT 0 AS source_rank, p_name AS title, p_size::DOUBLE AS score, p_partkey AS id FROM part WHERE p_size > 40 UNION ALL SELECT 1, upper(p_name), p_retailprice, p_partkey FROM part WHERE p_brand = 'Brand#2')
+@query("u03_merge_ranked", """WITH u AS (SELECT 0 AS source_rank, p_name AS title, p_size::DOUBLE AS score, p_partkey AS id FROM part UNION ALL SELECT 1, CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE concat(p_name, ' ', p_size) END, p_retailprice, p_partkey FROM part)
 SELECT source_rank, title, score, id FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY source_rank, score DESC, id) rn FROM u) WHERE rn = 1""")
 def _(t):
-    a = t.part.filter("p_size > 40").select(C("p_name").alias("title"), C("p_size").cast("double").alias("score"), C("p_partkey").alias("id"))
-    b = t.part.filter("p_brand = 'Brand#2'").select(F.upper("p_name").alias("title"), C("p_retailprice").alias("score"), C("p_partkey").alias("id"))
+    a = t.part.select(C("p_name").alias("title"), C("p_size").cast("double").alias("score"), C("p_partkey").alias("id"))
+    b = t.part.select(F.when(C("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.concat_ws(" ", "p_name", "p_size")).alias("title"), C("p_retailprice").alias("score"), C("p_partkey").alias("id"))
     return so.merge_ranked([a, b], [], "title", "score", "id").select("source_rank", "title", "score", "id")
 
 
@@ -57,17 +57,18 @@ def _(t):
     return so.merge_edges(df, "src", "rel", "dst", "source", "confidence")
 
 
-@query("u06_new_only", "SELECT o_orderkey, 'store' AS origin FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'batch' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")
+@query("u06_new_only", "WITH s AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE -o_orderkey END AS k FROM orders), b AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + 1000000000 END AS k FROM orders) SELECT k AS o_orderkey, 'store' AS origin FROM s UNION ALL SELECT k, 'batch' FROM b WHERE k NOT IN (SELECT k FROM s)")
 def _(t):
-    store = t.orders.filter("o_orderkey % 3 = 0").select("o_orderkey", L("store").alias("origin"))
-    batch = t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", L("batch").alias("origin"))
+    k = C("o_orderkey")
+    store = t.orders.select(F.when(k % 3 == 0, k).otherwise(-k).alias("o_orderkey"), L("store").alias("origin"))
+    batch = t.orders.select(F.when(k % 2 == 0, k).otherwise(k + 1000000000).alias("o_orderkey"), L("batch").alias("origin"))
     return so.new_only(batch.unionByName(batch), store, "o_orderkey")
 
 
-@query("u07_merge_corrections", "WITH c AS (SELECT resume AS text, event_type AS label FROM $tickets WHERE user_id % 10 = 0 AND ticket_id % 200 < 3) SELECT md5(text) AS h, lang AS label FROM documents UNION ALL SELECT md5(text), label FROM c WHERE text NOT IN (SELECT text FROM c GROUP BY 1 HAVING count(DISTINCT label) > 1)")
+@query("u07_merge_corrections", "WITH c AS (SELECT concat(resume, ' #', ticket_id // 3) AS text, event_type AS label FROM $tickets) SELECT md5(text) AS h, lang AS label FROM documents UNION ALL SELECT md5(text), label FROM c WHERE text NOT IN (SELECT text FROM c GROUP BY 1 HAVING count(DISTINCT label) > 1)")
 def _(t):
     train = t.documents.select("text", C("lang").alias("label"))
-    corr = t.tickets.filter("user_id % 10 = 0 and ticket_id % 200 < 3").select(C("resume").alias("text"), C("event_type").alias("label"))
+    corr = t.tickets.select(F.concat("resume", L(" #"), F.floor(C("ticket_id") / 3).cast("string")).alias("text"), C("event_type").alias("label"))
     return so.merge_corrections(train, corr, "text", "label").select(F.md5(C("text").cast("binary")).alias("h"), "label")
 
 

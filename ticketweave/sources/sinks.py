@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,30 +42,37 @@ def export_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
-def upsert_keyed(batch: DataFrame, root: str, key: str, ts: str, buckets: int = 64) -> None:
-    """Merge a batch into a Parquet store, latest row per key wins.
+def touched_buckets(spark: SparkSession, root: str, buckets: list[int]) -> DataFrame:
+    """The store's rows of the buckets given; their numbers stand in the filter, so other buckets' files are never opened."""
+    return spark.read.parquet(root).filter(_C("_bucket").isin(buckets))
 
-    The store is partitioned by a hash bucket of the key: only buckets the batch touches are read and rewritten.
-    The merged rows are written to a staging folder before they replace the old buckets.
+
+def upsert_keyed(batch: DataFrame, root: str, key: str, ts: str, buckets: int = 64, batch_id: int = 0) -> None:
+    """Merge a batch into a Parquet store: the latest row per key wins, of equal times the one of the later batch.
+
+    The store is partitioned by a hash bucket of the key: only buckets the batch touches are read and rewritten; a store
+    keeps the number of ``buckets`` it was begun with. The merged rows are written to a staging folder of their own before
+    they replace the old buckets. A batch that comes again under its ``batch_id`` changes nothing.
     """
     spark = batch.sparkSession
-    bucketed = batch.withColumn("_bucket", F.pmod(F.xxhash64(_C(key)), _L(buckets)).cast("int"))
+    bucketed = batch.withColumns({"_bucket": F.pmod(F.xxhash64(_C(key)), _L(buckets)).cast("int"), "_batch": _L(batch_id).cast("long")})
+    touched = [r[0] for r in bucketed.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
     merged = bucketed
     if _exists(spark, root):
-        store = spark.read.parquet(root)
-        touched = bucketed.select("_bucket").distinct()
-        merged = store.join(touched, "_bucket", "left_semi").unionByName(bucketed, allowMissingColumns=True)
+        merged = touched_buckets(spark, root, touched).unionByName(bucketed, allowMissingColumns=True)
     cols = [c for c in merged.columns if c not in (key, "_bucket")]
-    latest = merged.groupBy("_bucket", key).agg(F.max_by(F.struct(*cols), F.struct(_C(ts), F.xxhash64(*cols))).alias("r")).select("_bucket", key, "r.*")
-    staging = f"{root.rstrip('/')}__staging"
-    latest.write.mode("overwrite").partitionBy("_bucket").parquet(staging)
-    # An empty batch leaves no file to read a schema from.
+    newest = F.struct(_C(ts), F.coalesce("_batch", _L(-1)), F.xxhash64(*cols))
+    latest = merged.groupBy("_bucket", key).agg(F.max_by(F.struct(*cols), newest).alias("r")).select("_bucket", key, "r.*")
+    staging = f"{root.rstrip('/')}__staging/{uuid.uuid4().hex}"
+    latest.write.partitionBy("_bucket").parquet(staging)
     (spark.read.schema(latest.schema).parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(root))
 
 
 def recent(df: DataFrame, ts: str, as_of: Column, hours: int = 24) -> DataFrame:
-    """Records updated within the look-back."""
-    return df.filter((_C(ts) <= as_of) & (F.unix_micros(as_of) - F.unix_micros(_C(ts)) <= hours * 3_600_000_000))
+    """Records updated since ``hours`` before ``as_of``; there is no upper bound."""
+    return df.filter(F.unix_micros(as_of) - F.unix_micros(_C(ts)) <= hours * 3_600_000_000)
 
 
 def incremental_upsert(batch: DataFrame, root: str, key: str, ts: str, as_of: Column, hours: int = 24) -> None:
@@ -72,7 +80,7 @@ def incremental_upsert(batch: DataFrame, root: str, key: str, ts: str, as_of: Co
 
 
 def read_store(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).drop("_bucket")
+    return spark.read.parquet(root).drop("_bucket", "_batch")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

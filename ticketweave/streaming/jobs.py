@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ticketweave.functions.logs import parse_lines
 from ticketweave.operators.rules import tag_stale
+from ticketweave.operators.windows import BENIGN_TYPES, RETRY_TYPES
 from ticketweave.sources.sinks import upsert_keyed
 
 _C, _L = F.col, F.lit
@@ -54,7 +57,7 @@ def score_spikes(counts: DataFrame, z: float = 1.8) -> DataFrame:
 def stream_spikes(df: DataFrame, ts: str, store: str, alerts: str, checkpoint: str, size: str = "1 day", slide: str = "6 hours"):
     """Keep window counts in a keyed store and rewrite the spike table after every micro-batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        upsert_keyed(batch.withColumn("seen", _L(batch_id)), store, "window_start", "seen", buckets=8)
+        upsert_keyed(batch.withColumn("seen", _L(batch_id)), store, "window_start", "seen", buckets=8, batch_id=batch_id)
         spark = batch.sparkSession
         score_spikes(spark.read.parquet(store).select("window_start", "volume")).write.mode("overwrite").parquet(alerts)
 
@@ -75,43 +78,59 @@ def signatures(df: DataFrame, key: str, ts: str) -> DataFrame:
 def stream_signatures(df: DataFrame, key: str, ts: str, store: str, checkpoint: str):
     """Running signature counters, upserted into a keyed store."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        upsert_keyed(batch, store, key, "last_seen")
+        upsert_keyed(batch, store, key, "last_seen", batch_id=batch_id)
 
     return signatures(df, key, ts).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _retry_processor(threshold: int, window_seconds: int):
+def _retry_processor(window_seconds: int):
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    span = window_seconds // 60
+
     class RetryLoops(StatefulProcessor):
-        """Buckets the arrivals of one key by minute; reports when the last window holds enough and forgets on time-out."""
+        """Arrivals of one key by minute and its newest minute; reports while the window before that holds enough.
+
+        One timer stands at the end of the oldest minute held. When it fires, the minutes that no later row can share a
+        window with go, and the timer moves to the next one.
+        """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.minutes = handle.getMapState("minutes", "minute long", "n long")
+            self.newest = handle.getValueState("newest", "minute long")
+
+        def _forget(self, before: int) -> dict[int, int]:
+            held = {minute: n for (minute,), (n,) in self.minutes.iterator()}
+            for minute in [m for m in held if m < before]:
+                self.minutes.removeKey((minute,))
+                del held[minute]
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if held:
+                self.handle.registerTimer((min(held) + span + 1) * 60_000)
+            return held
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            newest = 0
+            seen = self.newest.get()
+            newest, least = (seen[0] if seen else None), 0
             for pdf in rows:
                 minutes = pd.to_datetime(pdf["ts"]).dt.floor("min").astype("datetime64[s]").astype("int64") // 60
+                least = int(pdf["least"].iloc[0])
                 for minute, n in minutes.value_counts().items():
                     old = self.minutes.getValue((int(minute),))
                     self.minutes.updateValue((int(minute),), ((old[0] if old else 0) + int(n),))
-                    newest = max(newest, int(minute))
-            if newest:
-                horizon = newest - window_seconds // 60
-                total, first = 0, newest
-                for (minute,), (n,) in list(self.minutes.iterator()):
-                    if minute < horizon:
-                        self.minutes.removeKey((minute,))
-                    else:
-                        total, first = total + n, min(first, minute)
-                self.handle.registerTimer((newest * 60 + window_seconds) * 1000)
-                if total >= threshold:
-                    yield pd.DataFrame({"entity": [key[0]], "kind": pd.Series([key[1]], dtype="object"), "occurrences": [total], "first_minute": [first], "last_minute": [newest]})
+                    newest = int(minute) if newest is None else max(newest, int(minute))
+            if newest is None:
+                return
+            self.newest.update((newest,))
+            held = self._forget(newest - span)
+            if sum(held.values()) >= least:
+                yield pd.DataFrame({"entity": [key[0]], "kind": pd.Series([key[1]], dtype="object"), "occurrences": [sum(held.values())], "first_minute": [min(held)], "last_minute": [newest]})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.minutes.clear()
+            # Rows to come are no older than the watermark.
+            self._forget(timerValues.getCurrentWatermarkInMs() // 60_000 - span)
             return iter(())
 
         def close(self) -> None:
@@ -124,11 +143,20 @@ RETRY_SCHEMA = T.StructType([T.StructField("entity", T.LongType()), T.StructFiel
                              T.StructField("first_minute", T.LongType()), T.StructField("last_minute", T.LongType())])
 
 
-def stream_retry_loops(df: DataFrame, entity: str, kind: str, ts: str, threshold: int = 5, window_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
-    """Keyed state of per-minute counts with an event-time timer; state per key is bounded by the window."""
-    src = df.select(_C(entity).cast("long").alias("entity"), _C(kind).alias("kind"), _C(ts).alias("ts")).withWatermark("ts", late)
+def stream_retry_loops(
+    df: DataFrame, entity: str, kind: str, ts: str, threshold: int | None = None, window_seconds: int = 3600, late: str = "1 hour",
+    fast: Sequence[str] = tuple(RETRY_TYPES), benign: Sequence[str] = tuple(BENIGN_TYPES), fast_min: int = 5, slow_min: int = 8,
+) -> DataFrame:
+    """Repeats per entity and kind within a window before its newest event, one row whenever a batch finds enough.
+
+    Thresholds go by kind as in the batch operator (``threshold`` sets one for all); benign kinds are left out. State per
+    key is the counts by minute of one window and of the watermark's delay. Rows without an entity, kind or time are left out.
+    """
+    least = F.when(_C(kind).isin(list(fast)), fast_min).otherwise(slow_min) if threshold is None else _L(threshold)
+    src = df.filter(~_C(kind).isin(list(benign)) & _C(entity).isNotNull() & _C(ts).isNotNull())
+    src = src.select(_C(entity).cast("long").alias("entity"), _C(kind).alias("kind"), _C(ts).alias("ts"), least.alias("least")).withWatermark("ts", late)
     return src.groupBy("entity", "kind").transformWithStateInPandas(
-        statefulProcessor=_retry_processor(threshold, window_seconds), outputStructType=RETRY_SCHEMA, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=_retry_processor(window_seconds), outputStructType=RETRY_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def missing_followups(df: DataFrame, entity: str, kind: str, ts: str, key: str, trigger: str, expected: str, max_seconds: int, late: str = "1 hour") -> DataFrame:
@@ -151,9 +179,36 @@ def late_policy(df: DataFrame, ts: str, severity: str, tags: str, as_of: Column,
     return tagged.observe(name, F.count(_L(1)).alias("rows"), F.count_if(F.array_contains(tags, "future_timestamp")).alias("future"), F.count_if(F.array_contains(tags, "stale")).alias("stale"))
 
 
-def dropped_by_watermark(query) -> int:
-    """Late rows dropped so far, from the progress of a running or finished query."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks dropped, by query id, over the whole run of each query.
+
+    Spark keeps the progress of about the last hundred batches only; a listener hears of every batch. Register it with
+    ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        name = str(event.progress.id)
+        self.dropped[name] = self.dropped.get(name, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def count(self, query, wait_seconds: float = 30.0) -> int:
+        """Rows dropped so far by a query. Of a query that has ended, all: events arrive in order, the end last."""
+        until = time.monotonic() + wait_seconds
+        while not query.isActive and str(query.id) not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return self.dropped.get(str(query.id), 0)
 
 
 def enrich(df: DataFrame, catalog: DataFrame, key: str, fallbacks: dict[str, str]) -> DataFrame:
