@@ -11,6 +11,7 @@ content: the best one and those near it are kept, each from its first to its las
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -51,6 +52,7 @@ class LineParser(HTMLParser):
         self.lines: list[tuple[int, str, int, bool]] = []
         self.kinds = [""]
         self._open: list[tuple[str, bool, int]] = []
+        self._held: Counter[str] = Counter()  # open elements by name
         self._skip = self._region = self._tags = 0
         self._heading = False
         self._text: list[str] = []
@@ -65,6 +67,7 @@ class LineParser(HTMLParser):
 
     def _pop(self) -> None:
         tag, skipped, region = self._open.pop()
+        self._held[tag] -= 1
         self._skip -= skipped
         self._region = region
 
@@ -87,6 +90,7 @@ class LineParser(HTMLParser):
         if skipped and counted:
             self._tags -= 1  # what is left out says nothing about the line after it
         self._open.append((tag, skipped, self._region))
+        self._held[tag] += 1
         self._skip += skipped
         if tag in ("article", "main") and not self._skip and not in_article:
             self.kinds.append(tag)
@@ -102,7 +106,7 @@ class LineParser(HTMLParser):
             self._heading = False
         if not self._skip and tag not in EMPHASIS:
             self._tags += 1
-        if any(t == tag for t, _, _ in self._open):
+        if self._held[tag]:
             while self._open[-1][0] != tag:
                 self._pop()
             self._pop()
