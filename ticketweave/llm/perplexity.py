@@ -4,13 +4,14 @@ The language model reads code points as they stand: letters of any script, with
 n-grams of four of them are counted in all documents without a bound. Tasks count their chunk of the documents, Spark sums
 the counts by language and n-gram and makes the modified Kneser-Ney estimates by joins and windows on n-grams. Each chunk is
 then joined to the estimates of its own n-grams, wherever they are held, so a model of any size is nowhere in one place.
-Documents whose perplexity leaves their language's band on either side are rejected.
+Documents whose perplexity leaves their language's band on either side are rejected. Those that fail the base rules are
+rejected anyway: the model does not learn from them, and their texts go no further than the first pass, which writes the
+others down packed, with the counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 
 from ticketweave.llm.common import settle, small_batches
 
-#: The small model that ``grams`` and ``estimate`` make in one process; documents are scored by ``log_probabilities``.
-ORDER, SYMBOL_BITS = 4, 5
 #: Code points of an n-gram, and the bits of one (0 is the start of a text): the last three fill a long, those before stand in another.
 WIDE, POINT_BITS = 4, 21
 #: Counts that a task holds before it sends them on.
 SENT = 4_000_000
+#: Bytes of texts that are packed into one row (a longer text is a row of its own).
+PACKED = 4 << 20
+RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: N-grams that a language needs for a model and band of its own, however many languages there are: about five pages of text.
 #: Those with fewer share one with null.
 LEAST = 10_000
@@ -34,95 +36,6 @@ WIDTH, SHORT = 5.0, 2.0
 BINS = 1000
 
 
-def symbols() -> np.ndarray:
-    """Symbol of each byte: 0 starts a text, 1-26 letters, 27 blanks, 28 line ends, 29 digits, 30 other marks, 31 beyond ASCII."""
-    table = np.full(256, 30, dtype=np.uint32)
-    table[128:] = 31
-    table[[ord(" "), ord("\t")]] = 27
-    table[[ord("\n"), ord("\r")]] = 28
-    table[ord("0"):ord("9") + 1] = 29
-    for i in range(26):
-        table[ord("a") + i] = table[ord("A") + i] = i + 1
-    return table
-
-
-_TABLE = symbols()
-
-
-def grams(text: str | None) -> np.ndarray:
-    """Codes of all n-grams of a text, which is led in by ``ORDER - 1`` start symbols."""
-    s = _TABLE[np.frombuffer((text or "").encode(), dtype=np.uint8)]
-    s = np.concatenate([np.zeros(ORDER - 1, dtype=np.uint32), s])
-    code = s[: len(s) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        code = (code << SYMBOL_BITS) | s[k: len(s) - ORDER + 1 + k]
-    return code
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more (index 0 is 0), from the counts of counts."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    d = [0.0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([d[0], *[min(max(x, 0.05), k - 0.05) for k, x in enumerate(d[1:], 1)]])
-
-
-@dataclass
-class KneserNey:
-    """Sorted gram hashes and log probabilities for each order, with sorted contexts and their log backoff weights."""
-
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
-
-    def table(self) -> np.ndarray:
-        """Log probability of the last symbol of every possible gram, each order filling what the next lacks."""
-        base = 1 << SYMBOL_BITS
-        out = np.full(base, -SYMBOL_BITS * np.log(2.0))
-        for order, (keys, logs, contexts, backoff) in enumerate(zip(self.keys, self.logs, self.contexts, self.backoff), 1):
-            full = np.tile(out, base) if order > 1 else out.copy()
-            if order > 1:
-                at = np.searchsorted(contexts, np.arange(base ** (order - 1)))
-                at_in = np.minimum(at, len(contexts) - 1)
-                weight = np.where(contexts[at_in] == np.arange(base ** (order - 1)), backoff[at_in], 0.0)
-                full = (full.reshape(base ** (order - 1), base) + weight[:, None]).reshape(-1)
-            else:
-                full = full + backoff[0]
-            full[keys] = logs
-            out = full
-        return out.astype(np.float32)
-
-
-def estimate(grams_: np.ndarray, counts: np.ndarray) -> KneserNey:
-    """Interpolated modified Kneser-Ney: lower orders count in how many left contexts a gram stands."""
-    base, levels = 1 << SYMBOL_BITS, []
-    keys, n = grams_.astype(np.int64), counts.astype(np.float64)
-    order_keys = np.argsort(keys)
-    keys, n = keys[order_keys], n[order_keys]
-    levels.append((keys, n))
-    for order in range(ORDER - 1, 0, -1):
-        lower = levels[-1][0] % (base ** order)
-        levels.append(tuple(x for x in np.unique(lower, return_counts=True)))
-    out = KneserNey([], [], [], [])
-    below: np.ndarray | None = None
-    for order, (k, c) in enumerate(reversed(levels), 1):
-        c = c.astype(np.float64)
-        d = _discounts(c)
-        context, which = np.unique(k // base, return_inverse=True)
-        total = np.bincount(which, c)
-        taken = d[np.minimum(c, 3).astype(int)]
-        gamma = np.bincount(which, taken) / total
-        lower = np.full(len(k), 1.0 / base) if below is None else np.exp(below[k % (base ** (order - 1))])
-        p = (c - taken) / total[which] + gamma[which] * lower
-        out.keys.append(k)
-        out.logs.append(np.log(p))
-        out.contexts.append(context)
-        out.backoff.append(np.log(np.maximum(gamma, 1e-12)))
-        below = out.table().astype(np.float64)
-    return out
-
-
 def wide_grams(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of ``WIDE`` code points of the texts, each led in by start symbols: all but the last three, and those."""
     lead = np.zeros(WIDE - 1, dtype=np.uint64)
@@ -150,40 +63,82 @@ def _summed(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return high[at][first], low[at][first], np.add.reduceat(n[at], first) if len(h) else n
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, lang, text) to (chunk, lang, high, low, n). Counts of a task are added up, and sent on whenever they get many."""
-    held: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+def _pack(docs: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(docs)
+    return sink.getvalue().to_pybytes()
+
+
+def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first, length) of runs of rows of at most ``most`` bytes, or of one row."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > most:
+            yield first, i - first
+            first, held = i, 0
+        held += size
+    if len(sizes) > first:
+        yield first, len(sizes) - first
+
+
+def _sent(chunk: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    kinds = {"lang": pa.string(), "high": pa.int64(), "low": pa.int64(), "n": pa.int64(), "docs": pa.binary()}
+    values = [columns.get(name, pa.nulls(rows, kind)) for name, kind in kinds.items()]
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * rows, pa.int32()), *values], names=["chunk", *kinds])
+
+
+def _first_pass(least_words: int, repeat_percent: int, packed: int):
+    """(chunk, doc_id, lang, text) to rows of counts (chunk, lang, high, low, n) and rows of packed documents (chunk, docs).
 
-    def sent(least: int) -> Iterator[pa.RecordBatch]:
-        for (chunk, lang), parts in list(held.items()):
-            high, low, n = _summed(*[np.concatenate(x) for x in zip(*parts)])
-            held[chunk, lang] = [(high, low, n)]
-            if len(n) < least:
+    Counts of a task are added up, and sent on whenever they get many.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+        def sent(least: int) -> Iterator[pa.RecordBatch]:
+            for (chunk, lang), parts in list(held.items()):
+                high, low, n = _summed(*[np.concatenate(x) for x in zip(*parts)])
+                held[chunk, lang] = [(high, low, n)]
+                if len(n) < least:
+                    continue
+                del held[chunk, lang]
+                at = np.lexsort((low, high))
+                for i in range(0, len(at), 100_000):
+                    k = at[i:i + 100_000]
+                    yield _sent(chunk, len(k), lang=pa.array([lang] * len(k), pa.string()), **{name: pa.array(x[k].astype(np.int64)) for name, x in (("high", high), ("low", low), ("n", n))})
+
+        waiting = 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            del held[chunk, lang]
-            at = np.lexsort((low, high))
-            for i in range(0, len(at), 100_000):
-                k = at[i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(k), pa.int32()), pa.array([lang] * len(k), pa.string()), *[pa.array(x[k].astype(np.int64)) for x in (high, low, n)]],
-                                                 names=["chunk", "lang", "high", "low", "n"])
-
-    waiting = 0
-    for batch in batches:
-        by: dict[tuple[int, str], list[str | None]] = {}
-        for chunk, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            by.setdefault((chunk, lang), []).append(text)
-        for name, texts in by.items():
-            high, low = wide_grams(texts)
-            if len(high):
-                held.setdefault(name, []).append(_summed(high, low, np.ones(len(high), dtype=np.int64)))
-                waiting += len(held[name][-1][0])
-        if waiting > SENT:
-            yield from sent(SENT // 4)
-            waiting = sum(len(parts[0][0]) for parts in held.values())
-            if waiting > SENT // 2:  # many languages of few n-grams each
-                yield from sent(1)
-                waiting = 0
-    yield from sent(1)
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            chunk, langs, texts = col["chunk"][0].as_py(), col["lang"].to_pylist(), col["text"].to_pylist()
+            rules = [word_rules(t) for t in texts]
+            failed = [r[0] < least_words or 100 * r[4] > repeat_percent * r[0] for r in rules]
+            by: dict[str, list[str | None]] = {}
+            for lang, text, bad in zip(langs, texts, failed):
+                if not bad:
+                    by.setdefault(lang, []).append(text)
+            for lang, passed in by.items():
+                high, low = wide_grams(passed)
+                if len(high):
+                    held.setdefault((chunk, lang), []).append(_summed(high, low, np.ones(len(high), dtype=np.int64)))
+                    waiting += len(held[chunk, lang][-1][0])
+            kept = pa.array([None if bad else t for t, bad in zip(texts, failed)], pa.string())
+            docs = pa.RecordBatch.from_arrays([col["doc_id"], col["lang"], kept, pa.array(failed, pa.bool_()), *[pa.array(v, pa.int64()) for v in zip(*rules)]],
+                                              names=["doc_id", "lang", "text", "base_failed", *RULES])
+            packs = [_pack(docs.slice(*at)) for at in _slices([0 if bad else 4 * len(t or "") for t, bad in zip(texts, failed)], packed)]
+            yield _sent(chunk, len(packs), docs=pa.array(packs, pa.binary()))
+            if waiting > SENT:
+                yield from sent(SENT // 4)
+                waiting = sum(len(parts[0][0]) for parts in held.values())
+                if waiting > SENT // 2:  # many languages of few n-grams each
+                    yield from sent(1)
+                    waiting = 0
+        yield from sent(1)
+
+    return run
 
 
 def _low_bits(points: int) -> int:
@@ -203,7 +158,7 @@ def _suffix(order: int) -> list[Column]:
 
 
 def _discount_row() -> Column:
-    """``_discounts`` of a group of counts ``c``, as an array."""
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from the counts of counts of a group of counts ``c``."""
     n1, n2, n3, n4 = (F.count_if(F.col("c") == k).cast("double") for k in (1, 2, 3, 4))
     y = F.coalesce(F.try_divide(n1, n1 + 2 * n2), F.lit(0.5))
     d = [F.coalesce(1 - F.try_divide(2 * y * n2, n1), F.lit(0.5)), F.coalesce(2 - F.try_divide(3 * y * n3, n2), F.lit(1.0)), F.coalesce(3 - F.try_divide(4 * y * n4, n3), F.lit(1.5))]
@@ -211,7 +166,9 @@ def _discount_row() -> Column:
 
 
 def log_probabilities(counted: DataFrame) -> DataFrame:
-    """(model, high, low, log_p) from (model, high, low, n): ``estimate`` as joins and windows on the n-grams themselves.
+    """(model, high, low, log_p) from (model, high, low, n): interpolated modified Kneser-Ney by joins and windows on the n-grams.
+
+    Lower orders count in how many left contexts a gram stands.
 
     No model is gathered anywhere: an n-gram meets the others of its context, then the lower order's estimate of its suffix.
     """
@@ -266,12 +223,23 @@ def word_rules(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of a chunk come after its n-grams: only these are held."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "n_grams"]
+    """Packed documents of a chunk come after its n-grams: only these are held, by language as sorted arrays of hashes."""
     now, parts, tables = None, {}, {}
+
+    def log_perplexity(lang: str, text: str | None) -> tuple[float | None, int]:
+        high, low = wide_grams([text])
+        if not len(high):
+            return None, 0
+        if lang not in tables:
+            wide, narrow, logs = (np.concatenate(x) for x in zip(*parts.pop(lang)))
+            keys = hashed(wide.astype(np.uint64), narrow.astype(np.uint64))
+            order = np.argsort(keys)
+            tables[lang] = keys[order], logs[order]
+        keys, logs = tables[lang]
+        return float(-logs[np.searchsorted(keys, hashed(high, low))].mean(dtype=np.float64)), len(high)
+
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        at, rows = [], []
         for i, (chunk, is_doc, lang) in enumerate(zip(*(col[n].to_pylist() for n in ("chunk", "is_doc", "lang")))):
             if chunk != now:
                 now, parts, tables = chunk, {}, {}
@@ -279,41 +247,25 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = col["found"][i].values
                 parts.setdefault(lang, []).append([found.field(k).to_numpy(zero_copy_only=False) for k in range(3)])
                 continue
-            text = col["text"][i].as_py()
-            high, low = wide_grams([text])
-            if len(high) and lang not in tables:
-                wide, narrow, logs = (np.concatenate(x) for x in zip(*parts.pop(lang, [[np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0, dtype=np.float32)]])))
-                keys = hashed(wide.astype(np.uint64), narrow.astype(np.uint64))
-                order = np.argsort(keys)
-                tables[lang] = keys[order], logs[order]
-            score = None
-            if len(high):
-                keys, logs = tables[lang]
-                h = hashed(high, low)
-                place = np.searchsorted(keys, h)
-                if not len(keys) or place.max() == len(keys) or (keys[place] != h).any():
-                    raise RuntimeError("the documents changed between two reads: settle them first")
-                score = float(-logs[place].mean(dtype=np.float64))
-            at.append(i)
-            rows.append((*word_rules(text), score, len(high)))
-        if rows:
-            values = [pa.array(v, pa.float64() if n == "log_perplexity" else pa.int64()) for n, v in zip(names, zip(*rows))]
-            yield pa.RecordBatch.from_arrays([col["doc_id"].take(pa.array(at)), col["lang"].take(pa.array(at)), *values], names=["doc_id", "lang", *names])
-
-
-def measure(src: DataFrame, requests: DataFrame, models: DataFrame) -> DataFrame:
-    """doc_id, lang, the word rules, log_perplexity (null for an empty text) and n_grams of each row of ``src``.
+            docs = pa.ipc.open_stream(col["docs"][i].as_buffer()).read_next_batch()
+            got = [(None, 0) if bad else log_perplexity(lang, text) for lang, text, bad in zip(*(docs.column(n).to_pylist() for n in ("lang", "text", "base_failed")))]
+            yield pa.RecordBatch.from_arrays([*[docs.column(n) for n in ("doc_id", "lang", *RULES, "base_failed")], pa.array([p for p, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())],
+                                             names=["doc_id", "lang", *RULES, "base_failed", "log_perplexity", "n_grams"])
+
+
+def measure(passed: DataFrame, models: DataFrame, key_type: str) -> DataFrame:
+    """doc_id, lang, the word rules, base_failed, log_perplexity (null for a failed or empty text) and n_grams of each document.
 
     What a chunk of documents needs of its models are the n-grams counted in it; they come to it by a join on n-grams.
     """
-    of = requests.join(models, "lang")
+    of = passed.filter("n is not null").select("chunk", "lang", "high", "low", "n").join(models, "lang")
     logs = log_probabilities(of.groupBy("model", "high", "low").agg(F.sum("n").alias("n")))
     found = of.join(logs, ["model", "high", "low"]).groupBy("chunk", "lang", F.pmod("low", F.lit(8)).alias("part")).agg(F.collect_list(F.struct("high", "low", "log_p")).alias("found"))
-    docs = src.select("chunk", F.lit(True).alias("is_doc"), "lang", "doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
-    sides = found.select("chunk", F.lit(False).alias("is_doc"), "lang", F.lit(None).cast(src.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"), "found").unionByName(docs)
-    kind = src.schema["doc_id"].dataType.simpleString()
+    docs = passed.filter("docs is not null").select("chunk", F.lit(True).alias("is_doc"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast(found.schema["found"].dataType).alias("found"), "docs")
+    sides = found.select("chunk", F.lit(False).alias("is_doc"), "lang", "found", F.lit(None).cast("binary").alias("docs")).unionByName(docs)
+    rules = ", ".join(f"{n} long" for n in RULES)
     return sides.repartition("chunk").sortWithinPartitions("chunk", "is_doc").mapInArrow(
-        _score, f"doc_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, n_grams long")
+        _score, f"doc_id {key_type}, lang string, {rules}, base_failed boolean, log_perplexity double, n_grams long")
 
 
 def quality_rules(
@@ -323,15 +275,14 @@ def quality_rules(
 
     ``base_failed``: fewer than ``least_words`` words, or more than ``repeat_percent`` percent in repeated windows. ``kept``:
     not that, and the log perplexity within its language's band, which is the median plus or minus ``width`` median
-    deviations, wider for short texts. Null and empty texts have no words and fail. Rows that repeat count each.
+    deviations, wider for short texts. Null and empty texts have no words and fail. Documents that fail have no perplexity,
+    and no model learns from them. Rows that repeat count each.
     """
     small_batches(docs.sparkSession)
-    src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(OTHER)).alias("lang"), F.spark_partition_id().alias("chunk"))
-    requests = settle(src.select("chunk", "lang", "text").mapInArrow(_count, "chunk int, lang string, high long, low long, n long"), "requests")
-    models = _models(requests)
-    rows = settle(measure(src, requests, models), "quality").join(models, "lang", "left")
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
+    src = docs.select(F.spark_partition_id().alias("chunk"), F.col(key).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit(OTHER)).alias("lang"), F.col(text).alias("text"))
+    passed = settle(src.mapInArrow(_first_pass(least_words, repeat_percent, PACKED), "chunk int, lang string, high long, low long, n long, docs binary"), "first-pass")
+    models = _models(passed.filter("n is not null"))
+    rows = settle(measure(passed, models, src.schema["doc_id"].dataType.simpleString()), "quality").join(models, "lang", "left")
     # Medians over a histogram of rounded values: its size depends on the bins alone.
     sound = rows.filter(~F.col("base_failed")).groupBy("model", F.round(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     middle = sound.groupBy("model").agg((F.expr("percentile(bin, 0.5D, n)") / BINS).alias("middle"))
