@@ -396,6 +396,34 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(toxicity.forward_backward(e, step, start)[2][0], on / total)
 
 
+def test_one_chain_over_texts_of_any_length():
+    rng = np.random.default_rng(7)
+    step, start = np.log([[0.95, 0.05], [0.2, 0.8]]), np.log([0.9, 0.1])
+    chains = [rng.normal(-1, 3, n) for n in (0, 1, 3, 4, 5, 8, 9, 64, 65, 1000, 5000)]
+    for x, got in zip(chains, toxicity.chain_marginals(chains, step, start, width=4)):
+        if len(x):
+            assert np.allclose(got, toxicity.forward_backward(x[None, :], step, start)[2][0], atol=1e-9)
+        assert len(got) == len(x)
+    whole = toxicity.chain_marginals(chains, step, start)
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(whole, toxicity.chain_marginals(chains, step, start, width=7)))
+    extreme = toxicity.chain_marginals([np.tile([-40.0, 40.0], 3000)], step, start)[0]
+    assert np.isfinite(extreme).all() and extreme[1::2].min() > 0.99 > 0.01 > extreme[::2].max()
+
+
+def test_spans_of_texts_that_change_length_in_lower_case():
+    field = toxicity.Field(np.zeros(toxicity.BUCKETS), -9.0, np.zeros((2, 2)), np.zeros(2))
+    field.weights[toxicity.bucket("wvile")] = 20.0
+    text = "\u0130stanbul " * 100 + "VILE end"
+    (score, spans), = toxicity.Scorer(field).score([text])
+    assert score > 0.99 and [text[a:b] for a, b, _ in spans] == ["VILE"]
+
+
+def test_toxicity_of_empty_documents(spark):
+    docs, labels = (spark.read.parquet(f"{ROOT}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score_documents(docs.limit(0), labels)
+    assert got.count() == 0 and got.columns == ["doc_id", "held_out", "score", "predicted", "spans"]
+
+
 def test_toxicity_held_out_and_awkward(spark, awkward):
     root = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")

@@ -2,8 +2,8 @@
 
 Labels come per document, so tokens are labelled first: Spark counts in how many toxic and clean training documents each word
 and word beginning occurs, and those that set toxic documents apart mark their tokens. A two-state chain over windows of
-tokens is then fitted by its exact gradient (forward-backward) on a bounded set of windows. Scoring runs forward-backward over
-all tokens of every text; a document's score is the chance that at least one of its tokens is toxic.
+tokens is then fitted by its exact gradient (forward-backward) on a bounded set of windows. Scoring runs one chain over all
+tokens of a text, however long; a document's score is the chance that at least one of its tokens is toxic.
 """
 
 from __future__ import annotations
@@ -61,6 +61,61 @@ def forward_backward(emission: np.ndarray, log_step: np.ndarray, log_start: np.n
     return ahead, back, odds / (1 + odds), e
 
 
+def chain_marginals(emissions: list[np.ndarray], log_step: np.ndarray, log_start: np.ndarray, width: int = WINDOW) -> list[np.ndarray]:
+    """Marginals of state 1 of whole chains of any length, one array for each array of emissions.
+
+    Chains are laid out as rows of ``width`` tokens, so that every step runs over all rows at once. What a row does to the odds
+    that enter it is a product of two-by-two matrices; these carry the odds from row to row, forward and backward, and the
+    rows are then run with the odds at their edges. The start scores act on a chain's first token only.
+    """
+    counts = np.array([-(-len(x) // width) for x in emissions], dtype=np.int64)
+    first = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    real = np.zeros((int(counts.sum()), width), dtype=bool)
+    e = np.ones(real.shape)
+    for x, at, n in zip(emissions, first, counts):
+        real[at:at + n].reshape(-1)[:len(x)] = True
+        e[at:at + n].reshape(-1)[:len(x)] = np.exp(np.clip(x, -40, 40))
+    step = np.exp(log_step)
+    (s00, s01), (s10, s11) = step
+    prior, tail = np.full(len(e), np.exp(log_start[1] - log_start[0])), np.ones(len(e))
+    long = np.flatnonzero(counts > 1)
+    if len(long):
+        rows = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in long])
+        place = np.empty(len(e), dtype=np.int64)
+        place[rows] = np.arange(len(rows))
+        onward, backward = (np.tile(np.eye(2), (len(rows), 1, 1)) for _ in range(2))
+        for t in range(width):
+            seen = np.stack([np.ones(len(rows)), e[rows, t]], -1)
+            onward = (step.T * seen[:, None, :]) @ onward
+            onward /= onward.max(axis=(1, 2), keepdims=True)
+        for t in range(width - 1, -1, -1):
+            seen = np.stack([np.ones(len(rows)), e[rows, t]], -1)
+            moved = (step * seen[:, None, :]) @ backward
+            backward = np.where(real[rows, t, None, None], moved / moved.max(axis=(1, 2), keepdims=True), backward)
+        long = long[np.argsort(-counts[long], kind="stable")]
+        begin, end = first[long], first[long] + counts[long] - 1
+        for k in range(1, int(counts[long[0]])):
+            n = int((counts[long] > k).sum())
+            at = begin[:n] + k
+            m, q = onward[place[at - 1]], prior[at - 1]
+            prior[at] = (m[:, 1, 0] + m[:, 1, 1] * q) / (m[:, 0, 0] + m[:, 0, 1] * q)
+            at = end[:n] - k
+            m, q = backward[place[at + 1]], tail[at + 1]
+            tail[at] = (m[:, 1, 0] + m[:, 1, 1] * q) / (m[:, 0, 0] + m[:, 0, 1] * q)
+    ahead, back = np.empty_like(e), np.empty_like(e)
+    ahead[:, 0] = e[:, 0] * prior
+    for t in range(1, width):
+        r = ahead[:, t - 1]
+        ahead[:, t] = e[:, t] * (s01 + s11 * r) / (s00 + s10 * r)
+    back[:, -1] = tail
+    for t in range(width - 2, -1, -1):
+        r = e[:, t + 1] * back[:, t + 1]
+        back[:, t] = np.where(real[:, t + 1], (s10 + s11 * r) / (s00 + s01 * r), tail)
+    odds = ahead * back
+    out = odds / (1 + odds)
+    return [out[at:at + n].reshape(-1)[:len(x)] for x, at, n in zip(emissions, first, counts)]
+
+
 @dataclass
 class Field:
     """Weights of hashed features for state 1, a bias, and the chain's start and step scores; a fixed size."""
@@ -207,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 class Scorer:
-    """Scores batches of texts: one matrix of windows, so the chain's steps run over all windows at once."""
+    """Scores batches of texts; a text is one chain over all its tokens."""
 
     def __init__(self, field: Field, limit: int = 400_000, least: float = 0.25):
         self.field, self.limit, self.least, self.known = field, limit, least, {}
@@ -226,19 +281,7 @@ class Scorer:
             return np.fromiter(map(known.__getitem__, words), np.float32, len(words))
 
     def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
-        found = [self._emissions(tokens(t)) for t in texts]
-        counts = [-(-len(x) // WINDOW) for x in found]
-        grid = np.full((sum(counts), WINDOW), -40.0)
-        at = 0
-        for x, n in zip(found, counts):
-            grid[at:at + n].reshape(-1)[:len(x)] = x
-            at += n
-        out = forward_backward(grid, self.field.step, self.field.start)[2] if len(grid) else grid
-        at, parts = 0, []
-        for x, n in zip(found, counts):
-            parts.append(out[at:at + n].reshape(-1)[:len(x)])
-            at += n
-        return parts
+        return chain_marginals([self._emissions(tokens(t)) for t in texts], self.field.step, self.field.start)
 
     def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
         """(score, offending (start, end, marginal) in code points) of each text."""
@@ -248,9 +291,8 @@ class Scorer:
             score = float(1.0 - np.exp(np.log1p(-np.minimum(m, 1 - 1e-9)).sum())) if len(m) else 0.0
             spans = []
             if len(m) and m.max() >= 0.5:
-                places = [x.span() for x in re.finditer(r"\S+", text.lower() if len(text.lower()) == len(text) else text)]
-                if len(places) == len(m):
-                    spans = [(*places[i], float(m[i])) for i in np.flatnonzero(m >= 0.5)]
+                places = [x.span() for x in re.finditer(r"\S+", text)]  # lower-casing makes and takes no white space
+                spans = [(*places[i], float(m[i])) for i in np.flatnonzero(m >= 0.5)]
             out.append((min(1.0, max(0.0, score)), spans))
         return out
 
@@ -275,7 +317,12 @@ def held_out(key: Column) -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted, spans. Without toxic labels every score is near 0."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, spans.
+
+    Null and empty texts score 0 and have no spans. Rows that repeat are scored each on its own text; equal texts score alike. A
+    row with a null key is scored like any other and is not held out. Other columns, whatever their names, are not read. An empty
+    table gives an empty result, and without toxic labels every score is near 0.
+    """
     field = fit(docs, labels.filter(~held_out(F.col(key))), key, text, label)
     scored = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), toxicity(F.col(text), field, docs.sparkSession).alias("t"))
     return scored.select("doc_id", "held_out", "t.score", (F.col("t.score") >= 0.5).cast("int").alias("predicted"), "t.spans")
