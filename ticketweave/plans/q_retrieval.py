@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketweave import fixed_values as fv
-from ticketweave.operators import extract as ex, retrieval as rt
+from ticketweave.lineage import written
+from ticketweave.operators import calibration as cal, evaluation as ev, extract as ex, features as ft, retrieval as rt
 from ticketweave.plans.q_joins import clusters, records
 from ticketweave.plans.q_rollups import tickets
 from ticketweave.plans.q_text import DOCS_SCORED_SQL, scored_documents
@@ -23,6 +24,33 @@ def _(t):
     return df.select("doc_id", F.size(F.filter(vector_to_array("features"), lambda x: x > 0)).alias("n_terms"))
 
 
+_WEIGHTS_SQL = """n AS (SELECT count(*) AS docs FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 5000),
+w AS (SELECT doc_id, term, tf, df, TF_WEIGHT * (ln((1.0 + docs) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term), n),
+x AS (SELECT doc_id, term, tf, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
+
+
+@query("r01_word_weights", f"""WITH words AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '{fv.ACCENTS_FROM}', '{fv.ACCENTS_TO}'), '[\\p{{L}}\\p{{N}}_-]{{2,}}') AS w FROM documents),
+terms AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
+{_WEIGHTS_SQL.replace("TF_WEIGHT", "(1 + ln(tf))")},
+r AS (SELECT doc_id, term, tf, df, round(weight, 6) AS weight FROM x)
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM r QUALIFY rank <= 20""")
+def _(t):
+    return ft.heaviest_terms(ft.term_weights(t.documents, "doc_id", "text"), "doc_id", 20)
+
+
+@query("r01_char_weights", f"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\S+')) AS w FROM documents),
+padded AS (SELECT doc_id, ' ' || w || ' ' AS w FROM words),
+sized AS (SELECT doc_id, w, unnest(range(3, greatest(3, least(5, length(w))) + 1)) AS k FROM padded),
+terms AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(w) - k + 1, 1) + 1), lambda i: substr(w, i, k))) AS term FROM sized),
+{_WEIGHTS_SQL.replace("TF_WEIGHT", "tf")}
+SELECT term, min(df) AS df, sum(tf)::BIGINT AS total, round(sum(weight), 4) AS weight FROM x GROUP BY 1""")
+def _(t):
+    weights = ft.term_weights(t.documents, "doc_id", "text", ft.char_terms, sublinear=False)
+    return weights.groupBy("term").agg(F.min("df").alias("df"), F.sum("tf").alias("total"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
 @query("r01_char_ngrams", "SELECT s_suppkey, list_count(g)::INTEGER AS n FROM (SELECT s_suppkey, flatten([list_transform(range(1, length(s_name) - 1), lambda i: substr(s_name, i, 3)), list_transform(range(1, length(s_name) - 2), lambda i: substr(s_name, i, 4)), list_transform(range(1, length(s_name) - 3), lambda i: substr(s_name, i, 5))]) AS g FROM supplier)")
 def _(t):
     return t.supplier.select("s_suppkey", F.size(rt.char_ngrams(C("s_name"))).alias("n"))
@@ -118,6 +146,22 @@ def _(t):
     return best.groupBy("lang", "predicted").agg(F.count("*").alias("n"))
 
 
+@query("r09_calibration")
+def _(t):
+    """Calibration error and accuracy on held-out documents, before and after the curves."""
+    df = t.documents.join(t.labels.select("doc_id", S(C("quality")).alias("label")), "doc_id").select("doc_id", "text", "label")
+    held = F.pmod(F.xxhash64(S(C("doc_id"))), L(1000)) < 200
+    plain, test = rt.train_classifier(df, "text", "label", "doc_id", max_features=1000)
+    fitted = cal.train_calibrated(df.filter(~held), "text", "label", "doc_id", max_features=1000)
+    truth = test.select("doc_id", C("label").alias("truth"))
+    out = []
+    for stage, probs in (("before", rt.predict(plain, test, "doc_id")), ("after", cal.predict_calibrated(fitted, test, "doc_id"))):
+        best = probs.groupBy("doc_id").agg(F.max(F.struct("probability", "label")).alias("b")).join(truth, "doc_id")
+        best = written(best.select(C("b.probability").alias("p"), (C("b.label") == C("truth")).alias("ok")), "predicted")
+        out.append(ev.ece(best, "p", C("ok")).crossJoin(best.agg(F.count("*").alias("n"), F.round(F.avg(C("ok").cast("double")), 6).alias("accuracy"))).withColumn("stage", L(stage)))
+    return out[0].unionByName(out[1])
+
+
 @query("r12_l2_models")
 def _(t):
     df = t.documents.select("doc_id", "text", "lang", (C("doc_id") % 2).cast("string").alias("half"))
