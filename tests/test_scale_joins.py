@@ -34,3 +34,16 @@ def test_log_records_are_cut_by_kind_before_clusters_meet_them(spark):
     assert sorted(tuple(r) for r in joins.match_log_records(cl, rc, 3).select("cluster_id", "record_id", "score", "rank").collect()) == want
     made = settled(spark, "record-pairs") - before
     assert made and sum(spark.read.parquet(p).count() for p in made) < 62 * 100  # of 55,800
+
+
+def test_hybrid_search_meets_a_name_once(spark, monkeypatch):
+    seen = []
+    plain = retrieval.phrase_hits
+    monkeypatch.setattr(retrieval, "phrase_hits", lambda docs, *a: seen.append(docs.count()) or plain(docs, *a))
+    q = spark.createDataFrame([("q1", "find ring"), ("q2", "some bolt"), ("q2", "some bolt"), ("q3", "nothing")], "q string, t string")
+    docs = spark.createDataFrame([(i, n) for i in range(300) for n in ["Ring", "bolts"][i % 2:i % 2 + 1]], "id long, n string")
+    sem = spark.createDataFrame([("q1", 1, 0.4), ("q2", 3, 0.2), ("q2", 2, 0.9), ("q3", 5, 0.1)], "q string, id long, score double")
+    got = sorted(tuple(r) for r in retrieval.hybrid_search(q, docs, "q", "t", "id", "n", sem, 4).select("q", "rank", "id", "score", "match_type").collect())
+    want = [("q1", i + 1, 2 * i, 1.0, "exact") for i in range(4)] + [("q2", i + 1, 2 * i + 1, 0.9, "fuzzy_keyword") for i in range(4)] + [("q3", 1, 5, 0.1, "semantic")]
+    assert got == want
+    assert seen == [2]

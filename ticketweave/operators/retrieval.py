@@ -236,12 +236,16 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, query: str, query_text: s
     ``semantic`` carries (query, key, score).
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(query_text), _L(r"[\p{L}\p{N}_]{3,}"), _L(0)))
-    q = queries.select(query, F.explode(words).alias("word"))
-    named = docs.select(key, F.lower(name).alias("word"))
-    exact = q.join(named, "word").select(query, key, _L(1.0).alias("score"), _L("exact").alias("match_type"), _L(0).alias("tier")).distinct()
-    rest = q.join(exact.select(query).distinct(), query, "left_anti").filter((F.length("word") >= 4) & ~_C("word").isin(list(stop)))
-    hits = phrase_hits(docs, key, name, rest, "word")
-    fuzzy = hits.join(rest.withColumnRenamed("word", "phrase"), "phrase").select(query, key, _L(0.9).alias("score"), _L("fuzzy_keyword").alias("match_type"), _L(1).alias("tier")).distinct()
+    q = queries.select(query, F.explode(words).alias("word")).distinct()
+    # Documents met by one word score alike and rank by key: a word's first k stand for all of them.
+    named = docs.select(key, F.lower(name).alias("word")).distinct()
+    few = lambda rows: first_k(rows, ["word"], [F.asc(key)], k).drop("rn")
+    exact = q.join(few(named.join(q.select("word").distinct(), "word", "left_semi")), "word").select(query, key, _L(1.0).alias("score"), _L("exact").alias("match_type"), _L(0).alias("tier")).distinct()
+    answered = q.join(named.select("word").distinct(), "word", "left_semi").select(query).distinct()
+    rest = q.join(answered, query, "left_anti").filter((F.length("word") >= 4) & ~_C("word").isin(list(stop)))
+    names = named.select(_C("word").alias("name")).distinct()
+    hits = phrase_hits(names, "name", "name", rest, "word").join(named.withColumnRenamed("word", "name"), "name").select(key, _C("phrase").alias("word")).distinct()
+    fuzzy = rest.join(few(hits), "word").select(query, key, _L(0.9).alias("score"), _L("fuzzy_keyword").alias("match_type"), _L(1).alias("tier")).distinct()
     sem = semantic.select(query, key, _C("score").cast("double").alias("score"), _L("semantic").alias("match_type"), _L(2).alias("tier"))
     merged = exact.unionByName(fuzzy).unionByName(sem).groupBy(query, key).agg(F.min(F.struct("tier", (-_C("score")).alias("s"), "match_type")).alias("m"))
     flat = merged.select(query, key, _C("m.tier").alias("tier"), F.round(-_C("m.s"), 6).alias("score"), _C("m.match_type").alias("match_type"))
