@@ -3,11 +3,8 @@
 import random
 from pathlib import Path
 
-
 from ticketweave.lineage import ensure_checkpoint_dir
-from ticketweave.operators import joins, retrieval
-
-C, L = F.col, F.lit
+from ticketweave.operators import joins, matching, retrieval
 
 
 def settled(spark, name):
@@ -47,3 +44,24 @@ def test_hybrid_search_meets_a_name_once(spark, monkeypatch):
     want = [("q1", i + 1, 2 * i, 1.0, "exact") for i in range(4)] + [("q2", i + 1, 2 * i + 1, 0.9, "fuzzy_keyword") for i in range(4)] + [("q3", 1, 5, 0.1, "semantic")]
     assert got == want
     assert seen == [2]
+
+
+def test_similar_pairs_bring_sets_in_for_near_pairs_only(spark):
+    """Against brute force, with copies and null keys; pairs of long sets that share one rare word are no pairs."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(14)]
+    rows = [(i, rng.sample(words, rng.randint(1, 9))) for i in range(120)]
+    rows += [(200 + i, [f"{i}_{j}" for j in range(30)] + ["rare"]) for i in range(20)] + [(300 + i, rows[i][1]) for i in range(30)] + [(400, []), (401, None), (None, ["w1"])]
+    df = spark.createDataFrame(rows, "id long, t array<string>").repartition(3)
+    asked = df.filter("id % 5 = 0")
+    for measure, size in (("overlap", lambda a, b: max(len(a), len(b))), ("jaccard", lambda a, b: len(a | b))):
+        sets = {i: set(t) for i, t in rows if i is not None and t}
+        want = sorted((i, j, round(len(a & b) / size(a, b), 9)) for i, a in sets.items() for j, b in sets.items() if len(a & b) / size(a, b) >= 0.6)
+        ensure_checkpoint_dir(spark)
+        before = settled(spark, "scored")
+        got = sorted((r.l, r.r, round(r.score, 9)) for r in matching.similar_pairs(df, df, "id", "id", "t", 0.6, measure).collect())
+        assert got == want
+        made = settled(spark, "scored") - before
+        assert made and sum(spark.read.parquet(p).count() for p in made) < len(want) / 2  # copies are compared once
+        got = sorted((r.l, r.r, round(r.score, 9)) for r in matching.similar_pairs(asked, df, "id", "id", "t", 0.6, measure).collect())
+        assert got == [w for w in want if w[0] % 5 == 0]
