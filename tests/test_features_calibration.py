@@ -102,3 +102,33 @@ def test_calibrated_classifier(spark):
         best[r.id] = max(best.get(r.id, (0, "")), (r.probability, r.label))
     assert len(sums) == 240 and all(abs(s - 1) < 1e-9 for s in sums.values()) and len(model.models) == 3
     assert sum(best[i][1] == y for i, _, y in rows[:240]) > 190
+
+
+def test_char_weights_of_repeated_keys_and_of_a_vocabulary_of_rare_terms(spark):
+    """Rows of one key count as one document wherever they lie, and terms of one document alone make room for rarer ones."""
+    rows = [(1, "ab ab"), (2, "Été ab"), (1, "été"), (None, "ab"), (None, "xyzw"), (3, None), (4, "qqqqqq " * 9)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    got = {(r.k, r.term): (r.tf, r.df, r.weight) for r in features.term_weights(df, "k", "t", features.char_terms, max_features=2, sublinear=False).collect()}
+    texts = {}
+    for k, t in rows:
+        texts[k] = texts.get(k, Counter()) + char_wb(t or "")
+    seen, total = Counter(), Counter()
+    for c in texts.values():
+        seen.update(c.keys())
+        total.update(c)
+    words = sorted((w for w in seen if seen[w] >= 2), key=lambda w: (-total[w], w))[:2]
+    want = {}
+    for k, c in texts.items():
+        w = {x: c[x] * (math.log(6 / (1 + seen[x])) + 1) for x in words if x in c}
+        size = math.sqrt(sum(v * v for v in w.values()))
+        want |= {(k, x): (c[x], seen[x], v / size) for x, v in w.items()}
+    assert words == [" ab", " ab "] and got.keys() == want.keys()
+    assert all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2]) for k in want)
+
+
+def test_char_terms_are_not_made_for_every_occurrence(spark):
+    """A word's terms are made once, not wherever the word stands."""
+    df = spark.createDataFrame([(i, "portable vlan portable") for i in range(50)], "k long, t string")
+    made = features.term_weights(df, "k", "t", features.char_terms, sublinear=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in made and "Generate" not in made
+    assert [Counter(features.char_runs(w)) for w in ("a", "été", "abcdef", "")] == [char_wb(w) if w else Counter(["  "]) for w in ("a", "été", "abcdef", "")]
