@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketweave.functions.text import first_match, matches_any
-from ticketweave.lineage import cut
+from ticketweave.lineage import cut, written
 from ticketweave.operators.ordered import first_k
 
 _C, _L = F.col, F.lit
@@ -30,16 +30,19 @@ def build_graph(tickets: DataFrame, clusters: DataFrame, procedures: DataFrame)
         (clusters, "CLU", "cluster_id", "incident_type", "TYPE", "HAS_TYPE"), (procedures, "PROC", "procedure_id", "application", "APP", "APPLIES_TO"),
         (procedures, "PROC", "procedure_id", "incident_type", "TYPE", "RESOLVES"),
     ]
+    ends = [dp for _, _, _, _, dp, _ in specs]
     edges = [edge(df, sp, s, dp, d, rel) for df, sp, s, d, dp, rel in specs]
     for df, sp, s, arr, dp, rel in [(tickets, "TKT", "ticket_id", "codes", "ERR", "HAS_CODE"), (tickets, "TKT", "ticket_id", "systems", "SYS", "MENTIONS"),
                                     (procedures, "PROC", "procedure_id", "codes", "ERR", "HANDLES_CODE")]:
+        ends.append(dp)
         edges.append(edge(boom(df, s, arr).withColumn("x", F.upper("x")), sp, s, dp, "x", rel))
     all_edges = _union(edges).distinct()
-    own = [df.select(nid(p, k).alias("id")) for df, p, k in ((tickets, "TKT", "ticket_id"), (clusters, "CLU", "cluster_id"), (procedures, "PROC", "procedure_id"))]
-    ids = _union([*own, all_edges.select(_C("src").alias("id")), all_edges.select(_C("dst").alias("id"))]).distinct()
+    # A node's type is known where its id is made, so whoever asks for one type reads the rows of that type alone.
     names = {"TKT": "Ticket", "CLU": "Cluster", "PROC": "Procedure", "APP": "Application", "TYPE": "IncidentType", "ERR": "ErrorCode", "SYS": "System"}
-    kind = first_match([(F.split_part("id", _L(":"), _L(1)) == p, _L(n)) for p, n in names.items()], _L("Unknown"))
-    return ids.withColumn("node_type", kind), all_edges
+    node = lambda df, c, prefix: df.select(c.alias("id"), F.when(c.isNotNull(), names[prefix]).otherwise("Unknown").alias("node_type"))
+    own = [node(df, nid(p, k), p) for df, p, k in ((tickets, "TKT", "ticket_id"), (clusters, "CLU", "cluster_id"), (procedures, "PROC", "procedure_id"))]
+    # A source of an edge has a row of its own.
+    return _union([*own, *[node(e, _C("dst"), p) for e, p in zip(edges, ends)]]).distinct(), all_edges
 
 
 def schema_graph(foreign_keys: DataFrame, relations: DataFrame) -> DataFrame:
@@ -64,20 +67,28 @@ def neighbors(edges: DataFrame, ids: DataFrame, node: str, direction: str = "bot
 
 
 def relations_by_type(nodes: DataFrame, edges: DataFrame, source_type: str, target_type: str) -> DataFrame:
-    ends = lambda kind, name: nodes.filter(_C("node_type") == kind).select(_C("id").alias(name))
-    return edges.join(ends(source_type, "src"), "src").join(ends(target_type, "dst"), "dst").select("src", "rel_type", "dst")
+    """Edges between nodes of two types. Edges outside the ids of either type are left out where they are read."""
+    ends = lambda kind, name: written(nodes.filter(_C("node_type") == kind).select(_C("id").alias(name)), "ends")
+    src, dst = ends(source_type, "src"), ends(target_type, "dst")
+    for rows, end in ((src, "src"), (dst, "dst")):
+        lo, hi = rows.agg(F.min(end), F.max(end)).first()
+        edges = edges.filter(_C(end).between(_L(lo), _L(hi)))
+    return edges.join(src, "src").join(dst, "dst").select("src", "rel_type", "dst")
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, seed: str, k: int, directed: bool = False) -> DataFrame:
-    """(start, node, distance) for nodes within ``k`` hops of each seed; each hop is one join, lineage is cut per hop."""
+    """(start, node, distance) for nodes within ``k`` hops of each seed; each hop is one join, lineage is cut per hop.
+
+    A hop first keeps the edges at its front, so that no task holds the distinct edges of the whole graph.
+    """
     e = edges.select("src", "dst")
     e = e if directed else e.unionByName(e.select(_C("dst").alias("src"), _C("src").alias("dst")))
-    e = e.distinct()
-    front = cut(seeds.select(_C(seed).alias("start"), _C(seed).alias("node")).distinct().withColumn("distance", _L(0)))
+    front = written(seeds.select(_C(seed).alias("start"), _C(seed).alias("node")).distinct().withColumn("distance", _L(0)), "front")
     seen = front
     for hop in range(1, k + 1):
-        step = front.join(e, front["node"] == e["src"]).select("start", _C("dst").alias("node")).distinct()
-        front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", _L(hop)))
+        near = e.join(front.select(_C("node").alias("src")).distinct(), "src", "left_semi").distinct()
+        step = front.join(near, front["node"] == near["src"]).select("start", _C("dst").alias("node")).distinct()
+        front = written(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", _L(hop)), "front")
         seen = seen.unionByName(front)
         if hop < k and front.isEmpty():
             break
@@ -98,9 +109,10 @@ def paths_from(edges: DataFrame, seeds: DataFrame, seed: str, depth: int) -> Dat
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts by node type and relation type, and totals, as (metric, value, n)."""
-    by = lambda df, col, name: df.groupBy(_C(col).alias("value")).agg(F.count("*").alias("n")).select(_L(name).alias("metric"), "value", "n")
-    total = lambda df, name: df.agg(F.count("*").alias("n")).select(_L("total").alias("metric"), _L(name).alias("value"), "n")
-    return _union([by(nodes, "node_type", "node_type"), by(edges, "rel_type", "rel_type"), total(nodes, "nodes"), total(edges, "edges")])
+    by = lambda df, col, name: written(df.groupBy(_C(col).alias("value")).agg(F.count("*").alias("n")).select(_L(name).alias("metric"), "value", "n"), name)
+    total = lambda counts, name: counts.agg(F.coalesce(F.sum("n"), _L(0).cast("long")).alias("n")).select(_L("total").alias("metric"), _L(name).alias("value"), "n")
+    of_nodes, of_edges = by(nodes, "node_type", "node_type"), by(edges, "rel_type", "rel_type")  # few rows: each side is read once
+    return _union([of_nodes, of_edges, total(of_nodes, "nodes"), total(of_edges, "edges")])
 
 
 def best_products(edges: DataFrame, origins: DataFrame, hops: int, stop: DataFrame | None = None) -> DataFrame:
