@@ -439,6 +439,22 @@ def log_evidence_summary(df: DataFrame, patterns: DataFrame, pattern: str, code:
         F.count("root_cause").alias("n_known"), F.min("root_cause").alias("first_root_cause"))
 
 
+def telling_signatures(signatures: DataFrame, on: str, causes: str, known: str, known_conf: str, k: int = 5) -> DataFrame:
+    """(on, causes, known, known_conf): few rows for each ``on`` that give an event the probable causes that all its signatures give.
+
+    Those are the best ``k`` causes listed, the ``k`` highest confidences of a known resolution (its text depends on the event
+    alone), and one row that names nothing where a signature does, which still lets the heuristic stand.
+    """
+    listed = F.coalesce(F.size(causes) > 0, F.lit(False))
+    single = signatures.filter(listed).select(on, F.explode(causes).alias("_x")).distinct()
+    best = first_k(single, [on], [F.desc("_x.probability"), F.asc("_x.cause")], k)
+    first = best.select(on, F.array("_x").alias(causes), F.lit(None).cast(signatures.schema[known].dataType).alias(known), F.lit(None).cast("double").alias(known_conf))
+    rest = signatures.filter(~listed).select(on, F.lit(None).cast(signatures.schema[causes].dataType).alias(causes), known, _C(known_conf).cast("double").alias(known_conf))
+    told = rest.filter(_C(known).isNotNull()).groupBy(on, causes, F.coalesce(known_conf, F.lit(0.5)).alias(known_conf)).agg(F.first(known).alias(known))
+    told = first_k(told, [on], [F.desc(known_conf)], k).select(on, causes, known, known_conf)
+    return first.unionByName(told).unionByName(rest.filter(_C(known).isNull()).select(on, causes, known, F.lit(None).cast("double").alias(known_conf)).dropDuplicates([on]))
+
+
 def probable_causes(matches: DataFrame, event: str, causes: str, known: str, known_conf: str, error_type: str, module: str, k: int = 5) -> DataFrame:
     """Top causes per event: listed causes, else the known resolution, else a heuristic at .4."""
     kind = F.coalesce(_C(error_type), F.lit("erreur"))

@@ -391,11 +391,11 @@ r AS (SELECT event_id, CASE WHEN s_suppkey % 3 = 0 THEN concat('cause', s_suppke
 u AS (SELECT DISTINCT event_id, cause, probability FROM r WHERE cause IS NOT NULL UNION SELECT DISTINCT event_id, concat(error_type, ' dans ', coalesce(module, 'module inconnu')), 0.4::DOUBLE FROM r WHERE error_type IS NOT NULL AND event_id NOT IN (SELECT event_id FROM r WHERE cause IS NOT NULL))
 SELECT * FROM (SELECT event_id, cause, probability::DOUBLE AS probability, row_number() OVER (PARTITION BY event_id ORDER BY probability DESC, cause)::INTEGER AS rank FROM u) WHERE rank <= 5""")
 def _(t):
-    sig = t.supplier.select("s_suppkey", (C("s_suppkey") % 60).alias("k"))
-    ev = t.events.select("event_id", (C("user_id") % 60).alias("k"), F.when(C("user_id") % 3 == 0, "TimeoutError").when(C("user_id") % 3 == 1, "LockError").alias("error_type"), F.when(C("user_id") % 2 == 0, "core").alias("module"))
-    m = ev.join(sig, "k").withColumns({
+    sig = t.supplier.select("s_suppkey", (C("s_suppkey") % 60).alias("k")).withColumns({
         "causes": F.when(C("s_suppkey") % 3 == 0, F.array(F.struct(F.concat(L("cause"), (C("s_suppkey") % 7).cast("string")).alias("cause"), ((C("s_suppkey") % 10) / 10).alias("probability")))),
         "known": F.when(C("s_suppkey") % 3 == 1, "see sheet"), "conf": L(None).cast("double")})
+    ev = t.events.select("event_id", (C("user_id") % 60).alias("k"), F.when(C("user_id") % 3 == 0, "TimeoutError").when(C("user_id") % 3 == 1, "LockError").alias("error_type"), F.when(C("user_id") % 2 == 0, "core").alias("module"))
+    m = ev.join(ro.telling_signatures(sig, "k", "causes", "known", "conf"), "k")
     return ro.probable_causes(m, "event_id", "causes", "known", "conf", "error_type", "module")
 
 
