@@ -88,8 +88,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, q
     pool = first_k(scored.withColumn("score", F.round("raw", 6)), [query], [F.desc("score"), F.asc(key)], pooled)
     if boosts is None:
         return pool.select(query, key, "score", _C("rn").alias("rank"))
-    pool = pool.drop("rn")
-    hits = phrase_hits(docs, key, text, boosts, "phrase")
+    pool = written(pool.drop("rn"), "pool")
+    # Only the pool is rewarded, so phrases are looked for in its documents alone.
+    hits = phrase_hits(docs.join(pool.select(key).distinct(), key, "left_semi"), key, text, boosts, "phrase")
     named = boosts.select(query, F.lower("phrase").alias("phrase")).distinct()
     bonus = hits.join(named, "phrase").groupBy(query, key).agg((F.count("*") * 0.2).alias("bonus"))
     final = pool.join(bonus, [query, key], "left").withColumn("score", F.round(_C("score") + F.coalesce("bonus", _L(0.0)), 6))
@@ -307,8 +308,20 @@ def char_ngrams(text: Column, lo: int = 3, hi: int = 5) -> Column:
     return F.flatten(F.array(*[grams(n) for n in range(lo, hi + 1)]))
 
 
+def fit_on_words(stages: Sequence, df: DataFrame, *columns: str) -> tuple[PipelineModel, DataFrame]:
+    """(fitted pipeline, ``columns`` and words of the rows it was fitted on).
+
+    Each stage reads the rows at least once; texts are cut into words once and written for all of them.
+    """
+    at = next(i for i, s in enumerate(stages) if isinstance(s, RegexTokenizer))
+    words = written(stages[at].transform(df).select(*columns, stages[at].getOutputCol()), "words")
+    rest = Pipeline(stages=[*stages[:at], *stages[at + 1:]]).fit(words).stages
+    return PipelineModel([*rest[:at], stages[at], *rest[at:]]), words
+
+
 def tfidf(df: DataFrame, text: str, max_features: int = 5000, min_df: int = 2) -> DataFrame:
-    return Pipeline(stages=tfidf_stages(text, max_features, min_df)).fit(df).transform(df)
+    model, words = fit_on_words(tfidf_stages(text, max_features, min_df), df, *df.columns)
+    return PipelineModel(model.stages[1:]).transform(words)
 
 
 def cluster_tickets(df: DataFrame, text: str, min_size: int = 5, dims: int = 10, seed: int = 42) -> DataFrame:
@@ -316,7 +329,8 @@ def cluster_tickets(df: DataFrame, text: str, min_size: int = 5, dims: int = 10,
     n = df.count()
     k = max(3, min(20, n // min_size))
     stages = tfidf_stages(text, max_features=500, bigrams=False) + [PCA(k=dims, inputCol="features", outputCol="reduced"), KMeans(k=k, seed=seed, featuresCol="reduced", predictionCol="cluster_id")]
-    return Pipeline(stages=stages).fit(df).transform(df)
+    model, words = fit_on_words(stages, df, *df.columns)
+    return PipelineModel(model.stages[1:]).transform(words)
 
 
 def train_classifier(df: DataFrame, text: str, label: str, key: str, min_rows: int = 2, holdout: float = 0.2, max_features: int = 5000) -> tuple[PipelineModel, DataFrame]:
@@ -332,7 +346,7 @@ def train_classifier(df: DataFrame, text: str, label: str, key: str, min_rows: i
     train, test = kept.filter(slot >= int(holdout * 1000)), kept.filter(slot < int(holdout * 1000))
     stages = [StringIndexer(inputCol=label, outputCol="_y", handleInvalid="skip"), *tfidf_stages(text, max_features, bigrams=False),
               LogisticRegression(labelCol="_y", featuresCol="features", weightCol="_weight", maxIter=50, regParam=0.01, probabilityCol="_prob", predictionCol="_pred")]
-    return Pipeline(stages=stages).fit(train), test
+    return fit_on_words(stages, train, label, "_weight")[0], test
 
 
 def predict(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
