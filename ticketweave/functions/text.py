@@ -222,19 +222,18 @@ def systems_mentioned(text: Column | str, aliases: Mapping[str, Sequence[str]] =
 def exception_class(text: Column | str, catalog: Mapping[str, str] = fv.EXCEPTION_SHORT) -> Column:
     """Fully qualified ``...exception.X`` name first, else a catalog name found anywhere."""
     t = _col(text)
-    fq = F.regexp_extract(t, r"(?i)[\w.]+\.exception\.(?:[\w.]*\.)?(\w+(?:Exception|Error))", 1)
+    # A text without the package name cannot match, and the pattern tries every place of such a text in vain.
+    fq = F.when(t.rlike(r"(?i)\.exception\."), F.regexp_extract(t, r"(?i)[\w.]+\.exception\.(?:[\w.]*\.)?(\w+(?:Exception|Error))", 1))
     listed = first_match([(F.contains(t, _L(c)), _L(c)) for c in catalog], _L(None).cast("string"))
     return F.coalesce(F.nullif(fq, _L("")), listed)
 
 
 def message_code(text: Column | str, rules: Sequence[tuple[str, str]] = tuple(fv.MESSAGE_RULES)) -> Column:
-    low = F.lower(_col(text))
-    return first_match([(low.rlike(p), _L(code)) for p, code in rules], _L(None).cast("string"))
+    return let(F.lower(_col(text)), lambda low: first_match([(low.rlike(p), _L(code)) for p, code in rules], _L(None).cast("string")))
 
 
 def exception_code(text: Column | str) -> Column:
-    cls = exception_class(text)
-    return F.coalesce(F.element_at(literal_map(fv.EXCEPTION_SHORT), cls), cls, message_code(text))
+    return let(exception_class(text), lambda cls: F.coalesce(F.element_at(literal_map(fv.EXCEPTION_SHORT), cls), cls, message_code(text)))
 
 
 def to_template(text: Column | str) -> Column:

@@ -33,12 +33,13 @@ class Tables:
         return self.spread(df) if name in TEXT_TABLES else df
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """Small files arrive as one or two splits; spread those over the cores before CPU-heavy text work.
+        """Deal the rows evenly to tasks before CPU-heavy text work: one for each core, or four for each split of a large table.
 
-        Tables with at least as many splits as cores (any large one) are left as they are.
+        Splits tell nothing of the rows in them: a file is cut by bytes, but a row group is read by one task, so most splits of
+        a file with few row groups are empty and one holds all rows.
         """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        cores, splits = self.spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+        return df.repartition(cores if splits < cores else 4 * splits)
 
     @cached_property
     def tickets(self) -> DataFrame:
