@@ -31,7 +31,8 @@ def extract_entities(
     groups.append(present([(v, F.contains(low, _L(v))) for v in verbs], "action_verb"))
     groups.append(present([(s, tx.matches_any(low, a)) for s, a in systems.items()], "system_name"))
     # One pattern list gives one confidence per (type, value), so distinct keeps the maximum.
-    return df.withColumn("_e", F.explode(F.array_distinct(F.flatten(F.array(*groups))))).select(*df.columns, "_e.*")
+    # The outer form, as Spark would read every text a second time to see whether there is anything to explode.
+    return df.withColumn("_e", F.explode_outer(F.array_distinct(F.flatten(F.array(*groups))))).filter("_e is not null").select(*df.columns, "_e.*")
 
 
 def parse_trace(df: DataFrame, text: str, app: str) -> DataFrame:
@@ -88,7 +89,8 @@ def anonymize(df: DataFrame, key: str, text: str, patterns: Sequence[tuple[str,
         state = tx.let(state, _masking_step(prefix, tx.unicode_edges(pattern)))
     done = df.withColumn("_s", state)
     rows = done.withColumn(text, F.col("_s.t")).select(*df.columns)
-    mapping = done.select(key, F.explode("_s.m").alias("m")).select(key, "m.token", "m.original")
+    # The outer form, as Spark would mask every text a second time to see whether there is anything to explode.
+    mapping = done.select(key, F.explode_outer("_s.m").alias("m")).filter("m is not null").select(key, "m.token", "m.original")
     return rows, mapping
 
 
