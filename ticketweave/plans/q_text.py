@@ -370,7 +370,9 @@ DOCS_SCORED_SQL = f"(SELECT *, {SCORE_SQL} AS score FROM (SELECT *, {_NW} AS nw
 def scored_documents(t):
     n = F.size(tx.words_of(C("text")))
     df = t.documents.withColumn("nw", n)
-    return df.withColumn("score", sc.document_score(C("text"), C("nw"), C("doc_id") % 6, C("doc_id") % 4, DOC_ACTIONS, DOC_TECH, DOC_VAGUE))
+    score = sc.document_score(C("text"), C("nw"), C("doc_id") % 6, C("doc_id") % 4, DOC_ACTIONS, DOC_TECH, DOC_VAGUE)
+    # As a row of its own the score is worked out once, not wherever a filter or a label asks for it.
+    return df.withColumn("score", F.explode_outer(F.array(score)))
 
 
 @query("t33_document_score", f"SELECT doc_id, score, CASE WHEN score >= 80 THEN 'canonique' WHEN score >= 60 THEN 'bonne' WHEN score >= 30 THEN 'partielle' ELSE 'inutilisable' END AS label, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score >= 30 THEN 'low' ELSE 'none' END AS trust FROM {DOCS_SCORED_SQL}")
