@@ -39,7 +39,7 @@ def term_counts(df: DataFrame, key: str, text: str, pattern: str = TOKEN) -> Dat
 
 def _impacts(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, k1: float, b: float) -> DataFrame:
     """(key, term, w, n): the weight of each wanted term in each document but for its idf, and the number of documents."""
-    toks = docs.select(key, F.regexp_extract_all(F.lower(text), _L(TOKEN), _L(0)).alias("_t"))
+    toks = written(docs.select(key, F.regexp_extract_all(F.lower(text), _L(TOKEN), _L(0)).alias("_t")), "tokens")  # read twice
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avg"))
     n, avg = stats.select("n").scalar(), stats.select(F.greatest(_L(1.0), "avg")).scalar()
     postings = (toks.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
