@@ -80,3 +80,21 @@ def test_texts_are_cut_into_words_once_for_all_stages(spark):
     assert read.value <= 180
     best = retrieval.predict(model, test, "k").groupBy("k").agg(F.max_by("label", "probability").alias("y")).collect()
     assert best and all(r.y == "xy"[r.k % 2] for r in best)
+
+
+def test_knn_holds_few_scores_at_a_time():
+    """Two blocks within their bytes may make more scores than a task can hold."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    draw = np.random.default_rng(5).normal(size=(9_000, 4))
+    a = pd.DataFrame({"id": np.arange(8_000)[::-1], "v": list(draw[:8_000])})
+    c = pd.DataFrame({"_q": np.arange(1_000), "_v": list(draw[8_000:])})
+    tracemalloc.start()
+    got = retrieval._block_best("id", "v", 3, held=100_000)(a, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(a) * len(c) / 4
+    assert got.equals(retrieval._block_best("id", "v", 3, held=1 << 30)(a, c)) and len(got) == 3_000

@@ -129,6 +129,8 @@ def similar_issues(queries: DataFrame, history: DataFrame, query: str, key: str,
 PIVOTS = 64
 #: Bytes of vectors that a task holds of either side.
 BLOCK_BYTES = 32 << 20
+#: Scores that a task holds at a time, whatever the sizes of the two blocks.
+BLOCK_SCORES = 2 << 20
 # Scores are rounded to six places, so partitions within this distance of the bound are still looked at.
 _ROUNDING = 2e-6
 
@@ -183,6 +185,24 @@ def _partitions_asked(pivots: np.ndarray, counts: np.ndarray, radii: np.ndarray,
     return run
 
 
+def _block_best(key: str, vector: str, k: int, held: int = BLOCK_SCORES):
+    """The best ``k`` items of a block for each query of another, some queries at a time: ``held`` scores at most, or one query's."""
+    def run(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or c.empty:
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        a = a.sort_values(key, kind="stable")
+        keys, items, step, parts = a[key].to_numpy(), _units(a[vector]).T, max(1, held // len(a)), []
+        for i in range(0, len(c), step):
+            asking = c.iloc[i:i + step]
+            sims = np.round(_units(asking["_v"]) @ items, 6)
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(len(asking)), top.shape[1])
+            parts.append(pd.DataFrame({"query_id": asking["_q"].to_numpy()[at], "item_id": keys[top.ravel()], "score": sims[at, top.ravel()]}))
+        return pd.concat(parts, ignore_index=True)
+
+    return run
+
+
 def knn(items: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int, threshold: float | None = None, pivots: int = PIVOTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact cosine top ``k``: (query_id, item_id, score, rank), ties by item; scores below ``threshold`` are left out.
 
@@ -215,17 +235,8 @@ def knn(items: DataFrame, queries: DataFrame, key: str, vector: str, query: str,
     left = placed.join(sides, "_p").withColumn("_bi", F.pmod(F.xxhash64(key), "_ni")).withColumn("_bq", others("_nq")).select(key, vector, "_p", "_bi", "_bq")
     right = asked.join(sides, "_p").withColumn("_bq", F.pmod(F.xxhash64("_q"), "_nq")).withColumn("_bi", others("_ni")).select("_q", "_v", "_p", "_bi", "_bq")
 
-    def best(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        a = a.sort_values(key, kind="stable")
-        sims = np.round(_units(c["_v"]) @ _units(a[vector]).T, 6)
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(c)), top.shape[1])
-        return pd.DataFrame({"query_id": c["_q"].to_numpy()[at], "item_id": a[key].to_numpy()[top.ravel()], "score": sims[at, top.ravel()]})
-
     where = ["_p", "_bi", "_bq"]
-    parts = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(best, result)
+    parts = left.groupBy(*where).cogroup(right.groupBy(*where)).applyInPandas(_block_best(key, vector, k), result)
     if threshold is not None:
         parts = parts.filter(_C("score") >= threshold)
     return first_k(parts, ["query_id"], [F.desc("score"), F.asc("item_id")], k).withColumnRenamed("rn", "rank")
