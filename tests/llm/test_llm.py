@@ -462,3 +462,9 @@ def test_pipeline_stages(spark, documents):
     mixed = corpus_pipeline.mix_sources(spark, near, ROOT)
     assert mixed.columns == documents.columns
     assert corpus_pipeline.run(spark, ROOT).count() > 0
+
+
+def test_nodes_that_share_bands_are_one_pair(spark):
+    """Two nodes that meet in many bands come out of the join once, from the first band they share."""
+    rows = spark.createDataFrame([(b, [1, 2, 3, 4], [9, 2, 3, 4]) for b in range(4)], "band int, bands array<long>, bands_b array<long>")
+    assert [r[0] for r in rows.filter(near_dedup._first_shared()).select("band").collect()] == [1]

@@ -6,7 +6,7 @@ named by their content. So that a large group is never paired with itself, some
 node meets the most connected node of its bands, then nodes meet a few members of the largest groups in their bands that are
 not theirs; links found join groups, and bands left with one group drop out. What is left of other groups in a band then meets
 whole. There the join itself tests sizes, a parity sketch of the sets and two bits of every register, which drops most pairs
-of documents that only share a passage. Pairs whose collision-corrected estimate is hopeless are left; all others are
+of documents that only share a passage, and tells a pair in the first band that it shares. Pairs whose collision-corrected estimate is hopeless are left; all others are
 verified on their full sets, which only they need.
 """
 
@@ -208,6 +208,11 @@ def _compatible(percent: int) -> Column:
     return (100 * F.col("n") >= percent * F.col("n_b")) & _few_odd(F.col("n"), F.col("n_b"), odd, percent) & (differ <= most)
 
 
+def _first_shared() -> Column:
+    """Whether ``band`` is the first band that two nodes, columns with and without ``_b``, share: they meet in all, but are one pair."""
+    return F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, n_a, n_b) among ``pairs`` whose sketches and estimate leave hope."""
     side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("registers", "sketch", "n")])
@@ -285,10 +290,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # Sizes of linked sets are less than two steps of this scale apart; the smaller set of a pair looks for the larger one.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int").alias("step")
     bits = [F.get(c, F.lit(k)).alias(f"{s}{k}") for c, s, size in (("planes", "p", REGISTERS // 32), ("sketch", "o", SKETCH_BITS // 64)) for k in range(size)]
-    grouped = settle(grouped.join(mixed, ["band", "value"], "left_semi").join(nodes.select("node", "n", step, *bits), "node"), "mixed")
+    grouped = settle(grouped.join(mixed, ["band", "value"], "left_semi").join(nodes.select("node", "n", step, "bands", *bits), "node"), "mixed")
     larger = grouped.select("band", "value", F.explode(F.array("step", F.col("step") - 1)).alias("step"), *[F.col(c).alias(f"{c}_b") for c in grouped.columns if c not in ("band", "value", "step")])
     apart = (F.col("component") != F.col("component_b")) & ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") < F.col("node_b"))))
-    rest = grouped.join(larger, ["band", "value", "step"]).filter(apart & _compatible(percent)).select(*_pair(F.col("node"), F.col("node_b"))).distinct()
+    rest = grouped.join(larger, ["band", "value", "step"]).filter(apart & _compatible(percent) & _first_shared()).select(*_pair(F.col("node"), F.col("node_b"))).distinct()
     last = _verified(settle(_estimated(rest, nodes, percent), "hopeful"), nodes, src, words, percent)
     label = components(links.unionByName(last))
     group = nodes.select("node", *name, "low").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
