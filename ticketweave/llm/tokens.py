@@ -47,6 +47,8 @@ class ChunkEncoder:
         self.lower = spec["normalizer"] is not None
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self._letters = _byte_alphabet()
+        self._blank, self._tokenize = "" if self.lower else self._letters[0x20], self.model.tokenize
+        self._marks = {mark: self._piece(mark) for mark in (".", ",")}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.lower else BYTE_LEVEL_SPLIT
         self._split = regex.compile(pattern).findall
         special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
@@ -64,15 +66,17 @@ class ChunkEncoder:
 
     def _pieces(self, chunk: str) -> list[str]:
         """Pieces of a chunk with the blank before it; a tokenizer that drops white space sees no blank."""
-        blank = "" if self.lower else " "
         chunk = chunk.lower() if self.lower else chunk
-        if chunk.isalpha():
-            return [blank + chunk]
         if chunk[:1] == "\n":
             return ["\n", *self._split(chunk[1:])]
-        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-            return [blank + chunk[:-1], chunk[-1]]
-        return self._split(blank + chunk)
+        return self._split(chunk if self.lower else " " + chunk)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of letters with the blank before it: one piece, and most new chunks are one."""
+        word = word.lower() if self.lower else word
+        letters = self._blank + (word if word.isascii() else word.encode().decode("latin-1").translate(self._letters))
+        own = self.ids
+        return b"".join([own[t.id] for t in self._tokenize(letters)])
 
     def _text(self, text: str, apart: bool) -> bytes:
         """Ids of a text whose chunks are not looked at."""
@@ -80,6 +84,11 @@ class ChunkEncoder:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk; one that begins with the mark begins its text, with no blank before."""
+        if chunk.isalpha():
+            return self._word(chunk)
+        if chunk[-1] in self._marks and chunk[:-1].isalpha():
+            known = self.chunks.get(chunk[:-1])
+            return (self._word(chunk[:-1]) if known is None else known) + self._marks[chunk[-1]]
         return b"".join(map(self._piece, self._split(chunk[1:]) if chunk[0] == "\1" else self._pieces(chunk)))
 
     def encode_batch(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
