@@ -84,3 +84,17 @@ def test_classes_and_members_give_every_link(spark, scratch):
             members[r.kind].setdefault(r.b, []).append(r.a)
     assert {(a, b) for x, y in links for a in members["cluster"][x] for b in members["record"][y]} == want
     assert len(links) == len(set(links)) < len(want) / 10
+
+
+def test_grams_are_numbers_of_code_points(spark):
+    """Grams come from one pass over code points, and phrases of any length are found by them."""
+    from ticketweave.operators.matching import grams_of, phrase_hits
+
+    text = "a\U0001f600bcabca" * 3
+    assert len(grams_of(text, 4)) == len({text[i:i + 4] for i in range(len(text) - 3)}) and len(grams_of("abc", 4)) == len(grams_of(None, 1)) == 0
+    texts = [(1, "Port 12 is \U0001f600 down"), (2, None), (3, ""), (4, "por"), (5, "a port"), (6, "é é\nport 1")]
+    phrases = ["port", "PORT 12", "o", "\U0001f600", "\U0001f600 do", "é\np", "12 i", None, "", "none of it", "or"]
+    docs = spark.createDataFrame(texts, "k int, t string")
+    got = phrase_hits(docs, "k", "t", spark.createDataFrame([(p,) for p in phrases], "p string"), "p")
+    want = {(k, p.lower()) for k, t in texts for p in phrases if t and p and p.lower() in t.lower()}
+    assert sorted((r["k"], r["phrase"]) for r in got.collect()) == sorted(want)

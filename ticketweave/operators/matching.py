@@ -2,42 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketweave.functions.text import jaccard, overlap_max
 from ticketweave.lineage import written
 
 #: Characters of a gram. Shorter phrases are their own grams.
 GRAM = 4
+#: Texts whose grams a task holds together.
+ROWS = 256
+
+
+def grams_of(text: str | None, n: int) -> np.ndarray:
+    """Distinct runs of ``n`` code points as 64-bit numbers: equal runs have equal numbers, and a rare clash only costs a look."""
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    if len(points) < n:
+        return np.empty(0, dtype=np.int64)
+    code = np.full(len(points) - n + 1, n, dtype=np.uint64)
+    for k in range(n):
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + points[k:len(points) - n + 1 + k]
+    return np.unique(code.view(np.int64))
+
+
+def _gram_lists(lengths: Sequence[int], phrases: bool = False):
+    """(key, text) to (key, grams) for runs of all ``lengths``; a phrase has runs of ``GRAM``, or is one when it is shorter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                found = [[grams_of(t, n) for n in ([min(GRAM, len(t))] if phrases else lengths)] for t in batch.column(1).to_pylist()]
+                bounds = np.cumsum([0, *(sum(map(len, x)) for x in found)]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.int64), *(y for x in found for y in x)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["key", "grams"])
 
+    return run
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct runs of ``n`` characters; one pass over the text, whatever its length."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
+def _gram_counts(lengths: Sequence[int]):
+    """Texts to (gram, texts): in how many of them each run occurs, added up for some texts at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                found = [grams_of(t, n) for t in whole.column(0).slice(at, ROWS).to_pylist() for n in lengths]
+                gram, texts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(texts.astype(np.int64))], names=["gram", "texts"])
 
-def _phrase_grams(phrase: Column) -> Column:
-    return F.when(F.length(phrase) >= GRAM, _grams(phrase, GRAM)).otherwise(F.array(phrase))
+    return run
 
 
 def phrase_keys(texts: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
-    """(phrase, gram): every phrase that can occur in the texts, with the gram of it that the fewest texts hold.
+    """(phrase, gram, n): every phrase that can occur in the texts, with the gram of it that the fewest texts hold.
 
     A phrase with a gram that no text holds is left out. Grams of texts are counted per task before anything is shuffled, so
-    that a gram travels once per task and not once per text.
+    that a gram travels once for some hundred texts and not once per text.
     """
-    wanted = phrases.select("phrase", F.explode(_phrase_grams(F.col("phrase"))).alias("gram"))
+    named = phrases.select("phrase", F.col("phrase").alias("text")).mapInArrow(_gram_lists((), phrases=True), "phrase string, grams array<long>")
+    wanted = named.select("phrase", F.explode("grams").alias("gram"))
     # Runs shorter than a gram are looked for in the texts' grams only where a phrase is that short.
-    parts = [texts.select(F.explode(_grams(F.col(text), GRAM)).alias("gram"))]
     short = [r[0] for r in phrases.select(F.length("phrase").alias("n")).filter(F.col("n") < GRAM).distinct().collect()]  # three lengths at most
-    parts += [texts.select(F.explode(_grams(F.col(text), n)).alias("gram")) for n in sorted(short)]
-    held = parts[0]
-    for more in parts[1:]:
-        held = held.unionByName(more)
-    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    held = texts.select(text).mapInArrow(_gram_counts([GRAM, *sorted(short)]), "gram long, texts long")
+    counts = held.groupBy("gram").agg(F.sum("texts").alias("texts"))
     met = wanted.join(counts, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("rarest"))
-    return written(met.filter("rarest.texts > 0").select("phrase", "rarest.gram"), "phrase-keys")
+    return written(met.filter("rarest.texts > 0").select("phrase", "rarest.gram", F.least(F.length("phrase"), F.lit(GRAM)).alias("n")), "phrase-keys")
 
 
 def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
@@ -50,16 +82,13 @@ def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase
     low = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_text"))
     distinct = phrases.select(F.lower(phrase).alias("phrase")).filter("phrase <> ''").distinct()
     keys = phrase_keys(low, "_text", distinct)
-    lengths = [r[0] for r in keys.select(F.length("gram").alias("n")).distinct().collect()]  # four at most
-    asked = keys.select("gram").distinct()
-    met = None
-    for n in sorted(lengths):
-        rows = low.select("_key", F.explode(_grams(F.col("_text"), n)).alias("gram"))
-        met = rows if met is None else met.unionByName(rows)
-    if met is None:
+    lengths = sorted(r[0] for r in keys.select("n").distinct().collect())  # four at most
+    if not lengths:
         return low.select(F.col("_key").alias(key), F.lit("").alias("phrase")).limit(0)
+    keys, kind = keys.drop("n"), T.StructType([T.StructField("_key", low.schema["_key"].dataType), T.StructField("grams", T.ArrayType(T.LongType()))])
+    met = low.mapInArrow(_gram_lists(lengths), kind).select("_key", F.explode("grams").alias("gram"))
     # The distinct grams are far fewer than the phrases: they thin the texts' grams out before the phrases come in.
-    may = met.join(asked, "gram", "left_semi").join(keys, "gram").groupBy("_key").agg(F.collect_set("phrase").alias("_may"))
+    may = met.join(keys.select("gram").distinct(), "gram", "left_semi").join(keys, "gram").groupBy("_key").agg(F.collect_set("phrase").alias("_may"))
     found = low.join(may, "_key").select(F.col("_key").alias(key), F.explode(F.filter("_may", lambda p: F.contains(F.col("_text"), p))).alias("phrase"))
     return found
 
