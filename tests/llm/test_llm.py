@@ -1,7 +1,9 @@
 """The pipeline operators on small fixtures: brute force, exact round trips, held-out accuracy, and awkward rows."""
 
+import glob
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ticketweave.llm import chat, exact_dedup, html_text, licenses, mixing, near_dedup, packing, perplexity, queries, token_files, toxicity
+from ticketweave.llm.common import settle
 from ticketweave.llm.tokens import ChunkEncoder
 from tokenizers import Tokenizer
 
@@ -468,3 +471,32 @@ def test_nodes_that_share_bands_are_one_pair(spark):
     """Two nodes that meet in many bands come out of the join once, from the first band they share."""
     rows = spark.createDataFrame([(b, [1, 2, 3, 4], [9, 2, 3, 4]) for b in range(4)], "band int, bands array<long>, bands_b array<long>")
     assert [r[0] for r in rows.filter(near_dedup._first_shared()).select("band").collect()] == [1]
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    """Shuffles of tables written long ago lay on the disk until the driver happened to collect garbage."""
+    spark.sparkContext._jvm.System.gc()
+    files = lambda: {f for d in re.split(",", spark.conf.get("spark.local.dir", "/tmp")) for f in glob.glob(f"{d}/blockmgr-*/*/shuffle_*.data") + glob.glob(f"{d}/spark-*/**/shuffle_*.data", recursive=True)}
+    option, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(option)
+    kept = [settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), f"n{i}") for i in range(3)]
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(option) == was
+    assert all(sorted(r["count"] for r in t.collect()) == [142] + [143] * 6 for t in kept[:1]) and kept[1].count() == 7
+
+
+@pytest.mark.parametrize("few", [1, 3, 1000])
+def test_small_and_large_bands_tell_the_same_links(spark, few, monkeypatch):
+    """Members of a band meet as they stand, or by their sizes if there are many; the bands are made from the registers."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 0)
+    rng, rows = np.random.default_rng(3), []
+    for i in range(60):
+        text = [f"w{k}" for k in range(100 + i % 12)]
+        for _ in range(rng.integers(0, 4)):
+            text[rng.integers(0, 100)] = f"x{rng.integers(0, 10_000)}"
+        rows.append((i, " ".join(text)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, 80)

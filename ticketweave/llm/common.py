@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,14 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{scratch}"
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when the write ends, and do not lie about until the driver's next collection."""
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut, and later passes see the same rows.
 
-    The rows survive the loss of any executor. The table's own file sizes then tell Spark whether it may be broadcast.
+    The rows survive the loss of any executor, and the shuffles that made them are swept from the disk. The table's own file sizes then tell Spark whether it may be broadcast.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path, partitionBy=partition_by)
+    with swept(spark):
+        df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

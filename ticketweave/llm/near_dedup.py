@@ -27,6 +27,8 @@ BUCKET_BITS = REGISTERS.bit_length() - 1
 SKETCH_BITS = 1024
 #: Rounds, while one pair in ten is a link, in which nodes meet pivots of other groups, and how many of them a node meets in a round.
 ROUNDS, PIVOTS = 4, 8
+#: Members of a band up to which all its pairs are looked at as they stand; those of larger bands are parted by their sizes first.
+FEW = 32
 #: Standard deviations that an estimate may lie below the threshold before a pair is left unverified. A pair right at the
 #: threshold is left so with a chance of about one in a billion by each of the three tests.
 SLACK = 6.0
@@ -93,11 +95,12 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_values(found: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit value for each band of registers; equal bands have equal values."""
-    parts = found[: len(found) // rows * rows].reshape(-1, rows).astype(np.uint64)
-    x = np.full(len(parts), rows, dtype=np.uint64)
+    """One 64-bit value for each band of registers, of one set or of a set in each row; equal bands have equal values."""
+    bands = found.shape[-1] // rows
+    parts = found[..., : bands * rows].reshape(*found.shape[:-1], bands, rows).astype(np.uint64)
+    x = np.full(parts.shape[:-1], rows, dtype=np.uint64)
     for j in range(rows):
-        x = (x ^ (x >> np.uint64(31))) * _M2 + parts[:, j]
+        x = (x ^ (x >> np.uint64(31))) * _M2 + parts[..., j]
     return ((x ^ (x >> np.uint64(29))) * _M3).view("<i8")
 
 
@@ -120,12 +123,12 @@ def _name(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
 
 
-def _signatures(words: int, rows: int):
+def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         none = np.empty(0, "<i8")
         for batch in batches:
-            sizes, names, found, planes, sketches, bands = [], [], [], [], [], []
+            sizes, names, found, planes, sketches = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 sizes.append(len(s))
@@ -134,10 +137,21 @@ def _signatures(words: int, rows: int):
                 found.append(kept.view("<i8") if len(s) else none)
                 planes.append(bit_planes(kept) if len(s) else none)
                 sketches.append(parity_sketch(s) if len(s) else none)
-                bands.append(band_values(kept, rows) if len(s) else none)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, planes, sketches, bands)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, planes, sketches)]
             longs = [pa.array(x, pa.int64()) for x in (sizes, [a for a, _ in names], [b for _, b in names])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, *lists], names=["id", "mark", "n", "d1", "d2", "registers", "planes", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, *lists], names=["id", "mark", "n", "d1", "d2", "registers", "planes", "sketch"])
+
+    return run
+
+
+def _bands(rows: int):
+    """(node, registers) to (node, bands): a band's value follows from the registers, so it need not be stored with them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(1).flatten().to_numpy().view("<u2").reshape(batch.num_rows, REGISTERS)
+            values = band_values(found, rows)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (REGISTERS // rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["node", "bands"])
 
     return run
 
@@ -263,12 +277,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    lists = ", ".join(f"{c} array<long>" for c in ("registers", "planes", "sketch", "bands"))
-    signed = settle(src.mapInArrow(_signatures(words, band_rows(percent)), f"id {kind}, mark long, n long, d1 long, d2 long, {lists}"), "signatures")
+    lists = ", ".join(f"{c} array<long>" for c in ("registers", "planes", "sketch"))
+    signed = settle(src.mapInArrow(_signatures(words), f"id {kind}, mark long, n long, d1 long, d2 long, {lists}"), "signatures")
     name = ["n", "d1", "d2"]
-    named = signed.filter("n > 0").groupBy(*name).agg(F.min("id").alias("low"), F.first(F.struct("registers", "planes", "sketch", "bands")).alias("s"))
+    named = signed.filter("n > 0").groupBy(*name).agg(F.min("id").alias("low"), F.first(F.struct("registers", "planes", "sketch")).alias("s"))
     nodes = settle(named.select(F.monotonically_increasing_id().alias("node"), *name, "low", "s.*"), "nodes")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    rows = nodes.select("node", "registers").mapInArrow(_bands(band_rows(percent)), "node long, bands array<long>").select("node", F.posexplode("bands").alias("band", "value"))
     crowds = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = settle(rows.join(crowds, ["band", "value"]), "bands")
     centre = met.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -286,14 +300,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             break
         group = components(links)
     grouped = met.select("node", "band", "value").join(group, "node", "left").select("band", "value", "node", F.coalesce("component", "node").alias("component"))
-    mixed = grouped.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "value")
+    mixed = grouped.groupBy("band", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    grouped = settle(grouped.join(mixed.select("band", "value", (F.col("size") <= FEW).alias("few")), ["band", "value"]), "mixed")
+    # Nodes of two groups share no other bands, so only these are told apart.
+    places = F.sequence(F.lit(0), F.lit(REGISTERS // band_rows(percent) - 1))
+    bands = grouped.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("band", "value"))).alias("at")).select("node", F.transform(places, lambda k: F.try_element_at("at", k)).alias("bands"))
     # Sizes of linked sets are less than two steps of this scale apart; the smaller set of a pair looks for the larger one.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int").alias("step")
     bits = [F.get(c, F.lit(k)).alias(f"{s}{k}") for c, s, size in (("planes", "p", REGISTERS // 32), ("sketch", "o", SKETCH_BITS // 64)) for k in range(size)]
-    grouped = settle(grouped.join(mixed, ["band", "value"], "left_semi").join(nodes.select("node", "n", step, "bands", *bits), "node"), "mixed")
-    larger = grouped.select("band", "value", F.explode(F.array("step", F.col("step") - 1)).alias("step"), *[F.col(c).alias(f"{c}_b") for c in grouped.columns if c not in ("band", "value", "step")])
+    grouped = settle(grouped.join(bands, "node").join(nodes.select("node", "n", step, *bits), "node"), "mixed")
+    other = lambda side: side.select("band", "value", "step", *[F.col(c).alias(f"{c}_b") for c in side.columns if c not in ("band", "value", "step")])
     apart = (F.col("component") != F.col("component_b")) & ((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") < F.col("node_b"))))
-    rest = grouped.join(larger, ["band", "value", "step"]).filter(apart & _compatible(percent) & _first_shared()).select(*_pair(F.col("node"), F.col("node_b"))).distinct()
+    found = apart & _compatible(percent) & _first_shared()
+    few = grouped.filter("few").drop("few").repartition("band", "value")  # both sides of the join read this one shuffle
+    many = grouped.filter("NOT few").drop("few")
+    larger = many.select(F.explode(F.array("step", F.col("step") - 1)).alias("step"), *[c for c in many.columns if c != "step"])
+    met_few = few.drop("step").join(other(few).drop("step"), ["band", "value"]).filter(found).select(*_pair(F.col("node"), F.col("node_b")))
+    met_many = many.join(other(larger), ["band", "value", "step"]).filter(found).select(*_pair(F.col("node"), F.col("node_b")))
+    rest = met_few.unionByName(met_many).distinct()
     last = _verified(settle(_estimated(rest, nodes, percent), "hopeful"), nodes, src, words, percent)
     label = components(links.unionByName(last))
     group = nodes.select("node", *name, "low").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
