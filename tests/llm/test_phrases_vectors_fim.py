@@ -110,6 +110,24 @@ def test_false_alarms_in_the_bit_fields_change_nothing(spark):
     assert sorted(tuple(r) for r in got.collect()) == told_phrases(rows, 3, 100, 2000)
 
 
+def test_only_suffixes_of_frequent_triples_travel(spark, monkeypatch):
+    """All words and pairs are frequent, most triples are rare: every suffix of three words was sent to be sorted."""
+    rng, rows = random.Random(8), []
+    for _ in range(40):
+        rows.append((" ".join(f"w{rng.randrange(12)}" for _ in range(400)) + ". new york city hall", "en"))
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    sent, suffixes = [], phrases._suffixes
+
+    def watched(*args):
+        sent.append(docs.mapInArrow(suffixes(*args), "lang string, w0 long, w1 long, w2 long, w3 long, w4 long, n long").agg(phrases.F.count("n"), phrases.F.count_distinct("w0", "w1", "w2")).first())
+        return suffixes(*args)
+
+    monkeypatch.setattr(phrases, "_suffixes", watched)
+    got = phrases.collocations(docs, least=35, field_bits=20)
+    assert sorted(tuple(r) for r in got.collect()) == told_phrases(rows, 35, 100, 2000)
+    assert sent[0][1] == 2 and sent[0][0] <= 8  # new york city, york city hall
+
+
 def test_quicksort_counts_prefixes():
     rng = random.Random(5)
     rows = [tuple(rng.randrange(4) for _ in range(rng.randrange(1, 6))) for _ in range(800)]

@@ -2,12 +2,13 @@
 
 Every word starts a suffix of at most ``longest`` words. Words and word pairs are counted first; what is too rare ends a
 suffix, so that only suffixes of three frequent words or more travel, each distinct one once per chunk of a map task with its
-count. They go to a task by language and three leading words. There an array of suffix pointers is parted three ways at one
+count. Of these, a task sends only suffixes whose words stand in triples that may be frequent: triples are summed beforehand
+in a counting field, of which a task sends the slots it touched, a row for each part of the field. Suffixes go to a task by language and three leading words. There an array of suffix pointers is parted three ways at one
 word position at a time (below, equal to, above a pivot): the part equal to the pivot goes on at the next position, its
 weight is the count of the phrase read so far, and parts lighter than the least count are given up at once.
 
 Words travel as 64-bit hashes under a seed for which no two words of the corpus collide. Bit fields of a fixed size tell tasks
-which words and pairs may be frequent; what passes them wrongly is dropped by the exact counts.
+which words, pairs and triples may be frequent; what passes them wrongly is dropped by the exact counts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from ticketweave.llm.common import settle, small_batches
 SEPARATORS = [".", ",", ";", ":", "!", "?", "\v", "\f", "\r"]
 #: A bit field has 2 to this many bits (8 MB; 15 at least), whatever the corpus holds.
 FIELD_BITS = 26
+#: A counting field is sent and summed in parts of 2 to this many slots.
+PART_BITS = 16
 #: Text a task looks at together, and suffixes it gathers before it sends the distinct ones.
 CHUNK_BYTES, GATHERED = 8 << 20, 1 << 20
 NO_LANGUAGE = "und"
@@ -79,11 +82,23 @@ class Chunk:
     def pair_slots(self, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _slot(_mix(self.hash[a] + self.lang_hash[owner]) + self.hash[b], self.bits)
 
+    def triple_slots(self, at: np.ndarray) -> np.ndarray:
+        """Slots of the language and the three words from each place on."""
+        pair = _mix(self.hash[self.code[at]] + self.lang_hash[self.owner[at]]) + self.hash[self.code[at + 1]]
+        return _slot(_mix(pair) + self.hash[self.code[at + 2]], self.bits)
+
     def pairs(self, words: BitField) -> np.ndarray:
         """For each place, whether it and the next hold words that ``words`` lets pass."""
         passed = (self.code > 0) & words(self.word_slots(self.owner, self.code))
         return passed & np.append(passed[1:], False)
 
+    def triples(self, words: BitField, pairs: BitField) -> np.ndarray:
+        """For each place, whether the three words from it on stand in two pairs that ``pairs`` lets pass."""
+        good = self.pairs(words)
+        at = np.flatnonzero(good)
+        good[at] = pairs(self.pair_slots(self.owner[at], self.code[at], self.code[at + 1]))
+        return good & np.append(good[1:], False)
+
 
 def _chunks(batches: Iterator[pa.RecordBatch], seed: int, bits: int) -> Iterator[Chunk]:
     texts, langs, held = [], [], 0
@@ -126,11 +141,61 @@ def _pair_counts(seed: int, bits: int, words: bytes):
     return run
 
 
-def _suffixes(seed: int, bits: int, words: bytes, pairs: bytes, longest: int):
+def _triple_counts(seed: int, bits: int, words: bytes, pairs: bytes, least: int):
+    """(part, places, counts): how often triples fall on slots, up to ``least``; a row holds the slots of a part that have any."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, pair_field = BitField(words), BitField(pairs)
+        slots, counts, held = [], [], 0
+
+        def summed() -> pa.RecordBatch:
+            slot, at = np.unique(np.concatenate(slots), return_inverse=True)
+            n = np.minimum(np.bincount(at, weights=np.concatenate(counts)), least).astype("<u4")
+            places = (slot & ((1 << PART_BITS) - 1)).astype("<u2")
+            part, first = np.unique(slot >> PART_BITS, return_index=True)
+            runs = list(zip(first, np.append(first[1:], len(slot))))
+            return pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([x[i:j].tobytes() for i, j in runs], pa.binary()) for x in (places, n))], names=["part", "places", "counts"])
+
+        for c in _chunks(batches, seed, bits):
+            slot, n = np.unique(c.triple_slots(np.flatnonzero(c.triples(field, pair_field))), return_counts=True)
+            slots.append(slot)
+            counts.append(n)
+            held += len(slot)
+            if held >= GATHERED:
+                yield summed()
+                slots, counts, held = [], [], 0
+        if held:
+            yield summed()
+
+    return run
+
+
+def _reached(least: int):
+    """Slots that reach ``least``, from rows in order of their parts; one part is held at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, np.zeros(1 << PART_BITS, dtype=np.int64)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums >= least) + (now << PART_BITS))], names=["slot"])
+
+        for batch in batches:
+            for part, places, counts in zip(*(x.to_pylist() for x in batch.columns)):
+                if part != now:
+                    if now is not None:
+                        yield told()
+                    now = part
+                    sums[:] = 0
+                sums[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<u4")
+        if now is not None:
+            yield told()
+
+    return run
+
+
+def _suffixes(seed: int, bits: int, words: bytes, pairs: bytes, triples: bytes, longest: int):
     names = ["lang", *(f"w{i}" for i in range(longest))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, pair_field = BitField(words), BitField(pairs)
+        field, pair_field, triple_field = BitField(words), BitField(pairs), BitField(triples)
         held, rows = [], 0
 
         def distinct() -> Iterator[pa.RecordBatch]:
@@ -138,14 +203,14 @@ def _suffixes(seed: int, bits: int, words: bytes, pairs: bytes, longest: int):
             yield from table.select([*names, "count_all"]).rename_columns([*names, "n"]).combine_chunks().to_batches()
 
         for c in _chunks(batches, seed, bits):
-            good = c.pairs(field)
+            good = c.triples(field, pair_field)
             at = np.flatnonzero(good)
-            good[at] = pair_field(c.pair_slots(c.owner[at], c.code[at], c.code[at + 1]))
-            starts = np.flatnonzero(good & np.append(good[1:], False))
+            good[at] = triple_field(c.triple_slots(at))
+            starts = np.flatnonzero(good)
             alive, columns = np.ones(len(starts), dtype=bool), []
             for i in range(longest):
-                if i > 1:
-                    alive = alive & good[np.minimum(starts + i - 1, len(good) - 1)]
+                if i > 2:  # the triple that ends at this word
+                    alive = alive & good[np.minimum(starts + i - 2, len(good) - 1)]
                 h = c.hash[c.code[np.minimum(starts + i, len(good) - 1)]].view(np.int64)
                 columns.append(pa.array(h, mask=~alive))
             held.append(pa.table([c.langs.take(pa.array(c.owner[starts])), *columns], names=names))
@@ -242,7 +307,10 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         counts = counts.unionByName(pairs.select("lang", F.array("w0", "w1").alias("words"), F.col("n").alias("f")))
     if longest >= 3:
         kind = ", ".join(["lang string", *(f"w{i} long" for i in range(longest)), "n long"])
-        routed = src.mapInArrow(_suffixes(seed, field_bits, word_field, _field(pairs, field_bits), longest), kind).repartition("lang", "w0", "w1", "w2")
+        pair_field = _field(pairs, field_bits)
+        told = src.mapInArrow(_triple_counts(seed, field_bits, word_field, pair_field, least), "part long, places binary, counts binary")
+        triple_field = _field(told.repartition("part").sortWithinPartitions("part").mapInArrow(_reached(least), "slot long"), field_bits)
+        routed = src.mapInArrow(_suffixes(seed, field_bits, word_field, pair_field, triple_field, longest), kind).repartition("lang", "w0", "w1", "w2")
         counts = counts.unionByName(routed.mapInArrow(_sorted_counts(least, longest, 3), "lang string, words array<long>, f long"))
     return settle(counts, "counts"), words.groupBy("lang").agg(F.sum("n").alias("n")), frequent.select("h", "word").distinct()
 
