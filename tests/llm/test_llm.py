@@ -500,3 +500,28 @@ def test_small_and_large_bands_tell_the_same_links(spark, few, monkeypatch):
         rows.append((i, " ".join(text)))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, 80)
+
+
+def test_packed_texts_stay_in_their_buckets(spark, monkeypatch):
+    """The packed texts were shuffled to their chunk's n-grams, a second copy on the disk; a task's texts are chunks of bounded size."""
+    monkeypatch.setattr(perplexity, "CHUNK", 3000)
+    plans, measured = [], perplexity.measure
+
+    def watched(*args):
+        out = measured(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        plans.append(args[0].select("chunk").distinct().count())
+        return out
+
+    monkeypatch.setattr(perplexity, "measure", watched)
+    rng = np.random.default_rng(9)
+    good = [" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(int(n))) for n in rng.integers(25, 200, 1200)]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)], "doc_id long, text string, lang string").repartition(1)
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r.doc_id: r for r in perplexity.quality_rules(rows).collect()}
+    side = plans[0][plans[0].index("FlatMapCoGroups"):].split("- Exchange")[0]
+    assert "Bucketed: true" in side or "SelectedBucketsCount" in side, plans[0]
+    assert plans[1] == 3  # batches of 512 rows, each beyond a chunk's size
+    assert {t.name for t in spark.catalog.listTables()} == before
+    want = brute_kneser_ney(good, perplexity.WIDE)
+    assert len(got) == 1200 and all(abs(got[i].log_perplexity - want[i]) < 1e-5 for i in range(0, 1200, 100))

@@ -52,6 +52,18 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_in_buckets(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """``settle`` as an external table in ``buckets`` buckets of ``column``, and its name: rows grouped by the column are not shuffled.
+
+    The folder is one of those of ``settle``; drop the table when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    table = f"llm_{uuid.uuid4().hex}"
+    with swept(spark):
+        df.write.bucketBy(buckets, column).option("path", f"{shared_folder(spark)}/{table.replace('_', '-')}/{name}").format("parquet").saveAsTable(table)
+    return spark.table(table), table
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once and use it many times inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,8 +2,9 @@
 
 The language model reads code points as they stand: letters of any script, with case, digits and marks are told apart, and
 n-grams of four of them are counted in all documents without a bound. Tasks count their chunk of the documents, Spark sums
-the counts by language and n-gram and makes the modified Kneser-Ney estimates by joins and windows on n-grams. Each chunk is
-then joined to the estimates of its own n-grams, wherever they are held, so a model of any size is nowhere in one place.
+the counts by language and n-gram and makes the modified Kneser-Ney estimates by joins and windows on n-grams. The estimates
+of a chunk's own n-grams then come to the chunk, wherever they are held, so a model of any size is nowhere in one place. The
+texts stay where the first pass has put them, in buckets by chunk.
 Documents whose perplexity leaves their language's band on either side are rejected. Those that fail the base rules are
 rejected anyway: the model does not learn from them, and their texts go no further than the first pass, which writes the
 others down packed, with the counts.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketweave.llm.common import settle, small_batches
+from ticketweave.llm.common import settle, settle_in_buckets, small_batches
 
 #: Code points of an n-gram, and the bits of one (0 is the start of a text): the last three fill a long, those before stand in another.
 WIDE, POINT_BITS = 4, 21
@@ -26,6 +27,10 @@ WIDE, POINT_BITS = 4, 21
 SENT = 4_000_000
 #: Bytes of texts that are packed into one row (a longer text is a row of its own).
 PACKED = 4 << 20
+#: Bytes of texts after which a task starts another chunk, and the bits of a chunk's number within its task.
+CHUNK, CHUNK_BITS = 256 << 20, 24
+#: Compression level of packed texts.
+LEVEL = 6
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: N-grams that a language needs for a model and band of its own, however many languages there are: about five pages of text.
 #: Those with fewer share one with null.
@@ -65,7 +70,7 @@ def _summed(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 def _pack(docs: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
         out.write_batch(docs)
     return sink.getvalue().to_pybytes()
 
@@ -85,11 +90,11 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 def _sent(chunk: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
     kinds = {"lang": pa.string(), "high": pa.int64(), "low": pa.int64(), "n": pa.int64(), "docs": pa.binary()}
     values = [columns.get(name, pa.nulls(rows, kind)) for name, kind in kinds.items()]
-    return pa.RecordBatch.from_arrays([pa.array([chunk] * rows, pa.int32()), *values], names=["chunk", *kinds])
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * rows, pa.int64()), *values], names=["chunk", *kinds])
 
 
-def _first_pass(least_words: int, repeat_percent: int, packed: int):
-    """(chunk, doc_id, lang, text) to rows of counts (chunk, lang, high, low, n) and rows of packed documents (chunk, docs).
+def _first_pass(least_words: int, repeat_percent: int, packed: int, most: int):
+    """(task, doc_id, lang, text) to rows of counts (chunk, lang, high, low, n) and rows of packed documents (chunk, docs).
 
     Counts of a task are added up, and sent on whenever they get many.
     """
@@ -108,12 +113,12 @@ def _first_pass(least_words: int, repeat_percent: int, packed: int):
                     k = at[i:i + 100_000]
                     yield _sent(chunk, len(k), lang=pa.array([lang] * len(k), pa.string()), **{name: pa.array(x[k].astype(np.int64)) for name, x in (("high", high), ("low", low), ("n", n))})
 
-        waiting = 0
+        waiting, part, size = 0, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            chunk, langs, texts = col["chunk"][0].as_py(), col["lang"].to_pylist(), col["text"].to_pylist()
+            chunk, langs, texts = (col["task"][0].as_py() << CHUNK_BITS) + part, col["lang"].to_pylist(), col["text"].to_pylist()
             rules = [word_rules(t) for t in texts]
             failed = [r[0] < least_words or 100 * r[4] > repeat_percent * r[0] for r in rules]
             by: dict[str, list[str | None]] = {}
@@ -128,8 +133,13 @@ def _first_pass(least_words: int, repeat_percent: int, packed: int):
             kept = pa.array([None if bad else t for t, bad in zip(texts, failed)], pa.string())
             docs = pa.RecordBatch.from_arrays([col["doc_id"], col["lang"], kept, pa.array(failed, pa.bool_()), *[pa.array(v, pa.int64()) for v in zip(*rules)]],
                                               names=["doc_id", "lang", "text", "base_failed", *RULES])
-            packs = [_pack(docs.slice(*at)) for at in _slices([0 if bad else 4 * len(t or "") for t, bad in zip(texts, failed)], packed)]
+            sizes = [0 if bad else 4 * len(t or "") for t, bad in zip(texts, failed)]
+            packs = [_pack(docs.slice(*at)) for at in _slices(sizes, packed)]
             yield _sent(chunk, len(packs), docs=pa.array(packs, pa.binary()))
+            size += sum(sizes)
+            if size > most:
+                yield from sent(1)
+                waiting, part, size = 0, part + 1, 0
             if waiting > SENT:
                 yield from sent(SENT // 4)
                 waiting = sum(len(parts[0][0]) for parts in held.values())
@@ -222,9 +232,11 @@ def word_rules(text: str | None) -> tuple[int, int, int, int, int]:
     return n, len(text) - blanks, marks, len(lines) - len(set(lines)), repeated
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed documents of a chunk come after its n-grams: only these are held, by language as sorted arrays of hashes."""
-    now, parts, tables = None, {}, {}
+def _score(packed: pa.Table, found: pa.Table) -> pa.Table:
+    """The documents of a chunk, measured by the chunk's own n-grams: these are held by language as sorted arrays of hashes."""
+    parts, tables, scored = {}, {}, []
+    for lang, grams in zip(found.column("lang").to_pylist(), found.column("found")):
+        parts.setdefault(lang, []).append([grams.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)])
 
     def log_perplexity(lang: str, text: str | None) -> tuple[float | None, int]:
         high, low = wide_grams([text])
@@ -238,33 +250,26 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs = tables[lang]
         return float(-logs[np.searchsorted(keys, hashed(high, low))].mean(dtype=np.float64)), len(high)
 
-    for batch in batches:
-        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        for i, (chunk, is_doc, lang) in enumerate(zip(*(col[n].to_pylist() for n in ("chunk", "is_doc", "lang")))):
-            if chunk != now:
-                now, parts, tables = chunk, {}, {}
-            if not is_doc:
-                found = col["found"][i].values
-                parts.setdefault(lang, []).append([found.field(k).to_numpy(zero_copy_only=False) for k in range(3)])
-                continue
-            docs = pa.ipc.open_stream(col["docs"][i].as_buffer()).read_next_batch()
-            got = [(None, 0) if bad else log_perplexity(lang, text) for lang, text, bad in zip(*(docs.column(n).to_pylist() for n in ("lang", "text", "base_failed")))]
-            yield pa.RecordBatch.from_arrays([*[docs.column(n) for n in ("doc_id", "lang", *RULES, "base_failed")], pa.array([p for p, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())],
-                                             names=["doc_id", "lang", *RULES, "base_failed", "log_perplexity", "n_grams"])
+    for pack in packed.column("docs"):
+        docs = pa.ipc.open_stream(pack.as_buffer()).read_next_batch()
+        got = [(None, 0) if bad else log_perplexity(lang, text) for lang, text, bad in zip(*(docs.column(n).to_pylist() for n in ("lang", "text", "base_failed")))]
+        scored.append(pa.RecordBatch.from_arrays([*[docs.column(n) for n in ("doc_id", "lang", *RULES, "base_failed")], pa.array([p for p, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())],
+                                                 names=["doc_id", "lang", *RULES, "base_failed", "log_perplexity", "n_grams"]))
+    return pa.Table.from_batches(scored)
 
 
 def measure(passed: DataFrame, models: DataFrame, key_type: str) -> DataFrame:
     """doc_id, lang, the word rules, base_failed, log_perplexity (null for a failed or empty text) and n_grams of each document.
 
-    What a chunk of documents needs of its models are the n-grams counted in it; they come to it by a join on n-grams.
+    What a chunk of documents needs of its models are the n-grams counted in it; they come to it by a join on n-grams. The
+    packed documents are read in the buckets of chunks that they lie in.
     """
     of = passed.filter("n is not null").select("chunk", "lang", "high", "low", "n").join(models, "lang")
     logs = log_probabilities(of.groupBy("model", "high", "low").agg(F.sum("n").alias("n")))
     found = of.join(logs, ["model", "high", "low"]).groupBy("chunk", "lang", F.pmod("low", F.lit(8)).alias("part")).agg(F.collect_list(F.struct("high", "low", "log_p")).alias("found"))
-    docs = passed.filter("docs is not null").select("chunk", F.lit(True).alias("is_doc"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast(found.schema["found"].dataType).alias("found"), "docs")
-    sides = found.select("chunk", F.lit(False).alias("is_doc"), "lang", "found", F.lit(None).cast("binary").alias("docs")).unionByName(docs)
+    docs = passed.filter("docs is not null").select("chunk", "docs")
     rules = ", ".join(f"{n} long" for n in RULES)
-    return sides.repartition("chunk").sortWithinPartitions("chunk", "is_doc").mapInArrow(
+    return docs.groupBy("chunk").cogroup(found.select(F.col("chunk").alias("of"), "lang", "found").groupBy("of")).applyInArrow(
         _score, f"doc_id {key_type}, lang string, {rules}, base_failed boolean, log_perplexity double, n_grams long")
 
 
@@ -278,11 +283,16 @@ def quality_rules(
     deviations, wider for short texts. Null and empty texts have no words and fail. Documents that fail have no perplexity,
     and no model learns from them. Rows that repeat count each.
     """
-    small_batches(docs.sparkSession)
-    src = docs.select(F.spark_partition_id().alias("chunk"), F.col(key).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit(OTHER)).alias("lang"), F.col(text).alias("text"))
-    passed = settle(src.mapInArrow(_first_pass(least_words, repeat_percent, PACKED), "chunk int, lang string, high long, low long, n long, docs binary"), "first-pass")
-    models = _models(passed.filter("n is not null"))
-    rows = settle(measure(passed, models, src.schema["doc_id"].dataType.simpleString()), "quality").join(models, "lang", "left")
+    spark = docs.sparkSession
+    small_batches(spark)
+    src = docs.select(F.spark_partition_id().cast("long").alias("task"), F.col(key).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit(OTHER)).alias("lang"), F.col(text).alias("text"))
+    first = src.mapInArrow(_first_pass(least_words, repeat_percent, PACKED, CHUNK), "chunk long, lang string, high long, low long, n long, docs binary")
+    passed, held = settle_in_buckets(first, "first-pass", "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        models = _models(passed.filter("n is not null"))
+        rows = settle(measure(passed, models, src.schema["doc_id"].dataType.simpleString()), "quality").join(models, "lang", "left")
+    finally:
+        spark.sql(f"DROP TABLE {held}")
     # Medians over a histogram of rounded values: its size depends on the bins alone.
     sound = rows.filter(~F.col("base_failed")).groupBy("model", F.round(F.col("log_perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     middle = sound.groupBy("model").agg((F.expr("percentile(bin, 0.5D, n)") / BINS).alias("middle"))
