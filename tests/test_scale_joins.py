@@ -1,9 +1,17 @@
 """Joins that cut alike rows before they meet, against brute force, and the rows that meet."""
 
+import math
 import random
+import re
+from collections import Counter
 from pathlib import Path
 
-from ticketweave.lineage import ensure_checkpoint_dir
+import duckdb
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from ticketweave.lineage import ensure_checkpoint_dir, written
 from ticketweave.operators import joins, matching, retrieval
 from ticketweave.plans import q_joins, registry
 from ticketweave.tables import Tables
@@ -86,6 +94,46 @@ def test_classes_and_members_give_every_link(spark, scratch):
     assert len(links) == len(set(links)) < len(want) / 10
 
 
+def test_nodes_of_a_dense_neighbourhood_travel_a_few_times(spark):
+    """Near copies make pairs with the square of their number; what is brought in for them does not."""
+    pairs = spark.range(400).join(spark.range(400).withColumnRenamed("id", "r"), F.col("id") < F.col("r")).select(F.col("id").alias("l"), "r")
+    far = spark.range(1000, 1100).select(F.col("id").alias("l"), (F.col("id") + 1000).alias("r"))
+    given = spark.range(3000).select(F.col("id").alias("node"))
+
+    def look(asked, brought):
+        held = set(brought.column("node").to_pylist())
+        return pa.table({"pairs": [asked.num_rows], "brought": [brought.num_rows], "ok": [held == {*asked.column("l").to_pylist(), *asked.column("r").to_pylist()}]})
+
+    weights = given.select("node", F.lit(1).alias("weight"))
+    rows = matching._together(pairs.unionByName(far), given, look, "pairs long, brought long, ok boolean", weights, 128, "looked").collect()
+    assert all(r.ok for r in rows) and len(rows) > 2
+    assert sum(r.pairs for r in rows) == 400 * 399 // 2 + 100 and sum(r.brought for r in rows) < 6000  # of 159,800 ends
+
+
+def test_near_copies_and_long_sets_against_brute_force(spark):
+    """Many sets that differ in a word, words that most sets hold, and words that stand for themselves only within ``on``."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(20)]
+    rows = [(i, i % 2, base + [f"own{i}"]) for i in range(90)] + [(100 + i, i % 2, base[:rng.randint(10, 20)] + [f"x{rng.randrange(5)}"]) for i in range(60)]
+    rows += [(200 + i, None, base) for i in range(3)] + [(300, 0, [f"l{i}" for i in range(3000)]), (301, 0, [f"l{i}" for i in range(2500)])]
+    df = spark.createDataFrame(rows, "id long, at int, t array<string>").repartition(3)
+    for measure, size in (("overlap", lambda a, b: max(len(a), len(b))), ("jaccard", lambda a, b: len(a | b))):
+        sets = [(i, at, set(t)) for i, at, t in rows]
+        share = lambda a, b: len(a & b) / size(a, b)
+        want = sorted((i, j, round(share(a, b), 9)) for i, x, a in sets for j, y, b in sets if x is not None and x == y and share(a, b) >= 0.8)
+        assert sorted((r.l, r.r, round(r.score, 9)) for r in matching.similar_pairs(df, df, "id", "id", "t", 0.8, measure, ("at",)).collect()) == want
+        want = sorted((i, j, round(share(a, b), 9)) for i, x, a in sets for j, y, b in sets if i < 120 and share(a, b) >= 0.8)
+        assert sorted((r.l, r.r, round(r.score, 9)) for r in matching.similar_pairs(df.filter("id < 120"), df, "id", "id", "t", 0.8, measure).collect()) == want
+
+
+def test_written_tables_leave_no_shuffle_behind(spark):
+    files = lambda: [f for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")]
+    before = set(files())
+    df = written(spark.range(5000).repartition(7).groupBy(F.col("id") % 100).count(), "swept")
+    assert not set(files()) - before
+    assert df.count() == 100
+
+
 def test_grams_are_numbers_of_code_points(spark):
     """Grams come from one pass over code points, and phrases of any length are found by them."""
     from ticketweave.operators.matching import grams_of, phrase_hits

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketweave.functions.text import jaccard, overlap_max
-from ticketweave.lineage import written
+from ticketweave.lineage import discard, written
 
 #: Characters of a gram. Shorter phrases are their own grams.
 GRAM = 4
@@ -93,62 +96,249 @@ def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, phrase
     return found
 
 
-#: Words of 64 bits in the sketch of a set.
-SKETCH = 16
+#: Tokens whose frequency all tasks know; the others count as equally rare.
+KNOWN = 1 << 22
+#: 2^FIELD bits tell tasks which nodes are still in question.
+FIELD = 24
+#: Bits of the sketch of a set.
+BITS = 1024
+#: What a task holds of the nodes that it looks at together: sketches, tokens of sets.
+SKETCHES, TOKENS = 1 << 16, 1 << 19
+#: Keys of a block when classes are expanded: two blocks make a million pairs.
+KEYS = 1024
+
+
+def expand(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs`` (l, r, ...) of classes as pairs of their members: ``left`` is (l, _k_l), ``right`` is (r, _k_r).
+
+    Members travel in blocks of keys and are unfolded where two blocks have met, so pairs of members are never shuffled, and
+    the blocks of a large class go to different tasks.
+    """
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        sizes = side.groupBy(name).agg(F.ceil(F.count("*") / KEYS).alias("_of"))
+        dealt = side.join(sizes, name).withColumn(f"_b_{name}", F.pmod(F.xxhash64(f"_k_{name}", F.lit(name)), F.col("_of")))
+        return dealt.groupBy(name, f"_b_{name}").agg(F.collect_list(F.struct(f"_k_{name}")).alias(f"_ks_{name}"))  # a list leaves out plain nulls
+
+    lb, rb = written(blocks(left, "l"), "left-blocks"), written(blocks(right, "r"), "right-blocks")
+    meet = pairs.join(lb.select("l", "_b_l"), "l").join(rb.select("r", "_b_r"), "r").join(lb, ["l", "_b_l"])
+    # As many tasks as partitions: few bytes make many pairs, so sizes do not tell the work.
+    meet = meet.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r", "_b_r").join(rb, ["r", "_b_r"])
+    rest = [c for c in pairs.columns if c not in ("l", "r")]
+    one = meet.select(F.explode("_ks_l").alias("_l"), "_ks_r", *rest)
+    return one.select("_l", F.explode("_ks_r").alias("_r"), *rest).select(F.col("_l._k_l"), F.col("_r._k_r"), *rest)
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of token numbers to (tok, sets), added up for a batch."""
+    for batch in batches:
+        tok, sets = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(sets.astype(np.int64))], names=["tok", "sets"])
+
+
+def _known(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The most frequent tokens (at most ``KNOWN``), ordered by number, their frequencies, and whether all others are in one set."""
+    least, total = 2, 0
+    for sets, n in sorted(((r["sets"], r["n"]) for r in counts.filter("sets > 1").groupBy("sets").agg(F.count("*").alias("n")).collect()), reverse=True):
+        total += n
+        if total > KNOWN:
+            least = sets + 1
+            break
+    found = counts.filter(F.col("sets") >= least).toArrow()
+    tok, sets = (found.column(c).to_numpy() for c in ("tok", "sets"))
+    order = np.argsort(tok)
+    return tok[order], sets[order], least == 2
+
+
+def _prefixes(tok: np.ndarray, sets: np.ndarray, alone: bool, threshold: float):
+    """(row, token numbers) to (row, n, p, tok): the rarest tokens of each set, one of which a similar set must hold.
+
+    Tokens are ordered by what is known of their frequency, then by number; any order that all sets share would do. Where the
+    others are ``alone`` in one set, they keep their places but meet nothing.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            often = np.zeros(len(flat), dtype=np.int64)
+            if len(tok):
+                at = np.minimum(np.searchsorted(tok, flat), len(tok) - 1)
+                often = np.where(tok[at] == flat, sets[at], 0)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, often, row))
+            p = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            keep = p < np.repeat(size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1, size)
+            keep = np.flatnonzero(keep & (often[order] > 0) if alone else keep)
+            of = row[order[keep]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(size[of].astype(np.int32)), pa.array(p[keep].astype(np.int32)), pa.array(flat[order[keep]])], names=["node", "n", "p", "tok"])
+
+    return run
 
 
 def _sets(side: DataFrame, key: str, tokens: str, on: tuple[str, ...], left: bool, right: bool) -> DataFrame:
-    named = [F.col(c).alias(f"_on_{c}") for c in on]
-    rows = side.select(F.col(key).alias("_k"), *named, F.array_sort(F.col(tokens)).alias("_set"), F.lit(left).alias("_left"), F.lit(right).alias("_right"))
-    return rows.dropna(subset=["_k", *[f"_on_{c}" for c in on]]).filter(F.size("_set") > 0).withColumn("_digest", F.sha2(F.to_json("_set"), 256))
+    rows = side.dropna(subset=[key, *on]).filter(F.size(tokens) > 0)
+    same = F.to_json(F.array(*[F.col(c).cast("string") for c in on])) if on else F.lit("")
+    return rows.select(F.col(key).alias("_k"), same.alias("_on"), F.array_sort(F.col(tokens)).alias("_set"), F.lit(left).alias("_left"), F.lit(right).alias("_right"))
 
 
-def similar_pairs(
+def similar_sets(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str, threshold: float, measure: str = "jaccard", on: tuple[str, ...] = (),
-) -> DataFrame:
-    """(l, r, score): keys of set pairs whose similarity reaches ``threshold``, found through shared rare tokens.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored, left members, right members): pairs (l, r, score) of distinct sets that reach ``threshold``, and the rows (l, _k_l)
+    and (r, _k_r) that hold each set.
 
-    Equal sets are one node, which is compared once and expanded at the end. A set of n tokens can only reach the threshold if
-    one of its n - ceil(t*n) + 1 rarest tokens is among those of the other set. Nodes that meet on such a token (and on ``on``)
-    are left out by their sizes, by the number of tokens that can still follow the last shared one and by bit sketches of the
-    sets; what is left is compared exactly, by numbers that stand for the tokens.
+    Equal sets are one node. A set of n tokens can only reach the threshold if one of its n - ceil(t*n) + 1 rarest tokens is
+    among those of the other set. Nodes that meet on such a token (and on ``on``) are left out by their sizes and by the number
+    of tokens that can still follow a shared one, then by bit sketches. What is left is compared exactly, token by token; sets
+    come in once for many pairs (``_together``).
+    Tokens meet as 64-bit numbers; a clash only costs a comparison.
     """
     alone = left is right and left_key == right_key
-    same = [f"_on_{c}" for c in on]
     rows = _sets(left, left_key, tokens, on, True, alone)
     if not alone:
         rows = rows.unionByName(_sets(right, right_key, tokens, on, False, True))
-    nodes = rows.groupBy("_digest", *same).agg(F.first("_set").alias("_set"), F.max("_left").alias("_left"), F.max("_right").alias("_right"))
-    nodes = written(nodes.withColumn("_node", F.monotonically_increasing_id()), "nodes")
-    held = nodes.select("_node", "_left", "_right", *same, F.size("_set").alias("_n"), F.explode("_set").alias("_tok"))
-    bits = F.xxhash64("_tok")
-    mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(bits, 8), F.lit(64)).cast("int"))
-    numbers = held.groupBy("_tok").agg(F.count("*").alias("_f")).withColumns({"_id": F.monotonically_increasing_id(), "_word": F.pmod(bits, F.lit(SKETCH)).cast("int"), "_mark": mark})
-    numbers = written(numbers, "tokens")
-    word = lambda i: F.coalesce(F.bit_or(F.when(F.col("_word") == i, F.col("_mark"))), F.lit(0).cast("long"))
-    sets = held.join(numbers, "_tok").groupBy("_node", "_n", "_left", "_right", *same).agg(
-        F.array_sort(F.collect_list(F.struct("_f", "_id"))).alias("_o"), F.array(*[word(i) for i in range(SKETCH)]).alias("_bits"))
-    sets = written(sets.select("_node", "_n", "_left", "_right", *same, F.col("_o._id").alias("_ids"), "_bits"), "sets")
-
-    def prefix(name: str) -> DataFrame:
-        keep = F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1
-        return sets.filter("_left" if name == "l" else "_right").select(F.col("_node").alias(name), F.col("_n").alias(f"_n_{name}"), *same, F.posexplode(F.slice("_ids", F.lit(1), keep.cast("int"))).alias(f"_p_{name}", "_id"))
-
-    n_l, n_r = F.col("_n_l"), F.col("_n_r")
+    # The rows are made once, where they are read; nothing of them is shuffled until nodes are known.
+    sets = written(rows.withColumns({"_row": F.monotonically_increasing_id(), "_digest": F.unhex(F.sha2(F.to_json(F.struct("_on", "_set")), 256))}), "sets", "zstd")
+    nodes = written(sets.groupBy("_digest").agg(F.min("_row").alias("node"), F.max("_left").alias("_left"), F.max("_right").alias("_right")), "nodes")
+    rows = written(sets.select("_digest", "_k", "_left", "_right").join(nodes.select("_digest", "node"), "_digest").drop("_digest"), "members")
+    members = [rows.filter(flag).select(F.col("node").alias(name), F.col("_k").alias(f"_k_{name}")) for name, flag in (("l", "_left"), ("r", "_right"))]
+
+    numbers = sets.select("_row", F.transform("_set", lambda x: F.xxhash64(x, F.col("_on"))).alias("toks"))
+    counts = written(numbers.select("toks").mapInArrow(_token_counts, "tok long, sets long").groupBy("tok").agg(F.sum("sets").alias("sets")), "tokens")
+    first = numbers.mapInArrow(_prefixes(*_known(counts), threshold), "node long, n int, p int, tok long")
+    first = written(first.join(nodes.select("node", "_left", "_right"), "node"), "prefixes")
+    discard(counts)
+    kept = lambda name: first if alone else first.filter("_left" if name == "l" else "_right")
+    side = lambda name: kept(name).select("tok", F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("p").alias(f"p_{name}"))
+    n_l, n_r = F.col("n_l"), F.col("n_r")
+    met = side("l").join(side("r"), "tok").filter((n_r >= n_l * threshold - 1e-9) & (n_l >= n_r * threshold - 1e-9))
     # A pair of nodes that stand on both sides is compared once.
-    met = prefix("l").join(prefix("r"), ["_id", *same]).filter((n_r >= n_l * threshold - 1e-9) & (n_l >= n_r * threshold - 1e-9))
     met = met.filter("l < r" if alone else "l <> r")
     need = F.ceil((n_l + n_r) * threshold / (1 + threshold) - 1e-6) if measure == "jaccard" else F.ceil(F.greatest(n_l, n_r) * threshold - 1e-6)
-    rest = F.least(n_l - F.col("_p_l"), n_r - F.col("_p_r")) - 1
-    open_pairs = met.groupBy("l", "r", "_n_l", "_n_r").agg(F.count("*").alias("_shared"), F.min(rest).alias("_rest")).withColumn("_need", need).filter("_shared + _rest >= _need")
-    side = lambda name, *cols: sets.select(F.col("_node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-    missing = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(SKETCH)), F.lit(0))
-    near = open_pairs.join(side("l", "_bits"), "l").join(side("r", "_bits"), "r").filter((missing("_bits_l", "_bits_r") <= n_l - F.col("_need")) & (missing("_bits_r", "_bits_l") <= n_r - F.col("_need"))).select("l", "r")
-    score = (jaccard if measure == "jaccard" else overlap_max)(F.col("_ids_l"), F.col("_ids_r"))
-    scored = near.join(side("l", "_ids"), "l").join(side("r", "_ids"), "r").select("l", "r", score.alias("score")).filter(F.col("score") >= threshold)
-    scored = written(scored, "scored")
+    # The first token that a pair shares tells whether enough can follow; of pairs that may pass it is never left out.
+    opened = written(met.filter(F.least(n_l - F.col("p_l"), n_r - F.col("p_r")) >= need).select("l", "r").distinct(), "open-pairs")
+    discard(first)
+    sketches = numbers.mapInArrow(_sketches, "node long, n int, bits binary").join(nodes.select("node"), "node")
+    sketches = written(sketches, "sketches")
+    near = _together(opened, sketches, _may_reach(threshold, measure), "l long, r long", sketches.select("node", F.lit(1).alias("weight")), SKETCHES, "near-pairs")
+    discard(opened)
+    # Only sets of these nodes leave the tasks that read them, packed.
+    field = _bit_field(near.select(F.explode(F.array("l", "r")).alias("node")))
+    whole = sets.select(F.col("_row").alias("node"), "_on", F.to_json("_set").alias("tokens")).mapInArrow(_packed(field), "node long, packed binary")
+    scored = _together(near, whole, _scores(threshold, measure), "l long, r long, score double", sketches.select("node", F.col("n").alias("weight")), TOKENS, "scored")
+    discard(near, sketches)
     if alone:
         scored = scored.unionByName(scored.select(F.col("r").alias("l"), F.col("l").alias("r"), "score"))
-    scored = scored.unionByName(nodes.filter("_left and _right").select(F.col("_node").alias("l"), F.col("_node").alias("r"), F.lit(1.0).alias("score")))
-    members = lambda name, flag: rows.filter(flag).select("_digest", *same, F.col("_k")).join(nodes.select("_digest", "_node", *same), ["_digest", *same]).select(F.col("_node").alias(name), F.col("_k").alias(f"_k_{name}"))
-    return scored.join(members("l", "_left"), "l").join(members("r", "_right"), "r").select(F.col("_k_l").alias("l"), F.col("_k_r").alias("r"), "score")
+    same = nodes.filter("_left and _right").select(F.col("node").alias("l"), F.col("node").alias("r"), F.lit(1.0).alias("score"))
+    return scored.unionByName(same), *members
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, token numbers) to (node, n, bits): which of ``BITS`` classes of tokens a set holds."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            held = np.zeros((len(size), BITS), dtype=bool)
+            held[np.repeat(np.arange(len(size)), size), batch.column(1).flatten().to_numpy(zero_copy_only=False) & (BITS - 1)] = True
+            bits = np.packbits(held, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in bits], pa.binary())], names=["node", "n", "bits"])
+
+
+def _may_reach(threshold: float, measure: str):
+    """Pairs and the sketches of their nodes to the pairs that may reach the threshold: a set cannot lack more of the other's
+    classes than tokens may be missing."""
+    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
+        node, n = given.column("node").to_numpy(), given.column("n").to_numpy().astype(np.int64)
+        bits = np.frombuffer(b"".join(given.column("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+        order = np.argsort(node)
+        at = [order[np.searchsorted(node[order], asked.column(c).to_numpy())] for c in ("l", "r")]
+        keep = []
+        for k in range(0, asked.num_rows, 1 << 14):
+            l, r = (x[k:k + (1 << 14)] for x in at)
+            need = np.ceil((n[l] + n[r]) * threshold / (1 + threshold) - 1e-6) if measure == "jaccard" else np.ceil(np.maximum(n[l], n[r]) * threshold - 1e-6)
+            lacks = lambda a, b: np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64)
+            keep.append((lacks(l, r) <= n[l] - need) & (lacks(r, l) <= n[r] - need))
+        return asked.select(["l", "r"]).filter(pa.array(np.concatenate([np.empty(0, bool), *keep])))
+
+    return run
+
+
+def _slots(nodes: np.ndarray) -> np.ndarray:
+    return ((nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FIELD)).astype(np.int64)
+
+
+def _bit_field(nodes: DataFrame) -> np.ndarray:
+    """Words of a field of 2^FIELD bits that tells which nodes may be among these; false alarms only cost."""
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(_slots(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64))], names=["word", "mask"])
+
+    found = nodes.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    field = np.zeros(1 << (FIELD - 6), dtype=np.int64)
+    field[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return field.view(np.uint64)
+
+
+def _packed(field: np.ndarray):
+    """(node, on, tokens) to (node, packed) of nodes that the field tells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            slot = _slots(whole.column(0).to_numpy())
+            batch = whole.filter(pa.array((field[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            raw = [f"{o}\n{t}".encode("utf-8", "surrogatepass") for o, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(x) for x in raw], pa.binary())], names=["node", "packed"])
+
+    return run
+
+
+def _scores(threshold: float, measure: str):
+    """Pairs and the packed sets of their nodes to the pairs that reach the threshold, with their scores."""
+    def run(asked: pa.Table, given: pa.Table) -> pa.Table:
+        of = {}
+        for node, packed in zip(given.column("node").to_pylist(), given.column("packed").to_pylist()):
+            on, tokens = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n", 1)
+            of[node] = on, frozenset(json.loads(tokens))
+        out = []
+        for l, r in zip(asked.column("l").to_pylist(), asked.column("r").to_pylist()):
+            (on_l, a), (on_r, b) = of[l], of[r]
+            both = len(a & b) if on_l == on_r else 0
+            score = both / (len(a) + len(b) - both if measure == "jaccard" else max(len(a), len(b)))
+            if score >= threshold:
+                out.append((l, r, score))
+        return pa.table({c: pa.array([x[k] for x in out], kind) for k, (c, kind) in enumerate((("l", pa.int64()), ("r", pa.int64()), ("score", pa.float64())))})
+
+    return run
+
+
+def _together(pairs: DataFrame, given: DataFrame, look, schema: str, weights: DataFrame, held: int, name: str) -> DataFrame:
+    """``look`` at ``pairs`` (l, r) with what is ``given`` (node, ...) of their nodes, some pairs at a time, written as ``name``.
+
+    Nodes are dealt to cells of a grid by their smallest neighbours, a neighbourhood that weighs much in parts; a cell holds nodes
+    of some ``held`` ``weights`` (node, weight). So a node travels once for each other part that it has neighbours in, at most
+    once for each row of the grid, and not for each pair.
+    """
+    ends = pairs.select(F.col("l").alias("node"), F.col("r").alias("other")).unionByName(pairs.select(F.col("r").alias("node"), F.col("l").alias("other")))
+    near = written(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("near"), F.count("*").alias("ends")).join(weights, "node"), "near")
+    whole, most = near.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum(F.col("weight") * F.col("ends")), F.lit(0))).first()
+    rows = max(1, math.ceil(2 * whole / held))
+    parts = near.join(near.groupBy("near").agg(F.ceil(F.sum("weight") * 8 / held).alias("of")), "near")
+    parts = written(parts.select("node", F.pmod(F.xxhash64("near", F.pmod(F.xxhash64("node"), F.col("of"))), F.lit(rows)).cast("int").alias("part")), "parts")
+    at = lambda side: parts.select(F.col("node").alias(side), F.col("part").alias(f"p_{side}"))
+    # Cells with few pairs share a task.
+    groups = max(1, min(rows * (rows + 1) // 2, math.ceil(most / held)))
+    group = F.pmod(F.xxhash64(F.least("p_l", "p_r"), F.greatest("p_l", "p_r")), F.lit(groups)).cast("int")
+    met = written(pairs.join(at("l"), "l").join(at("r"), "r").select("l", "r", group.alias("group")), "grouped-pairs")
+    wanted = met.select("group", F.col("l").alias("node")).unionByName(met.select("group", F.col("r").alias("node"))).distinct()
+    seen = written(met.select(F.col("group").alias("asked"), "l", "r").groupBy("asked").cogroup(wanted.join(given, "node").groupBy("group")).applyInArrow(look, schema), name)
+    discard(near, parts, met)
+    return seen
+
+
+def similar_pairs(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str, threshold: float, measure: str = "jaccard", on: tuple[str, ...] = (),
+) -> DataFrame:
+    """(l, r, score): keys of set pairs whose similarity reaches ``threshold``, found through shared rare tokens (``similar_sets``)."""
+    pairs = expand(*similar_sets(left, right, left_key, right_key, tokens, threshold, measure, on))
+    return pairs.select(F.col("_k_l").alias("l"), F.col("_k_r").alias("r"), "score")
