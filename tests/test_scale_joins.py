@@ -134,6 +134,42 @@ def test_written_tables_leave_no_shuffle_behind(spark):
     assert df.count() == 100
 
 
+def tables(spark, scratch, **given):
+    for name, (rows, schema) in given.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{scratch}/{name}.parquet")
+    con = duckdb.connect()
+    for name in given:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{scratch}/{name}.parquet/*.parquet'")
+    return con
+
+
+def same_as_twin(spark, scratch, con, name):
+    """Rows of the query, which its SQL twin has as well, however often they come."""
+    df = registry.all_queries()[name](spark, scratch)
+    cur = con.execute(registry.all_sql()[name])
+    cols = [d[0] for d in cur.description]
+    plain = lambda row: tuple(repr(round(v, 9)) if isinstance(v, float) else str(v) for v in row)
+    got = sorted(plain(r) for r in df.select(*cols).collect())
+    assert got == sorted(plain(r) for r in cur.fetchall())
+    return df.collect()
+
+
+def documents(n=90):
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample([f"w{k}" for k in range(40)], rng.randint(8, 20))) for _ in range(n // 3)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.upper()) for i, t in enumerate(texts)]
+    return rows + [(200 + i, f"{t} new") for i, t in enumerate(texts)] + [(300, None), (301, " "), rows[0]]
+
+
+def test_every_similar_pair_comes_out(spark, scratch):
+    """j17: all pairs of documents, copies among them; no pairs of classes."""
+    docs = documents()
+    rows = same_as_twin(spark, scratch, tables(spark, scratch, documents=(docs, "doc_id long, text string")), "j17_similar_pairs")
+    sets = [(i, set(t.lower().split())) for i, t in docs if t and t.split()]
+    want = sorted((i, j, round(len(a & b) / max(len(a), len(b)), 6)) for i, a in sets for j, b in sets if i < j and len(a & b) / max(len(a), len(b)) >= 0.8)
+    assert len(want) >= 90 and sorted((r.a, r.b, r.score) for r in rows) == want
+
+
 def test_grams_are_numbers_of_code_points(spark):
     """Grams come from one pass over code points, and phrases of any length are found by them."""
     from ticketweave.operators.matching import grams_of, phrase_hits
