@@ -163,6 +163,17 @@ def test_every_link_comes_out(spark, scratch):
     assert sorted((r.cluster_id, r.record_id) for r in rows) == sorted(want)
 
 
+EVENTS = ([(i % 58, i % 9, "click") for i in range(60)] + [(100, 7, "click")] * 2, "event_id long, user_id long, event_type string")
+PARTS = ([(i, ["red thing a", "small economy b", "blue ring c"][i % 3], "T X", i % 8) for i in range(40)] + [(50, "red thing a", "T X", 3)] * 2, "p_partkey long, p_name string, p_type string, p_size int")
+
+
+@pytest.mark.parametrize("name", ["j13_match_procedures"])
+def test_every_match_comes_out(spark, scratch, name):
+    """j13: all pairs of questions and procedures, also of rows that come twice; no pairs of classes."""
+    rows = same_as_twin(spark, scratch, tables(spark, scratch, events=EVENTS, part=PARTS), name)
+    assert len(rows) > 400 and len([r for r in rows if r.qid == 100]) >= 10
+
+
 def test_grams_are_numbers_of_code_points(spark):
     """Grams come from one pass over code points, and phrases of any length are found by them."""
     from ticketweave.operators.matching import grams_of, phrase_hits
