@@ -167,7 +167,7 @@ EVENTS = ([(i % 58, i % 9, "click") for i in range(60)] + [(100, 7, "click")] *
 PARTS = ([(i, ["red thing a", "small economy b", "blue ring c"][i % 3], "T X", i % 8) for i in range(40)] + [(50, "red thing a", "T X", 3)] * 2, "p_partkey long, p_name string, p_type string, p_size int")
 
 
-@pytest.mark.parametrize("name", ["j13_match_procedures"])
+@pytest.mark.parametrize("name", ["j13_match_procedures", "j13_match_procedures_weak"])
 def test_every_match_comes_out(spark, scratch, name):
     """j13: all pairs of questions and procedures, also of rows that come twice; no pairs of classes."""
     rows = same_as_twin(spark, scratch, tables(spark, scratch, events=EVENTS, part=PARTS), name)
