@@ -174,6 +174,14 @@ def test_every_match_comes_out(spark, scratch, name):
     assert len(rows) > 400 and len([r for r in rows if r.qid == 100]) >= 10
 
 
+def test_every_document_asks_for_similar_issues(spark, scratch):
+    """r07: each document is a question and each is a past issue."""
+    docs = [(i, t) for i, t in documents()[:-1] if t != " "]  # the twin divides by none for two empty texts
+    rows = same_as_twin(spark, scratch, tables(spark, scratch, documents=(docs, "doc_id long, text string")), "r07_similar_issues")
+    assert {r.qid for r in rows} == {i for i, _ in docs}
+    assert all(len([r for r in rows if r.qid == i and r.source == "diagnostics"]) >= 3 for i in range(30))
+
+
 def test_grams_are_numbers_of_code_points(spark):
     """Grams come from one pass over code points, and phrases of any length are found by them."""
     from ticketweave.operators.matching import grams_of, phrase_hits
