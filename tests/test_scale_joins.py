@@ -77,46 +77,6 @@ def test_similar_pairs_bring_sets_in_for_near_pairs_only(spark):
         assert got == [w for w in want if w[0] % 5 == 0]
 
 
-def test_nodes_of_a_dense_neighbourhood_travel_a_few_times(spark):
-    """Near copies make pairs with the square of their number; what is brought in for them does not."""
-    pairs = spark.range(400).join(spark.range(400).withColumnRenamed("id", "r"), F.col("id") < F.col("r")).select(F.col("id").alias("l"), "r")
-    far = spark.range(1000, 1100).select(F.col("id").alias("l"), (F.col("id") + 1000).alias("r"))
-    given = spark.range(3000).select(F.col("id").alias("node"))
-
-    def look(asked, brought):
-        held = set(brought.column("node").to_pylist())
-        return pa.table({"pairs": [asked.num_rows], "brought": [brought.num_rows], "ok": [held == {*asked.column("l").to_pylist(), *asked.column("r").to_pylist()}]})
-
-    weights = given.select("node", F.lit(1).alias("weight"))
-    rows = matching._together(pairs.unionByName(far), given, look, "pairs long, brought long, ok boolean", weights, 128, "looked").collect()
-    assert all(r.ok for r in rows) and len(rows) > 2
-    assert sum(r.pairs for r in rows) == 400 * 399 // 2 + 100 and sum(r.brought for r in rows) < 6000  # of 159,800 ends
-
-
-def test_near_copies_and_long_sets_against_brute_force(spark):
-    """Many sets that differ in a word, words that most sets hold, and words that stand for themselves only within ``on``."""
-    rng = random.Random(5)
-    base = [f"b{i}" for i in range(20)]
-    rows = [(i, i % 2, base + [f"own{i}"]) for i in range(90)] + [(100 + i, i % 2, base[:rng.randint(10, 20)] + [f"x{rng.randrange(5)}"]) for i in range(60)]
-    rows += [(200 + i, None, base) for i in range(3)] + [(300, 0, [f"l{i}" for i in range(3000)]), (301, 0, [f"l{i}" for i in range(2500)])]
-    df = spark.createDataFrame(rows, "id long, at int, t array<string>").repartition(3)
-    for measure, size in (("overlap", lambda a, b: max(len(a), len(b))), ("jaccard", lambda a, b: len(a | b))):
-        sets = [(i, at, set(t)) for i, at, t in rows]
-        share = lambda a, b: len(a & b) / size(a, b)
-        want = sorted((i, j, round(share(a, b), 9)) for i, x, a in sets for j, y, b in sets if x is not None and x == y and share(a, b) >= 0.8)
-        assert sorted((r.l, r.r, round(r.score, 9)) for r in matching.similar_pairs(df, df, "id", "id", "t", 0.8, measure, ("at",)).collect()) == want
-        want = sorted((i, j, round(share(a, b), 9)) for i, x, a in sets for j, y, b in sets if i < 120 and share(a, b) >= 0.8)
-        assert sorted((r.l, r.r, round(r.score, 9)) for r in matching.similar_pairs(df.filter("id < 120"), df, "id", "id", "t", 0.8, measure).collect()) == want
-
-
-def test_written_tables_leave_no_shuffle_behind(spark):
-    files = lambda: [f for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")]
-    before = set(files())
-    df = written(spark.range(5000).repartition(7).groupBy(F.col("id") % 100).count(), "swept")
-    assert not set(files()) - before
-    assert df.count() == 100
-
-
 def tables(spark, scratch, **given):
     for name, (rows, schema) in given.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{scratch}/{name}.parquet")
@@ -137,22 +97,6 @@ def same_as_twin(spark, scratch, con, name):
     return df.collect()
 
 
-def documents(n=90):
-    rng = random.Random(3)
-    texts = [" ".join(rng.sample([f"w{k}" for k in range(40)], rng.randint(8, 20))) for _ in range(n // 3)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.upper()) for i, t in enumerate(texts)]
-    return rows + [(200 + i, f"{t} new") for i, t in enumerate(texts)] + [(300, None), (301, " "), rows[0]]
-
-
-def test_every_similar_pair_comes_out(spark, scratch):
-    """j17: all pairs of documents, copies among them; no pairs of classes."""
-    docs = documents()
-    rows = same_as_twin(spark, scratch, tables(spark, scratch, documents=(docs, "doc_id long, text string")), "j17_similar_pairs")
-    sets = [(i, set(t.lower().split())) for i, t in docs if t and t.split()]
-    want = sorted((i, j, round(len(a & b) / max(len(a), len(b)), 6)) for i, a in sets for j, b in sets if i < j and len(a & b) / max(len(a), len(b)) >= 0.8)
-    assert len(want) >= 90 and sorted((r.a, r.b, r.score) for r in rows) == want
-
-
 def test_every_link_comes_out(spark, scratch):
     """j01: all pairs of clusters and records, each once, with copies and keys that come twice; no pairs of classes."""
     con = tables(spark, scratch, supplier=([(i % 70, i % 4) for i in range(72)], "s_suppkey long, s_nationkey long"), part=([(i % 88, i % 9) for i in range(90)], "p_partkey long, p_size long"))
@@ -174,6 +118,22 @@ def test_every_match_comes_out(spark, scratch, name):
     assert len(rows) > 400 and len([r for r in rows if r.qid == 100]) >= 10
 
 
+def documents(n=90):
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample([f"w{k}" for k in range(40)], rng.randint(8, 20))) for _ in range(n // 3)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.upper()) for i, t in enumerate(texts)]
+    return rows + [(200 + i, f"{t} new") for i, t in enumerate(texts)] + [(300, None), (301, " "), rows[0]]
+
+
+def test_every_similar_pair_comes_out(spark, scratch):
+    """j17: all pairs of documents, copies among them; no pairs of classes."""
+    docs = documents()
+    rows = same_as_twin(spark, scratch, tables(spark, scratch, documents=(docs, "doc_id long, text string")), "j17_similar_pairs")
+    sets = [(i, set(t.lower().split())) for i, t in docs if t and t.split()]
+    want = sorted((i, j, round(len(a & b) / max(len(a), len(b)), 6)) for i, a in sets for j, b in sets if i < j and len(a & b) / max(len(a), len(b)) >= 0.8)
+    assert len(want) >= 90 and sorted((r.a, r.b, r.score) for r in rows) == want
+
+
 def test_every_document_asks_for_similar_issues(spark, scratch):
     """r07: each document is a question and each is a past issue."""
     docs = [(i, t) for i, t in documents()[:-1] if t != " "]  # the twin divides by none for two empty texts
@@ -182,6 +142,73 @@ def test_every_document_asks_for_similar_issues(spark, scratch):
     assert all(len([r for r in rows if r.qid == i and r.source == "diagnostics"]) >= 3 for i in range(30))
 
 
+def test_nodes_of_a_dense_neighbourhood_travel_a_few_times(spark):
+    """Near copies make pairs with the square of their number; what is brought in for them does not."""
+    pairs = spark.range(400).join(spark.range(400).withColumnRenamed("id", "r"), F.col("id") < F.col("r")).select(F.col("id").alias("l"), "r")
+    far = spark.range(1000, 1100).select(F.col("id").alias("l"), (F.col("id") + 1000).alias("r"))
+    given = spark.range(3000).select(F.col("id").alias("node"))
+
+    def look(asked, brought):
+        held = set(brought.column("node").to_pylist())
+        return pa.table({"pairs": [asked.num_rows], "brought": [brought.num_rows], "ok": [held == {*asked.column("l").to_pylist(), *asked.column("r").to_pylist()}]})
+
+    weights = given.select("node", F.lit(1).alias("weight"))
+    rows = matching._together(pairs.unionByName(far), given, look, "pairs long, brought long, ok boolean", weights, 128, "looked").collect()
+    assert all(r.ok for r in rows) and len(rows) > 2
+    assert sum(r.pairs for r in rows) == 400 * 399 // 2 + 100 and sum(r.brought for r in rows) < 6000  # of 159,800 ends
+
+
+def test_near_copies_and_long_sets_against_brute_force(spark):
+    """Many sets that differ in a word, words that most sets hold, and words that stand for themselves only within ``on``."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(20)]
+    rows = [(i, i % 2, base + [f"own{i}"]) for i in range(90)] + [(100 + i, i % 2, base[:rng.randint(10, 20)] + [f"x{rng.randrange(5)}"]) for i in range(60)]
+    rows += [(200 + i, None, base) for i in range(3)] + [(300, 0, [f"l{i}" for i in range(3000)]), (301, 0, [f"l{i}" for i in range(2500)])]
+    df = spark.createDataFrame(rows, "id long, at int, t array<string>").repartition(3)
+    for measure, size in (("overlap", lambda a, b: max(len(a), len(b))), ("jaccard", lambda a, b: len(a | b))):
+        sets = [(i, at, set(t)) for i, at, t in rows]
+        share = lambda a, b: len(a & b) / size(a, b)
+        want = sorted((i, j, round(share(a, b), 9)) for i, x, a in sets for j, y, b in sets if x is not None and x == y and share(a, b) >= 0.8)
+        assert sorted((r.l, r.r, round(r.score, 9)) for r in matching.similar_pairs(df, df, "id", "id", "t", 0.8, measure, ("at",)).collect()) == want
+        want = sorted((i, j, round(share(a, b), 9)) for i, x, a in sets for j, y, b in sets if i < 120 and share(a, b) >= 0.8)
+        assert sorted((r.l, r.r, round(r.score, 9)) for r in matching.similar_pairs(df.filter("id < 120"), df, "id", "id", "t", 0.8, measure).collect()) == want
+
+
+def test_written_tables_leave_no_shuffle_behind(spark):
+    files = lambda: [f for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")]
+    before = set(files())
+    df = written(spark.range(5000).repartition(7).groupBy(F.col("id") % 100).count(), "swept")
+    assert not set(files()) - before
+    assert df.count() == 100
+
+
+def test_top_terms_send_no_rows_of_documents(spark):
+    """r02's operator against brute force, with a key that comes twice, one that two groups share, nulls and texts without terms."""
+    rng = random.Random(2)
+    rows = [(f"g{i % 3}", i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta_x", "the", "zz", "Épsilon"], k=rng.randint(0, 9)))) for i in range(60)]
+    rows += [rows[4], rows[4], ("g2", rows[4][1], "alpha omega"), ("g1", None, "omega beta"), ("g1", None, "omega beta"), ("g0", 99, None), ("g0", 98, "")]
+    docs = {}
+    words = [(g, k, [w for w in re.findall(r"[^\W\d]{3,}", (t or "").lower()) if w != "the"]) for g, k, t in rows]
+    for g, k, ws in words:
+        for w in ws:
+            docs.setdefault((g, k, len(ws)), Counter())[w] += 1
+    sums, df = {}, Counter()
+    for (g, _, dl), ws in docs.items():
+        for w, c in ws.items():
+            sums[g, w] = sums.get((g, w), 0) + c / dl
+            df[w] += 1
+    sizes = Counter(g for g, _, _ in rows)
+    scored = {}
+    for (g, w), s in sums.items():
+        scored.setdefault(g, []).append((-round(s * math.log(len(rows) / df[w]) / sizes[g], 6), w))
+    want = sorted((g, w, round(-s, 6), n) for g, x in scored.items() for n, (s, w) in enumerate(sorted(x)[:4], 1))
+    found = retrieval.top_terms(spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(3), "source", "doc_id", "text", 4, stop=("the",))
+    assert sorted((r.source, r.term, round(r.score, 6), r["rank"]) for r in found.collect()) == want
+    unique = [r for i, r in enumerate(rows[:60])]
+    plan = retrieval.top_terms(spark.createDataFrame(unique, "source string, doc_id long, text string"), "source", "doc_id", "text", 4)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "doc_id" in x]
+
+
 def test_grams_are_numbers_of_code_points(spark):
     """Grams come from one pass over code points, and phrases of any length are found by them."""
     from ticketweave.operators.matching import grams_of, phrase_hits

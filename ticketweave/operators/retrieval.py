@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -293,15 +295,59 @@ def hier_predict(queries: DataFrame, train: DataFrame, query: str, vector: str,
 
 
 # ---------------------------------------------------------------- terms, features, models
+#: Terms of texts that a task counts at a time, and (group, term) rows that it adds up before it sends them.
+TERMS, SUMS = 1 << 20, 1 << 21
+
+
+def _term_shares(group: str):
+    """(group, terms) of texts to (group, term, w, n): shares of the texts' terms and texts, added up in the task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        total = lambda: pa.concat_tables(held).group_by([group, "term"]).aggregate([("w", "sum"), ("n", "sum")]).rename_columns([group, "term", "w", "n"])
+        for whole in batches:
+            ends = np.cumsum(pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < whole.num_rows:
+                done = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + TERMS)))
+                batch, at = whole.slice(at, to - at), to
+                size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                terms = pa.table({"row": np.repeat(np.arange(len(size)), size), "term": batch.column(1).flatten()})
+                terms = terms.group_by(["row", "term"]).aggregate([([], "count_all")])
+                row = terms.column("row").to_numpy()
+                held.append(pa.table({group: batch.column(0).take(pa.array(row)), "term": terms.column("term"), "w": terms.column("count_all").to_numpy() / size[row], "n": np.ones(len(row), np.int64)}))
+                if sum(x.num_rows for x in held) > SUMS:
+                    held = [total()]
+                    if held[0].num_rows > SUMS // 2:
+                        yield from held.pop().to_batches(max_chunksize=1 << 16)
+        if held:
+            yield from total().to_batches(max_chunksize=1 << 16)
+
+    return run
+
+
 def top_terms(df: DataFrame, group: str, key: str, text: str, n: int = 8, stop: Sequence[str] = tuple(fv.KEYWORD_STOP_WORDS), pattern: str = r"[\p{L}_]{3,}") -> DataFrame:
-    """Terms with the highest mean tf-idf per group (tf over document length, idf ln(N/df))."""
-    toks = df.select(group, key, F.filter(F.regexp_extract_all(F.lower(text), _L(pattern), _L(0)), lambda w: ~w.isin(list(stop))).alias("_t"))
+    """Terms with the highest mean tf-idf per group (tf over document length, idf ln(N/df)).
+
+    A text's terms are counted where it is read, and tasks add up (group, term) before anything is sent: it travels once, by
+    term, for both the sums and the idf. Texts that share a group and key count as one document, so only those meet by key.
+    """
     total = df.agg(F.count("*")).scalar()
-    tf = (toks.select(group, key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(group, key, "term", "dl").agg(F.count("*").alias("c")))
-    per_group = tf.groupBy(group, "term").agg(F.sum(_C("c") / _C("dl")).alias("w"), F.count("*").alias("gdf"))
-    idf = per_group.groupBy("term").agg(F.log(total / F.sum("gdf")).alias("idf"))
-    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    scored = per_group.join(idf, "term").join(sizes, group).withColumn("score", F.round(_C("w") * _C("idf") / _C("size"), 6))
+    sizes = written(df.groupBy(group).agg(F.count("*").alias("size")), "group-sizes")
+    again = written(df.groupBy(group, key).agg(F.count("*").alias("_n")).filter("_n > 1").select(_C(group).alias("_g"), _C(key).alias("_k")), "repeated-keys")
+    terms = lambda rows: rows.select(group, key, F.filter(F.regexp_extract_all(F.lower(text), _L(pattern), _L(0)), lambda w: ~w.isin(list(stop))).alias("_t")).filter(F.size("_t") > 0)
+    once, many = df, None
+    if not again.isEmpty():
+        same = _C(group).eqNullSafe(_C("_g")) & _C(key).eqNullSafe(_C("_k"))
+        once, many = df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+    kind = T.StructType([df.select(group).schema[0], T.StructField("term", T.StringType()), T.StructField("w", T.DoubleType()), T.StructField("n", T.LongType())])
+    parts = terms(once).select(group, "_t").mapInArrow(_term_shares(group), kind)
+    if many is not None:
+        tf = terms(many).select(group, key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(group, key, "term", "dl").agg(F.count("*").alias("c"))
+        parts = parts.unionByName(tf.select(group, "term", (_C("c") / _C("dl")).alias("w"), _L(1).cast("long").alias("n")))
+    per_group = parts.repartition("term").groupBy("term", group).agg(F.sum("w").alias("w"), F.sum("n").alias("gdf"))
+    scored = per_group.withColumn("idf", F.log(total / F.sum("gdf").over(Window.partitionBy("term")))).join(sizes, group)
+    scored = scored.withColumn("score", F.round(_C("w") * _C("idf") / _C("size"), 6))
     return first_k(scored, [group], [F.desc("score"), F.asc("term")], n).select(group, "term", "score", _C("rn").alias("rank"))
 
 

@@ -63,7 +63,7 @@ _TT = f"list_filter(regexp_extract_all(lower(text), '[\\p{{L}}_]{{3,}}'), lambda
 i AS (SELECT term, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM tf GROUP BY 1), z AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT source, term, round(w * idf / n, 6) AS score FROM g JOIN i USING (term) JOIN z USING (source))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term)::INTEGER AS rank FROM s) WHERE rank <= 8""")
 def _(t):
-    return rt.top_terms(t.documents, "source", "doc_id", "text", 8)
+    return rt.top_terms(t.as_filed("documents"), "source", "doc_id", "text", 8)
 
 
 _BM = """WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9_]{3,}')) AS ts FROM documents), st AS (SELECT count(*) AS n, greatest(1.0, avg(len(ts))) AS avg FROM d), tf AS (SELECT doc_id, term, len AS dl, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM d) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),

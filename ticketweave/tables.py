@@ -32,6 +32,11 @@ class Tables:
         df = self.read(name)
         return self.spread(df) if name in TEXT_TABLES else df
 
+    def as_filed(self, name: str) -> DataFrame:
+        """A text table as its files hold it, without a shuffle of the texts, where every core has a file to read; spread otherwise."""
+        df = self.read(name)
+        return df if len(df.inputFiles()) >= self.spark.sparkContext.defaultParallelism else self.spread(df)
+
     def spread(self, df: DataFrame) -> DataFrame:
         """Deal the rows evenly to tasks before CPU-heavy text work: one for each core, or four for each split of a large table.
 
